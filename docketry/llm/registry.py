@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import chat_roles, language, media_sniff, packing, piece_bpe, quality_lines, quality_rules, repair_store, simhash
+from docketry.llm import chat_roles, language, media_sniff, packing, piece_bpe, quality_lines, quality_rules, repair_store, simhash, suffix_dedup
 from docketry.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_sniff.digests(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_simhash, op3_piece_bpe, op4_chat_roles, op5_quality_rules, op6_quality_lines, op7_language, op9_media_sniff, op10_packing)}
+    return {f.__name__: f for f in (op1_token_store, op2_simhash, op3_piece_bpe, op4_chat_roles, op5_quality_rules, op6_quality_lines, op7_language, op8_suffix_dedup, op9_media_sniff, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
