@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
+
+from docketry.plans.base import ORACLES, QUERIES
+
+for _name in ("tenancy", "relational", "evaluation", "retrieval", "citations", "chunks", "dialogue", "parsing", "streams"):
+    importlib.import_module(f"docketry.plans.{_name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
