@@ -35,7 +35,9 @@ from docketry.llm.common import saved, slices, texts_of
 
 LENGTH = 50
 GRAM = 16
-HEAVY = 1 << 18
+HEAVY = 1 << 17
+#: A suffix bucket is sorted in parts of about PART rows, which hold all rows of a gram; PARTS is the most that a bucket has.
+PART, PARTS = 1 << 14, 64
 #: Difference cover modulo PERIOD: every distance is a difference of two of its residues.
 PERIOD, COVER = 7, (0, 1, 3)
 DEPTH = 42
@@ -103,7 +105,7 @@ def _unplanes(data: bytes, n: int, kind: str) -> np.ndarray:
 
 
 #: Names of a blob's columns; docs and offsets are stored as differences, in 8 bytes of which most are zero.
-_KINDS = {"doc": "<i8", "at": "<i8", "hash": "<u8", "place": "u1", "count": "u1", "known": "u1", "mask": "<u8"}
+_KINDS = {"doc": "<i8", "at": "<i8", "hash": "<u8", "place": "u1", "count": "u1", "known": "u1", "part": "u1", "mask": "<u8"}
 
 
 def pack(**columns: np.ndarray) -> bytes:
@@ -321,9 +323,9 @@ def _send_suffixes(docs: pa.Table, shared: pa.Table, buckets: int, heavy: np.nda
             keep, done = _settle(padded, here, count, doc)
             for b, rows in _by_bucket(_doc_bucket(doc[done], buckets), {"doc": doc[done], "at": at[done], "mask": (np.uint64(1) << count[done].astype(np.uint64)) - np.uint64(1)}):
                 out.append(_row(b, 1, pack(**rows)))
-            for b, rows in _by_bucket((hashes[keep] % np.uint64(buckets)).astype(np.int64), {"doc": doc[keep], "at": at[keep], "count": count[keep], "here": here[keep]}):
+            for b, rows in _by_bucket((hashes[keep] % np.uint64(buckets)).astype(np.int64), {"doc": doc[keep], "at": at[keep], "count": count[keep], "here": here[keep], "part": (hashes[keep] // np.uint64(buckets) % np.uint64(PARTS)).astype(np.uint8)}):
                 text = _cut_out(data, rows["here"], rows["count"] + LENGTH - 1)
-                out.append(_row(b, 0, pack(doc=rows["doc"], at=rows["at"], count=rows["count"], text=text)))
+                out.append(_row(b, 0, pack(doc=rows["doc"], at=rows["at"], count=rows["count"], part=rows["part"], text=text)))
     return pa.Table.from_batches(out, _ROWS)
 
 
@@ -423,6 +425,18 @@ def first_documents(text: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> n
     return out
 
 
+def _parts(part: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of one or more whole parts, about PART at a time."""
+    order = np.argsort(part, kind="stable")
+    n = np.bincount(part, minlength=PARTS)
+    first = done = 0
+    for k in range(PARTS):
+        done += int(n[k])
+        if done - first >= PART or (k == PARTS - 1 and done > first):
+            yield order[first:done]
+            first = done
+
+
 def _sort_buckets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Which strings of each row also start in a smaller document (a bit each), for document buckets."""
     out = _Outbox(buckets, "doc", "at", "mask")
@@ -430,20 +444,24 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         for kind, blob in rows:
             if kind == 1:
                 yield _row(b, 1, blob)
-        found = [unpack(blob, "doc", "at", "count", "text") for kind, blob in rows if kind == 0]
+        found = [unpack(blob, "doc", "at", "count", "part", "text") for kind, blob in rows if kind == 0]
         if not found:
             continue
-        doc, at, count, text = (np.concatenate([f[k] for f in found]) for k in ("doc", "at", "count", "text"))
-        count = count.astype(np.int64)
-        size = count + LENGTH - 1
-        here = np.cumsum(size) - size
-        row = np.repeat(np.arange(len(count)), count)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        repeated = first_documents(text, here[row] + step, doc[row]) < doc[row]
-        mask = np.zeros(len(count), np.uint64)
-        np.bitwise_or.at(mask, row[repeated], np.uint64(1) << step[repeated].astype(np.uint64))
-        keep = mask != 0
-        yield from out.put(doc=doc[keep], at=at[keep], mask=mask[keep])
+        doc, at, count, part, text = (np.concatenate([f[k] for f in found]) for k in ("doc", "at", "count", "part", "text"))
+        found = rows = None
+        size = count.astype(np.int64) + LENGTH - 1
+        start = np.cumsum(size) - size
+        for own in _parts(part):
+            n = count[own].astype(np.int64)
+            here = np.cumsum(size[own]) - size[own]
+            row = np.repeat(np.arange(len(own)), n)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            who = doc[own]
+            repeated = first_documents(_cut_out(text, start[own], size[own]), here[row] + step, who[row]) < who[row]
+            mask = np.zeros(len(own), np.uint64)
+            np.bitwise_or.at(mask, row[repeated], np.uint64(1) << step[repeated].astype(np.uint64))
+            keep = mask != 0
+            yield from out.put(doc=who[keep], at=at[own][keep], mask=mask[keep])
     yield from out.flush()
 
 
