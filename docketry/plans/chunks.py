@@ -1 +1,168 @@
+"""Article chunking, garble detection and corpus audits. Gazette text is made from documents: their lines become numbered articles."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from docketry.functions import text as X
+from docketry.operators import chunking as C
+from docketry.plans.base import Tables, query
+
+_GAZETTE_SQL = """SELECT 'L' || doc_id AS law, 'Gazeta' || chr(10) || list_aggregate(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN (i - 1) % 5 = 0 THEN 'Kreu ' || CAST((i - 1) // 5 + 1 AS VARCHAR) || ' Pjesa' || chr(10) ELSE '' END || 'Neni ' || CAST((i - 1) % 7 + 1 AS VARCHAR) || chr(10) || l[i]), 'string_agg', chr(10)) AS text
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) x"""
+
+
+def gazette(t: Tables) -> DataFrame:
+    lines = t.documents.select("doc_id", F.split("text", "\n").alias("l"))
+    blocks = F.transform("l", lambda line, i: F.concat(F.when(i % 5 == 0, F.concat(F.lit("Kreu "), (F.floor(i / 5) + 1).cast("string"), F.lit(" Pjesa\n"))).otherwise(""), F.lit("Neni "), (i % 7 + 1).cast("string"), F.lit("\n"), line))
+    return lines.select(F.concat(F.lit("L"), "doc_id").alias("law"), F.concat(F.lit("Gazeta\n"), F.array_join(blocks, "\n")).alias("text"))
+
+
+# Each line of a document is one article here, so SQL needs no parsing: the same rows by construction.
+_ARTICLES_SQL = """SELECT 'L' || doc_id AS law, i, CAST((i - 1) % 7 + 1 AS VARCHAR) AS number, CAST((i - 1) // 5 + 1 AS VARCHAR) AS chapter, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS line FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) x) y"""
+
+
+@query("SELECT law, CAST(length(text) AS BIGINT) AS n, md5(text) AS digest FROM (" + _GAZETTE_SQL + ") g")
+def gazette_text(t: Tables) -> DataFrame:
+    return gazette(t).select("law", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
+@query(f"SELECT law, number, chapter, CAST(count(*) AS BIGINT) AS n FROM ({_ARTICLES_SQL}) a GROUP BY ALL")
+def article_boundaries(t: Tables) -> DataFrame:
+    lines = C.lines_of(gazette(t))
+    upto = Window.partitionBy("law").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("chapter", F.last("chapter", True).over(upto)).where("number IS NOT NULL").groupBy("law", "number", "chapter").agg(F.count("*").alias("n"))
+
+
+@query()
+def chunk_law(t: Tables) -> DataFrame:
+    return C.chunk_law(gazette(t))
+
+
+@query(f"SELECT law, CAST(i AS BIGINT) AS i, number, chapter AS at_chapter FROM ({_ARTICLES_SQL}) a")
+def chapter_asof(t: Tables) -> DataFrame:
+    w = Window.partitionBy("law").orderBy("pos")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    lines = C.lines_of(gazette(t)).withColumn("at_chapter", F.last("chapter", True).over(upto)).where("number IS NOT NULL")
+    return lines.select("law", F.row_number().over(w).cast("long").alias("i"), "number", "at_chapter")
+
+
+@query(f"SELECT law, CAST(i AS BIGINT) AS i, CAST((i - 1) // 7 AS BIGINT) AS section FROM ({_ARTICLES_SQL}) a")
+def section_counter(t: Tables) -> DataFrame:
+    starts = C.lines_of(gazette(t)).where("number IS NOT NULL").withColumnRenamed("pos", "start")
+    return C.with_sections(starts).select("law", F.row_number().over(Window.partitionBy("law").orderBy("start")).cast("long").alias("i"), F.col("section").cast("long").alias("section"))
+
+
+@query("SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(list_sum(list_transform(l, lambda x: length(x) + 1)) AS BIGINT) AS extent FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) x")
+def article_extent(t: Tables) -> DataFrame:
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    starts = lines.withColumn("end", F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return starts.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max("end").cast("long").alias("extent"))
+
+
+@query("SELECT doc_id FROM documents WHERE length(trim(text)) >= 50")
+def chunk_min_len(t: Tables) -> DataFrame:
+    return t.documents.where(F.length(F.trim("text")) >= C.LEAST_CHARS).select("doc_id")
+
+
+@query("SELECT doc_id, length(trim(text)) < 500 AS scanned FROM documents")
+def looks_scanned(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", (F.length(F.trim("text")) < 500).alias("scanned"))
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) < 200 AS low FROM documents")
+def low_text(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", (F.length(F.regexp_replace("text", r"[^\p{L}]", "")) < 200).alias("low"))
+
+
+@query("SELECT page_id, md5(list_aggregate(list_filter(string_split(html, chr(10)), lambda x: NOT contains(x, '....')), 'string_agg', chr(10))) AS body FROM pages")
+def strip_toc(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.md5(X.strip_toc(F.col("html"))).alias("body"))
+
+
+_WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: regexp_matches(w, '\\p{L}'))"
+_BAD = "(regexp_matches(w, '[€{}|]') OR (NOT regexp_matches(w, '[/-]') AND regexp_matches(w, '\\p{L}[0-9]\\p{L}')))"
+_GARBLE = f"CASE WHEN len({_WORDS}) < 15 THEN 0 ELSE len(list_filter({_WORDS}, lambda w: {_BAD})) / len({_WORDS}) END"
+
+
+@query(f"SELECT doc_id, round({_GARBLE}, 6) AS ratio FROM documents")
+def garble_ratio(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.round(X.garble_ratio(F.col("text")), 6).alias("ratio"))
+
+
+@query(f"SELECT source, CAST(count(*) AS BIGINT) AS chunks, CAST(count(*) FILTER (WHERE r > 0.03) AS BIGINT) AS garbled FROM (SELECT source, {_GARBLE} AS r FROM documents) x GROUP BY source")
+def garble_by_law(t: Tables) -> DataFrame:
+    return t.documents.select("source", X.garble_ratio(F.col("text")).alias("r")).groupBy("source").agg(F.count("*").alias("chunks"), F.count_if(F.col("r") > 0.03).alias("garbled"))
+
+
+@query(f"SELECT doc_id, CASE WHEN r > 0.05 THEN 'ocr' ELSE 'keep' END AS route FROM (SELECT doc_id, {_GARBLE} AS r FROM documents) x")
+def ocr_routing(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.when(X.garble_ratio(F.col("text")) > 0.05, "ocr").otherwise("keep").alias("route"))
+
+
+_TOKENS = "(VALUES ('p€r'), ('n3ni'), ('04/L-077'), ('1.Në'), ('11km'), ('a|b'), ('mirë')) AS k(w)"
+
+
+@query(f"SELECT w, {_BAD} AS corrupt FROM {_TOKENS}")
+def corrupt_token(t: Tables) -> DataFrame:
+    return t.values(_TOKENS).select("w", X.corrupt_token(F.col("w")).alias("corrupt"))
+
+
+@query("""SELECT class, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN length(text) < 200 THEN 'short' WHEN contains(text, '|') THEN 'artifact' WHEN NOT regexp_matches(text, '[ëçéèüöäßñóí]') THEN 'no_diacritics' ELSE 'clean' END AS class FROM documents) x GROUP BY class""")
+def index_audit(t: Tables) -> DataFrame:
+    c = F.col("text")
+    kind = F.when(F.length(c) < 200, "short").when(c.contains("|"), "artifact").when(~c.rlike("[ëçéèüöäßñóí]"), "no_diacritics").otherwise("clean")
+    return t.documents.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+
+
+_SCANS = "(VALUES (1, 'Neni 1 ........ 5'), (2, 'a . . . . b'), (3, 'x -------- y'), (4, 'w ===== z'), (5, 'a    b'), (6, 'ok... fine')) AS s(id, raw)"
+
+
+@query(f"SELECT id, regexp_replace(regexp_replace(regexp_replace(raw, '[ \\t]*\\.(?:[ \\t]*\\.){{3,}}[ \\t]*', ' ', 'g'), '-{{5,}}|_{{5,}}|={{5,}}|•{{5,}}|·{{5,}}|~{{5,}}', ' ', 'g'), '[ \\t]{{3,}}', '  ', 'g') AS clean FROM {_SCANS}")
+def normalize_ocr(t: Tables) -> DataFrame:
+    return t.values(_SCANS).select("id", X.normalize_ocr(F.col("raw")).alias("clean"))
+
+
+@query("SELECT doc_id, md5(substr(text, 1, 10000)) AS head, md5(substr(text, 1, 5000)) AS retry FROM documents")
+def embed_input(t: Tables) -> DataFrame:
+    # the cap is the feature: what an embedding model takes
+    return t.documents.select("doc_id", F.md5(F.left("text", F.lit(10_000))).alias("head"), F.md5(F.left("text", F.lit(5_000))).alias("retry"))
+
+
+@query("SELECT doc_id, coalesce(lang, '') AS language, md5(substr(text, 1, 32000)) AS content, length(text) > 32000 AS truncated FROM documents")
+def chunk_metadata(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("language"), F.md5(F.left("text", F.lit(32_000))).alias("content"), (F.length("text") > 32_000).alias("truncated"))
+
+
+@query("SELECT doc_id, CAST(greatest(ceil((length(text) - 100) / 900.0), 1) AS BIGINT) AS n, CAST(length(text) AS BIGINT) AS chars FROM documents")
+def sliding_chunks(t: Tables) -> DataFrame:
+    pieces = X.windows(F.col("text"), 1000, 100)
+    back = F.aggregate(pieces, F.lit(0).cast("long"), lambda n, p: n + F.length(p)) - 100 * (F.size(pieces) - 1)
+    return t.documents.select("doc_id", F.size(pieces).cast("long").alias("n"), back.alias("chars"))
+
+
+@query("""SELECT doc_id || '_chunk_' || CAST(j AS VARCHAR) AS id, CAST(n AS BIGINT) AS total FROM (SELECT doc_id, n, unnest(range(0, n)) AS j FROM (SELECT doc_id, CAST(greatest(ceil((length(text) - 100) / 900.0), 1) AS BIGINT) AS n FROM documents) x) y""")
+def chunk_ids(t: Tables) -> DataFrame:
+    pieces = X.windows(F.col("text"), 1000, 100)
+    return t.documents.select("doc_id", F.size(pieces).cast("long").alias("total"), F.posexplode(pieces).alias("j", "piece")).select(F.concat("doc_id", F.lit("_chunk_"), "j").alias("id"), "total")
+
+
+@query()
+def pack_paragraphs(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.posexplode(C.pack_paragraphs(F.regexp_replace("text", "\n", "\n\n"), 1000)).alias("part", "piece")).select("doc_id", "part", F.length("piece").alias("chars"), F.md5("piece").alias("digest"))
+
+
+@query("SELECT law, 'Neni 1' AS first_line FROM (" + _GAZETTE_SQL + ") g WHERE FALSE UNION ALL SELECT law, 'Kreu 1 Pjesa' FROM (" + _GAZETTE_SQL + ") g")
+def strip_header(t: Tables) -> DataFrame:
+    lines = C.lines_of(gazette(t)).where("number IS NOT NULL OR chapter IS NOT NULL")
+    return lines.groupBy("law").agg(F.min_by("line", "pos").alias("first_line"))
+
+
+_TITLES = "(VALUES (1, 'Lënda'), (2, '1. Shprehjet'), (3, 'Ka. pikë'), (4, 'IV. Pjesa'), (5, 'ab'), (6, 'Programi i punës.')) AS h(id, line)"
+
+
+@query(f"SELECT id, length(line) BETWEEN 3 AND 80 AND NOT contains(substr(line, 1, length(line) - 1), '.') AND NOT regexp_matches(line, '^[0-9]') AND NOT regexp_matches(line, '^[0-9IVX]+[.\\s]') AS ok FROM {_TITLES}")
+def detect_title(t: Tables) -> DataFrame:
+    return t.values(_TITLES).select("id", C.is_title(F.col("line")).alias("ok"))

@@ -1 +1,234 @@
+"""Law numbers, citations, registry and catalogue lookups, citation validation, on inline fixtures that both engines share."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from docketry.functions import lawnum
+from docketry.plans.base import Tables, query
+
+_RAW = "(VALUES ('4 l77'), ('4 l 077'), ('8L035'), (' 04 / L - 079 '), ('KUV-08/L-032-KOD'), ('2004/32'), ('02_L-10'), ('04/L-077')) AS r(raw)"
+_CANON = """CASE WHEN regexp_matches(s, '^[0-9]{1,2}[-/]?L-?[0-9]{1,4}[A-Z0-9-]*$') THEN lpad(regexp_extract(s, '^([0-9]{1,2})', 1), 2, '0') || '/L-' || regexp_extract(s, '^[0-9]{1,2}[-/]?L-?([0-9]{1,4}[A-Z0-9-]*)$', 1) ELSE s END"""
+_CANON_FROM = f"(SELECT raw, replace(upper(regexp_replace(raw, '\\s+', '', 'g')), '_', '/') AS s FROM {_RAW}) x"
+
+
+@query(f"SELECT raw, {_CANON} AS law FROM {_CANON_FROM}")
+def canon_law(t: Tables) -> DataFrame:
+    return t.values(_RAW).select("raw", lawnum.canonical(F.col("raw")).alias("law"))
+
+
+@query(f"SELECT raw, nullif(regexp_extract(s, '^KUV-([0-9]{{1,2}}/L-[0-9]{{1,4}})-[A-Z0-9]+$', 1), '') AS inner_law FROM {_CANON_FROM}")
+def law_inner(t: Tables) -> DataFrame:
+    return t.values(_RAW).select("raw", lawnum.inner(lawnum.canonical(F.col("raw"))).alias("inner_law"))
+
+
+_SPELLED = "[f, 'NR.' || f, 'Nr.' || f, lower(f), replace(f, '/L-', '/L -')]"
+
+
+@query("""SELECT law, list_aggregate(v, 'string_agg', '|') AS variants FROM (VALUES
+('04/L-77', ['04/L-77','NR.04/L-77','Nr.04/L-77','04/l-77','04/L -77','04/L-077','NR.04/L-077','Nr.04/L-077','04/l-077','04/L -077']),
+('KUV-06/L-074-KOD', ['KUV-06/L-074-KOD','NR.KUV-06/L-074-KOD','Nr.KUV-06/L-074-KOD','kuv-06/l-074-kod','KUV-06/L -074-KOD','06/L-074','NR.06/L-074','Nr.06/L-074'])) AS x(law, v)""")
+def law_variants(t: Tables) -> DataFrame:
+    laws = t.values("(VALUES ('04/L-77'), ('KUV-06/L-074-KOD')) AS x(law)")
+    return laws.select("law", F.array_join(lawnum.variants(F.col("law")), "|").alias("variants"))
+
+
+_QUESTIONS = """(VALUES (1, 'Çfarë thotë Neni 5 i Ligjit 04/L-079?'), (2, 'Sipas Nenit 121 të Ligjit KUV-08/L-032-KOD'), (3, 'A është abroguar Ligji 2004/2?'), (4, 'Cilat ligje rregullojnë grantet?'),
+(5, 'neni 47 i ligjit 4 l77'), (6, 'neni 10 i Kodit Penal'), (7, 'neni 5 i Kodit të Procedurës Penale'), (8, 'neni 12 sipas LMD'), (9, 'what does article 49 of law 03/L-212 say?'), (10, 'neni 37')) AS q(id, question)"""
+_EXPECTED = """(VALUES (1, '04/L-079', '5', FALSE), (2, 'KUV-08/L-032-KOD', '121', FALSE), (3, '2004/2', NULL, FALSE), (4, NULL, NULL, NULL), (5, '04/L-77', '47', FALSE), (6, 'KUV-06/L-074-KOD', '10', TRUE), (7, 'KUV-08/L-032-KOD', '5', TRUE),
+(8, '04/L-077', '12', TRUE), (9, '03/L-212', '49', FALSE), (10, NULL, NULL, NULL)) AS e(id, law, article, by_name)"""
+
+
+@query(f"SELECT id, law, article, by_name FROM {_EXPECTED}")
+def parse_citation(t: Tables) -> DataFrame:
+    return t.values(_QUESTIONS).select("id", lawnum.citation(F.col("question")).alias("c")).select("id", "c.law", "c.article", "c.by_name")
+
+
+@query(f"SELECT id, CASE WHEN by_name THEN law END AS law FROM {_EXPECTED}")
+def named_law(t: Tables) -> DataFrame:
+    return t.values(_QUESTIONS).select("id", lawnum.named_law(F.col("question")).alias("law"))
+
+
+@query(f"SELECT id, regexp_matches(question, '{lawnum.STATUS}') AS is_status FROM {_QUESTIONS}")
+def is_status(t: Tables) -> DataFrame:
+    return t.values(_QUESTIONS).select("id", F.col("question").rlike(lawnum.STATUS).alias("is_status"))
+
+
+_CHUNKS = r"""(VALUES ('c1', '02/L-10', '5', E'## Neni 5\nLënda e ligjit'), ('c2', '02/L-10', '6', E'Neni 6 Qëllimi'), ('c3', '02/L-10', '7', 'pa titull'), ('c4', '02/L-10', '4', E'x\nNeni 4 fund'), ('c5', '06/L-074', '6', 'Neni 6'), ('c6', 'NR.04/L-77', '47', 'Neni 47')) AS c(id, law, article, content)"""
+_CHUNKS_SPARK = _CHUNKS.replace("E'", "'")
+
+
+@query(f"SELECT id, article, list_contains(regexp_extract_all(substr(content, 1, 400), '(?i)(?:^|\\n)\\s*#{{0,3}}\\s*Neni\\s+([0-9]{{1,4}})\\b', 1), article) AS starts FROM {_CHUNKS}")
+def article_header_match(t: Tables) -> DataFrame:
+    return t.values(_CHUNKS_SPARK).select("id", "article", lawnum.starts_article(F.col("content"), F.col("article")).alias("starts"))
+
+
+@query(f"SELECT id, coalesce(nullif(article, '7'), nullif(regexp_extract(substr(content, 1, 300), '(?i)neni\\s+([0-9]{{1,3}})', 1), '')) AS article FROM {_CHUNKS}")
+def recover_article(t: Tables) -> DataFrame:
+    return t.values(_CHUNKS_SPARK).select("id", F.coalesce(F.nullif("article", F.lit("7")), lawnum.found(F.substring("content", 1, 300), r"(?i)neni\s+([0-9]{1,3})", 1)).alias("article"))
+
+
+@query(f"SELECT id FROM {_CHUNKS} WHERE law = '02/L-10' AND article IN ('5', '6', '7') ORDER BY article = '6' DESC, CAST(article AS INT) LIMIT 3")
+def article_neighbors(t: Tables) -> DataFrame:
+    near = t.spark.range(1).select(F.explode(F.transform(F.sequence(F.lit(5), F.lit(7)), lambda n: n.cast("string"))).alias("article"))
+    hits = t.values(_CHUNKS_SPARK).where("law = '02/L-10'").join(F.broadcast(near), "article")
+    return hits.orderBy((F.col("article") == "6").desc(), F.col("article").cast("int")).select("id").limit(3)
+
+
+@query(f"SELECT id FROM {_CHUNKS} WHERE law = '02/L-10' AND CAST(article AS INT) <= 10 ORDER BY CAST(article AS INT) LIMIT 5")
+def opening_articles(t: Tables) -> DataFrame:
+    return t.values(_CHUNKS_SPARK).where((F.col("law") == "02/L-10") & F.col("article").isin(*map(str, range(1, 11)))).orderBy(F.expr("try_cast(article AS INT)"), "id").select("id").limit(5)
+
+
+@query(f"SELECT id, article FROM {_CHUNKS} ORDER BY try_cast(article AS INT) IS NULL, try_cast(article AS INT), id")
+def article_sort(t: Tables) -> DataFrame:
+    n = F.expr("try_cast(article AS INT)")
+    return t.values(_CHUNKS_SPARK).select("id", "article").orderBy(n.isNull(), n, "id")
+
+
+@query(f"SELECT a.id, p.id AS before, n.id AS after FROM {_CHUNKS.replace('AS c(', 'AS a(')} LEFT JOIN (SELECT * FROM {_CHUNKS}) p ON p.law = a.law AND CAST(p.article AS INT) = CAST(a.article AS INT) - 1 LEFT JOIN (SELECT * FROM {_CHUNKS}) n ON n.law = a.law AND CAST(n.article AS INT) = CAST(a.article AS INT) + 1")
+def chunk_adjacency(t: Tables) -> DataFrame:
+    rows = t.values(_CHUNKS_SPARK).select("id", "law", F.expr("try_cast(article AS INT)").alias("n"))
+    by = rows.groupBy("law", "n").agg(F.max("id").alias("other"))  # of repeats the last
+    before = by.select("law", (F.col("n") + 1).alias("n"), F.col("other").alias("before"))
+    after = by.select("law", (F.col("n") - 1).alias("n"), F.col("other").alias("after"))
+    return rows.join(before, ["law", "n"], "left").join(after, ["law", "n"], "left").select("id", "before", "after")
+
+
+@query(f"SELECT id, CASE WHEN id = 'c2' THEN 1 WHEN id IN ('c1', 'c3') THEN 2 WHEN id = 'c4' THEN 3 ELSE 4 END AS priority FROM {_CHUNKS} WHERE law = '02/L-10'")
+def citation_fallback_rank(t: Tables) -> DataFrame:
+    c = F.col("content")
+    heads = F.regexp_extract_all(F.substring(c, 1, 400), F.lit(lawnum.HEADER), F.lit(1))
+    n = F.expr("try_cast(article AS INT)")
+    return t.values(_CHUNKS_SPARK).where("law = '02/L-10'").select("id", F.when(F.array_contains(heads, "6"), 1).when(n.isin(5, 7), 2).when(F.size(heads) > 0, 3).otherwise(4).alias("priority"))
+
+
+_WANTED = "(VALUES (1, '04/L-77'), (2, 'KUV-06/L-074-KOD'), (3, '99/L-1')) AS w(qid, law)"
+
+
+@query("SELECT * FROM (VALUES (1, 'NR.04/L-77'), (2, '06/L-074'), (3, NULL)) AS e(qid, found)")
+def variant_probe(t: Tables) -> DataFrame:
+    tried = t.values(_WANTED).select("qid", F.posexplode(lawnum.variants(F.col("law"))).alias("pos", "spelling"))
+    stored = t.values(_CHUNKS_SPARK).select("law").distinct()
+    return tried.join(stored, F.col("spelling") == F.col("law"), "left").groupBy("qid").agg(F.min_by("law", F.when(F.col("law").isNotNull(), F.col("pos"))).alias("found"))
+
+
+_REGISTRY = """(VALUES ('04/L-051', '06/L-010', 'full', '12.03.2018'), ('04/L-051', '05/L-001', 'partial', '1.1.2016'), ('03/L-212', '08/L-100', 'partial', '2.2.2022'), ('2004/2', '04/L-077', 'full', '19.06.2012'), ('x', 'y', 'full', '32.01.2020')) AS g(abolished, abolishing, kind, published)"""
+
+
+@query(f"SELECT abolished AS law, CAST(count(*) AS BIGINT) AS n, string_agg(abolishing, ',' ORDER BY abolishing) AS by_laws, bool_or(kind = 'full') AS fully FROM {_REGISTRY} GROUP BY abolished")
+def registry_by_abolished(t: Tables) -> DataFrame:
+    return t.values(_REGISTRY).groupBy(F.col("abolished").alias("law")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("abolishing")), ",").alias("by_laws"), F.bool_or(F.col("kind") == "full").alias("fully"))
+
+
+@query(f"""SELECT coalesce(a.law, b.law) AS law, CASE WHEN a.fully THEN 'fully_abolished' WHEN a.law IS NOT NULL THEN 'partially_abolished' ELSE 'abolisher' END AS status FROM
+(SELECT abolished AS law, bool_or(kind = 'full') AS fully FROM {_REGISTRY} GROUP BY abolished) a FULL JOIN (SELECT DISTINCT abolishing AS law FROM {_REGISTRY}) b ON a.law = b.law""")
+def law_status(t: Tables) -> DataFrame:
+    edges = t.values(_REGISTRY)
+    roles = edges.select(F.col("abolished").alias("law"), F.when(F.col("kind") == "full", 3).otherwise(2).alias("rank")).unionByName(edges.select(F.col("abolishing").alias("law"), F.lit(1).alias("rank")))
+    return roles.groupBy("law").agg(F.max("rank").alias("rank")).select("law", F.when(F.col("rank") == 3, "fully_abolished").when(F.col("rank") == 2, "partially_abolished").otherwise("abolisher").alias("status"))
+
+
+@query(f"SELECT c.id, r.law IS NOT NULL AS is_abolished, coalesce(r.by_laws, '') AS by_laws FROM (SELECT id, CASE WHEN id = 'c1' THEN '03/L-212' WHEN id = 'c2' THEN '04/L-051' ELSE law END AS law FROM {_CHUNKS}) c LEFT JOIN (SELECT abolished AS law, string_agg(abolishing, ',' ORDER BY abolishing) AS by_laws FROM {_REGISTRY} GROUP BY abolished) r ON r.law = c.law")
+def enrich_abolished(t: Tables) -> DataFrame:
+    sources = t.values(_CHUNKS_SPARK).select("id", F.when(F.col("id") == "c1", "03/L-212").when(F.col("id") == "c2", "04/L-051").otherwise(F.col("law")).alias("law"))
+    registry = registry_by_abolished(t).select("law", "by_laws")
+    return sources.join(registry, "law", "left").select("id", F.col("by_laws").isNotNull().alias("is_abolished"), F.coalesce("by_laws", F.lit("")).alias("by_laws"))
+
+
+@query(f"SELECT published, CAST(try_strptime(published, '%d.%m.%Y') AS DATE) AS day FROM {_REGISTRY}")
+def parse_gazette_date(t: Tables) -> DataFrame:
+    return t.values(_REGISTRY).select("published", F.when(F.col("published").rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), F.try_to_date("published", "d.M.yyyy")).alias("day"))
+
+
+_CATALOG = "(VALUES (1, '04/L-077', 'Obligations'), (2, '04/L-077', 'Obligations, amended'), (3, 'KUV-06/L-074-KOD', 'Criminal code'), (4, 'KUV-06/L-074-X', 'Other'), (5, NULL, 'none')) AS k(n, law, title)"
+
+
+@query("SELECT * FROM (VALUES ('04/L-077', 'Obligations, amended'), ('KUV-06/L-074-KOD', 'Criminal code'), ('KUV-06/L-074-X', 'Other'), ('06/L-074', 'Criminal code')) AS e(law, title)")
+def catalog_alias(t: Tables) -> DataFrame:
+    rows = t.values(_CATALOG).where("law IS NOT NULL").withColumn("law", lawnum.canonical(F.col("law")))
+    own = rows.groupBy("law").agg(F.max_by("title", "n").alias("title"))  # the last repeat wins
+    alias = rows.select(lawnum.inner(F.col("law")).alias("law"), "title", "n").where("law IS NOT NULL").groupBy("law").agg(F.min_by("title", "n").alias("title"))  # the first
+    return own.unionByName(alias.join(own, "law", "left_anti"))
+
+
+@query("SELECT * FROM (VALUES ('04/L-077', 'Obligations, amended'), ('KUV-06/L-074-ZZ', 'Criminal code'), ('9/L-9', NULL)) AS e(asked, title)")
+def catalog_lookup(t: Tables) -> DataFrame:
+    asked = t.values("(VALUES ('04/L-077'), ('KUV-06/L-074-ZZ'), ('9/L-9')) AS a(asked)").select("asked", lawnum.canonical(F.col("asked")).alias("law")).withColumn("inner_law", lawnum.inner(F.col("law")))
+    catalog = catalog_alias(t)
+    direct, fallback = catalog.select("law", F.col("title").alias("direct")), catalog.select(F.col("law").alias("inner_law"), F.col("title").alias("fallback"))
+    return asked.join(direct, "law", "left").join(fallback, "inner_law", "left").select("asked", F.coalesce("direct", "fallback").alias("title"))
+
+
+_ANSWER = "'Sipas nenit 8 të Ligjit 02/L-10, dhe Ligji 03/L-999 si dhe Ligjit Nr. 02/L-10, neni 5 vlen.'"
+
+
+@query("SELECT * FROM (VALUES (0, '02/L-10', '8', TRUE), (1, '03/L-999', NULL, FALSE), (2, '02/L-10', '5', TRUE)) AS e(pos, law, article, verified)")
+def validate_citations(t: Tables) -> DataFrame:
+    cited = t.spark.range(1).select(F.posexplode(lawnum.citations(F.lit(_ANSWER.strip("'")))).alias("pos", "c")).select("pos", "c.law", "c.article")
+    sources = t.values("(VALUES ('s1', '02/L-10', '5', 0), ('s2', '02/L-10', '8', 1)) AS s(id, s_law, s_article, seq)")
+    by_law = cited.join(sources, F.col("law") == F.col("s_law"), "left")
+    fits = F.col("article").isNull() | (F.col("article") == F.col("s_article"))
+    return by_law.groupBy("pos", "law", "article").agg(F.coalesce(F.bool_or(F.col("id").isNotNull() & fits), F.lit(False)).alias("verified"))
+
+
+@query("SELECT * FROM (VALUES (0, '02/L-10', '8'), (1, '03/L-999', NULL), (2, '02/L-10', '5')) AS e(pos, law, article)")
+def extract_citations(t: Tables) -> DataFrame:
+    return t.spark.range(1).select(F.posexplode(lawnum.citations(F.lit(_ANSWER.strip("'")))).alias("pos", "c")).select("pos", "c.law", "c.article")
+
+
+@query("SELECT 'Sipas nenit 8 të Ligjit 02/L-10, dhe Ligji 03/L-999 [?] si dhe Ligjit Nr. 02/L-10, neni 5 vlen.' AS annotated")
+def annotate_unverified(t: Tables) -> DataFrame:
+    text = F.lit(_ANSWER.strip("'"))
+    gaps, marks = F.split(text, lawnum.CITATION), lawnum.citations(text)
+    known = F.array(F.lit("02/L-10"))
+    shown = F.transform(marks, lambda m: F.concat(m["raw"], F.when(F.array_contains(known, m["law"]), "").otherwise(" [?]")))
+    return t.spark.range(1).select(F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), shown.alias("m")), lambda x: F.concat(x["g"], F.coalesce(x["m"], F.lit("")))), "").alias("annotated"))
+
+
+@query("SELECT law FROM (VALUES ('02/L-10'), ('03/L-999'), ('06/L-074'), ('KUV-06/L-074-KOD')) AS e(law)")
+def authoritative_laws(t: Tables) -> DataFrame:
+    cited = extract_citations(t).select("law")
+    synthetic = t.values("(VALUES ('KUV-06/L-074-KOD'), ('02/L-10')) AS s(law)")
+    inners = synthetic.select(lawnum.inner(F.col("law")).alias("law")).where("law IS NOT NULL")
+    return cited.unionByName(synthetic).unionByName(inners).distinct()
+
+
+@query(f"SELECT raw, regexp_replace(lower(replace(raw, ' ', '')), '^(nr\\.|nr|n\\.)', '') AS norm FROM {_RAW}")
+def norm_law(t: Tables) -> DataFrame:
+    return t.values(_RAW).select("raw", F.regexp_replace(F.lower(F.replace("raw", F.lit(" "))), r"^(nr\.|nr|n\.)", "").alias("norm"))
+
+
+@query(f"SELECT raw, regexp_replace(raw, '[^A-Za-z0-9_-]', '_', 'g') AS safe, regexp_replace(raw, '_', '/') AS law FROM {_RAW}")
+def dirname_to_law(t: Tables) -> DataFrame:
+    return t.values(_RAW).select("raw", F.regexp_replace("raw", r"(?U)[^\w-]", "_").alias("safe"), F.regexp_replace("raw", "^([^_]*)_", "$1/").alias("law"))
+
+
+@query(f"SELECT DISTINCT law, 'Ligji ' || law || ' (' || CASE WHEN law = '03/L-212' THEN 'pjesërisht' ELSE 'plotësisht' END || ')' AS warning FROM (VALUES ('03/L-212'), ('04/L-051'), ('2004/2'), ('x')) AS e(law)")
+def abolish_warnings(t: Tables) -> DataFrame:
+    status = law_status(t).where("status <> 'abolisher'")
+    return status.select("law", F.concat(F.lit("Ligji "), "law", F.lit(" ("), F.when(F.col("status") == "fully_abolished", "plotësisht").otherwise("pjesërisht"), F.lit(")")).alias("warning"))
+
+
+@query(f"""SELECT '04/L-051' AS law, 'status_verdict' AS kind, CAST(1.0 AS DOUBLE) AS score UNION ALL SELECT abolishing, 'abolishing_law', CAST(0.95 AS DOUBLE) FROM {_REGISTRY} WHERE abolished = '04/L-051' UNION ALL SELECT abolished, 'abolished_law', CAST(0.90 AS DOUBLE) FROM {_REGISTRY} WHERE abolishing = '04/L-051'""")
+def synthetic_chunks(t: Tables) -> DataFrame:
+    edges, law = t.values(_REGISTRY), F.lit("04/L-051")
+    verdict = t.spark.range(1).select(law.alias("law"), F.lit("status_verdict").alias("kind"), F.lit(1.0).alias("score"))
+    over = edges.where(F.col("abolished") == law).select(F.col("abolishing").alias("law"), F.lit("abolishing_law").alias("kind"), F.lit(0.95).alias("score"))
+    under = edges.where(F.col("abolishing") == law).select(F.col("abolished").alias("law"), F.lit("abolished_law").alias("kind"), F.lit(0.90).alias("score"))
+    return verdict.unionByName(over).unionByName(under)
+
+
+@query(f"SELECT law, 'Ligji ' || law || ': ' || status || CASE WHEN by_laws IS NULL THEN '' ELSE ' nga ' || by_laws END AS answer FROM (SELECT s.law, s.status, r.by_laws FROM (SELECT coalesce(a.law, b.law) AS law, CASE WHEN a.fully THEN 'fully_abolished' WHEN a.law IS NOT NULL THEN 'partially_abolished' ELSE 'abolisher' END AS status FROM (SELECT abolished AS law, bool_or(kind = 'full') AS fully FROM {_REGISTRY} GROUP BY abolished) a FULL JOIN (SELECT DISTINCT abolishing AS law FROM {_REGISTRY}) b ON a.law = b.law) s LEFT JOIN (SELECT abolished AS law, string_agg(abolishing, ', ' ORDER BY abolishing) AS by_laws FROM {_REGISTRY} GROUP BY abolished) r ON r.law = s.law) x")
+def status_answer(t: Tables) -> DataFrame:
+    by = registry_by_abolished(t).select("law", F.regexp_replace("by_laws", ",", ", ").alias("by_laws"))
+    return law_status(t).join(by, "law", "left").select("law", F.concat(F.lit("Ligji "), "law", F.lit(": "), "status", F.coalesce(F.concat(F.lit(" nga "), "by_laws"), F.lit(""))).alias("answer"))
+
+
+@query("SELECT * FROM (VALUES ('12'), ('7')) AS e(article)")
+def missing_articles(t: Tables) -> DataFrame:
+    ids = t.values("(VALUES ('old', '02_L-10_art7'), ('old', '02_L-10_art12_p0'), ('old', '02_L-10_art3'), ('new', '02_L-10_art3'), ('new', '02_L-10_d1_art4')) AS i(side, id)")
+    numbers = ids.select("side", F.regexp_extract("id", r"_art(\d+)", 1).alias("article"))
+    gone = numbers.where("side = 'old'").select("article").subtract(numbers.where("side = 'new'").select("article"))
+    return gone.orderBy(F.length("article"), "article")

@@ -1 +1,151 @@
+"""Document parsers, templates and text utilities."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from docketry.functions import text as X
+from docketry.plans.base import Tables, query
+
+_CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\\s]+', '', 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, md5({_CLEAN}) AS clean FROM documents")
+def preprocess_text(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("clean"))
+
+
+@query(f"SELECT doc_id, md5(lower({_CLEAN})) AS clean FROM documents")
+def clean_text(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.md5(F.lower(X.clean_text(F.col("text")))).alias("clean"))
+
+
+@query("""SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n[ \\t]*\\n'), lambda p: trim(regexp_replace(p, '[ \\t\\r\\n]+', ' ', 'g'))), lambda p: length(p) >= 50)) AS BIGINT) AS n FROM documents""")
+def extract_paragraphs(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.size(X.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")), 50)).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN length(l[1]) < 200 THEN l[1] ELSE substr(l[1], 1, 200) END AS title FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents) x")
+def extract_title(t: Tables) -> DataFrame:
+    first = F.get(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.lit(0))
+    return t.documents.select("doc_id", F.left(first, F.lit(200)).alias("title"))
+
+
+_LAW_TEXT = "'PREAMBLE\nbody zero\nArticle 1 Scope\nfirst body\nmore\nArticle 2 Terms\nsecond body\nArticle 3 Last'"
+
+
+@query("SELECT * FROM (VALUES ('1', 'Scope', 'first body more'), ('2', 'Terms', 'second body')) AS e(number, title, body)")
+def parse_law(t: Tables) -> DataFrame:
+    lines = t.spark.range(1).select(F.posexplode(F.split(F.lit(_LAW_TEXT.strip("'")), "\n")).alias("pos", "line"))
+    number = F.nullif(F.regexp_extract("line", r"^Article (\d+)\s*(.*)$", 1), F.lit(""))
+    return sections(lines.withColumn("head", number), F.regexp_extract("line", r"^Article \d+\s*(.*)$", 1)).select(F.col("head").alias("number"), "title", "body")
+
+
+def sections(lines: DataFrame, title, *by: str) -> DataFrame:
+    """A line with a head opens a section, lines after it are its body; what comes before the first head goes, and so does a last
+    head without a body."""
+    w = Window.partitionBy(*by).orderBy("pos")
+    opened = lines.withColumn("title", F.when(F.col("head").isNotNull(), title)).withColumn("section", F.sum(F.col("head").isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head").isNull(), F.struct("pos", "line")))), lambda x: x["line"]), " ")
+    return opened.where("section > 0").groupBy(*by, "section").agg(F.max("head").alias("head"), F.max("title").alias("title"), body.alias("body")).where("body <> ''")
+
+
+@query("""SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(bodies) AS BIGINT) AS bodies FROM (SELECT doc_id, s, count(*) FILTER (WHERE NOT head) AS bodies FROM (SELECT doc_id, head, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM
+(SELECT doc_id, unnest(range(len(l))) AS i, length(unnest(l)) < 60 AS head FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) x) y) z WHERE s > 0 GROUP BY doc_id, s HAVING count(*) FILTER (WHERE NOT head) > 0) u GROUP BY doc_id""")
+def section_state_machine(t: Tables) -> DataFrame:
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("head", F.length("line") < 60).withColumn("s", F.sum(F.col("head").cast("int")).over(w)).where("s > 0")
+    each = marked.groupBy("doc_id", "s").agg(F.count_if(~F.col("head")).alias("bodies")).where("bodies > 0")
+    return each.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("bodies").alias("bodies"))
+
+
+@query("SELECT * FROM (VALUES ('FACTS', 'x happened'), ('DECISION', 'it is so')) AS e(head, body)")
+def parse_case_law(t: Tables) -> DataFrame:
+    text = "Court\nFACTS of the case\nx happened\nDECISION\nit is so\nCOSTS"
+    heads = ("FACTS", "LEGAL ISSUES", "REASONING", "DECISION", "COSTS")
+    lines = t.spark.range(1).select(F.posexplode(F.split(F.lit(text), "\n")).alias("pos", "line"))
+    head = F.coalesce(*(F.when(F.upper("line").startswith(h), h) for h in heads))
+    return sections(lines.withColumn("head", head), F.col("line")).select("head", "body")
+
+
+@query("SELECT * FROM (VALUES ('1.1', 'Payment is due'), ('2', 'Term ends 01.02.2024')) AS e(clause, body)")
+def parse_contract(t: Tables) -> DataFrame:
+    text = F.lit("Contract\n1.1 Payment is due\n2 Term ends 01.02.2024\nsigned")
+    found = F.regexp_extract_all(text, F.lit(r"(?m)^(\d+(?:\.\d+)*) (.*)$"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(?m)^(\d+(?:\.\d+)*) (.*)$"), F.lit(2))
+    return t.spark.range(1).select(F.explode(F.arrays_zip(found[0].alias("clause"), found[1].alias("body"))).alias("c")).select("c.clause", "c.body")
+
+
+@query("SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(x) < 100 AND x = upper(x) AND x <> lower(x))) AS BIGINT) AS heads FROM documents")
+def parse_generic(t: Tables) -> DataFrame:
+    heads = F.filter(F.split("text", "\n"), lambda x: (F.length(x) < 100) & (x == F.upper(x)) & (x != F.lower(x)))
+    return t.documents.select("doc_id", F.size(heads).cast("long").alias("heads"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(text, '|') THEN 'table' WHEN contains(text, '!!') THEN 'shout' ELSE 'basic' END AS kind FROM documents")
+def parse_document(t: Tables) -> DataFrame:
+    c = F.col("text")
+    return t.documents.select("doc_id", F.when(c.contains("|"), "table").when(c.contains("!!"), "shout").otherwise("basic").alias("kind"))
+
+
+def _among(words: list[str]):
+    return lambda w: w.isin(*words)
+
+
+@query()
+def detect_language(t: Tables) -> DataFrame:
+    """Share of a language's commonest words among a text's words; null under 20 characters."""
+    common = {"en": "the of and to in is that for it was with as be on", "de": "der die und das in den von zu mit ist für auf sich des", "fr": "le la les de des et un une que dans qui est pour sur", "es": "el la de que y en los del las un por con no una"}
+    words = F.split(F.lower("text"), r"[^\p{L}]+")
+    share = {lang: F.size(F.filter(words, _among(s.split()))) / F.size(words) for lang, s in common.items()}
+    best = F.array_max(F.array(*(F.struct(v.alias("share"), F.lit(k).alias("lang")) for k, v in share.items())))
+    return t.documents.select("doc_id", F.when(F.length("text") >= 20, best).alias("b")).select("doc_id", "b.lang", F.round("b.share", 6).alias("confidence"))
+
+
+_TEMPLATES = "(VALUES (1, 'Dear {{name}}, on {{ date }} you {{name}}'), (2, 'none'), (3, '{{a}}{{b_1}}')) AS p(id, body)"
+
+
+@query(f"SELECT id, list_aggregate(list_sort(list_distinct(regexp_extract_all(body, '\\{{\\{{\\s*([A-Za-z0-9_]+)\\s*\\}}\\}}', 1))), 'string_agg', ',') AS names FROM {_TEMPLATES}")
+def template_vars(t: Tables) -> DataFrame:
+    names = F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\{\{\s*([A-Za-z0-9_]+)\s*\}\}"), F.lit(1))))
+    return t.values(_TEMPLATES).select("id", F.when(F.size(names) > 0, F.array_join(names, ",")).alias("names"))
+
+
+@query("SELECT * FROM (VALUES (1, 'A', 'sq'), (2, 'B', NULL), (3, NULL, NULL)) AS e(id, title, language)")
+def template_json(t: Tables) -> DataFrame:
+    replies = t.spark.createDataFrame([(1, '```json\n{"title": "A", "language": "sq"}\n```'), (2, 'here: {"title": "B"} done'), (3, "nothing")], "id int, reply string")
+    body = F.regexp_extract(F.regexp_replace("reply", r"```(?:json)?", ""), r"(?s)\{.*\}", 0)
+    return replies.select("id", F.from_json(body, "title string, language string").alias("j")).select("id", "j.title", "j.language")
+
+
+@query("SELECT * FROM (VALUES (1, 'a|b'), (2, 'c|d'), (3, '')) AS e(id, items)")
+def parse_list_field(t: Tables) -> DataFrame:
+    rows = t.values("(VALUES (1, '[\"a\", \"b\"]'), (2, 'c, d'), (3, '')) AS v(id, raw)")
+    parts = F.filter(F.transform(F.split("raw", ","), lambda x: F.trim(x)), lambda x: x != "")
+    return rows.select("id", F.array_join(F.coalesce(F.when(F.col("raw").startswith("["), F.from_json("raw", "array<string>")), parts), "|").alias("items"))
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), url) AS title, CASE WHEN contains(url, '/blog') THEN 'blog' ELSE 'page' END AS kind FROM pages")
+def normalize_meta(t: Tables) -> DataFrame:
+    title = F.nullif(F.regexp_extract("html", r"<title>([^<]*)</title>", 1), F.lit(""))
+    return t.pages.select("page_id", F.coalesce(title, F.col("url")).alias("title"), F.when(F.col("url").contains("/blog"), "blog").otherwise("page").alias("kind"))
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) BETWEEN 200 AND 2000 AND NOT contains(text, '|')")
+def golden_candidates(t: Tables) -> DataFrame:
+    return t.documents.where(F.length("text").between(200, 2000) & ~F.col("text").contains("|")).select("doc_id")
+
+
+@query()
+def docx_paragraphs(t: Tables) -> DataFrame:
+    """Word files (made here from documents) through the reader of docketry.sources."""
+    from docketry.sources.files import docx_bytes, docx_paragraphs as read
+
+    return read(docx_bytes(t.documents.select(F.col("doc_id").alias("id"), "text")))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def txt_decode(t: Tables) -> DataFrame:
+    raw = t.documents.select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return raw.select("doc_id", F.md5(F.make_valid_utf8(F.col("content").cast("string"))).alias("digest"))

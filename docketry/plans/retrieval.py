@@ -1 +1,138 @@
+"""Dense, lexical and hybrid retrieval: the vectors with ids 0 to 19 ask, all vectors answer; texts are the documents of the same id."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docketry.functions.text import FOLDED_STOPWORDS, TOKEN, tokens
+from docketry.operators import retrieval as R
+from docketry.plans.base import Tables, query
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in FOLDED_STOPWORDS)
+
+
+def _tokens_sql(c: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all(lower({c}), '{TOKEN}'), lambda x: translate(x, 'ëç', 'ec')), lambda x: (length(x) >= 3 OR regexp_matches(x, '^[0-9]+$')) AND NOT list_contains([{_STOP}], x))"
+
+
+_CTE = f"""WITH q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 20),
+v AS (SELECT vec_id AS doc, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+dense AS (SELECT q.qid, v.doc, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS dense FROM q, v),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc) AS rank FROM dense) x WHERE rank <= 200),
+tok AS (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents),
+qt AS (SELECT doc_id AS qid, list_slice(t, 1, 8) AS t FROM tok WHERE doc_id < 20),
+pd AS (SELECT p.qid, p.doc, tok.t, len(tok.t) AS dl FROM pool p JOIN tok ON tok.doc_id = p.doc),
+stats AS (SELECT qid, count(*) AS n, avg(dl) AS avgdl FROM pd GROUP BY qid),
+tf AS (SELECT qid, doc, dl, term, count(*) AS tf FROM (SELECT qid, doc, dl, unnest(t) AS term FROM pd) x GROUP BY ALL),
+idf AS (SELECT d.qid, d.term, s.avgdl, ln(s.n - d.df + 0.5) - ln(d.df + 0.5) AS idf FROM (SELECT qid, term, count(*) AS df FROM tf GROUP BY ALL) d JOIN stats s USING (qid)),
+low AS (SELECT qid, 0.25 * avg(idf) AS low FROM idf GROUP BY qid),
+want AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(t) AS term FROM qt) x GROUP BY ALL),
+hit AS (SELECT tf.qid, tf.doc, round(sum(w.times * (CASE WHEN i.idf < 0 THEN l.low ELSE i.idf END) * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * tf.dl / i.avgdl))), 6) AS bm25 FROM tf JOIN want w USING (qid, term) JOIN idf i USING (qid, term) JOIN low l USING (qid) GROUP BY tf.qid, tf.doc),
+bm AS (SELECT pd.qid, pd.doc, coalesce(h.bm25, 0) AS bm25 FROM pd LEFT JOIN hit h USING (qid, doc)),
+both_ AS (SELECT p.qid, p.doc, p.dense, p.rank, b.bm25, max(p.dense) OVER w AS dx, min(p.dense) OVER w AS dn, max(b.bm25) OVER w AS bx, min(b.bm25) OVER w AS bn FROM pool p JOIN bm b USING (qid, doc) WINDOW w AS (PARTITION BY p.qid)),
+blend AS (SELECT qid, doc, rank, dense, bm25, round(0.2 * (CASE WHEN dx - dn < 1e-9 THEN 0 ELSE (dense - dn) / (dx - dn) END) + 0.8 * (CASE WHEN bx - bn < 1e-9 THEN 0 ELSE (bm25 - bn) / (bx - bn) END), 6) AS score FROM both_),
+hyb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS hrank FROM blend) x WHERE hrank <= 20),
+rer AS (SELECT h.qid, h.doc, h.hrank, h.score, round(coalesce(len(list_intersect(list_distinct(qt.t), tok.t)) / nullif(len(list_distinct(qt.t)), 0), 0), 6) AS rerank FROM hyb h JOIN tok ON tok.doc_id = h.doc JOIN qt ON qt.qid = h.qid)
+"""
+
+
+def _questions(t: Tables) -> DataFrame:
+    return t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding")
+
+
+def _pool(t: Tables) -> DataFrame:
+    scores = R.dense_scores(_questions(t), t.embeddings.select(F.col("vec_id").alias("doc"), "embedding"))
+    return R.top_k(scores, R.POOL, F.desc("dense"), F.asc("doc"))
+
+
+def _texts(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", tokens(F.col("text")).alias("tokens"))
+
+
+def _question_tokens(t: Tables) -> DataFrame:
+    return _texts(t).where("doc_id < 20").select(F.col("doc_id").alias("qid"), F.slice("tokens", 1, 8).alias("tokens"))
+
+
+def _scored(t: Tables) -> tuple[DataFrame, DataFrame]:
+    pool = _pool(t)
+    return pool, R.bm25(pool.join(_texts(t), F.col("doc") == F.col("doc_id")).select("qid", "doc", "tokens"), _question_tokens(t))
+
+
+def _hybrid(t: Tables) -> DataFrame:
+    pool, scores = _scored(t)
+    return R.hybrid(pool, scores)
+
+
+def _reranked(t: Tables) -> DataFrame:
+    best = R.top_k(_hybrid(t), R.RERANK_POOL, F.desc("score"), F.asc("rank"), rank="hrank")
+    with_texts = best.join(_texts(t).withColumnRenamed("doc_id", "doc"), "doc").join(F.broadcast(_question_tokens(t).withColumnRenamed("tokens", "wanted")), "qid")
+    return with_texts.withColumn("rerank", R.lexical_overlap(F.col("wanted"), F.col("tokens")))
+
+
+@query(_CTE + "SELECT qid, doc, dense FROM dense")
+def cosine_bruteforce(t: Tables) -> DataFrame:
+    return R.dense_scores(_questions(t), t.embeddings.select(F.col("vec_id").alias("doc"), "embedding"))
+
+
+@query(_CTE + "SELECT qid, doc, dense, rank FROM pool")
+def dense_topk(t: Tables) -> DataFrame:
+    return _pool(t).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_CTE + "SELECT doc_id, CAST(len(t) AS BIGINT) AS n, t[1] AS first_token, t[-1] AS last_token FROM tok")
+def tokenize(t: Tables) -> DataFrame:
+    return _texts(t).select("doc_id", F.size("tokens").cast("long").alias("n"), F.get("tokens", F.lit(0)).alias("first_token"), F.try_element_at("tokens", F.lit(-1)).alias("last_token"))
+
+
+@query("SELECT doc_id, md5(translate(lower(text), 'ëç', 'ec')) AS folded FROM documents")
+def fold(t: Tables) -> DataFrame:
+    from docketry.functions import text
+
+    return t.documents.select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
+
+
+@query(_CTE + "SELECT qid, doc, bm25 FROM bm")
+def bm25_rescore(t: Tables) -> DataFrame:
+    return _scored(t)[1]
+
+
+@query(_CTE + "SELECT qid, doc, score FROM blend")
+def hybrid_rescore(t: Tables) -> DataFrame:
+    return _hybrid(t).select("qid", "doc", "score")
+
+
+@query(_CTE + "SELECT qid, doc, hrank FROM hyb")
+def hybrid_rank(t: Tables) -> DataFrame:
+    return R.top_k(_hybrid(t), R.RERANK_POOL, F.desc("score"), F.asc("rank"), rank="hrank").select("qid", "doc", F.col("hrank").cast("long").alias("hrank"))
+
+
+@query(_CTE + "SELECT qid, doc, rerank FROM rer")
+def rerank_topk(t: Tables) -> DataFrame:
+    return _reranked(t).select("qid", "doc", "rerank")
+
+
+@query(_CTE + "SELECT qid, doc, final FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY rerank DESC, hrank) AS final FROM rer) x WHERE final <= 5")
+def retrieval_cascade(t: Tables) -> DataFrame:
+    return R.top_k(_reranked(t), R.TOP, F.desc("rerank"), F.asc("hrank"), rank="final").select("qid", "doc", F.col("final").cast("long").alias("final"))
+
+
+@query("""SELECT vec_id, CAST(len(e) AS BIGINT) AS n, round(list_sum(e), 5) AS total FROM (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN list_slice(CAST(embedding AS DOUBLE[]), 1, 32) ELSE list_concat(CAST(embedding AS DOUBLE[]), [0.0, 0.0]) END AS e FROM embeddings) x""")
+def pad_embedding(t: Tables) -> DataFrame:
+    wide = F.concat(F.col("embedding").cast("array<double>"), F.array_repeat(F.lit(0.0), 2))
+    e = F.when(F.col("vec_id") % 2 == 0, F.slice(wide, 1, 32)).otherwise(wide)
+    return t.embeddings.select("vec_id", e.alias("e")).select("vec_id", F.size("e").cast("long").alias("n"), F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+_BANDS = "(VALUES (0.6, 'x'), (0.4, 'x'), (0.22, 'x'), (0.05, 'x'), (0.0, 'status_verdict')) AS b(score, kind)"
+
+
+@query(f"SELECT CAST(score AS DOUBLE) AS score, CASE WHEN kind = 'status_verdict' OR score >= 0.5 THEN 'strong' WHEN score >= 0.3 THEN 'moderate' WHEN score >= 0.18 THEN 'topical' ELSE 'weak' END AS band FROM {_BANDS}")
+def score_band(t: Tables) -> DataFrame:
+    s = F.col("score").cast("double")
+    return t.values(_BANDS).select(s.alias("score"), F.when((F.col("kind") == "status_verdict") | (s >= 0.5), "strong").when(s >= 0.3, "moderate").when(s >= 0.18, "topical").otherwise("weak").alias("band"))
+
+
+@query(f"SELECT a.doc_id, CAST(len(list_distinct(a.t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents) a")
+def distinct_tokens(t: Tables) -> DataFrame:
+    return _texts(t).select("doc_id", F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"))

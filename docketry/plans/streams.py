@@ -1 +1,47 @@
+"""Event protocol, delta accumulation, incremental ingest and windowed counts."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docketry.plans.base import Tables, query
+from docketry.streaming import turns as S
+
+_EVENTS = "(VALUES (1, 1, 'route', ''), (1, 2, 'sources', ''), (1, 3, 'delta', 'Hel'), (1, 4, 'delta', 'lo'), (1, 5, 'done', ''), (2, 1, 'route', ''), (2, 2, 'delta', 'par'), (3, 1, 'delta', 'x'), (3, 2, 'route', ''), (3, 3, 'error', '')) AS s(turn_id, seq, event, payload)"
+
+
+@query("SELECT * FROM (VALUES (1, TRUE, TRUE), (2, TRUE, FALSE), (3, FALSE, TRUE)) AS e(turn_id, starts_right, ended)")
+def event_protocol(t: Tables) -> DataFrame:
+    return t.values(_EVENTS).groupBy("turn_id").agg((F.min_by("event", "seq") == "route").alias("starts_right"), F.bool_or(F.col("event").isin("done", "error")).alias("ended"))
+
+
+@query(f"SELECT turn_id, string_agg(payload, '' ORDER BY seq) AS text FROM {_EVENTS} WHERE event = 'delta' GROUP BY turn_id")
+def concat_deltas(t: Tables) -> DataFrame:
+    return S.concat_deltas(t.values(_EVENTS))
+
+
+@query("SELECT * FROM (VALUES (2, 'par [partial]')) AS e(turn_id, content)")
+def partial_persist(t: Tables) -> DataFrame:
+    events = t.values(_EVENTS)
+    ended = events.where(F.col("event").isin("done", "error")).select("turn_id")
+    return S.concat_deltas(events).join(ended, "turn_id", "left_anti").select("turn_id", F.concat("text", F.lit(" [partial]")).alias("content"))
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE value > 10")
+def incremental_ingest(t: Tables) -> DataFrame:
+    """A file stream, run once to its end, whose checkpoint makes a second run read nothing again."""
+    out = f"{S.shared_dir(t.spark)}/ingest-{uuid.uuid4().hex}"
+    return S.incremental(t.spark, f"{t.sf_dir}/events*.parquet", t.events.schema, lambda rows: rows.where("value > 10").select("event_id", "event_type", "value"), out)
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
+def hourly_counts(t: Tables) -> DataFrame:
+    return S.hourly_counts(t.spark, f"{t.sf_dir}/events*.parquet", t.events.schema)
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) x WHERE p IS NULL OR ts - p >= INTERVAL 6 HOUR GROUP BY user_id")
+def sessions(t: Tables) -> DataFrame:
+    return t.events.select("user_id", F.col("ts").cast("timestamp").alias("at")).groupBy("user_id", F.session_window("at", "6 hours")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"))
