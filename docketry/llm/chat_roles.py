@@ -7,8 +7,9 @@ transcripts. Viterbi's path gives each line its role; runs of lines that belong
 `<|role|>\\ntext\\n<|end|>`.
 
 A conversation is one transcript; rows are ordered by turn, then by role and text. Null texts are empty turns, null roles are
-`user`. A conversation is one group of rows: its lines are sorted within a task and parsed as they stream by, so that a very
-long one needs memory for its back pointers alone. An empty table gives no rows.
+`user`. So that no conversation has to fit one task, it is dealt and parsed in segments of SEGMENT turn numbers, and a segment with
+many rows of the same turns in parts of at most SEGMENT rows; each segment or part begins with a turn's first line, and has a
+row of the result. Repeated rows are turns of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 ROLES = ("assistant", "system", "user")
 TRAIN_CONVERSATIONS = 1000
+SEGMENT = 512
 #: What transcripts call their speakers.
 MARKERS = {"user": "user", "human": "user", "q": "user", "customer": "user", "you": "user", "assistant": "assistant", "ai": "assistant", "bot": "assistant", "a": "assistant", "agent": "assistant", "system": "system", "note": "system", "context": "system"}
 _MARKER = re.compile(r"^\s*[\[(*#>-]*\s*([A-Za-z]+)\s*[\])*]*\s*[:>]\s?(.*)$", re.S)
@@ -57,7 +59,7 @@ def transcripts(conversations: DataFrame) -> DataFrame:
         for name, value in marks.items():
             mark = F.when((style == k) & (role == name), value).otherwise(mark)
     bare = F.pmod(F.xxhash64("conv_id", "turn", F.lit("bare")), F.lit(UNMARKED_EVERY)) == 0
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), F.split(F.concat(F.when(bare, "").otherwise(mark), text), "\n").alias("lines"))
+    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(0)).cast("long").alias("segment"), role.alias("role"), text.alias("text"), F.split(F.concat(F.when(bare, "").otherwise(mark), text), "\n").alias("lines"))
 
 
 @dataclass
@@ -91,11 +93,11 @@ def train(turns: DataFrame, conversations: int = TRAIN_CONVERSATIONS) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, step, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
-        conv, before = None, None
+        key, before = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["conv_id"] != conv:
-                    conv, before = row["conv_id"], None
+                if (row["conv_id"], row["segment"]) != key:
+                    key, before = (row["conv_id"], row["segment"]), None
                 for state, observed in _turn_states(row["role"], row["lines"], before is None):
                     emit[state, observed] += 1
                     if before is None:
@@ -105,7 +107,7 @@ def train(turns: DataFrame, conversations: int = TRAIN_CONVERSATIONS) -> Model:
                     before = state
         yield pa.RecordBatch.from_arrays([pa.array([t.ravel().tolist()]) for t in (start, step, emit)], ["start", "step", "emit"])
 
-    rows = turns.join(F.broadcast(chosen), "conv_id", "left_semi").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = turns.join(F.broadcast(chosen), "conv_id", "left_semi").repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "turn", "role", "text")
     tables = [np.ones(STATES), np.ones((STATES, STATES)), np.ones((STATES, SYMBOLS))]
     for row in rows.mapInArrow(count, "start array<double>, step array<double>, emit array<double>").collect():  # one row a task
         tables = [t + np.array(v).reshape(t.shape) for t, v in zip(tables, row, strict=True)]
@@ -129,16 +131,18 @@ def parse(lines: list[str], blank: list[bool], model: Model) -> list[tuple[str,
     return [(role, "\n".join(text)) for role, text in turns]
 
 
-_SCHEMA = "conv_id long, n_lines long, n_turns long, roles string, n_true_turns long, lines_right long, rendered string"
+_SCHEMA = "conv_id long, segment long, part long, n_lines long, n_turns long, roles string, n_true_turns long, lines_right long, rendered string"
+
+_FIELDS = pa.schema([(n, pa.string() if n in ("roles", "rendered") else pa.int64()) for n in ("conv_id", "segment", "part", "n_lines", "n_turns", "roles", "n_true_turns", "lines_right", "rendered")])
 
 
 def format_conversations(conversations: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row a conversation: lines, recovered turns and their roles, the turns it has, the lines whose role is right, and the canonical text."""
+    """One row a conversation (segment, part): lines, recovered turns and their roles, the turns it has, the lines whose role is right, and the canonical text."""
     turns = transcripts(conversations)
     fitted = train(turns) if model is None else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, rows = None, []
+        key, part, rows = None, 0, []
 
         def row() -> pa.RecordBatch:
             lines, blank, true = [], [], []
@@ -149,18 +153,19 @@ def format_conversations(conversations: DataFrame, model: Model | None = None) -
             states = fitted.path([_observe(line, b)[0] for line, b in zip(lines, blank, strict=True)])
             found = parse(lines, blank, fitted)
             right = sum(ROLES[s // 2] == r for s, r in zip(states, true, strict=True))
-            values = {"conv_id": conv, "n_lines": len(lines), "n_turns": len(found), "roles": ",".join(r for r, _ in found), "n_true_turns": len(rows), "lines_right": right, "rendered": "\n".join(render(*t) for t in found)}
-            return pa.RecordBatch.from_pylist([values])
+            values = (*key, part, len(lines), len(found), ",".join(r for r, _ in found), len(rows), right, "\n".join(render(*t) for t in found))
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _FIELDS, strict=True)], schema=_FIELDS)
 
         for batch in batches:
             for r in batch.to_pylist():
-                if rows and r["conv_id"] != conv:
+                now = (r["conv_id"], r["segment"])
+                if rows and (now != key or len(rows) == SEGMENT):
                     yield row()
-                    rows = []
-                conv = r["conv_id"]
+                    part, rows = (part + 1 if now == key else 0), []
+                key = now
                 rows.append(r)
         if rows:
             yield row()
 
-    ordered = turns.select("conv_id", "turn", "role", "text", "lines").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "lines").mapInArrow(run, _SCHEMA)
+    ordered = turns.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "turn", "role", "text")
+    return ordered.select("conv_id", "segment", "role", "lines").mapInArrow(run, _SCHEMA)

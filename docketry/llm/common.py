@@ -41,8 +41,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone (other columns stay unread); a null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """doc_id and text alone (other columns stay unread); a null text is empty, and a row without doc_id is no document."""
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:

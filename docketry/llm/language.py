@@ -1,7 +1,7 @@
 """Language identification by compression: each language has a zstandard raw-content dictionary of its own text, and a text
 belongs to the language whose dictionary makes it smallest.
 
-Texts are lower-cased and compressed in blocks, each on its own, so that a long text is measured against the dictionary and
+Texts are reduced to their words in lower case and compressed in blocks, each on its own, so that a long text is measured against the dictionary and
 not against itself; all blocks of the whole text count. Where the smallest sum isn't smaller than the next by MARGIN of it,
 the verdict is narrow and the document is rejected.
 
@@ -24,15 +24,21 @@ from pyspark.sql import functions as F
 from docketry.llm.common import slices
 
 SAMPLE_CELLS = 256
-PIECE = 768
-BLOCK = 2048
+PIECE = 2048
+BLOCK = 1024
 LEVEL = 3
 MARGIN = 0.003
 STEEPNESS = 60.0
 UNKNOWN = "und"
+_NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 
 
+def letters(text: str) -> str:
+    """The text's words in lower case, one space between them: digits, marks and markup tell no language."""
+    return _NO_LETTERS.sub(" ", text.lower())
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether no label of the row may be learned from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
@@ -49,7 +55,7 @@ def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     parts: dict[str, list[str]] = {}
     rows: dict[str, int] = {}
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"], r["piece"])):
-        parts.setdefault(row["lang"], []).append(row["piece"].lower())
+        parts.setdefault(row["lang"], []).append(letters(row["piece"]))
         rows[row["lang"]] = rows.get(row["lang"], 0) + row["rows"]
     common = sorted(parts, key=lambda lang: (-rows[lang], lang))
     return {lang: "\n".join(parts[lang]).encode() for lang in common}
@@ -68,7 +74,7 @@ class Scorer:
         """(language, score from 0 to 1, rejected)."""
         if not self.langs or text is None or not _LETTER.search(text):
             return UNKNOWN, 0.0, True
-        data = text.lower().encode()
+        data = letters(text).encode()
         blocks = [data[k : k + BLOCK] for k in range(0, len(data), BLOCK)]
         if len(blocks) > 1 and len(blocks[-1]) < BLOCK // 4:
             blocks[-2:] = [blocks[-2] + blocks[-1]]
@@ -81,7 +87,7 @@ class Scorer:
 
 
 def identify(docs: DataFrame, learned: dict[str, bytes] | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected of every row."""
+    """doc_id, held_out, lang_pred, score, rejected of every row with a doc_id."""
     texts = dictionaries(docs) if learned is None else learned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +96,7 @@ def identify(docs: DataFrame, learned: dict[str, bytes] | None = None) -> DataFr
             langs, scores, rejected = zip(*map(scorer.score, batch["text"].to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(langs), pa.array(scores, pa.float64()), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 

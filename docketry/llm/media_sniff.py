@@ -6,7 +6,7 @@ gives the value's type, whatever was declared; further ones are embedded and can
 two that would, the one that starts first stays.
 
 `store` wraps a text's bytes as the 8-bit samples of a WAV, BMP or PNG (by the CRC of the payload), `inspect` sniffs a
-binary column. Null texts are empty; null media have no type and no spans. An empty table gives no rows.
+binary column. Rows without doc_id are no documents. Null texts are empty; null media have no type and no spans. An empty table gives no rows.
 """
 
 from __future__ import annotations

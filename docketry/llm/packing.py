@@ -7,7 +7,7 @@ available length, else by two, else by three (looked up in indexes of single, pa
 are left); what has no exact complement is packed best-fit, whole groups of equal sequences at a time. Pieces then find
 their place by their number among the pieces of their length.
 
-Null texts are empty (one end id); an empty table gives no rows; repeated doc_ids keep all their rows.
+Rows without doc_id are no documents. Null texts are empty (one end id); an empty table gives no rows; repeated doc_ids keep all their rows.
 """
 
 from __future__ import annotations

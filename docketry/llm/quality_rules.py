@@ -4,7 +4,7 @@ Trees are grown on a bounded sample of labelled rows (TRAIN_ROWS), with monotoni
 lines, repeated words or capitals never raise a document's quality. A grown ensemble is a few numpy node arrays (feature,
 threshold, children, value), and scoring walks all rows of a batch down all trees at once.
 
-Null texts have no words and fail the base rule, as empty ones do. Repeated rows get one verdict each. Without labels
+Rows without doc_id are no documents. Null texts have no words and fail the base rule, as empty ones do. Repeated rows get one verdict each. Without labels
 of both classes the trees are empty and the base rule decides alone. An empty table gives no rows.
 """
 

@@ -5,7 +5,7 @@ A shard is one row of a Parquet table in the shared folder: the documents' ids,
 replaced by nonterminals round after round, the most frequent pairs of a round together. The expansion lengths
 let a reader skip to any id of any document without expanding what comes before it.
 
-Null texts are empty; an empty document holds its end id alone. Repeated doc_ids keep all their rows. An empty table
+Rows without doc_id are no documents. Null texts are empty; an empty document holds its end id alone. Repeated doc_ids keep all their rows. An empty table
 gives an empty store. Columns other than doc_id and text are ignored.
 """
 

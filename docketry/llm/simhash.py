@@ -9,7 +9,7 @@ Equal fingerprints are one row (and keep their smallest doc_id) before that, and
 most RUN rows: a longer run is cut into pieces, and each pair of its pieces becomes a task-sized run of its own. From each
 run only links that join two classes of it are given out, never all pairs.
 
-Null and empty texts have no words: fingerprint zero, linked like any other. Repeated doc_ids keep all their rows. An empty table
+Rows without doc_id are no documents. Null and empty texts have no words: fingerprint zero, linked like any other. Repeated doc_ids keep all their rows. An empty table
 gives no rows. Columns other than doc_id and text are ignored.
 """
 

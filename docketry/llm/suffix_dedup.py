@@ -14,7 +14,7 @@ Hot passages: occurrences of a gram that one task sees in several documents are
 smallest doc_id are dealt by gram; equal pieces in one task are settled there in the same way. A gram with more than HEAVY
 occurrences even so has its suffixes dealt one by one, by their own content.
 
-Strings are judged on the input, overlaps count, matches never cross documents. Null texts are empty; texts shorter than
+Strings are judged on the input, overlaps count, matches never cross documents. Rows without doc_id are no documents. Null texts are empty; texts shorter than
 LENGTH bytes lose nothing. Rows that share a doc_id are repeats of one document and get the same result (should
 their texts differ, that of the smallest text). An empty table gives no rows.
 """
@@ -524,10 +524,10 @@ def digests(docs: DataFrame, heavy: int = HEAVY, buckets: int | None = None) ->
 
 
 def without_repeats(docs: DataFrame, heavy: int = HEAVY, buckets: int | None = None) -> DataFrame:
-    """Every row, with the repeated bytes of its text taken out and n_chars, if there is one, counted anew; bytes of letters that
+    """Every row with a doc_id, with the repeated bytes of its text taken out and n_chars, if there is one, counted anew; bytes of letters that
     were cut in two go with them."""
     names = [c for c in docs.columns if c not in ("doc_id", "text", "b")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*names, *([F.col("b")] if "b" in docs.columns else [])).alias("rest") if names or "b" in docs.columns else F.lit(None).cast("struct<x:int>").alias("rest"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*names, *([F.col("b")] if "b" in docs.columns else [])).alias("rest") if names or "b" in docs.columns else F.lit(None).cast("struct<x:int>").alias("rest"))
     kept = _applied(rows, _kept_texts, f"doc_id long, rest {rows.schema['rest'].dataType.simpleString()}, text string", heavy, buckets)
     back = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return kept.select(*((back[c] if back.get(c) is not None else F.col("rest")[c]).alias(c) for c in docs.columns))
