@@ -31,9 +31,12 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 BLOCKS = 7
-AGREE = BLOCKS - RADIUS
 PIVOTS = 32
+#: Of fingerprints of distinct words, which keep_one uses as well: bits, blocks, and the distinct words that a text needs.
+WORD_RADIUS, WORD_BLOCKS, LEAST_WORDS = 6, 9, 64
 RUN = 4096
+#: Runs of at most so many rows are compared together, row by row with those after it.
+SHORT = 16
 _CHUNK = 1 << 16
 
 
@@ -58,6 +61,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(votes * 2 > len(starts), bitorder="little").view(np.uint64)[0])
 
 
+def word_fingerprint(text: str, least: int = LEAST_WORDS) -> int | None:
+    """Bits set in over half of the XXH64 values of the text's distinct words; None for texts of fewer than `least`."""
+    words = set(text.encode().lower().split())
+    if len(words) < least:
+        return None
+    votes, h = np.zeros(64, np.int64), np.fromiter([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    for k in range(0, len(h), _CHUNK):
+        votes += np.unpackbits(h[k : k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(votes * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed long."""
 
@@ -69,16 +83,16 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def _block_bits() -> list[tuple[int, int]]:
+def _block_bits(blocks: int) -> list[tuple[int, int]]:
     """(first bit, bits) of each block."""
-    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+    edges = [64 * k // blocks for k in range(blocks + 1)]
     return [(a, b - a) for a, b in itertools.pairwise(edges)]
 
 
-def _keys(fp: Column) -> Column:
-    """For each choice of blocks: its number and the bits of those blocks, as one long."""
+def _keys(fp: Column, radius: int, blocks: int) -> Column:
+    """For each choice of blocks - radius blocks: its number and the bits of those blocks, as one long."""
     out = []
-    for k, chosen in enumerate(itertools.combinations(_block_bits(), AGREE)):
+    for k, chosen in enumerate(itertools.combinations(_block_bits(blocks), blocks - radius)):
         key = F.lit(k).cast("long")
         for first, n in chosen:
             key = F.shiftleft(key, n).bitwiseOR(F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << n) - 1).cast("long")))
@@ -95,18 +109,18 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps.view(np.uint64)[:, None] ^ _PIVOT[None, :]).astype(np.int8)
 
 
-def _near(x: np.ndarray, y: np.ndarray, table_x: np.ndarray, table_y: np.ndarray) -> np.ndarray:
-    """Whether the rows' pairs are linked: no coordinate of the pivot tables differs by more than RADIUS, then the verified distance."""
+def _near(x: np.ndarray, y: np.ndarray, table_x: np.ndarray, table_y: np.ndarray, radius: int) -> np.ndarray:
+    """Whether the rows' pairs are linked: no coordinate of the pivot tables differs by more than the radius, then the verified distance."""
     left = np.arange(len(x))
     for step in range(0, PIVOTS, 8):
         gap = np.abs(table_x[left, step : step + 8] - table_y[left, step : step + 8]).max(axis=1)
-        left = left[gap <= RADIUS]
+        left = left[gap <= radius]
     out = np.zeros(len(x), bool)
-    out[left] = np.bitwise_count((x[left] ^ y[left]).view(np.uint64)) <= RADIUS
+    out[left] = np.bitwise_count((x[left] ^ y[left]).view(np.uint64)) <= radius
     return out
 
 
-def run_links(fps: np.ndarray, nodes: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def run_links(fps: np.ndarray, nodes: np.ndarray, radius: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join the classes of one run: a breadth-first walk, each step of which compares one row with the rows not yet
     reached. With `side`, only rows of different sides are compared (each side's own links are found elsewhere)."""
     table, waiting, out = pivot_table(fps), np.arange(len(fps)), []
@@ -116,8 +130,8 @@ def run_links(fps: np.ndarray, nodes: np.ndarray, side: np.ndarray | None = None
             at = frontier.pop()
             close = waiting if side is None else waiting[side[waiting] != side[at]]
             for step in range(0, PIVOTS, 8):
-                close = close[np.abs(table[close, step : step + 8] - table[at, step : step + 8]).max(axis=1, initial=0) <= RADIUS]
-            close = close[np.bitwise_count((fps[close] ^ fps[at]).view(np.uint64)) <= RADIUS]
+                close = close[np.abs(table[close, step : step + 8] - table[at, step : step + 8]).max(axis=1, initial=0) <= radius]
+            close = close[np.bitwise_count((fps[close] ^ fps[at]).view(np.uint64)) <= radius]
             if len(close):
                 out += [(int(nodes[at]), int(x)) for x in nodes[close]]
                 waiting = waiting[~np.isin(waiting, close, assume_unique=True)]
@@ -153,24 +167,27 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str], run: int) -> It
         yield held
 
 
-def _compare(batches: Iterator[pa.RecordBatch], run: int = RUN) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], radius: int, run: int) -> Iterator[pa.RecordBatch]:
     """Links within the runs of a key, and the rows of keys with more than RUN rows, by pieces, to be compared elsewhere."""
     last_key, piece = None, 0
     for key, fp, node in _runs(batches, ["key", "fp", "node"], run):
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         n = np.diff(np.append(start, len(key)))
         links: list[tuple[int, int]] = []
-        for s, m in zip(start[n >= 2].tolist(), n[n >= 2].tolist(), strict=True):
-            if m == 2:
-                continue
+        for s, m in zip(start[n > SHORT].tolist(), n[n > SHORT].tolist(), strict=True):
             for lo in range(s, s + m, run):
                 hi = min(lo + run, s + m)
-                links += run_links(fp[lo:hi], node[lo:hi])
-        two = start[n == 2]
-        if len(two):
-            x, y = fp[two], fp[two + 1]
-            ok = two[_near(x, y, pivot_table(x), pivot_table(y))]
-            links += list(zip(node[ok].tolist(), node[ok + 1].tolist(), strict=True))
+                links += run_links(fp[lo:hi], node[lo:hi], radius)
+        size = np.repeat(n, n)
+        rows = np.flatnonzero((size > 1) & (size <= SHORT))
+        table = pivot_table(fp[rows])
+        for step in range(1, SHORT):
+            left = np.arange(len(rows) - step)
+            left = left[key[rows[left]] == key[rows[left + step]]]
+            if not len(left):
+                break
+            ok = left[_near(fp[rows[left]], fp[rows[left + step]], table[left], table[left + step], radius)]
+            links += list(zip(node[rows[ok]].tolist(), node[rows[ok + step]].tolist(), strict=True))
         yield _links_batch(links)
         for s, m in zip(start.tolist(), n.tolist(), strict=True):  # pieces of long runs, also of one that goes on from the last block
             same = last_key == int(key[s])
@@ -185,7 +202,7 @@ def _compare(batches: Iterator[pa.RecordBatch], run: int = RUN) -> Iterator[pa.R
                 last_key = int(key[s])
 
 
-def _compare_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_pieces(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links between two pieces of a long run: a key here is one pair of pieces, at most 2 RUN rows."""
     held = None
     for batch in batches:
@@ -194,28 +211,28 @@ def _compare_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         same = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1]) if len(held[0]) else np.empty(0, bool)
         cut = int(np.argmax(same)) if len(same) else 0
         if cut:
-            yield from _piece_links([x[:cut] for x in held])
+            yield from _piece_links([x[:cut] for x in held], radius)
             held = [x[cut:] for x in held]
     if held is not None and len(held[0]):
-        yield from _piece_links(held)
+        yield from _piece_links(held, radius)
 
 
-def _piece_links(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _piece_links(rows: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
     key, lo, hi, piece, fp, node = rows
     start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
     for s, e in itertools.pairwise([*start.tolist(), len(key)]):
-        yield _links_batch(run_links(fp[s:e], node[s:e], piece[s:e]))
+        yield _links_batch(run_links(fp[s:e], node[s:e], radius, piece[s:e]))
 
 
-def links(distinct: DataFrame, run: int = RUN) -> DataFrame:
+def links(distinct: DataFrame, run: int = RUN, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(a, b) node pairs that connect what is linked among rows (fp, node) with distinct fp."""
-    keyed = distinct.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp", "node")
-    found = saved(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_compare, run=run), _LINKS_SQL))
+    keyed = distinct.select(F.explode(_keys(F.col("fp"), radius, blocks)).alias("key"), "fp", "node")
+    found = saved(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_compare, radius=radius, run=run), _LINKS_SQL))
     long_runs = found.where("key is not null").select("key", "piece", "fp", F.col("a").alias("node"))
     pieces = long_runs.groupBy("key").agg(F.max("piece").alias("last")).where("last > 0")
     paired = long_runs.join(pieces, "key").select("key", "piece", "fp", "node", F.explode(F.sequence(F.lit(0), "last")).alias("other")).where("other <> piece")
     paired = paired.select("key", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "piece", "fp", "node")
-    across = paired.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare_pieces, _LINKS_SQL)
+    across = paired.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(partial(_compare_pieces, radius=radius), _LINKS_SQL)
     return found.where("key is null").select("a", "b").unionByName(across.select("a", "b"))
 
 
@@ -228,10 +245,31 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, run: int = RUN) -> DataFram
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _both_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = batch["text"].to_pylist()
+            fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps), pa.array(list(map(word_fingerprint, texts)), pa.int64())], ["doc_id", "fp", "word_fp"])
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, fp long, word_fp long")
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents without those that are linked with a smaller doc_id: one row of each class stays, all columns kept.
+    """The documents without those of whose class a smaller doc_id is there: one row of each class stays, all columns kept.
 
+    A fingerprint of word shingles moves by many bits when a few words in a hundred change, as each is in several shingles. So
+    documents are linked here as in `classes`, and also where the fingerprints of their distinct words differ in at
+    most WORD_RADIUS bits; short texts, whose few words are a matter of chance, have none of the latter.
     Of repeated doc_ids all rows of the one that stays are kept.
     """
-    stay = classes(docs, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, docs["doc_id"].cast("long") == stay["doc_id"], "left_semi")
+    fps = saved(_both_fingerprints(docs, shingle))
+    edges = None
+    for column, radius, blocks in (("fp", RADIUS, BLOCKS), ("word_fp", WORD_RADIUS, WORD_BLOCKS)):
+        own = fps.where(F.col(column).isNotNull()).select("doc_id", F.col(column).alias("fp"))
+        distinct = saved(own.groupBy("fp").agg(F.min("doc_id").alias("node")))
+        same = own.join(distinct, "fp").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        now = same.unionByName(links(distinct, radius=radius, blocks=blocks))
+        edges = now if edges is None else edges.unionByName(now)
+    gone = components(edges).where("node <> root").select("node")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["node"], "left_anti")
