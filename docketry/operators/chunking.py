@@ -72,10 +72,15 @@ def safe_id(law: Column) -> Column:
     return F.regexp_replace(law, r"(?U)[^\w-]", "_")
 
 
+def chunk_name(law: Column, section: Column, number: Column, part: Column, parts: Column) -> Column:
+    """The chunk's id: law, section where there are several, article, and part where it was cut."""
+    return F.concat(safe_id(law), F.when(section > 0, F.concat(F.lit("_d"), section)).otherwise(""), F.lit("_art"), number, F.when(parts > 1, F.concat(F.lit("_p"), part)).otherwise(""))
+
+
 def chunk_law(laws: DataFrame, most: int = SPLIT_CHARS) -> DataFrame:
     """(law, number, title, chapter, chunk_id, chunk_type, content) of laws(law, text)."""
     rows = with_sections(articles(laws)).withColumn("parts", pack_paragraphs(F.col("content"), most))
     exploded = rows.select("*", F.posexplode("parts").alias("part", "piece"), F.size("parts").alias("n"))
     many = F.col("n") > 1
-    name = F.concat(safe_id(F.col("law")), F.when(F.col("section") > 0, F.concat(F.lit("_d"), "section")).otherwise(""), F.lit("_art"), "number", F.when(many, F.concat(F.lit("_p"), "part")).otherwise(""))
+    name = chunk_name(*map(F.col, ("law", "section", "number", "part", "n")))
     return exploded.select("law", "number", "title", "chapter", name.alias("chunk_id"), F.when(many, "article_part").otherwise("article").alias("chunk_type"), F.col("piece").alias("content"))

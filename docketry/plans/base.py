@@ -24,13 +24,14 @@ class Tables:
         return self.spark.sql(f"SELECT * FROM {rows}")
 
 
-def query(sql: str | None = None) -> Callable:
-    """Register a function of Tables under its own name, with the SQL that gives the same rows."""
+def query(sql: str | None = None, name: str | None = None) -> Callable:
+    """Register a function of Tables under its own name (or another), with the SQL that gives the same rows."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            ORACLES[key] = sql
         return f
 
     return add

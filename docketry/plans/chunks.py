@@ -166,3 +166,17 @@ _TITLES = "(VALUES (1, 'Lënda'), (2, '1. Shprehjet'), (3, 'Ka. pikë'), (4, 'IV
 @query(f"SELECT id, length(line) BETWEEN 3 AND 80 AND NOT contains(substr(line, 1, length(line) - 1), '.') AND NOT regexp_matches(line, '^[0-9]') AND NOT regexp_matches(line, '^[0-9IVX]+[.\\s]') AS ok FROM {_TITLES}")
 def detect_title(t: Tables) -> DataFrame:
     return t.values(_TITLES).select("id", C.is_title(F.col("line")).alias("ok"))
+
+
+_IDS = "(VALUES ('02/L-10', 0, '1', 0, 1), ('02/L-10', 1, '12', 0, 1), ('KUV 06/L.074', 0, '3', 2, 4)) AS i(law, section, number, part, parts)"
+_SAFE = "regexp_replace(law, '[^A-Za-z0-9_-]', '_', 'g')"
+
+
+@query(f"SELECT law, {_SAFE} AS safe FROM {_IDS} GROUP BY law")
+def safe_id(t: Tables) -> DataFrame:
+    return t.values(_IDS).select("law", C.safe_id(F.col("law")).alias("safe")).distinct()
+
+
+@query(f"SELECT law, number, {_SAFE} || CASE WHEN section > 0 THEN '_d' || CAST(section AS VARCHAR) ELSE '' END || '_art' || number || CASE WHEN parts > 1 THEN '_p' || CAST(part AS VARCHAR) ELSE '' END AS chunk_id FROM {_IDS}")
+def chunk_id(t: Tables) -> DataFrame:
+    return t.values(_IDS).select("law", "number", C.chunk_name(F.col("law"), F.col("section"), F.col("number"), F.col("part"), F.col("parts")).alias("chunk_id"))

@@ -101,7 +101,7 @@ def status_tally(t: Tables) -> DataFrame:
     return t.events.groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, max_by(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+@query("SELECT user_id, max_by(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id", name="latest_per_key")
 def latest_event_per_key(t: Tables) -> DataFrame:
     return latest_per_key(t.events.select("user_id", "event_id", "event_type"), "user_id", "event_id").select("user_id", "event_type", "event_id")
 

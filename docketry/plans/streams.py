@@ -45,3 +45,8 @@ def hourly_counts(t: Tables) -> DataFrame:
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) x WHERE p IS NULL OR ts - p >= INTERVAL 6 HOUR GROUP BY user_id")
 def sessions(t: Tables) -> DataFrame:
     return t.events.select("user_id", F.col("ts").cast("timestamp").alias("at")).groupBy("user_id", F.session_window("at", "6 hours")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"))
+
+
+@query()
+def stream_timeout(t: Tables) -> DataFrame:
+    return S.timeouts(t.spark, f"{t.sf_dir}/events*.parquet", t.events.schema)

@@ -150,7 +150,7 @@ def consent_status(t: Tables) -> DataFrame:
     return rows.select("user_id", (~gone & current).alias("active"), F.when(gone, "withdrawn").when(current, "granted").otherwise("outdated").alias("status"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment, c_nationkey FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment, c_nationkey FROM customer", name="partial_update")
 def partial_update_rows(t: Tables) -> DataFrame:
     rows = t.customer.select("c_custkey", "c_mktsegment", "c_nationkey")
     return partial_update(rows, {"c_mktsegment": F.lit("MOVED")}, F.col("c_custkey") % 10 == 0)
@@ -186,7 +186,7 @@ def auto_stamp(t: Tables) -> DataFrame:
     return TenantView(new, 12).stamp(new).withColumn("updated_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 50 OR c_custkey % 2 = 0")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 50 OR c_custkey % 2 = 0", name="insert_ignore")
 def insert_ignore_rows(t: Tables) -> DataFrame:
     base, new = t.customer.where("c_custkey <= 50").select("c_custkey", "c_name"), t.customer.where("c_custkey % 2 = 0").select("c_custkey", "c_name")
     return insert_ignore(base, new, "c_custkey")

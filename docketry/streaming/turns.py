@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,3 +45,28 @@ def hourly_counts(spark: SparkSession, source: str, schema, late: str = "1 hour"
     run = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").foreachBatch(write).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
+
+
+TIMEOUT_MS = 300_000
+
+
+def _quiet(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Remember a key's last event; when the watermark is TIMEOUT_MS past it, the key has timed out."""
+    if state.hasTimedOut:
+        (last,) = state.get
+        state.remove()
+        yield pd.DataFrame({"user_id": [key[0]], "last_ms": [last], "event": ["STREAM_TIMEOUT"]})
+        return
+    last = max([*(int(b["ms"].max()) for b in batches), *(state.get if state.exists else ())])
+    state.update((last,))
+    state.setTimeoutTimestamp(max(last + TIMEOUT_MS, state.getCurrentWatermarkMs() + 1))
+
+
+def timeouts(spark: SparkSession, source: str, schema) -> DataFrame:
+    """(user_id, last_ms, event) of users who fell silent for TIMEOUT_MS, from a stream with a timer for each."""
+    out = f"{shared_dir(spark)}/timeouts-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(schema).parquet(source).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "0 seconds")
+    timed = rows.select("user_id", "at", F.unix_millis("at").alias("ms")).groupBy("user_id").applyInPandasWithState(_quiet, "user_id long, last_ms long, event string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    run = timed.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("user_id long, last_ms long, event string").parquet(f"{out}/rows")
