@@ -3,7 +3,7 @@ labels as relevance and events as a log of runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.plans.base import Tables, query
@@ -14,8 +14,6 @@ _HITS = f"SELECT user_id, min(CASE WHEN event_type = 'purchase' THEN rank END) A
 
 
 def _hits(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     ranked = t.events.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
     return ranked.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", F.col("rank"))).alias("hit")).withColumn("category", F.col("user_id") % 4)
 
@@ -48,25 +46,27 @@ def eval_rollup(t: Tables) -> DataFrame:
     return _hits(t).rollup("category").agg(F.count("*").alias("n"), F.round(F.avg(within(5)), 6).alias("recall_5"), F.round(F.avg(reciprocal()), 6).alias("mrr"))
 
 
+def at_rank(rows: DataFrame, by: str, value: str, rank: DataFrame) -> DataFrame:
+    """(by, value) at rank k of each group's sorted values, for rank(by, k). Equal values are counted before the shuffle, so a group's
+    window has a row a distinct value, not a row an event."""
+    w = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = rows.groupBy(by, value).agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(w))
+    return upto.join(F.broadcast(rank), by).where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k"))).select(by, value)
+
+
 @query("""SELECT event_type, median(value) AS p50, list_sort(list(value))[greatest(CAST(floor(count(*) * 0.95) AS INT), 1)] AS p95 FROM events WHERE value > 0 GROUP BY event_type""")
 def latency_p50_p95(t: Tables) -> DataFrame:
-    # the value at an index of the sorted values, from ranks in a window per type rather than one array
-    from pyspark.sql import Window
-
     rows = t.events.where("value > 0").select("event_type", "value")
-    stats = rows.groupBy("event_type").agg(F.median("value").alias("p50"), F.greatest(F.floor(F.count("*") * 0.95), F.lit(1)).alias("k"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("value")))
-    return ranked.join(F.broadcast(stats), "event_type").where("r = k").select("event_type", "p50", F.col("value").alias("p95"))
+    rank = rows.groupBy("event_type").agg(F.greatest(F.floor(F.count("*") * 0.95), F.lit(1)).alias("k"))
+    median = rows.groupBy("event_type").agg(F.median("value").alias("p50"))
+    return at_rank(rows, "event_type", "value", rank).withColumnRenamed("value", "p95").join(median, "event_type").select("event_type", "p50", "p95")
 
 
 @query("""SELECT event_type, list_sort(list(value))[CAST(round_even(0.9 * (count(*) - 1), 0) AS INT) + 1] AS p90 FROM events GROUP BY event_type""")
 def pct_nearest(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = t.events.select("event_type", "value")
-    stats = rows.groupBy("event_type").agg((F.bround(0.9 * (F.count("*") - 1), 0) + 1).cast("long").alias("k"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("value")))
-    return ranked.join(F.broadcast(stats), "event_type").where("r = k").select("event_type", F.col("value").alias("p90"))
+    rank = rows.groupBy("event_type").agg((F.bround(0.9 * (F.count("*") - 1), 0) + 1).cast("long").alias("k"))
+    return at_rank(rows, "event_type", "value", rank).withColumnRenamed("value", "p90")
 
 
 @query("""SELECT user_id, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS verified, CAST(count(*) FILTER (WHERE event_type <> 'view') AS BIGINT) AS unverified,
@@ -184,7 +184,5 @@ def keyword_membership(t: Tables) -> DataFrame:
     words = t.documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
     keys = t.benchmark.select("item_id", F.split(F.lower("text"), " ")[0].alias("w"))
     found = words.join(keys.select("w").distinct(), "w", "left_semi")
-    from pyspark.sql import Window
-
     top = found.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy("doc_id"))).where("r <= 5")
     return top.join(keys, "w").select("doc_id", "item_id")
