@@ -1,11 +1,16 @@
 """Hybrid retrieval over batches of questions: dense top-k, BM25 over each question's pool, blend, rerank, cascade.
 
 Every statistic is of one question's pool, so everything is grouped by qid. The questions are a stated, small set that goes
-to where the vectors are; rank filters (row_number <= k) are pushed below the shuffle as group limits.
+to where the vectors are; rank filters (row_number <= k) are pushed below the shuffle as group limits. Only texts that are in a
+pool are tokenized.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,19 +19,30 @@ POOL, ALPHA, RERANK_POOL, TOP = 200, 0.2, 20, 5
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """0 where either vector is zero."""
-    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
-
-
-def dense_scores(questions: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, doc, dense) of every question with every vector. The question set travels as one row to all vectors."""
-    block = questions.agg(F.collect_list(F.struct("qid", F.col("embedding").alias("q"))).alias("qs"))
-    return vectors.crossJoin(F.broadcast(block)).select("doc", "embedding", F.explode("qs").alias("x")).select(F.col("x.qid").alias("qid"), "doc", F.round(cosine(F.col("x.q"), F.col("embedding")), 6).alias("dense"))
+def dense_scores(questions: DataFrame, vectors: DataFrame, keep: int | None = None) -> DataFrame:
+    """(qid, doc, dense): cosine of questions(qid, embedding) with vectors(doc, embedding), 0 where either is zero.
+
+    The questions are a stated set, gathered once and sent with the code; each Arrow batch of vectors is one matrix product.
+    With `keep`, a batch gives out only its best `keep` rows a question (by score, then doc): all that can be among the best
+    `keep` overall, so that what is shuffled doesn't grow with the vectors' number times the questions'.
+    """
+    asked = sorted((r["qid"], r["embedding"]) for r in questions.collect())
+    qids, q = np.array([k for k, _ in asked], np.int64), np.array([v for _, v in asked], np.float64)
+    q_norm = np.sqrt((q * q).sum(axis=1)) if len(q) else np.empty(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(qids):
+                continue
+            doc = batch["doc"].to_numpy()
+            v = batch["embedding"].flatten().to_numpy().astype(np.float64).reshape(len(doc), -1)
+            norm = np.sqrt((v * v).sum(axis=1))[:, None] * q_norm[None, :]
+            score = np.round(np.divide(v @ q.T, norm, out=np.zeros_like(norm), where=norm > 0), 6)
+            for k, qid in enumerate(qids):
+                rows = np.lexsort((doc, -score[:, k]))[:keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), qid)), pa.array(doc[rows]), pa.array(score[rows, k])], ["qid", "doc", "dense"])
+
+    return vectors.select("doc", "embedding").where("doc IS NOT NULL AND embedding IS NOT NULL").mapInArrow(run, "qid long, doc long, dense double")
 
 
 def top_k(df: DataFrame, k: int, *order: Column, by: str = "qid", rank: str = "rank") -> DataFrame:

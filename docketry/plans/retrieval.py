@@ -42,7 +42,7 @@ def _questions(t: Tables) -> DataFrame:
 
 
 def _pool(t: Tables) -> DataFrame:
-    scores = R.dense_scores(_questions(t), t.embeddings.select(F.col("vec_id").alias("doc"), "embedding"))
+    scores = R.dense_scores(_questions(t), t.embeddings.select(F.col("vec_id").alias("doc"), "embedding"), R.POOL)
     return R.top_k(scores, R.POOL, F.desc("dense"), F.asc("doc"))
 
 
@@ -51,23 +51,24 @@ def _texts(t: Tables) -> DataFrame:
 
 
 def _question_tokens(t: Tables) -> DataFrame:
-    return _texts(t).where("doc_id < 20").select(F.col("doc_id").alias("qid"), F.slice("tokens", 1, 8).alias("tokens"))
+    return t.documents.where("doc_id < 20").select(F.col("doc_id").alias("qid"), F.slice(tokens(F.col("text")), 1, 8).alias("tokens"))
 
 
-def _scored(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _pooled(t: Tables) -> DataFrame:
+    """(qid, doc, dense, rank, tokens) of the pools; kept, as several statistics are taken of it."""
     pool = _pool(t)
-    return pool, R.bm25(pool.join(_texts(t), F.col("doc") == F.col("doc_id")).select("qid", "doc", "tokens"), _question_tokens(t))
+    texts = t.documents.withColumnRenamed("doc_id", "doc").join(pool.select("doc").distinct(), "doc", "left_semi")
+    return pool.join(texts.select("doc", tokens(F.col("text")).alias("tokens")), "doc").cache()
 
 
 def _hybrid(t: Tables) -> DataFrame:
-    pool, scores = _scored(t)
-    return R.hybrid(pool, scores)
+    pooled = _pooled(t)
+    return R.hybrid(pooled, R.bm25(pooled, _question_tokens(t)))
 
 
 def _reranked(t: Tables) -> DataFrame:
     best = R.top_k(_hybrid(t), R.RERANK_POOL, F.desc("score"), F.asc("rank"), rank="hrank")
-    with_texts = best.join(_texts(t).withColumnRenamed("doc_id", "doc"), "doc").join(F.broadcast(_question_tokens(t).withColumnRenamed("tokens", "wanted")), "qid")
-    return with_texts.withColumn("rerank", R.lexical_overlap(F.col("wanted"), F.col("tokens")))
+    return best.join(F.broadcast(_question_tokens(t).withColumnRenamed("tokens", "wanted")), "qid").withColumn("rerank", R.lexical_overlap(F.col("wanted"), F.col("tokens")))
 
 
 @query(_CTE + "SELECT qid, doc, dense FROM dense")
@@ -94,7 +95,7 @@ def fold(t: Tables) -> DataFrame:
 
 @query(_CTE + "SELECT qid, doc, bm25 FROM bm")
 def bm25_rescore(t: Tables) -> DataFrame:
-    return _scored(t)[1]
+    return R.bm25(_pooled(t), _question_tokens(t))
 
 
 @query(_CTE + "SELECT qid, doc, score FROM blend")
