@@ -18,7 +18,8 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END_ID = 0
-CACHE_PARTS = 1_500_000
+#: What a worker keeps at most: ids of parts, and of the pieces that they are made of (about 200 bytes each).
+CACHE_PARTS, CACHE_WORDS = 400_000, 800_000
 #: The vocabulary's pattern on ASCII without control characters other than tab, line feed and return.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 #: The pattern itself, used on text of ASCII and Latin letters, where every Unicode version has the same classes.
@@ -63,7 +64,7 @@ class ByteBpe:
 
     def _learn_words(self, pieces: list[str]) -> None:
         new = set(pieces).difference(self.words)
-        if len(self.words) + len(new) > CACHE_PARTS:
+        if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
             new = set(pieces)
         words, tokenize, letters = self.words, self.model.tokenize, self.letters
