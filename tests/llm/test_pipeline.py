@@ -1,9 +1,16 @@
-"""The pipeline against its stages one by one and, for packing, the library's ids."""
+"""The pipeline against a brute-force version: each stage again in plain Python, on all documents, with the library's ids."""
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from docketry.llm import registry
+from docketry.llm import byte_bpe, language, packing, quality_lines, registry, simhash
 from docketry.llm.common import stored, table
 from tests.conftest import SF
+from tests.llm.test_duplicates import brute_fingerprint
 
 
 def test_registered():
@@ -11,15 +18,73 @@ def test_registered():
     assert {name.split("_")[0] for name in found} == {f"op{n}" for n in range(1, 11)}
 
 
+def brute_keep_one(texts):
+    """The smallest doc_id of each class: pairs linked by either fingerprint, all compared with all."""
+    root = {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    shingles = {k: brute_fingerprint(t) for k, t in texts.items()}
+    words = {k: f for k, t in texts.items() if (f := simhash.word_fingerprint(t)) is not None}
+    for fps, radius in ((shingles, simhash.RADIUS), (words, simhash.WORD_RADIUS)):
+        ids = sorted(fps)
+        for n, i in enumerate(ids):
+            for j in ids[n + 1 :]:
+                if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= radius:
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+    return {k: t for k, t in texts.items() if find(k) == k}
+
+
+def brute_without_repeats(texts):
+    first, out = {}, {}
+    data = {k: t.encode() for k, t in texts.items()}
+    for k in sorted(data):
+        for i in range(len(data[k]) - 49):
+            first.setdefault(data[k][i : i + 50], k)
+    for k, d in data.items():
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - 49):
+            if first[d[i : i + 50]] < k:
+                gone[i : i + 50] = True
+        out[k] = np.frombuffer(d, np.uint8)[~gone].tobytes().decode(errors="ignore")
+    return out
+
+
 def test_run(spark):
-    docs = table(spark, SF, "documents")
-    columns, kept = docs.columns, {r.doc_id for r in docs.collect()}
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    scorer = language.Scorer(language.dictionaries(docs))
+    texts = {k: t for k, t in texts.items() if not scorer.score(t)[2]}
+    field = quality_lines.fit(docs.where(docs.doc_id.isin(list(texts))), labels)
+    texts = {k: t for k, t in texts.items() if field.documents([t])[0] >= quality_lines.GOOD_AT}
+    texts = brute_without_repeats(brute_keep_one(texts))
+    columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stored(stage(spark, docs, SF), f"test-{name}")
         assert docs.columns == columns
-        now = {r.doc_id for r in docs.collect()}
-        assert now <= kept
-        kept = now
-    got = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in got} == kept
-    assert len(kept) > 100
+    kept = docs.collect()
+    assert {r.doc_id: r.text for r in kept} == texts and all(r.n_chars == len(r.text) for r in kept)
+    assert len(texts) > 100
+
+    library = Tokenizer.from_file(byte_bpe.default_vocabulary())
+    ids = {k: [*library.encode(t, add_special_tokens=False).ids, 0] for k, t in texts.items()}
+    found, held = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.run(spark, SF).collect():
+        assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+        found[r.doc_id].append((r.piece, r.start, r.length))
+        held[r.sequence_id].append((r.offset, r.length))
+    assert set(found) == set(texts)
+    for k, pieces in found.items():
+        pieces.sort()
+        assert [p for p, _, _ in pieces] == list(range(len(pieces)))
+        assert [s for _, s, _ in pieces] == [sum(n for _, _, n in pieces[:i]) for i in range(len(pieces))]
+        assert sum(n for _, _, n in pieces) == len(ids[k])
+    for slots in held.values():
+        slots.sort()
+        assert [o for o, _ in slots] == [sum(n for _, n in slots[:i]) for i in range(len(slots))]
+        assert sum(n for _, n in slots) <= packing.CAPACITY
+    assert len(held) <= 1.02 * sum(map(len, ids.values())) / packing.CAPACITY + 1
