@@ -226,7 +226,11 @@ def _piece_links(rows: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch
 
 def links(distinct: DataFrame, run: int = RUN, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(a, b) node pairs that connect what is linked among rows (fp, node) with distinct fp."""
-    keyed = distinct.select(F.explode(_keys(F.col("fp"), radius, blocks)).alias("key"), "fp", "node")
+    return keyed_links(distinct.select(F.explode(_keys(F.col("fp"), radius, blocks)).alias("key"), "fp", "node"), run, radius)
+
+
+def keyed_links(keyed: DataFrame, run: int = RUN, radius: int = RADIUS) -> DataFrame:
+    """(a, b) node pairs that connect the rows (key, fp, node) with a key in common and at most `radius` bits between their fp."""
     found = saved(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_compare, radius=radius, run=run), _LINKS_SQL))
     long_runs = found.where("key is not null").select("key", "piece", "fp", F.col("a").alias("node"))
     pieces = long_runs.groupBy("key").agg(F.max("piece").alias("last")).where("last > 0")
@@ -258,7 +262,7 @@ def _both_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The documents without those of whose class a smaller doc_id is there: one row of each class stays, all columns kept.
 
-    A fingerprint of word shingles moves by many bits when a few words in a hundred change, as each is in several shingles. So
+    Links of fingerprints are not verified; the pipeline takes `similar.keep_one`, which verifies its own. A fingerprint of word shingles moves by many bits when a few words in a hundred change, as each is in several shingles. So
     documents are linked here as in `classes`, and also where the fingerprints of their distinct words differ in at
     most WORD_RADIUS bits; short texts, whose few words are a matter of chance, have none of the latter.
     Of repeated doc_ids all rows of the one that stays are kept.
