@@ -4,7 +4,7 @@ The text is normalised as the model says (identity, spaces as U+2581, one before
 of the vocabulary crosses, and each segment is merged: an agenda holds every adjacent pair whose union is a piece, the best
 score first (of equal scores the leftmost); taking a pair puts its union's pairs with both neighbours on the agenda.
 Symbols that are no piece become byte pieces. Segments repeat, and a worker keeps those it has merged (bounded, cleared when
-full). In every Arrow batch the sentencepiece library encodes and decodes some of the texts too, and any difference is an error.
+full). In every Arrow batch the sentencepiece library encodes and decodes all texts too, and any difference is an error.
 
 Rows without doc_id are no documents. Null texts are empty: begin and end ids alone. Repeated rows are encoded each. An empty table gives no rows.
 """
@@ -26,8 +26,6 @@ from docketry.llm.common import slices, texts_of
 
 SPACE = "▁"
 CACHE_SEGMENTS = 1_000_000
-#: Of each batch, the library checks the shortest text of this share of rows, one row at least.
-CHECKED_SHARE = 64
 _LONGEST_KEPT = 64
 _ODD_SPACE = re.compile(f"[ {SPACE}](?:[ {SPACE}]|$)|^[ {SPACE}]")
 
@@ -157,24 +155,26 @@ def piece_bpe(path: str) -> PieceBpe:
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+def checked(bpe: PieceBpe, doc_ids: list[int], texts: list[str]) -> Iterator[tuple[int, np.ndarray, str]]:
+    """(doc_id, ids, decoded text) of each row; an error where the library, which is asked for every row, has others."""
+    for doc_id, text in zip(doc_ids, texts, strict=True):
+        ids = bpe.encode(text)
+        decoded = bpe.decode(ids)
+        theirs = bpe.library.encode(text, add_bos=True, add_eos=True)
+        if theirs != ids.tolist() or bpe.library.decode(theirs) != decoded:
+            raise AssertionError(f"document {doc_id}: the sentencepiece library has other ids")
+        yield doc_id, ids, decoded
+
+
 def _runs(docs: DataFrame, model: str | None, schema: str, row) -> DataFrame:
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = piece_bpe(path)
         for batch in slices(batches):
-            doc_ids, texts, out = batch["doc_id"].to_pylist(), batch["text"].to_pylist(), []
-            checked = set(sorted(range(len(texts)), key=lambda k: len(texts[k]))[: max(1, len(texts) // CHECKED_SHARE)])
             collecting = gc.isenabled()
             gc.disable()  # the dictionaries hold no cycles
-            for k, (doc_id, text) in enumerate(zip(doc_ids, texts, strict=True)):
-                ids = bpe.encode(text)
-                decoded = bpe.decode(ids)
-                if k in checked:
-                    theirs = bpe.library.encode(text, add_bos=True, add_eos=True)
-                    if theirs != ids.tolist() or bpe.library.decode(theirs) != decoded:
-                        raise AssertionError(f"document {doc_id}: the sentencepiece library has other ids")
-                out.append(row(doc_id, ids, decoded))
+            out = [row(*found) for found in checked(bpe, batch["doc_id"].to_pylist(), batch["text"].to_pylist())]
             if collecting:
                 gc.enable()
             yield pa.RecordBatch.from_pylist(out)
