@@ -1,7 +1,8 @@
 """Chat formatting: a transcript's lines get their speakers' roles from a hidden Markov model, and turns are rendered in one form.
 
 The model's states are role and place (first line of a turn, or a later one); its observations are a line's speaker marker and
-coarse features (question mark, length, and whether a blank line stands before). Start, transition and
+coarse features (question mark, length, whether it is blank, and whether a blank line stands before), all of them told from the raw
+text, in which a blank line stands between turns and others may stand within one. Start, transition and
 emission tables are counts, with one added, over a bounded sample of labelled conversations (TRAIN_CONVERSATIONS) rendered as
 transcripts. Viterbi's path gives each line its role; runs of lines that belong to a turn are joined and rendered as
 `<|role|>\\ntext\\n<|end|>`.
@@ -39,6 +40,8 @@ STATES = 2 * len(ROLES)
 
 def _observe(line: str, blank_before: bool) -> tuple[int, str]:
     """(observation, the line without its marker)."""
+    if not line.strip():
+        return SYMBOLS - 1, line
     found = _MARKER.match(line)
     role = MARKERS.get(found[1].lower()) if found else None
     text = found[2] if role else line
@@ -46,7 +49,28 @@ def _observe(line: str, blank_before: bool) -> tuple[int, str]:
     return ((mark * LENGTHS + min(len(text) // 60, LENGTHS - 1)) * 2 + ("?" in text)) * 2 + blank_before, text
 
 
-SYMBOLS = MARKS * LENGTHS * 4
+SYMBOLS = MARKS * LENGTHS * 4 + 1
+
+
+def raw_text(turns: list[list[str]]) -> str:
+    """The transcript of turns' lines: a blank line between turns."""
+    return "\n\n".join("\n".join(lines) for lines in turns)
+
+
+def observe(raw: str) -> tuple[list[int], list[str]]:
+    """Observations of a raw transcript's lines, and the lines without their markers."""
+    lines = raw.split("\n")
+    seen = [_observe(line, k > 0 and not lines[k - 1].strip()) for k, line in enumerate(lines)]
+    return [o for o, _ in seen], [text for _, text in seen]
+
+
+def line_states(turns: list[tuple[str, list[str]]]) -> list[int]:
+    """The true state of each line of `raw_text`; the blank line after a turn is a later line of it."""
+    out: list[int] = []
+    for k, (role, lines) in enumerate(turns):
+        later = ROLES.index(role) * 2 + 1
+        out += [later - 1] + [later] * (len(lines) - 1 + (k < len(turns) - 1))
+    return out
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
@@ -81,10 +105,19 @@ class Model:
         return out[::-1]
 
 
-def _turn_states(role: str, lines: list[str], first: bool) -> Iterator[tuple[int, int]]:
-    """(state, observation) of each line of a turn; a blank line stands before a turn that isn't the transcript's first."""
-    for k, line in enumerate(lines):
-        yield ROLES.index(role) * 2 + (k > 0), _observe(line, k == 0 and not first)[0]
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, list[dict]]]:
+    """((conv_id, segment), part, rows) of sorted turns: at most SEGMENT rows of one segment."""
+    key, part, rows = None, 0, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            now = (r["conv_id"], r["segment"])
+            if rows and (now != key or len(rows) == SEGMENT):
+                yield key, part, rows
+                part, rows = (part + 1 if now == key else 0), []
+            key = now
+            rows.append(r)
+    if rows:
+        yield key, part, rows
 
 
 def train(turns: DataFrame, conversations: int = TRAIN_CONVERSATIONS) -> Model:
@@ -93,18 +126,11 @@ def train(turns: DataFrame, conversations: int = TRAIN_CONVERSATIONS) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, step, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
-        key, before = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if (row["conv_id"], row["segment"]) != key:
-                    key, before = (row["conv_id"], row["segment"]), None
-                for state, observed in _turn_states(row["role"], row["lines"], before is None):
-                    emit[state, observed] += 1
-                    if before is None:
-                        start[state] += 1
-                    else:
-                        step[before, state] += 1
-                    before = state
+        for _, _, rows in _parts(batches):
+            states, seen = line_states([(r["role"], r["lines"]) for r in rows]), observe(raw_text([r["lines"] for r in rows]))[0]
+            start[states[0]] += 1
+            np.add.at(step, (states[:-1], states[1:]), 1)
+            np.add.at(emit, (states, seen), 1)
         yield pa.RecordBatch.from_arrays([pa.array([t.ravel().tolist()]) for t in (start, step, emit)], ["start", "step", "emit"])
 
     rows = turns.join(F.broadcast(chosen), "conv_id", "left_semi").repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "turn", "role", "text")
@@ -119,12 +145,14 @@ def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text}\n<|end|>"
 
 
-def parse(lines: list[str], blank: list[bool], model: Model) -> list[tuple[str, str]]:
-    """(role, text) of a transcript's turns."""
-    seen = [_observe(line, b) for line, b in zip(lines, blank, strict=True)]
+def parse(raw: str, model: Model) -> list[tuple[str, str]]:
+    """(role, text) of the turns of a raw transcript; the blank line before a further turn belongs to neither."""
+    observed, texts = observe(raw)
     turns: list[tuple[str, list[str]]] = []
-    for state, (_, text) in zip(model.path([o for o, _ in seen]), seen, strict=True):
+    for state, text in zip(model.path(observed), texts, strict=True):
         if state % 2 == 0 or not turns or turns[-1][0] != ROLES[state // 2]:
+            if turns and len(turns[-1][1]) > 1 and not turns[-1][1][-1].strip():
+                turns[-1][1].pop()
             turns.append((ROLES[state // 2], [text]))
         else:
             turns[-1][1].append(text)
@@ -142,30 +170,15 @@ def format_conversations(conversations: DataFrame, model: Model | None = None) -
     fitted = train(turns) if model is None else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, part, rows = None, 0, []
-
-        def row() -> pa.RecordBatch:
-            lines, blank, true = [], [], []
-            for r in rows:
-                lines += r["lines"]
-                blank += [k == 0 and bool(true) for k in range(len(r["lines"]))]
-                true += [r["role"]] * len(r["lines"])
-            states = fitted.path([_observe(line, b)[0] for line, b in zip(lines, blank, strict=True)])
-            found = parse(lines, blank, fitted)
-            right = sum(ROLES[s // 2] == r for s, r in zip(states, true, strict=True))
-            values = (*key, part, len(lines), len(found), ",".join(r for r, _ in found), len(rows), right, "\n".join(render(*t) for t in found))
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _FIELDS, strict=True)], schema=_FIELDS)
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                now = (r["conv_id"], r["segment"])
-                if rows and (now != key or len(rows) == SEGMENT):
-                    yield row()
-                    part, rows = (part + 1 if now == key else 0), []
-                key = now
-                rows.append(r)
-        if rows:
-            yield row()
+        for key, part, rows in _parts(batches):
+            raw = raw_text([r["lines"] for r in rows])
+            found, states, at, right = parse(raw, fitted), fitted.path(observe(raw)[0]), 0, 0
+            for r in rows:  # the blank lines between turns are not counted
+                n = len(r["lines"])
+                right += sum(ROLES[x // 2] == r["role"] for x in states[at : at + n])
+                at += n + 1
+            values = (*key, part, sum(len(r["lines"]) for r in rows), len(found), ",".join(r for r, _ in found), len(rows), right, "\n".join(render(*t) for t in found))
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _FIELDS, strict=True)], schema=_FIELDS)
 
     ordered = turns.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "turn", "role", "text")
     return ordered.select("conv_id", "segment", "role", "lines").mapInArrow(run, _SCHEMA)
