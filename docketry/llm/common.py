@@ -61,12 +61,24 @@ def _bytes(batch: pa.RecordBatch, at: int, n: int) -> int:
     return sum(column.slice(at, n).nbytes for column in batch.columns)
 
 
+#: A node with more than one in HUBS of an edge list's rows is a hub; so there are at most HUBS of them.
+HUBS = 1000
+
+
+def _with_minimum(rows: DataFrame, low: DataFrame, least: int) -> DataFrame:
+    """rows (u, v) with m of low (u, m, n). A hub's rows, spread as they are, are joined with the broadcast minima of the hubs
+    (those with `least` rows or more, which bounds their number); only the rest is dealt by u."""
+    hubs = F.broadcast(low.where(F.col("n") >= least).select("u", F.col("m").alias("of_hub")))
+    marked = rows.join(hubs, "u", "left")
+    rest = marked.where("of_hub is null").select("u", "v").join(low.where(F.col("n") < least).select("u", "m"), "u")
+    return marked.where("of_hub is not null").select("u", "v", F.col("of_hub").alias("m")).unionByName(rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list of longs, as (node, root): root is the smallest node reachable.
 
-    Alternating large-star and small-star steps: each is a minimum per node (combined before the shuffle) and a join that
-    adaptive execution can split, so a hub never lands in one task. Every round is cut by a checkpoint in the shared folder.
-    Nodes without an edge don't appear.
+    Alternating large-star and small-star steps: each is a minimum per node (combined before the shuffle), joined back so that
+    no hub lands in one task. Every round is cut by a checkpoint in the shared folder. Nodes without an edge don't appear.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now, before = saved(now), None
@@ -74,13 +86,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break
-        before = state
+        before, least = state, max(32, 2 * state["n"] // HUBS)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_minimum(both, low, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_minimum(large, low, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = saved(small.where("u <> v").distinct())
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

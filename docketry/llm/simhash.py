@@ -1,12 +1,12 @@
 """SimHash near-duplicates: documents whose 64-bit fingerprints differ in at most 4 bits are linked, and classes are the
 connected components of the links.
 
-Every distinct fingerprint has a row of a pivot table: its Hamming distances to fixed reference fingerprints. By the
-triangle inequality two fingerprints whose rows differ by more than 4 in any coordinate can't be linked; only pairs that
-pass are verified. So that pairs meet without comparing all with all, fingerprints are first dealt by blocks: of 7 blocks
+Every distinct fingerprint has a row of a pivot table, computed once and kept with it: its Hamming distances to fixed reference
+fingerprints. By the triangle inequality two fingerprints whose rows differ by more than 4 in any coordinate can't be linked; only
+pairs that pass are verified. So that pairs meet without comparing all with all, fingerprints are first dealt by blocks: of 7 blocks
 of bits, at least 3 are equal in any linked pair, so each linked pair shares one of the 35 keys of three blocks.
-Equal fingerprints are one row (and keep their smallest doc_id) before that, and a key's rows are compared in runs of at
-most RUN rows: a longer run is cut into pieces, and each pair of its pieces becomes a task-sized run of its own. From each
+Equal fingerprints are one row (and keep their smallest doc_id) before that, and a key's rows are compared in runs of about
+RUN rows: what is longer is dealt to pieces, and each pair of pieces becomes a task-sized run of its own. From each
 run only links that join two classes of it are given out, never all pairs.
 
 Rows without doc_id are no documents. Null and empty texts have no words: fingerprint zero, linked like any other. Repeated doc_ids keep all their rows. An empty table
@@ -18,6 +18,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from functools import partial
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,14 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 BLOCKS = 7
-PIVOTS = 32
+PIVOTS = 16
 #: Of fingerprints of distinct words, which keep_one uses as well: bits, blocks, and the distinct words that a text needs.
 WORD_RADIUS, WORD_BLOCKS, LEAST_WORDS = 6, 9, 64
 RUN = 4096
 #: Runs of at most so many rows are compared together, row by row with those after it.
 SHORT = 16
+#: Keys whose links are contracted before the other keys are looked at.
+FIRST_KEYS = 5
 _CHUNK = 1 << 16
 
 
@@ -102,6 +105,7 @@ def _keys(fp: Column, radius: int, blocks: int) -> Column:
 
 #: The reference fingerprints: fixed, spread, the same for every corpus.
 _PIVOT = np.array([xxhash.xxh64_intdigest(b"pivot %d" % k, SEED) for k in range(PIVOTS)], np.uint64)
+_COORDINATES = [f"pivots{k}" for k in range(PIVOTS // 8)]
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
@@ -109,21 +113,30 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps.view(np.uint64)[:, None] ^ _PIVOT[None, :]).astype(np.int8)
 
 
+def with_pivots(rows: DataFrame) -> DataFrame:
+    """rows (with a column fp) and the pivot table's row of each, eight distances to a long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = np.ascontiguousarray(pivot_table(batch["fp"].to_numpy())).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(table[:, k]) for k in range(len(_COORDINATES)))], [*batch.schema.names, *_COORDINATES])
+
+    kinds = [*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), *(f"{c} long" for c in _COORDINATES)]
+    return rows.mapInArrow(run, ", ".join(kinds))
+
+
 def _near(x: np.ndarray, y: np.ndarray, table_x: np.ndarray, table_y: np.ndarray, radius: int) -> np.ndarray:
     """Whether the rows' pairs are linked: no coordinate of the pivot tables differs by more than the radius, then the verified distance."""
-    left = np.arange(len(x))
-    for step in range(0, PIVOTS, 8):
-        gap = np.abs(table_x[left, step : step + 8] - table_y[left, step : step + 8]).max(axis=1)
-        left = left[gap <= radius]
+    left = np.flatnonzero(np.abs(table_x - table_y).max(axis=1, initial=0) <= radius)
     out = np.zeros(len(x), bool)
     out[left] = np.bitwise_count((x[left] ^ y[left]).view(np.uint64)) <= radius
     return out
 
 
-def run_links(fps: np.ndarray, nodes: np.ndarray, radius: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def run_links(fps: np.ndarray, nodes: np.ndarray, table: np.ndarray, radius: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join the classes of one run: a breadth-first walk, each step of which compares one row with the rows not yet
     reached. With `side`, only rows of different sides are compared (each side's own links are found elsewhere)."""
-    table, waiting, out = pivot_table(fps), np.arange(len(fps)), []
+    waiting, out = np.arange(len(fps)), []
     while len(waiting):
         frontier, waiting = [int(waiting[0])], waiting[1:]
         while frontier and len(waiting):
@@ -139,112 +152,86 @@ def run_links(fps: np.ndarray, nodes: np.ndarray, radius: int, side: np.ndarray
     return out
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("piece", pa.int32()), ("fp", pa.int64())])
-_LINKS_SQL = "a long, b long, key long, piece int, fp long"
-
-
-def _links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = (np.array(c, np.int64) for c in (zip(*links, strict=True) if links else ((), ())))
-    none = pa.nulls(len(a))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64())], schema=_LINKS)
-
-
-def _runs(batches: Iterator[pa.RecordBatch], columns: list[str], run: int) -> Iterator[list[np.ndarray]]:
-    """Sorted rows as blocks that never part the rows of a key unless there are over RUN of them."""
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Rows sorted by key, lo and hi, as blocks of whole runs."""
     held: list[np.ndarray] | None = None
     for batch in batches:
-        now = [batch[c].to_numpy() for c in columns]
+        now = [batch[c].to_numpy() for c in ("key", "lo", "hi", "piece", "fp", "node", *_COORDINATES)]
         held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
         if not len(held[0]):
             continue
-        cut = int(np.searchsorted(held[0], held[0][-1]))
-        if len(held[0]) - cut > run:
-            cut = len(held[0])
-        if cut:
+        last = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
+        if cut := int(np.argmax(last)):
             yield [x[:cut] for x in held]
             held = [x[cut:] for x in held]
     if held is not None and len(held[0]):
         yield held
 
 
-def _compare(batches: Iterator[pa.RecordBatch], radius: int, run: int) -> Iterator[pa.RecordBatch]:
-    """Links within the runs of a key, and the rows of keys with more than RUN rows, by pieces, to be compared elsewhere."""
-    last_key, piece = None, 0
-    for key, fp, node in _runs(batches, ["key", "fp", "node"], run):
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links between the rows of each run (key, lo, hi): one piece of a key's rows, or two of them."""
+    for key, lo, hi, piece, fp, node, *coordinates in _whole_runs(batches):
+        table = np.stack(coordinates, 1).view(np.int8)
+        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
         n = np.diff(np.append(start, len(key)))
         links: list[tuple[int, int]] = []
         for s, m in zip(start[n > SHORT].tolist(), n[n > SHORT].tolist(), strict=True):
-            for lo in range(s, s + m, run):
-                hi = min(lo + run, s + m)
-                links += run_links(fp[lo:hi], node[lo:hi], radius)
-        size = np.repeat(n, n)
-        rows = np.flatnonzero((size > 1) & (size <= SHORT))
-        table = pivot_table(fp[rows])
+            own = slice(s, s + m)
+            links += run_links(fp[own], node[own], table[own], radius, None if lo[s] == hi[s] else piece[own])
+        run = np.repeat(np.arange(len(n)), n)
+        rows = np.flatnonzero((n[run] > 1) & (n[run] <= SHORT))
         for step in range(1, SHORT):
             left = np.arange(len(rows) - step)
-            left = left[key[rows[left]] == key[rows[left + step]]]
+            left = left[run[rows[left]] == run[rows[left + step]]]
             if not len(left):
                 break
-            ok = left[_near(fp[rows[left]], fp[rows[left + step]], table[left], table[left + step], radius)]
-            links += list(zip(node[rows[ok]].tolist(), node[rows[ok + step]].tolist(), strict=True))
-        yield _links_batch(links)
-        for s, m in zip(start.tolist(), n.tolist(), strict=True):  # pieces of long runs, also of one that goes on from the last block
-            same = last_key == int(key[s])
-            if m > run or same:
-                piece = piece + 1 if same else 0
-                for lo in range(s, s + m, run):
-                    hi = min(lo + run, s + m)
-                    none = pa.nulls(hi - lo).cast(pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi]), none, pa.array(key[lo:hi]), pa.array(np.full(hi - lo, piece, np.int32)), pa.array(fp[lo:hi])], schema=_LINKS)
-                    piece += 1
-                piece -= 1
-                last_key = int(key[s])
-
-
-def _compare_pieces(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links between two pieces of a long run: a key here is one pair of pieces, at most 2 RUN rows."""
-    held = None
-    for batch in batches:
-        now = [batch[c].to_numpy() for c in ("key", "lo", "hi", "piece", "fp", "node")]
-        held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-        same = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1]) if len(held[0]) else np.empty(0, bool)
-        cut = int(np.argmax(same)) if len(same) else 0
-        if cut:
-            yield from _piece_links([x[:cut] for x in held], radius)
-            held = [x[cut:] for x in held]
-    if held is not None and len(held[0]):
-        yield from _piece_links(held, radius)
+            x, y = rows[left], rows[left + step]
+            ok = _near(fp[x], fp[y], table[x], table[y], radius)
+            links += list(zip(node[x[ok]].tolist(), node[y[ok]].tolist(), strict=True))
+        a, b = (np.array(c, np.int64) for c in (zip(*links, strict=True) if links else ((), ())))
+        yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
 
-def _piece_links(rows: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
-    key, lo, hi, piece, fp, node = rows
-    start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
-    for s, e in itertools.pairwise([*start.tolist(), len(key)]):
-        yield _links_batch(run_links(fp[s:e], node[s:e], radius, piece[s:e]))
+def keyed_links(keyed: DataFrame, run: int = RUN, radius: int = RADIUS) -> DataFrame:
+    """(a, b) node pairs that connect the rows (key, fp, node, pivot table) with a key in common and at most `radius` bits between their fp.
 
+    Keys with a single node have nothing to compare and go first. A key's rows beyond `run` are dealt to pieces, and each
+    piece, and each two of them, are a run of their own: no task is sent all rows of a key.
+    """
+    several = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    rows = keyed.join(several.select("key", F.ceil(F.col("n") / run).cast("int").alias("pieces")), "key")
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("fp"), "pieces").cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    rows = rows.select("key", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "piece", "fp", "node", *_COORDINATES)
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(partial(_compare, radius=radius), "a long, b long")
 
-def links(distinct: DataFrame, run: int = RUN, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(a, b) node pairs that connect what is linked among rows (fp, node) with distinct fp."""
-    return keyed_links(distinct.select(F.explode(_keys(F.col("fp"), radius, blocks)).alias("key"), "fp", "node"), run, radius)
 
+def linked(rows: DataFrame, keys: Column, n_keys: int, run: int = RUN, radius: int = RADIUS) -> DataFrame:
+    """(node, root) of the rows (fp, node, pivot table) that are linked to another: a key in common and at most `radius` bits between their fp.
 
-def keyed_links(keyed: DataFrame, run: int = RUN, radius: int = RADIUS) -> DataFrame:
-    """(a, b) node pairs that connect the rows (key, fp, node) with a key in common and at most `radius` bits between their fp."""
-    found = saved(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_compare, radius=radius, run=run), _LINKS_SQL))
-    long_runs = found.where("key is not null").select("key", "piece", "fp", F.col("a").alias("node"))
-    pieces = long_runs.groupBy("key").agg(F.max("piece").alias("last")).where("last > 0")
-    paired = long_runs.join(pieces, "key").select("key", "piece", "fp", "node", F.explode(F.sequence(F.lit(0), "last")).alias("other")).where("other <> piece")
-    paired = paired.select("key", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "piece", "fp", "node")
-    across = paired.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(partial(_compare_pieces, radius=radius), _LINKS_SQL)
-    return found.where("key is null").select("a", "b").unionByName(across.select("a", "b"))
+    What the first FIRST_KEYS keys bring together is contracted before the others are looked at: by those, only rows of
+    different components are compared, so a group of copies doesn't give its links once for each key.
+    """
+    first = saved(components(saved(keyed_links(rows.select(F.explode(F.slice(keys, 1, FIRST_KEYS)).alias("key"), "fp", "node", *_COORDINATES), run, radius))))
+    rooted = rows.join(first, "node", "left").withColumn("node", F.coalesce("root", "node"))
+    more = saved(keyed_links(rooted.select(F.explode(F.slice(keys, FIRST_KEYS + 1, n_keys - FIRST_KEYS)).alias("key"), "fp", "node", *_COORDINATES), run, radius))
+    joined = saved(components(more)).select(F.col("node").alias("root"), F.col("root").alias("over"))
+    alone = joined.join(first, joined["root"] == first["node"], "left_anti")  # had no link by the first keys
+    moved = first.join(joined, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+    return moved.unionByName(alone.select(F.col("root").alias("node"), F.col("over").alias("root")))
+
+
+def links(distinct: DataFrame, run: int = RUN, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(a, b) node pairs that connect what is linked among rows (fp, node) with distinct fp."""
+    table = saved(with_pivots(distinct.select("fp", "node")))
+    found = linked(table, _keys(F.col("fp"), radius, blocks), comb(blocks, radius), run, radius)
+    return found.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, run: int = RUN) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable, the document's own included."""
     fps = saved(fingerprints(docs, shingle))
-    distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    roots = components(links(distinct, run))
+    distinct = saved(with_pivots(fps.groupBy("fp").agg(F.min("doc_id").alias("node"))))
+    roots = linked(distinct, _keys(F.col("fp"), RADIUS, BLOCKS), comb(BLOCKS, RADIUS), run)
     known = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

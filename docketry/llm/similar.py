@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import components, saved, slices, texts_of
-from docketry.llm.simhash import RUN, SEED, keyed_links
+from docketry.llm.simhash import RUN, SEED, linked, with_pivots
 
 #: What is taken as near-duplicates: sets of 5-word shingles with a Jaccard similarity of 0.8 or more.
 SHINGLE, _SHARE = 5, (4, 5)
@@ -144,8 +144,8 @@ def links(docs: DataFrame, run: int = RUN, piece: int = PIECE) -> DataFrame:
     rows = saved(_sketches(docs))
     distinct = saved(rows.groupBy("same").agg(F.min(F.struct("doc_id", "words", "fp", "keys")).alias("r")).select("same", F.col("r.doc_id").alias("node"), "r.words", "r.fp", "r.keys"))
     equal = rows.select("doc_id", "same").join(distinct.select("same", "node"), "same").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    candidates = keyed_links(distinct.where("words > 0").select(F.explode("keys").alias("key"), "fp", "node"), run, SKETCH_RADIUS)
-    members = components(candidates)
+    sketches = saved(with_pivots(distinct.where("words > 0").select("fp", "node", "keys")))
+    members = linked(sketches, F.col("keys"), BANDS, run, SKETCH_RADIUS)
     sized = members.join(distinct.groupBy("node").agg(F.sum("words").alias("words")), "node")
     parts = sized.groupBy("root").agg(F.ceil(F.sum("words") / piece).alias("pieces"))
     members = saved(members.join(parts, "root"))
