@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.byte_bpe import END_ID, byte_bpe, default_vocabulary
+from docketry.llm.byte_bpe import BATCH, END_ID, byte_bpe, default_vocabulary
 from docketry.llm.common import saved, slices, texts_of
 
 CAPACITY = 2048
@@ -146,10 +146,10 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, seen = byte_bpe(path), TaskContext.get().partitionId(), Counter()
-        for batch in slices(batches):
+        for batch in slices(batches, BATCH):
             rows = []
-            for doc_id, found in zip(batch["doc_id"].to_pylist(), bpe.encode_all(batch["text"].to_pylist()), strict=True):
-                ids = np.append(np.frombuffer(found, "<u2"), END_ID).astype("<u4")
+            for doc_id, found in zip(batch["doc_id"].to_pylist(), bpe.encode_arrays(batch["text"].to_pylist()), strict=True):
+                ids = np.append(found, np.uint16(END_ID)).astype("<u4")
                 ends = range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)
                 start = 0
                 for piece, end in enumerate(ends):
