@@ -2,7 +2,9 @@
 
 A shard is one row of a Parquet table in the shared folder: the documents' ids, the symbols of each document, the rules
 (pairs of symbols that a nonterminal stands for) and every rule's expansion length. Frequent pairs within a document are
-replaced by nonterminals round after round, the most frequent pairs of a round together. The expansion lengths
+replaced by nonterminals round after round, the most frequent pairs of a round together: those within a STEP of the commonest,
+if they are used LEAST_USES times or more, below which a rule takes more bytes than it saves. Rounds end when no pair is left that
+gains, when a round takes less than LEAST_SHARE of the symbols away, or when the numbers of 16 bits are used up. The expansion lengths
 let a reader skip to any id of any document without expanding what comes before it.
 
 Rows without doc_id are no documents. Null texts are empty; an empty document holds its end id alone. Repeated doc_ids keep all their rows. An empty table
@@ -20,79 +22,83 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.byte_bpe import END_ID, byte_bpe, default_vocabulary
+from docketry.llm.byte_bpe import BATCH, END_ID, byte_bpe, default_vocabulary
 from docketry.llm.common import slices, stored, texts_of
 
 VOCABULARY = 50_257
 SHARD_IDS = 1 << 20
-ROUNDS = 5
-RULES_A_ROUND = 1024
-LEAST_COUNT = 12
+#: A rule takes 8 bytes (two symbols, its length) and each use saves 2.
+LEAST_USES = 5
+STEP = 16
+LEAST_SHARE = 0.003
 _NO_PAIR = np.uint32(0xFFFFFFFF)
-_TABLE_BITS = 18
+_TABLE_BITS = 20
 
 
-def _pairs(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The pair that begins at each symbol, as one number; none at the last symbol of a document."""
-    codes = np.full(len(symbols), _NO_PAIR)
-    codes[:-1] = (symbols[:-1].astype(np.uint32) << 16) | symbols[1:]
-    codes[last] = _NO_PAIR
-    return codes
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return (codes * np.uint32(2654435761)) >> np.uint32(32 - _TABLE_BITS)
 
 
-def _frequent(codes: np.ndarray, most: int) -> np.ndarray:
-    """The most frequent pairs, most frequent first (ties: the smaller number), each seen LEAST_COUNT times or more."""
-    ordered = np.sort(codes)
+def _frequent(codes: np.ndarray, slot: np.ndarray, most: int) -> np.ndarray:
+    """The pairs of a round, most frequent first (ties: the smaller number); of those that share a slot, the first."""
+    often = np.bincount(slot, minlength=1 << _TABLE_BITS).astype(np.int32)
+    ordered = np.sort(codes[often[slot] >= LEAST_USES])  # rarer pairs aren't even sorted
     ordered = ordered[: np.searchsorted(ordered, _NO_PAIR)]
     if not len(ordered):
         return ordered
-    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    counts = np.diff(np.append(starts, len(ordered)))
-    often = np.flatnonzero(counts >= LEAST_COUNT)
-    often = often[np.argsort(-counts[often], kind="stable")][:most]
-    return ordered[starts[often]]
-
-
-def _slot(codes: np.ndarray) -> np.ndarray:
-    return (codes * np.uint32(2654435761)) >> np.uint32(32 - _TABLE_BITS)
+    start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    n = np.diff(np.append(start, len(ordered)))
+    take = np.flatnonzero(n >= max(LEAST_USES, int(n.max()) // STEP))
+    chosen = ordered[start[take[np.argsort(-n[take], kind="stable")][:most]]]
+    return chosen[np.sort(np.unique(_slot(chosen), return_index=True)[1])]
 
 
 def compress(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, number of symbols of each document, rules) of the documents' ids; a rule k stands for VOCABULARY + k."""
     counts = np.array([len(d) for d in docs], np.int64)
     symbols = np.concatenate(docs).astype(np.uint16) if len(docs) else np.empty(0, np.uint16)
-    ends = np.cumsum(counts)
-    rules = np.empty((0, 2), np.uint16)
-    for _ in range(ROUNDS):
-        room = min(RULES_A_ROUND, (1 << 16) - 1 - VOCABULARY - len(rules))
-        codes = _pairs(symbols, ends - 1) if len(symbols) > 1 else np.empty(0, np.uint32)
-        chosen = _frequent(codes, room) if len(codes) else codes
-        if not len(chosen):
-            break
-        _, first = np.unique(_slot(chosen), return_index=True)  # of pairs that share a slot, the most frequent
-        chosen = chosen[np.sort(first)]
+    last = np.zeros(len(symbols), bool)
+    last[np.cumsum(counts)[counts > 0] - 1] = True
+    rules = [np.empty((0, 2), np.uint16)]
+    done = 0
+    while len(symbols) > 1:
+        codes = (symbols[:-1].astype(np.uint32) << np.uint32(16)) | symbols[1:]
+        codes[last[:-1]] = _NO_PAIR
+        slot = _slot(codes)
+        chosen = _frequent(codes, slot, (1 << 16) - 1 - VOCABULARY - done)
         table = np.full(1 << _TABLE_BITS, -1, np.int32)
-        table[_slot(chosen)] = np.arange(len(chosen))
-        rule = table[_slot(codes)]
-        hit = np.flatnonzero((rule >= 0) & (codes == chosen[rule]))
-        run = np.concatenate(([True], np.diff(hit) != 1))  # of overlapping pairs, every other one from the left
-        start = np.maximum.accumulate(np.where(run, hit, 0))
-        hit = hit[(hit - start) % 2 == 0]
-        symbols[hit] = (VOCABULARY + len(rules) + rule[hit]).astype(np.uint16)
+        table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
+        rule = table[slot]
+        hit = np.flatnonzero(rule >= 0)
+        hit = hit[codes[hit] == chosen[rule[hit]]]
+        run = np.concatenate(([True], np.diff(hit) != 1))[: len(hit)]  # of overlapping pairs, every other one from the left
+        hit = hit[(hit - np.maximum.accumulate(np.where(run, hit, 0))) % 2 == 0]
+        which = rule[hit]
+        gains = np.bincount(which, minlength=len(chosen)) >= LEAST_USES
+        if not gains.any():
+            break
+        hit, which = hit[gains[which]], (np.cumsum(gains) - 1)[which[gains[which]]]
+        symbols[hit] = (VOCABULARY + done + which).astype(np.uint16)
+        last[hit] = last[hit + 1]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
-        before = np.concatenate(([0], np.cumsum(keep)))
-        symbols, ends = symbols[keep], before[ends]
-        rules = np.concatenate((rules, np.stack((chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)), 1).astype(np.uint16)))
-    return symbols, np.diff(np.concatenate(([0], ends))), rules
+        symbols, last = symbols[keep], last[keep]
+        new = chosen[gains]
+        rules.append(np.stack((new >> np.uint32(16), new & np.uint32(0xFFFF)), 1).astype(np.uint16))
+        done += len(new)
+        if len(hit) < LEAST_SHARE * len(keep):
+            break
+    held = np.zeros(len(docs), np.int64)
+    held[counts > 0] = np.diff(np.flatnonzero(last), prepend=-1)
+    return symbols, held, np.concatenate(rules)
 
 
 def lengths(rules: np.ndarray) -> np.ndarray:
     """How many ids each rule's nonterminal expands to."""
-    out = np.ones(VOCABULARY + len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[VOCABULARY + k] = out[a] + out[b]
-    return out[VOCABULARY:]
+    out = [1] * VOCABULARY
+    for a, b in rules.tolist():
+        out.append(out[a] + out[b])
+    return np.array(out[VOCABULARY:], np.int64)
 
 
 _BASE = [k.to_bytes(2, "little") for k in range(VOCABULARY)]
@@ -126,6 +132,17 @@ class Shard:
             self.expanded = expansions(self.rules)
         return b"".join(map(self.expanded.__getitem__, self._symbols(k).tolist()))
 
+    def documents(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents of the shard, one after the other; where each ends)."""
+        if self.expanded is None:
+            self.expanded = expansions(self.rules)
+        start = np.cumsum(self.lengths) - self.lengths
+        n = self.lengths[self.symbols]
+        ends = np.cumsum(n)
+        pool = np.frombuffer(b"".join(self.expanded), "<u2")
+        ids = pool[np.repeat(start[self.symbols] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.concatenate(([0], ends))[self.ends]
+
     def part(self, k: int, start: int, stop: int) -> list[int]:
         """Ids start to stop of document k; only symbols that reach into them are expanded."""
         symbols, out = self._symbols(k), []
@@ -172,10 +189,10 @@ def write_store(docs: DataFrame, vocabulary: str | None = None, shard_ids: int =
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _STORE, strict=True)], schema=_STORE)
 
         end = np.array([END_ID], np.uint16)
-        for batch in slices(batches):
-            for doc_id, found in zip(batch["doc_id"].to_pylist(), bpe.encode_all(batch["text"].to_pylist()), strict=True):
+        for batch in slices(batches, BATCH):
+            for doc_id, found in zip(batch["doc_id"].to_pylist(), bpe.encode_arrays(batch["text"].to_pylist()), strict=True):
                 doc_ids.append(doc_id)
-                ids.append(np.concatenate((np.frombuffer(found, "<u2"), end)))
+                ids.append(np.concatenate((found, end)))
                 held += len(ids[-1])
                 if held >= shard_ids:
                     yield row()
@@ -202,12 +219,10 @@ def read_digests(store: DataFrame) -> DataFrame:
         for batch in batches:
             for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
                 shard = Shard(row)
-                counts, crcs = [], []
-                for k in range(len(shard.doc_ids)):
-                    ids = np.frombuffer(shard.document(k), "<u2").astype("<u4")
-                    counts.append(len(ids))
-                    crcs.append(zlib.crc32(ids))
-                n = np.array(counts, np.int64)
+                ids, ends = shard.documents()
+                wide = ids.astype("<u4")
+                n = np.diff(ends, prepend=0)
+                crcs = [zlib.crc32(wide[e - m : e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
                 starts = row["part_start"] + row["ids_before"] + np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(starts), pa.array(n), pa.array(crcs, pa.int64())], schema=_DIGEST)
 
