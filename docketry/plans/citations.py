@@ -1,107 +1,148 @@
-"""Law numbers, citations, registry and catalogue lookups, citation validation, on inline fixtures that both engines share."""
+"""Law numbers, citations, registry and catalogue lookups, citation validation, on texts made from document ids and on small registries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions import lawnum
+from docketry.functions import fixed, lawnum
 from docketry.plans.base import Tables, query
 
-_RAW = "(VALUES ('4 l77'), ('4 l 077'), ('8L035'), (' 04 / L - 079 '), ('KUV-08/L-032-KOD'), ('2004/32'), ('02_L-10'), ('04/L-077')) AS r(raw)"
-_CANON = """CASE WHEN regexp_matches(s, '^[0-9]{1,2}[-/]?L-?[0-9]{1,4}[A-Z0-9-]*$') THEN lpad(regexp_extract(s, '^([0-9]{1,2})', 1), 2, '0') || '/L-' || regexp_extract(s, '^[0-9]{1,2}[-/]?L-?([0-9]{1,4}[A-Z0-9-]*)$', 1) ELSE s END"""
-_CANON_FROM = f"(SELECT raw, replace(upper(regexp_replace(raw, '\\s+', '', 'g')), '_', '/') AS s FROM {_RAW}) x"
+# Texts made from document ids, by expressions that both engines read: what they cite is known by construction, so the SQL
+# needs no grammar.
+_S, _N, _A, _Y = "CAST(doc_id % 9 + 1 AS STRING)", "CAST(doc_id % 300 + 1 AS STRING)", "CAST(doc_id % 1059 + 1 AS STRING)", "CAST(1999 + doc_id % 20 AS STRING) || '/' || CAST(doc_id % 90 + 1 AS STRING)"
+_LAW, _SHORT, _CODE = f"'0' || {_S} || '/L-' || lpad({_N}, 3, '0')", f"'0' || {_S} || '/L-' || {_N}", f"'KUV-0' || {_S} || '/L-' || lpad({_N}, 3, '0') || '-KOD'"
 
+_RAW = f"CASE doc_id % 8 WHEN 0 THEN {_S} || ' l' || {_N} WHEN 1 THEN {_S} || 'L' || {_N} WHEN 2 THEN ' 0' || {_S} || ' / L - ' || {_N} WHEN 3 THEN {_CODE} WHEN 4 THEN 'kuv-' || {_S} || '/l' || {_N} || '-kod' WHEN 5 THEN {_Y} WHEN 6 THEN '0' || {_S} || '_L-' || {_N} ELSE {_SHORT} END"
+_RAW_LAW = f"CASE doc_id % 8 WHEN 3 THEN {_CODE} WHEN 4 THEN 'KUV-' || {_SHORT} || '-KOD' WHEN 5 THEN {_Y} ELSE {_SHORT} END"
 
-@query(f"SELECT raw, {_CANON} AS law FROM {_CANON_FROM}")
+
+@query(f"SELECT doc_id, {_RAW_LAW} AS law FROM documents")
 def canon_law(t: Tables) -> DataFrame:
-    return t.values(_RAW).select("raw", lawnum.canonical(F.col("raw")).alias("law"))
+    return t.documents.select("doc_id", lawnum.canonical(F.expr(_RAW)).alias("law"))
 
 
-@query(f"SELECT raw, nullif(regexp_extract(s, '^KUV-([0-9]{{1,2}}/L-[0-9]{{1,4}})-[A-Z0-9]+$', 1), '') AS inner_law FROM {_CANON_FROM}")
+@query(f"SELECT doc_id, CASE doc_id % 8 WHEN 3 THEN {_LAW} WHEN 4 THEN {_SHORT} END AS inner_law FROM documents")
 def law_inner(t: Tables) -> DataFrame:
-    return t.values(_RAW).select("raw", lawnum.inner(lawnum.canonical(F.col("raw"))).alias("inner_law"))
+    return t.documents.select("doc_id", lawnum.inner(lawnum.canonical(F.expr(_RAW))).alias("inner_law"))
 
 
-_SPELLED = "[f, 'NR.' || f, 'Nr.' || f, lower(f), replace(f, '/L-', '/L -')]"
+def _spelled(f: str) -> str:
+    return f"{f} || '|NR.' || {f} || '|Nr.' || {f} || '|' || lower({f}) || '|' || replace({f}, '/L-', '/L -')"
 
 
-@query("""SELECT law, list_aggregate(v, 'string_agg', '|') AS variants FROM (VALUES
-('04/L-77', ['04/L-77','NR.04/L-77','Nr.04/L-77','04/l-77','04/L -77','04/L-077','NR.04/L-077','Nr.04/L-077','04/l-077','04/L -077']),
-('KUV-06/L-074-KOD', ['KUV-06/L-074-KOD','NR.KUV-06/L-074-KOD','Nr.KUV-06/L-074-KOD','kuv-06/l-074-kod','KUV-06/L -074-KOD','06/L-074','NR.06/L-074','Nr.06/L-074'])) AS x(law, v)""")
+@query(f"""SELECT doc_id, {_spelled('law')} || CASE WHEN length(n) < 3 THEN '|' || {_spelled("replace(law, '/L-' || n, '/L-' || lpad(n, 3, '0'))")} ELSE '' END || CASE WHEN within <> '' THEN '|' || within || '|NR.' || within || '|' || lower(within) ELSE '' END AS variants
+FROM (SELECT doc_id, {_N} AS n, CASE WHEN doc_id % 2 = 0 THEN {_SHORT} ELSE 'KUV-' || {_SHORT} || '-KOD' END AS law, CASE WHEN doc_id % 2 = 0 THEN '' ELSE {_SHORT} END AS within FROM documents) x""")
 def law_variants(t: Tables) -> DataFrame:
-    laws = t.values("(VALUES ('04/L-77'), ('KUV-06/L-074-KOD')) AS x(law)")
-    return laws.select("law", F.array_join(lawnum.variants(F.col("law")), "|").alias("variants"))
+    law = F.expr(f"CASE WHEN doc_id % 2 = 0 THEN {_SHORT} ELSE 'KUV-' || {_SHORT} || '-KOD' END")
+    return t.documents.select("doc_id", F.array_join(lawnum.variants(law), "|").alias("variants"))
 
 
-_QUESTIONS = """(VALUES (1, 'Çfarë thotë Neni 5 i Ligjit 04/L-079?'), (2, 'Sipas Nenit 121 të Ligjit KUV-08/L-032-KOD'), (3, 'A është abroguar Ligji 2004/2?'), (4, 'Cilat ligje rregullojnë grantet?'),
-(5, 'neni 47 i ligjit 4 l77'), (6, 'neni 10 i Kodit Penal'), (7, 'neni 5 i Kodit të Procedurës Penale'), (8, 'neni 12 sipas LMD'), (9, 'what does article 49 of law 03/L-212 say?'), (10, 'neni 37')) AS q(id, question)"""
-_EXPECTED = """(VALUES (1, '04/L-079', '5', FALSE), (2, 'KUV-08/L-032-KOD', '121', FALSE), (3, '2004/2', NULL, FALSE), (4, NULL, NULL, NULL), (5, '04/L-77', '47', FALSE), (6, 'KUV-06/L-074-KOD', '10', TRUE), (7, 'KUV-08/L-032-KOD', '5', TRUE),
-(8, '04/L-077', '12', TRUE), (9, '03/L-212', '49', FALSE), (10, NULL, NULL, NULL)) AS e(id, law, article, by_name)"""
+QUESTION = f"""CASE doc_id % 12 WHEN 0 THEN 'Çfarë thotë Neni ' || {_A} || ' i Ligjit ' || {_LAW} || '?' WHEN 1 THEN 'neni ' || {_A} || ' i ligjit ' || {_S} || ' l' || {_N} WHEN 2 THEN 'Sipas Nenit ' || {_A} || ' të Ligjit ' || {_CODE}
+WHEN 3 THEN 'A është abroguar Ligji ' || {_Y} || '?' WHEN 4 THEN 'neni ' || {_A} || ' i Kodit Penal' WHEN 5 THEN 'neni ' || {_A} || ' i Kodit të Procedurës Penale' WHEN 6 THEN 'neni ' || {_A} WHEN 7 THEN 'Cilat ligje rregullojnë grantet?'
+WHEN 8 THEN 'ligji ' || {_S} || '_L' || {_N} WHEN 9 THEN 'Ligji për Trashëgiminë, neni ' || {_A} WHEN 10 THEN 'what does article ' || {_A} || ' of law ' || {_LAW} || ' say?' ELSE 'barkodi penal dhe trashëgimia kulturore' END"""
+QUESTION_LAW = f"CASE doc_id % 12 WHEN 0 THEN {_LAW} WHEN 1 THEN {_SHORT} WHEN 2 THEN {_CODE} WHEN 3 THEN {_Y} WHEN 4 THEN 'KUV-06/L-074-KOD' WHEN 5 THEN 'KUV-08/L-032-KOD' WHEN 8 THEN {_SHORT} WHEN 9 THEN '2004/26' WHEN 10 THEN {_LAW} END"
+QUESTION_ARTICLE = f"CASE WHEN doc_id % 12 IN (0, 1, 2, 4, 5, 9, 10) THEN {_A} END"
 
 
-@query(f"SELECT id, law, article, by_name FROM {_EXPECTED}")
+@query(f"SELECT doc_id, {QUESTION_LAW} AS law, {QUESTION_ARTICLE} AS article, CASE WHEN doc_id % 12 IN (4, 5, 9) THEN TRUE WHEN doc_id % 12 IN (0, 1, 2, 3, 8, 10) THEN FALSE END AS by_name FROM documents")
 def parse_citation(t: Tables) -> DataFrame:
-    return t.values(_QUESTIONS).select("id", lawnum.citation(F.col("question")).alias("c")).select("id", "c.law", "c.article", "c.by_name")
+    return t.documents.select("doc_id", lawnum.citation(F.expr(QUESTION)).alias("c")).select("doc_id", "c.law", "c.article", "c.by_name")
 
 
-@query(f"SELECT id, CASE WHEN by_name THEN law END AS law FROM {_EXPECTED}")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 12 IN (4, 5, 9) THEN {QUESTION_LAW} END AS law FROM documents")
 def named_law(t: Tables) -> DataFrame:
-    return t.values(_QUESTIONS).select("id", lawnum.named_law(F.col("question")).alias("law"))
+    return t.documents.select("doc_id", lawnum.named_law(F.expr(QUESTION)).alias("law"))
 
 
-@query(f"SELECT id, regexp_matches(question, '{lawnum.STATUS}') AS is_status FROM {_QUESTIONS}")
+@query("SELECT doc_id, doc_id % 12 = 3 AS is_status FROM documents")
 def is_status(t: Tables) -> DataFrame:
-    return t.values(_QUESTIONS).select("id", F.col("question").rlike(lawnum.STATUS).alias("is_status"))
+    return t.documents.select("doc_id", F.expr(QUESTION).rlike(lawnum.STATUS).alias("is_status"))
+
+
+# Chunks of laws of twenty articles, one a document; every seventh has no article number but a header, or neither.
+_CHUNK = """SELECT doc_id, CAST(floor(doc_id / 20) AS BIGINT) AS law, 'L' || CAST(CAST(floor(doc_id / 20) AS BIGINT) AS STRING) || '_chunk_' || CAST(doc_id % 20 AS STRING) AS id, CASE WHEN doc_id % 7 <> 0 THEN CAST(doc_id % 20 + 1 AS STRING) END AS article,
+CASE WHEN doc_id % 7 = 0 AND doc_id % 2 = 0 THEN '## Neni ' || CAST(doc_id % 20 + 1 AS STRING) || chr(10) || 'Lënda' WHEN doc_id % 7 = 0 THEN 'pa titull' WHEN doc_id % 3 = 0 THEN 'x' || chr(10) || 'Neni ' || CAST(doc_id % 20 + 1 AS STRING) || ' fund' ELSE 'Neni ' || CAST(doc_id % 20 + 1 AS STRING) || ' Qëllimi' END AS content, doc_id % 20 + 1 AS n FROM documents"""
 
 
-_CHUNKS = r"""(VALUES ('c1', '02/L-10', '5', E'## Neni 5\nLënda e ligjit'), ('c2', '02/L-10', '6', E'Neni 6 Qëllimi'), ('c3', '02/L-10', '7', 'pa titull'), ('c4', '02/L-10', '4', E'x\nNeni 4 fund'), ('c5', '06/L-074', '6', 'Neni 6'), ('c6', 'NR.04/L-77', '47', 'Neni 47')) AS c(id, law, article, content)"""
-_CHUNKS_SPARK = _CHUNKS.replace("E'", "'")
+def _chunks(t: Tables) -> DataFrame:
+    t.documents.createOrReplaceTempView("documents")
+    return t.spark.sql(_CHUNK)
 
 
-@query(f"SELECT id, article, list_contains(regexp_extract_all(substr(content, 1, 400), '(?i)(?:^|\\n)\\s*#{{0,3}}\\s*Neni\\s+([0-9]{{1,4}})\\b', 1), article) AS starts FROM {_CHUNKS}")
+@query(f"SELECT doc_id, NOT (doc_id % 7 = 0 AND doc_id % 2 = 1) AS starts FROM ({_CHUNK}) c")
 def article_header_match(t: Tables) -> DataFrame:
-    return t.values(_CHUNKS_SPARK).select("id", "article", lawnum.starts_article(F.col("content"), F.col("article")).alias("starts"))
+    return _chunks(t).select("doc_id", lawnum.starts_article(F.col("content"), F.col("n").cast("string")).alias("starts"))
 
 
-@query(f"SELECT id, coalesce(nullif(article, '7'), nullif(regexp_extract(substr(content, 1, 300), '(?i)neni\\s+([0-9]{{1,3}})', 1), '')) AS article FROM {_CHUNKS}")
+@query(f"SELECT doc_id, CASE WHEN article IS NOT NULL THEN article WHEN doc_id % 2 = 0 THEN CAST(n AS STRING) END AS article FROM ({_CHUNK}) c")
 def recover_article(t: Tables) -> DataFrame:
-    return t.values(_CHUNKS_SPARK).select("id", F.coalesce(F.nullif("article", F.lit("7")), lawnum.found(F.substring("content", 1, 300), r"(?i)neni\s+([0-9]{1,3})", 1)).alias("article"))
+    return _chunks(t).select("doc_id", F.coalesce("article", lawnum.found(F.substring("content", 1, 300), r"(?i)neni\s+([0-9]{1,3})", 1)).alias("article"))
+
+
+# Every law is asked for one article.
+_ASKED = f"SELECT DISTINCT law, law % 20 + 1 AS asked FROM ({_CHUNK}) c"
+
 
+def _asked(t: Tables) -> DataFrame:
+    return _chunks(t).select("law", (F.col("law") % 20 + 1).alias("asked")).distinct()
 
-@query(f"SELECT id FROM {_CHUNKS} WHERE law = '02/L-10' AND article IN ('5', '6', '7') ORDER BY article = '6' DESC, CAST(article AS INT) LIMIT 3")
+
+@query(f"""SELECT law, id, CAST(row_number() OVER (PARTITION BY law ORDER BY CASE WHEN n = asked THEN 0 ELSE 1 END, n, id) AS BIGINT) AS rank FROM
+(SELECT c.*, a.asked FROM ({_CHUNK}) c JOIN ({_ASKED}) a USING (law) WHERE c.article IS NOT NULL AND abs(c.n - a.asked) <= 1) x""")
 def article_neighbors(t: Tables) -> DataFrame:
-    near = t.spark.range(1).select(F.explode(F.transform(F.sequence(F.lit(5), F.lit(7)), lambda n: n.cast("string"))).alias("article"))
-    hits = t.values(_CHUNKS_SPARK).where("law = '02/L-10'").join(F.broadcast(near), "article")
-    return hits.orderBy((F.col("article") == "6").desc(), F.col("article").cast("int")).select("id").limit(3)
+    """Of a batch of questions: the article asked for, then those before and after it. An equi-join on law and each of the three numbers."""
+    wanted = _asked(t).select("law", "asked", F.explode(F.transform(F.sequence(F.col("asked") - 1, F.col("asked") + 1), lambda n: n.cast("string"))).alias("article"))
+    hits = _chunks(t).select("law", "id", "article").join(wanted, ["law", "article"])
+    n = F.col("article").cast("int")
+    order = Window.partitionBy("law").orderBy((n != F.col("asked")).cast("int"), n, "id")
+    return hits.select("law", "id", F.row_number().over(order).cast("long").alias("rank"))
+
+
+def article_order() -> list:
+    """By article number; without one by the number at the end of the id, and last what has neither."""
+    n, k = F.expr("try_cast(article AS INT)"), F.regexp_extract("id", r"_chunk_(\d+)$", 1)
+    return [F.when(n.isNotNull(), 0).otherwise(1), F.coalesce(n, F.when(k != "", k.cast("int")).otherwise(10**9)), F.col("id")]
 
 
-@query(f"SELECT id FROM {_CHUNKS} WHERE law = '02/L-10' AND CAST(article AS INT) <= 10 ORDER BY CAST(article AS INT) LIMIT 5")
+@query(f"SELECT law, id, rank FROM (SELECT law, id, CAST(row_number() OVER (PARTITION BY law ORDER BY CAST(article AS INT), id) AS BIGINT) AS rank FROM ({_CHUNK}) c WHERE CAST(article AS INT) <= 10) x WHERE rank <= 5")
 def opening_articles(t: Tables) -> DataFrame:
-    return t.values(_CHUNKS_SPARK).where((F.col("law") == "02/L-10") & F.col("article").isin(*map(str, range(1, 11)))).orderBy(F.expr("try_cast(article AS INT)"), "id").select("id").limit(5)
+    opening = _chunks(t).where(F.col("article").isin(*map(str, range(1, 11))))
+    return opening.select("law", "id", F.row_number().over(Window.partitionBy("law").orderBy(*article_order())).cast("long").alias("rank")).where("rank <= 5")
 
 
-@query(f"SELECT id, article FROM {_CHUNKS} ORDER BY try_cast(article AS INT) IS NULL, try_cast(article AS INT), id")
+@query(f"SELECT law, id, CAST(row_number() OVER (PARTITION BY law ORDER BY CASE WHEN article IS NULL THEN 1 ELSE 0 END, CASE WHEN article IS NULL THEN doc_id % 20 ELSE n END, id) AS BIGINT) AS rank FROM ({_CHUNK}) c")
 def article_sort(t: Tables) -> DataFrame:
-    n = F.expr("try_cast(article AS INT)")
-    return t.values(_CHUNKS_SPARK).select("id", "article").orderBy(n.isNull(), n, "id")
+    return _chunks(t).select("law", "id", F.row_number().over(Window.partitionBy("law").orderBy(*article_order())).cast("long").alias("rank"))
 
 
-@query(f"SELECT a.id, p.id AS before, n.id AS after FROM {_CHUNKS.replace('AS c(', 'AS a(')} LEFT JOIN (SELECT * FROM {_CHUNKS}) p ON p.law = a.law AND CAST(p.article AS INT) = CAST(a.article AS INT) - 1 LEFT JOIN (SELECT * FROM {_CHUNKS}) n ON n.law = a.law AND CAST(n.article AS INT) = CAST(a.article AS INT) + 1")
-def chunk_adjacency(t: Tables) -> DataFrame:
-    rows = t.values(_CHUNKS_SPARK).select("id", "law", F.expr("try_cast(article AS INT)").alias("n"))
-    by = rows.groupBy("law", "n").agg(F.max("id").alias("other"))  # of repeats the last
-    before = by.select("law", (F.col("n") + 1).alias("n"), F.col("other").alias("before"))
-    after = by.select("law", (F.col("n") - 1).alias("n"), F.col("other").alias("after"))
-    return rows.join(before, ["law", "n"], "left").join(after, ["law", "n"], "left").select("id", "before", "after")
+_NEAR = "(SELECT law, {key} AS k, max(id) AS other FROM ({chunk}) c WHERE {key} IS NOT NULL GROUP BY law, {key})"
 
 
-@query(f"SELECT id, CASE WHEN id = 'c2' THEN 1 WHEN id IN ('c1', 'c3') THEN 2 WHEN id = 'c4' THEN 3 ELSE 4 END AS priority FROM {_CHUNKS} WHERE law = '02/L-10'")
+@query(f"""SELECT a.id, coalesce(p.other, pc.other) AS before, coalesce(n.other, nc.other) AS after FROM (SELECT *, doc_id % 20 AS c, CASE WHEN article IS NOT NULL THEN n END AS m FROM ({_CHUNK}) c) a
+LEFT JOIN {_NEAR.format(key='CASE WHEN article IS NOT NULL THEN n END', chunk=_CHUNK)} p ON p.law = a.law AND p.k = a.m - 1 LEFT JOIN {_NEAR.format(key='CASE WHEN article IS NOT NULL THEN n END', chunk=_CHUNK)} n ON n.law = a.law AND n.k = a.m + 1
+LEFT JOIN {_NEAR.format(key='doc_id % 20', chunk=_CHUNK)} pc ON pc.law = a.law AND pc.k = a.c - 1 LEFT JOIN {_NEAR.format(key='doc_id % 20', chunk=_CHUNK)} nc ON nc.law = a.law AND nc.k = a.c + 1""")
+def chunk_adjacency(t: Tables) -> DataFrame:
+    """The chunks of the articles before and after; without article numbers those whose ids are next to it."""
+    number, place = F.expr("try_cast(article AS INT)"), F.regexp_extract("id", r"_chunk_(\d+)$", 1).cast("int")
+    out = _chunks(t).select("law", "id", number.alias("number"), place.alias("place"))
+    for name, step in (("before", -1), ("after", 1)):
+        for key in ("number", "place"):
+            by = out.where(F.col(key).isNotNull()).groupBy("law", (F.col(key) - step).alias(key)).agg(F.max("id").alias(f"{name}_{key}"))  # of repeats the last
+            out = out.join(by, ["law", key], "left")
+    return out.select("id", F.coalesce("before_number", "before_place").alias("before"), F.coalesce("after_number", "after_place").alias("after"))
+
+
+@query(f"""SELECT law, id, CAST(row_number() OVER (PARTITION BY law ORDER BY priority, doc_id) AS BIGINT) AS rank FROM (SELECT c.law, c.doc_id, c.id, CASE WHEN c.n = a.asked THEN 1 WHEN abs(c.n - a.asked) = 1 THEN 2 END AS priority,
+bool_or(c.n = a.asked AND NOT (c.doc_id % 7 = 0 AND c.doc_id % 2 = 1)) OVER (PARTITION BY c.law) AS any_start, c.doc_id % 7 = 0 AND c.doc_id % 2 = 1 AS untitled FROM ({_CHUNK}) c JOIN ({_ASKED}) a USING (law)) x WHERE any_start AND ((priority = 1 AND NOT untitled) OR priority = 2)""")
 def citation_fallback_rank(t: Tables) -> DataFrame:
-    c = F.col("content")
-    heads = F.regexp_extract_all(F.substring(c, 1, 400), F.lit(lawnum.HEADER), F.lit(1))
-    n = F.expr("try_cast(article AS INT)")
-    return t.values(_CHUNKS_SPARK).where("law = '02/L-10'").select("id", F.when(F.array_contains(heads, "6"), 1).when(n.isin(5, 7), 2).when(F.size(heads) > 0, 3).otherwise(4).alias("priority"))
+    """Without article numbers: what starts the article asked for, its neighbours by id, other starts, what mentions it; nothing for a law in which no chunk starts it."""
+    rows = _chunks(t).join(_asked(t), "law").withColumn("place", F.regexp_extract("id", r"_chunk_(\d+)$", 1).cast("int"))
+    article = F.col("asked").cast("string")
+    rows = rows.withColumn("starts", lawnum.starts_article(F.col("content"), article)).withColumn("mentions", lawnum.mentions_article(F.col("content"), article))
+    primary = rows.where("starts").groupBy("law").agg(F.min(F.struct("doc_id", "place")).alias("primary"))
+    ranked = rows.join(primary, "law").withColumn("priority", F.when(F.col("doc_id") == F.col("primary.doc_id"), 1).when(F.abs(F.col("place") - F.col("primary.place")) == 1, 2).when(F.col("starts"), 3).when(F.col("mentions"), 4))
+    return ranked.where("priority IS NOT NULL").select("law", "id", F.row_number().over(Window.partitionBy("law").orderBy("priority", "doc_id")).cast("long").alias("rank"))
 
 
 _WANTED = "(VALUES (1, '04/L-77'), (2, 'KUV-06/L-074-KOD'), (3, '99/L-1')) AS w(qid, law)"
@@ -110,7 +151,7 @@ _WANTED = "(VALUES (1, '04/L-77'), (2, 'KUV-06/L-074-KOD'), (3, '99/L-1')) AS w(
 @query("SELECT * FROM (VALUES (1, 'NR.04/L-77'), (2, '06/L-074'), (3, NULL)) AS e(qid, found)")
 def variant_probe(t: Tables) -> DataFrame:
     tried = t.values(_WANTED).select("qid", F.posexplode(lawnum.variants(F.col("law"))).alias("pos", "spelling"))
-    stored = t.values(_CHUNKS_SPARK).select("law").distinct()
+    stored = t.values("(VALUES ('NR.04/L-77'), ('06/L-074'), ('02/L-10')) AS c(law)")
     return tried.join(stored, F.col("spelling") == F.col("law"), "left").groupBy("qid").agg(F.min_by("law", F.when(F.col("law").isNotNull(), F.col("pos"))).alias("found"))
 
 
@@ -130,11 +171,11 @@ def law_status(t: Tables) -> DataFrame:
     return roles.groupBy("law").agg(F.max("rank").alias("rank")).select("law", F.when(F.col("rank") == 3, "fully_abolished").when(F.col("rank") == 2, "partially_abolished").otherwise("abolisher").alias("status"))
 
 
-@query(f"SELECT c.id, r.law IS NOT NULL AS is_abolished, coalesce(r.by_laws, '') AS by_laws FROM (SELECT id, CASE WHEN id = 'c1' THEN '03/L-212' WHEN id = 'c2' THEN '04/L-051' ELSE law END AS law FROM {_CHUNKS}) c LEFT JOIN (SELECT abolished AS law, string_agg(abolishing, ',' ORDER BY abolishing) AS by_laws FROM {_REGISTRY} GROUP BY abolished) r ON r.law = c.law")
+@query(f"SELECT c.doc_id, r.law IS NOT NULL AS is_abolished, coalesce(r.by_laws, '') AS by_laws FROM (SELECT doc_id, {_RAW_LAW} AS law FROM documents) c LEFT JOIN (SELECT abolished AS law, string_agg(abolishing, ',' ORDER BY abolishing) AS by_laws FROM {_REGISTRY} GROUP BY abolished) r ON r.law = c.law")
 def enrich_abolished(t: Tables) -> DataFrame:
-    sources = t.values(_CHUNKS_SPARK).select("id", F.when(F.col("id") == "c1", "03/L-212").when(F.col("id") == "c2", "04/L-051").otherwise(F.col("law")).alias("law"))
+    sources = t.documents.select("doc_id", lawnum.canonical(F.expr(_RAW)).alias("law"))
     registry = registry_by_abolished(t).select("law", "by_laws")
-    return sources.join(registry, "law", "left").select("id", F.col("by_laws").isNotNull().alias("is_abolished"), F.coalesce("by_laws", F.lit("")).alias("by_laws"))
+    return sources.join(registry, "law", "left").select("doc_id", F.col("by_laws").isNotNull().alias("is_abolished"), F.coalesce("by_laws", F.lit("")).alias("by_laws"))
 
 
 @query(f"SELECT published, CAST(try_strptime(published, '%d.%m.%Y') AS DATE) AS day FROM {_REGISTRY}")
@@ -161,48 +202,75 @@ def catalog_lookup(t: Tables) -> DataFrame:
     return asked.join(direct, "law", "left").join(fallback, "inner_law", "left").select("asked", F.coalesce("direct", "fallback").alias("title"))
 
 
-_ANSWER = "'Sipas nenit 8 të Ligjit 02/L-10, dhe Ligji 03/L-999 si dhe Ligjit Nr. 02/L-10, neni 5 vlen.'"
+# An answer a document: an article of a law, a law alone, and a law with the next article. What its sources cover is known by construction.
+_B = "CAST(doc_id % 1059 + 2 AS STRING)"
+_FIRST, _SECOND, _THIRD = f"'nenit ' || {_A} || ' të Ligjit ' || {_LAW}", f"'Ligji ' || {_Y}", f"'Ligjit Nr. ' || {_LAW} || ', neni ' || {_B}"
+_ANSWER = f"'Sipas ' || {_FIRST} || ', dhe ' || {_SECOND} || ' si dhe ' || {_THIRD} || ' vlen.'"
+_STORED = f"CASE WHEN doc_id % 2 = 0 THEN {_CODE} ELSE {_LAW} END"
+_SOURCES = f"""SELECT doc_id, 1 AS seq, 's1' AS source, {_STORED} AS law, {_A} AS article, '' AS content FROM documents WHERE doc_id % 3 <> 0
+UNION ALL SELECT doc_id, 2, 's2', {_STORED}, NULL, '## Neni ' || CASE WHEN doc_id % 5 = 0 THEN {_B} ELSE '0' END FROM documents UNION ALL SELECT doc_id, 3, 's3', {_Y}, '1', '' FROM documents WHERE doc_id % 4 = 0"""
+_CITED = f"""SELECT doc_id, 0 AS pos, {_LAW} AS law, {_A} AS article, doc_id % 3 <> 0 AS verified, CASE WHEN doc_id % 3 <> 0 THEN 's1' END AS source FROM documents
+UNION ALL SELECT doc_id, 1, {_Y}, NULL, doc_id % 4 = 0, CASE WHEN doc_id % 4 = 0 THEN 's3' END FROM documents UNION ALL SELECT doc_id, 2, {_LAW}, {_B}, doc_id % 5 = 0, CASE WHEN doc_id % 5 = 0 THEN 's2' END FROM documents"""
 
 
-@query("SELECT * FROM (VALUES (0, '02/L-10', '8', TRUE), (1, '03/L-999', NULL, FALSE), (2, '02/L-10', '5', TRUE)) AS e(pos, law, article, verified)")
+def _answers(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.expr(_ANSWER).alias("answer"))
+
+
+def cited(t: Tables) -> DataFrame:
+    return _answers(t).select("doc_id", F.posexplode(lawnum.citations(F.col("answer"))).alias("pos", "c")).select("doc_id", "pos", "c.law", "c.article")
+
+
+def verified(marks: DataFrame, sources: DataFrame) -> DataFrame:
+    """Of each citation (doc_id, pos, law, article): whether a source of its answer covers it, and which first. Sources are found
+    under their law's number and under the number within a code; a citation by either. An article must be a source's own or head its content."""
+    keys = sources.withColumn("key", F.explode(F.array_distinct(F.array_compact(F.array("law", lawnum.inner(F.col("law"))))))).select("doc_id", "key", "seq", "source", F.col("article").alias("s_article"), "content")
+    asked = marks.withColumn("key", F.coalesce(lawnum.inner(F.col("law")), "law"))
+    fits = F.col("article").isNull() | F.coalesce(F.col("s_article") == F.col("article"), F.lit(False)) | lawnum.starts_article(F.col("content"), F.col("article"), fixed.SOURCE_HEADER_REACH)
+    hits = asked.join(keys, ["doc_id", "key"], "left").groupBy("doc_id", "pos", "law", "article").agg(F.min(F.when(fits & F.col("source").isNotNull(), F.struct("seq", "source"))).alias("hit"))
+    return hits.select("doc_id", "pos", "law", "article", F.col("hit").isNotNull().alias("verified"), F.col("hit.source").alias("source"))
+
+
+def _checked(t: Tables) -> DataFrame:
+    t.documents.createOrReplaceTempView("documents")
+    return verified(cited(t), t.spark.sql(_SOURCES))
+
+
+@query(_CITED)
 def validate_citations(t: Tables) -> DataFrame:
-    cited = t.spark.range(1).select(F.posexplode(lawnum.citations(F.lit(_ANSWER.strip("'")))).alias("pos", "c")).select("pos", "c.law", "c.article")
-    sources = t.values("(VALUES ('s1', '02/L-10', '5', 0), ('s2', '02/L-10', '8', 1)) AS s(id, s_law, s_article, seq)")
-    by_law = cited.join(sources, F.col("law") == F.col("s_law"), "left")
-    fits = F.col("article").isNull() | (F.col("article") == F.col("s_article"))
-    return by_law.groupBy("pos", "law", "article").agg(F.coalesce(F.bool_or(F.col("id").isNotNull() & fits), F.lit(False)).alias("verified"))
+    return _checked(t)
 
 
-@query("SELECT * FROM (VALUES (0, '02/L-10', '8'), (1, '03/L-999', NULL), (2, '02/L-10', '5')) AS e(pos, law, article)")
+@query(f"SELECT doc_id, pos, law, article FROM ({_CITED}) c")
 def extract_citations(t: Tables) -> DataFrame:
-    return t.spark.range(1).select(F.posexplode(lawnum.citations(F.lit(_ANSWER.strip("'")))).alias("pos", "c")).select("pos", "c.law", "c.article")
+    return cited(t)
+
+
+_MARK = "CASE WHEN {} THEN '' ELSE '" + fixed.UNVERIFIED + "' END"
 
 
-@query("SELECT 'Sipas nenit 8 të Ligjit 02/L-10, dhe Ligji 03/L-999 [?] si dhe Ligjit Nr. 02/L-10, neni 5 vlen.' AS annotated")
+@query(f"SELECT doc_id, 'Sipas ' || {_FIRST} || {_MARK.format('doc_id % 3 <> 0')} || ', dhe ' || {_SECOND} || {_MARK.format('doc_id % 4 = 0')} || ' si dhe ' || {_THIRD} || {_MARK.format('doc_id % 5 = 0')} || ' vlen.' AS annotated FROM documents")
 def annotate_unverified(t: Tables) -> DataFrame:
-    text = F.lit(_ANSWER.strip("'"))
-    gaps, marks = F.split(text, lawnum.CITATION), lawnum.citations(text)
-    known = F.array(F.lit("02/L-10"))
-    shown = F.transform(marks, lambda m: F.concat(m["raw"], F.when(F.array_contains(known, m["law"]), "").otherwise(" [?]")))
-    return t.spark.range(1).select(F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), shown.alias("m")), lambda x: F.concat(x["g"], F.coalesce(x["m"], F.lit("")))), "").alias("annotated"))
+    truths = F.transform(F.array_sort(F.collect_list(F.struct("pos", "verified"))), lambda x: x["verified"])
+    return _answers(t).join(_checked(t).groupBy("doc_id").agg(truths.alias("ok")), "doc_id").select("doc_id", lawnum.annotated(F.col("answer"), F.col("ok")).alias("annotated"))
 
 
-@query("SELECT law FROM (VALUES ('02/L-10'), ('03/L-999'), ('06/L-074'), ('KUV-06/L-074-KOD')) AS e(law)")
+@query(f"SELECT DISTINCT law FROM (SELECT law FROM ({_CITED}) c UNION ALL SELECT {_RAW_LAW} FROM documents UNION ALL SELECT CASE doc_id % 8 WHEN 3 THEN {_LAW} WHEN 4 THEN {_SHORT} END FROM documents) x WHERE law IS NOT NULL")
 def authoritative_laws(t: Tables) -> DataFrame:
-    cited = extract_citations(t).select("law")
-    synthetic = t.values("(VALUES ('KUV-06/L-074-KOD'), ('02/L-10')) AS s(law)")
+    synthetic = t.documents.select(lawnum.canonical(F.expr(_RAW)).alias("law"))
     inners = synthetic.select(lawnum.inner(F.col("law")).alias("law")).where("law IS NOT NULL")
-    return cited.unionByName(synthetic).unionByName(inners).distinct()
+    return cited(t).select("law").unionByName(synthetic).unionByName(inners).distinct()
 
 
-@query(f"SELECT raw, regexp_replace(lower(replace(raw, ' ', '')), '^(nr\\.|nr|n\\.)', '') AS norm FROM {_RAW}")
+@query(f"SELECT doc_id, regexp_replace(lower(replace('NR. ' || {_RAW}, ' ', '')), '^(nr\\.|nr|n\\.)', '') AS norm FROM documents")
 def norm_law(t: Tables) -> DataFrame:
-    return t.values(_RAW).select("raw", F.regexp_replace(F.lower(F.replace("raw", F.lit(" "))), r"^(nr\.|nr|n\.)", "").alias("norm"))
+    return t.documents.select("doc_id", F.regexp_replace(F.lower(F.replace(F.expr(f"'NR. ' || {_RAW}"), F.lit(" "))), r"^(nr\.|nr|n\.)", "").alias("norm"))
 
 
-@query(f"SELECT raw, regexp_replace(raw, '[^A-Za-z0-9_-]', '_', 'g') AS safe, regexp_replace(raw, '_', '/') AS law FROM {_RAW}")
+@query(f"SELECT doc_id, regexp_replace({_RAW}, '[^A-Za-z0-9_-]', '_', 'g') AS safe, regexp_replace({_RAW}, '_', '/') AS law FROM documents")
 def dirname_to_law(t: Tables) -> DataFrame:
-    return t.values(_RAW).select("raw", F.regexp_replace("raw", r"(?U)[^\w-]", "_").alias("safe"), F.regexp_replace("raw", "^([^_]*)_", "$1/").alias("law"))
+    raw = F.expr(_RAW)
+    return t.documents.select("doc_id", F.regexp_replace(raw, r"(?U)[^\w-]", "_").alias("safe"), F.regexp_replace(raw, "^([^_]*)_", "$1/").alias("law"))
 
 
 @query(f"SELECT DISTINCT law, 'Ligji ' || law || ' (' || CASE WHEN law = '03/L-212' THEN 'pjesërisht' ELSE 'plotësisht' END || ')' AS warning FROM (VALUES ('03/L-212'), ('04/L-051'), ('2004/2'), ('x')) AS e(law)")
