@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketry.functions.text import FOLDED_STOPWORDS, TOKEN
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -35,3 +37,11 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
         return f
 
     return add
+
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in FOLDED_STOPWORDS)
+
+
+def tokens_sql(c: str) -> str:
+    """The tokens of a text, in SQL."""
+    return f"list_filter(list_transform(regexp_extract_all(lower({c}), '{TOKEN}'), lambda x: translate(x, 'ëç', 'ec')), lambda x: (length(x) >= 3 OR regexp_matches(x, '^[0-9]+$')) AND NOT list_contains([{_STOP}], x))"

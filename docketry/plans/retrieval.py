@@ -5,22 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.text import FOLDED_STOPWORDS, TOKEN, tokens
+from docketry.functions.text import tokens
 from docketry.operators import retrieval as R
-from docketry.plans.base import Tables, query
-
-_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in FOLDED_STOPWORDS)
-
-
-def _tokens_sql(c: str) -> str:
-    return f"list_filter(list_transform(regexp_extract_all(lower({c}), '{TOKEN}'), lambda x: translate(x, 'ëç', 'ec')), lambda x: (length(x) >= 3 OR regexp_matches(x, '^[0-9]+$')) AND NOT list_contains([{_STOP}], x))"
-
+from docketry.plans.base import Tables, query, tokens_sql
 
 _CTE = f"""WITH q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 20),
 v AS (SELECT vec_id AS doc, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 dense AS (SELECT q.qid, v.doc, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS dense FROM q, v),
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc) AS rank FROM dense) x WHERE rank <= 200),
-tok AS (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents),
+tok AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents),
 qt AS (SELECT doc_id AS qid, list_slice(t, 1, 8) AS t FROM tok WHERE doc_id < 20),
 pd AS (SELECT p.qid, p.doc, tok.t, len(tok.t) AS dl FROM pool p JOIN tok ON tok.doc_id = p.doc),
 stats AS (SELECT qid, count(*) AS n, avg(dl) AS avgdl FROM pd GROUP BY qid),
@@ -134,6 +127,6 @@ def score_band(t: Tables) -> DataFrame:
     return t.values(_BANDS).select(s.alias("score"), F.when((F.col("kind") == "status_verdict") | (s >= 0.5), "strong").when(s >= 0.3, "moderate").when(s >= 0.18, "topical").otherwise("weak").alias("band"))
 
 
-@query(f"SELECT a.doc_id, CAST(len(list_distinct(a.t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents) a")
+@query(f"SELECT a.doc_id, CAST(len(list_distinct(a.t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents) a")
 def distinct_tokens(t: Tables) -> DataFrame:
     return _texts(t).select("doc_id", F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"))
