@@ -6,7 +6,7 @@ strings hold it at the same place; so a string that starts in two documents has
 dealt by hash, and only anchors whose gram is in two documents send on the suffixes that they own.
 
 Those are dealt by gram into suffix buckets, and a task sorts one bucket at a time. Suffixes are ordered by their first and
-last 8 bytes; ties are resolved by precomputed ranks of a difference-cover sample: positions whose residue modulo 7 is 0, 1 or
+last 8 bytes; ties are resolved by ranks, computed before, of a difference-cover sample: positions whose residue modulo 7 is 0, 1 or
 3 are ranked by the 42 bytes that follow them (by doubling), and any two positions have a common distance of less than 7 to
 sample positions. So memory is bounded by the bucket, however long the passages are that tie.
 
@@ -15,8 +15,8 @@ smallest doc_id are dealt by gram; equal pieces in one task are settled there in
 occurrences even so has its suffixes dealt one by one, by their own content.
 
 Strings are judged on the input, overlaps count, matches never cross documents. Rows without doc_id are no documents. Null texts are empty; texts shorter than
-LENGTH bytes lose nothing. Rows that share a doc_id are repeats of one document and get the same result (should
-their texts differ, that of the smallest text). An empty table gives no rows.
+LENGTH bytes lose nothing. Rows that share a doc_id are each judged
+against documents of smaller doc_id, never against one another. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from docketry.llm.common import saved, slices, texts_of
 LENGTH = 50
 GRAM = 16
 HEAVY = 1 << 17
+#: Anchors that a task holds before it sends them on.
+HELD = 1 << 22
 #: A suffix bucket is sorted in parts of about PART rows, which hold all rows of a gram; PARTS is the most that a bucket has.
 PART, PARTS = 1 << 14, 64
 #: Difference cover modulo PERIOD: every distance is a difference of two of its residues.
@@ -105,7 +107,7 @@ def _unplanes(data: bytes, n: int, kind: str) -> np.ndarray:
 
 
 #: Names of a blob's columns; docs and offsets are stored as differences, in 8 bytes of which most are zero.
-_KINDS = {"doc": "<i8", "at": "<i8", "hash": "<u8", "place": "u1", "count": "u1", "known": "u1", "part": "u1", "mask": "<u8"}
+_KINDS = {"doc": "<i8", "at": "<i8", "hash": "<u8", "place": "u1", "count": "u1", "known": "u1", "part": "u1", "copy": "<u4", "mask": "<u8"}
 
 
 def pack(**columns: np.ndarray) -> bytes:
@@ -154,13 +156,17 @@ def _row(bucket: int, kind: int, blob: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], schema=_ROWS)
 
 
+#: Document buckets are dealt by doc_id times a factor modulo a prime, which Spark and numpy compute alike and without overflow.
+_PRIME, _FACTOR = (1 << 31) - 1, 1_103_515_245
+
+
 def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
-    return (doc % buckets).astype(np.int64)
+    return doc % _PRIME * _FACTOR % _PRIME % buckets
 
 
-def _grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grouped(hashes: np.ndarray, stable: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(order by hash, number of the hash for each row in that order)."""
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes, kind="stable" if stable else None)
     h = hashes[order]
     return order, np.cumsum(np.concatenate(([False], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
 
@@ -180,6 +186,27 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         doc, shift = np.array([d for d, _, _ in pieces]), np.array([o for _, o, _ in pieces]) - (ends - [len(p) for _, _, p in pieces])
         held.append((h, doc[k], at + shift[k], place.astype(np.uint8), count.astype(np.uint8)))
 
+    def flush() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        h, doc, at, place, count = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order, group = _grouped(h)
+        if not len(order):
+            return
+        first = np.flatnonzero(np.concatenate(([True], np.diff(group) != 0)))
+        low, high = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+        shared, later = np.empty(len(h), bool), np.empty(len(h), bool)
+        shared[order] = (low != high)[group]
+        later[order] = doc[order] != low[group]
+        columns = {"hash": h, "doc": doc, "at": at, "place": place, "count": count, "known": shared.astype(np.uint8)}
+        sent = np.flatnonzero(~later)
+        for b, rows in _by_bucket((h[sent] % np.uint64(buckets)).astype(np.int64), {k: v[sent] for k, v in columns.items()}):
+            yield _row(b, 0, pack(**rows))
+        rest = np.flatnonzero(later)
+        for b, rows in _by_bucket(_doc_bucket(doc[rest], buckets), {k: columns[k][rest] for k in ("doc", "at", "place", "count")}):
+            yield _row(b, 1, pack(**rows))
+
     waiting: list[tuple[int, int, bytes]] = []
     size = 0
     for batch in slices(batches):
@@ -192,27 +219,11 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
                 if size >= _BLOCK:
                     scan(waiting)
                     waiting, size = [], 0
+                    if sum(len(rows[0]) for rows in held) >= HELD:
+                        yield from flush()
     if waiting:
         scan(waiting)
-    if not held:
-        return
-    h, doc, at, place, count = (np.concatenate(c) for c in zip(*held, strict=True))
-    held.clear()
-    order, group = _grouped(h)
-    if not len(order):
-        return
-    first = np.flatnonzero(np.concatenate(([True], np.diff(group) != 0)))
-    low, high = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
-    shared, later = np.empty(len(h), bool), np.empty(len(h), bool)
-    shared[order] = (low != high)[group]
-    later[order] = doc[order] != low[group]
-    columns = {"hash": h, "doc": doc, "at": at, "place": place, "count": count, "known": shared.astype(np.uint8)}
-    sent = np.flatnonzero(~later)
-    for b, rows in _by_bucket((h[sent] % np.uint64(buckets)).astype(np.int64), {k: v[sent] for k, v in columns.items()}):
-        yield _row(b, 0, pack(**rows))
-    rest = np.flatnonzero(later)
-    for b, rows in _by_bucket(_doc_bucket(doc[rest], buckets), {k: columns[k][rest] for k in ("doc", "at", "place", "count")}):
-        yield _row(b, 1, pack(**rows))
+    yield from flush()
 
 
 def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
@@ -279,17 +290,15 @@ def _find_shared(batches: Iterator[pa.RecordBatch], buckets: int, heavy: int) ->
 # --- suffixes of shared anchors -----------------------------------------------------------------------------------------
 
 
-def _buffer(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(bytes, doc_ids in ascending order, start of each, their texts): one text a doc_id, the smallest."""
-    by: dict[int, bytes] = {}
-    for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
-        data = text.encode()
-        if doc not in by or data < by[doc]:
-            by[doc] = data
-    ids = sorted(by)
-    texts = [by[d] for d in ids]
+def _buffer(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], list[int]]:
+    """(bytes, doc_ids in ascending order, start of each, their texts, and each row's place among these): a doc_id is there once
+    for each of its different texts, in their order."""
+    rows = list(zip(docs["doc_id"].to_pylist(), (t.encode() for t in docs["text"].to_pylist()), strict=True))
+    distinct = sorted(set(rows))
+    place = {key: k for k, key in enumerate(distinct)}
+    texts = [t for _, t in distinct]
     starts = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    return np.frombuffer(b"".join(texts), np.uint8), np.array(ids, np.int64), starts, texts
+    return np.frombuffer(b"".join(texts), np.uint8), np.array([d for d, _ in distinct], np.int64), starts, texts, [place[key] for key in rows]
 
 
 def _cut_out(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -301,17 +310,21 @@ def _cut_out(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _send_suffixes(docs: pa.Table, shared: pa.Table, buckets: int, heavy: np.ndarray) -> pa.Table:
     """Strings of shared anchors for suffix buckets (kind 0), and strings already seen to be repeated for document buckets (kind 1)."""
     out: list[pa.RecordBatch] = []
-    data, ids, starts, _ = _buffer(docs)
+    data, ids, starts, _, _ = _buffer(docs)
     found = [unpack(blob, "doc", "at", "place", "count") for blob in shared["blob"].to_pylist()]
     if found and len(ids):
         doc, at, place, count = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in ("doc", "at", "place", "count"))
-        k = np.minimum(np.searchsorted(ids, doc), len(ids) - 1)
-        fits = (ids[k] == doc) & (starts[k] + at + count + LENGTH - 1 <= starts[k + 1])
-        doc, at, place, count, k = (v[fits] for v in (doc, at, place, count, k))
+        low, high = np.searchsorted(ids, doc), np.searchsorted(ids, doc, "right")
+        texts = high - low  # an anchor is tried in each text of its doc_id
+        copy = np.arange(int(texts.sum())) - np.repeat(np.cumsum(texts) - texts, texts)
+        doc, at, place, count, low = (np.repeat(v, texts) for v in (doc, at, place, count, low))
+        k = low + copy
+        fits = starts[k] + at + count + LENGTH - 1 <= starts[k + 1]
+        doc, at, place, count, copy, k = (v[fits] for v in (doc, at, place, count, copy, k))
         here = starts[k] + at
         if len(here):
             by = np.lexsort((at, doc))
-            doc, at, place, count, here = (v[by] for v in (doc, at, place, count, here))
+            doc, at, place, count, copy, here = (v[by] for v in (doc, at, place, count, copy, here))
             padded = np.concatenate((data, np.zeros(2 * LENGTH, np.uint8)))
             hashes = np.concatenate([_gram_hashes(padded[(here + place)[a : a + _BLOCK // 16, None] + np.arange(GRAM)])[:, 0] for a in range(0, len(here), _BLOCK // 16)])
             if len(heavy) and (hot := np.isin(hashes, heavy)).any():
@@ -319,13 +332,13 @@ def _send_suffixes(docs: pa.Table, shared: pa.Table, buckets: int, heavy: np.nda
                 step = np.arange(len(each)) - np.repeat(np.cumsum(count[hot]) - count[hot], count[hot])
                 one = np.ones(len(each), np.int64)
                 whole = _row_hashes(padded, here[each] + step, one)
-                doc, at, here, count, hashes = (np.concatenate((v[~hot], w)) for v, w in ((doc, doc[each]), (at, at[each] + step), (here, here[each] + step), (count, one), (hashes, whole)))
+                doc, at, copy, here, count, hashes = (np.concatenate((v[~hot], w)) for v, w in ((doc, doc[each]), (at, at[each] + step), (copy, copy[each]), (here, here[each] + step), (count, one), (hashes, whole)))
             keep, done = _settle(padded, here, count, doc)
-            for b, rows in _by_bucket(_doc_bucket(doc[done], buckets), {"doc": doc[done], "at": at[done], "mask": (np.uint64(1) << count[done].astype(np.uint64)) - np.uint64(1)}):
+            for b, rows in _by_bucket(_doc_bucket(doc[done], buckets), {"doc": doc[done], "at": at[done], "copy": copy[done], "mask": (np.uint64(1) << count[done].astype(np.uint64)) - np.uint64(1)}):
                 out.append(_row(b, 1, pack(**rows)))
-            for b, rows in _by_bucket((hashes[keep] % np.uint64(buckets)).astype(np.int64), {"doc": doc[keep], "at": at[keep], "count": count[keep], "here": here[keep], "part": (hashes[keep] // np.uint64(buckets) % np.uint64(PARTS)).astype(np.uint8)}):
+            for b, rows in _by_bucket((hashes[keep] % np.uint64(buckets)).astype(np.int64), {"doc": doc[keep], "at": at[keep], "count": count[keep], "copy": copy[keep], "here": here[keep], "part": (hashes[keep] // np.uint64(buckets) % np.uint64(PARTS)).astype(np.uint8)}):
                 text = _cut_out(data, rows["here"], rows["count"] + LENGTH - 1)
-                out.append(_row(b, 0, pack(doc=rows["doc"], at=rows["at"], count=rows["count"], part=rows["part"], text=text)))
+                out.append(_row(b, 0, pack(doc=rows["doc"], at=rows["at"], count=rows["count"], copy=rows["copy"], part=rows["part"], text=text)))
     return pa.Table.from_batches(out, _ROWS)
 
 
@@ -343,7 +356,7 @@ def _row_hashes(data: np.ndarray, here: np.ndarray, count: np.ndarray) -> np.nda
 
 def _settle(data: np.ndarray, here: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows to be sorted elsewhere, rows that equal one of a smaller doc_id here); rows of equal bytes are compared, not only their hashes."""
-    order, group = _grouped(_row_hashes(data, here, count))
+    order, group = _grouped(_row_hashes(data, here, count), stable=True)
     first = np.flatnonzero(np.concatenate(([True], np.diff(group) != 0)))
     lead = order[first][group]  # the first row of the same hash: of the smallest doc_id, as rows come in that order
     low = np.minimum.reduceat(doc[order], first)[group]
@@ -363,35 +376,31 @@ def _settle(data: np.ndarray, here: np.ndarray, count: np.ndarray, doc: np.ndarr
 
 def _dense(keys: np.ndarray) -> np.ndarray:
     """The rank of each key among the distinct keys."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     out = np.empty(len(keys), np.int64)
     out[order] = np.cumsum(np.concatenate(([False], k[1:] != k[:-1])))
     return out
 
 
-def _cover_index(position: np.ndarray) -> np.ndarray:
-    """Where a sample position stands in the sample."""
-    table = np.full(PERIOD, -1)
-    table[list(COVER)] = range(len(COVER))
-    return len(COVER) * (position // PERIOD) + table[position % PERIOD]
-
-
-def _cover_ranks(words: np.ndarray) -> np.ndarray:
-    """Ranks of the sample positions by their next DEPTH bytes, by doubling; `words` are the 8 bytes from each position on."""
-    n = len(words) // PERIOD
-    sample = (np.arange(n)[:, None] * PERIOD + np.array(COVER)).ravel()
-    r7 = _dense(words[sample] >> np.uint64(8))
-    step = len(COVER)
+def _cover_ranks(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the sample positions that suffixes starting at `starts` reach, by their next DEPTH bytes, by doubling, and the number of
+    each period's first rank among them; `words` are the 8 bytes from each position on."""
+    n, step = len(words) // PERIOD, len(COVER)
+    reached = np.bincount(starts // PERIOD, minlength=n + 1)[: n + 1] - np.bincount(np.minimum((starts + PERIOD + DEPTH) // PERIOD + 1, n), minlength=n + 1)[: n + 1]
+    periods = np.flatnonzero(np.cumsum(reached)[:n] > 0)
+    number = np.zeros(n, np.int64)
+    number[periods] = step * np.arange(len(periods))
+    r7 = _dense(words[(periods[:, None] * PERIOD + np.array(COVER)).ravel()] >> np.uint64(8))
 
     def joined(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
         after = np.zeros(len(left), np.int64)
-        after[: len(left) - shift] = right[shift:]
+        after[: max(0, len(left) - shift)] = right[shift:]
         return _dense((left << 32) | after)
 
     r14 = joined(r7, r7, step)
     r28 = joined(r14, r14, 2 * step)
-    return joined(r28, r14, 4 * step)
+    return joined(r28, r14, 4 * step), number
 
 
 def first_documents(text: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -411,14 +420,16 @@ def first_documents(text: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> n
     tie = group[size[group] > 1]
     if not len(tied):
         return out
-    ranks = _cover_ranks(words)
     position = starts[tied]
+    ranks, number = _cover_ranks(words, position)
+    place = np.zeros(PERIOD, np.int64)
+    place[list(COVER)] = range(len(COVER))
     for distance in range(PERIOD):  # any two tied suffixes meet at one distance at least
         at = position + distance
         rows = np.flatnonzero(np.isin(at % PERIOD, COVER))
         if not len(rows):
             continue
-        by, same = _grouped(((tie[rows] << 32) | ranks[_cover_index(at[rows])]).view(np.uint64))
+        by, same = _grouped(((tie[rows] << 32) | ranks[number[at[rows] // PERIOD] + place[at[rows] % PERIOD]]).view(np.uint64))
         edge = np.flatnonzero(np.concatenate(([True], np.diff(same) != 0)))
         who = tied[rows[by]]
         out[who] = np.minimum(out[who], np.minimum.reduceat(docs[who], edge)[same])
@@ -439,15 +450,15 @@ def _parts(part: np.ndarray) -> Iterator[np.ndarray]:
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Which strings of each row also start in a smaller document (a bit each), for document buckets."""
-    out = _Outbox(buckets, "doc", "at", "mask")
+    out = _Outbox(buckets, "doc", "at", "copy", "mask")
     for b, rows in _buckets_of(batches):
         for kind, blob in rows:
             if kind == 1:
                 yield _row(b, 1, blob)
-        found = [unpack(blob, "doc", "at", "count", "part", "text") for kind, blob in rows if kind == 0]
+        found = [unpack(blob, "doc", "at", "count", "copy", "part", "text") for kind, blob in rows if kind == 0]
         if not found:
             continue
-        doc, at, count, part, text = (np.concatenate([f[k] for f in found]) for k in ("doc", "at", "count", "part", "text"))
+        doc, at, count, copy, part, text = (np.concatenate([f[k] for f in found]) for k in ("doc", "at", "count", "copy", "part", "text"))
         found = rows = None
         size = count.astype(np.int64) + LENGTH - 1
         start = np.cumsum(size) - size
@@ -461,47 +472,45 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
             mask = np.zeros(len(own), np.uint64)
             np.bitwise_or.at(mask, row[repeated], np.uint64(1) << step[repeated].astype(np.uint64))
             keep = mask != 0
-            yield from out.put(doc=who[keep], at=at[own][keep], mask=mask[keep])
+            yield from out.put(doc=who[keep], at=at[own][keep], copy=copy[own][keep], mask=mask[keep])
     yield from out.flush()
 
 
 # --- taking the bytes out ----------------------------------------------------------------------------------------------------
 
 
-def _removed(docs: pa.Table, strings: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(whether each byte goes, doc_ids, their starts, their texts)."""
-    data, ids, starts, texts = _buffer(docs)
+def _removed(docs: pa.Table, strings: pa.Table) -> tuple[list[np.ndarray], list[bytes], list[int]]:
+    """(whether each byte of each text goes, the texts, and each row's place among them)."""
+    data, ids, starts, texts, place = _buffer(docs)
     edge = np.zeros(len(data) + 1, np.int64)
     for blob in strings["blob"].to_pylist():
-        f = unpack(blob, "doc", "at", "mask")
-        k = np.searchsorted(ids, f["doc"])
+        f = unpack(blob, "doc", "at", "copy", "mask")
+        k = np.searchsorted(ids, f["doc"]) + f["copy"]
         here = starts[k] + f["at"]
         for bit in range(LENGTH - GRAM + 1):
             begin = here[(f["mask"] >> np.uint64(bit)) & np.uint64(1) == 1] + bit
             np.add.at(edge, begin, 1)
             np.add.at(edge, begin + LENGTH, -1)
-    return np.cumsum(edge[:-1]) > 0, ids, starts, texts
+    gone = np.cumsum(edge[:-1]) > 0
+    return [gone[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], texts, place
 
 
 def _digest(docs: pa.Table, strings: pa.Table) -> pa.Table:
-    gone, ids, starts, texts = _removed(docs, strings)
-    by = {}
-    for k, (doc, data) in enumerate(zip(ids.tolist(), texts, strict=True)):
-        g = gone[starts[k] : starts[k + 1]]
+    gone, texts, place = _removed(docs, strings)
+    by = []
+    for g, data in zip(gone, texts, strict=True):
         spans = int((g[1:] & ~g[:-1]).sum() + g[:1].sum())
         kept = np.frombuffer(data, np.uint8)[~g].tobytes() if spans else data
-        by[doc] = (len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest())
-    doc = docs["doc_id"].to_pylist()
-    columns = list(zip(*(by[d] for d in doc), strict=True)) if doc else [[]] * 4
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "n_bytes": pa.array(columns[0], pa.int64()), "n_removed": pa.array(columns[1], pa.int64()), "n_spans": pa.array(columns[2], pa.int64()), "kept_sha256": pa.array(columns[3], pa.string())})
+        by.append((len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    columns = list(zip(*(by[k] for k in place), strict=True)) if place else [[]] * 4
+    return pa.table({"doc_id": pa.array(docs["doc_id"].to_pylist(), pa.int64()), "n_bytes": pa.array(columns[0], pa.int64()), "n_removed": pa.array(columns[1], pa.int64()), "n_spans": pa.array(columns[2], pa.int64()), "kept_sha256": pa.array(columns[3], pa.string())})
 
 
 def _kept_texts(docs: pa.Table, strings: pa.Table) -> pa.Table:
-    gone, ids, starts, texts = _removed(docs, strings)
-    by = {d: np.frombuffer(t, np.uint8)[~gone[starts[k] : starts[k + 1]]].tobytes().decode(errors="ignore") for k, (d, t) in enumerate(zip(ids.tolist(), texts, strict=True))}
-    doc = docs["doc_id"].to_pylist()
-    rest = [docs[c] for c in docs.column_names if c not in ("b", "text")]
-    return pa.Table.from_arrays([*rest, pa.array([by[d] for d in doc], pa.string())], [*(c for c in docs.column_names if c not in ("b", "text")), "text"])
+    gone, texts, place = _removed(docs, strings)
+    kept = [np.frombuffer(t, np.uint8)[~g].tobytes().decode(errors="ignore") for g, t in zip(gone, texts, strict=True)]
+    rest = [c for c in docs.column_names if c not in ("b", "text")]
+    return pa.Table.from_arrays([*(docs[c] for c in rest), pa.array([kept[k] for k in place], pa.string())], [*rest, "text"])
 
 
 def _applied(docs: DataFrame, take_out: Callable, schema: str, heavy: int, buckets: int | None) -> DataFrame:
@@ -512,7 +521,7 @@ def _applied(docs: DataFrame, take_out: Callable, schema: str, heavy: int, bucke
     shared = saved(grams.repartition("b").sortWithinPartitions("b").mapInArrow(partial(_find_shared, buckets=buckets, heavy=heavy), _ROWS_SQL))
     # a gram is here only with over `heavy` occurrences of its own: at most one for as many anchors
     hot = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r["blob"], "<u8") for r in shared.where("kind = 2").collect())])
-    dealt = docs.withColumn("b", F.pmod("doc_id", F.lit(buckets)).cast("int"))
+    dealt = docs.withColumn("b", F.pmod(F.pmod(F.pmod("doc_id", F.lit(_PRIME)) * F.lit(_FACTOR).cast("long"), F.lit(_PRIME)), F.lit(buckets)).cast("int"))
     strings = dealt.groupBy("b").cogroup(shared.where("kind = 1").groupBy("b")).applyInArrow(lambda d, s: _send_suffixes(d, s, buckets, hot), _ROWS_SQL)
     strings = strings.repartition("b").sortWithinPartitions("b").mapInArrow(partial(_sort_buckets, buckets=buckets), _ROWS_SQL)
     return dealt.groupBy("b").cogroup(strings.groupBy("b")).applyInArrow(take_out, schema)

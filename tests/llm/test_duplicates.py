@@ -118,3 +118,33 @@ def test_long_texts_are_dealt_in_blocks(monkeypatch):
     whole = suffix_dedup.anchors(data, np.array([len(data)]))
     assert whole[3].sum() == len(data) - 49
     assert suffix_dedup.anchors(data[:49], np.array([49]))[3].sum() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """Each row is judged by itself, against smaller ids alone."""
+    first, second = TEXTS[7], TEXTS[0]
+    rows = [(1, first), (5, second), (5, first + " more"), (5, first + " more"), (9, second + " " + first), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.digests(docs).collect())
+    want = []
+    for k, t in rows:
+        data, smaller = (t or "").encode(), [(u or "").encode() for j, u in rows if j < k]
+        gone = np.zeros(len(data), bool)
+        for i in range(len(data) - 49):
+            if any(data[i : i + 50] in u for u in smaller):
+                gone[i : i + 50] = True
+        want.append((k, len(data), int(gone.sum()), hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_ids_of_one_residue_are_spread():
+    """Multiples of any number of buckets don't share one."""
+    for step in (64, 1 << 20, 10**6):
+        held = np.bincount(suffix_dedup._doc_bucket(np.arange(4096, dtype=np.int64) * step, 64), minlength=64)
+        assert held.max() < 3 * held.mean()
+
+
+def test_spark_and_numpy_deal_alike(spark):
+    docs = documents(spark)
+    got = suffix_dedup.digests(docs.selectExpr("doc_id * 64 AS doc_id", "text"), 1 << 17, 7)
+    assert {r.n_bytes for r in got.collect()} == {len((t or "").encode()) for t in TEXTS.values()}
