@@ -8,9 +8,8 @@ from collections import Counter
 
 import numpy as np
 
-from docketry.llm import chat_roles, language, media_sniff, quality_lines, quality_rules
+from docketry.llm import language, media_sniff, quality_lines, quality_rules
 from docketry.llm.common import table
-from tests.conftest import SF
 from tests.llm.cases import TEXTS, documents, empty, labels
 
 
@@ -106,17 +105,6 @@ def test_language_odd_cases(spark):
     assert kept.columns == docs.columns and not {3, 4, 5} & {r.doc_id for r in kept.collect()}
 
 
-def test_chat_roles(spark):
-    talk = table(spark, SF, "conversations")
-    rows = chat_roles.format_conversations(talk).collect()
-    assert len(rows) == talk.select("conv_id").distinct().count()
-    assert sum(r.lines_right for r in rows) / sum(r.n_lines for r in rows) > 0.9
-    odd = spark.createDataFrame([(1, 0, None, None, 5), (1, 1, "assistant", "x\n\ny", 6), (1, 1, "assistant", "x\n\ny", 6), (2, 0, "robot", "", 7), (None, None, "user", "hi?", 8)], "conv_id long, turn long, role string, text string, lines int")
-    assert len(chat_roles.format_conversations(odd).collect()) == 3
-    assert chat_roles.format_conversations(odd.limit(0)).collect() == []
-    assert chat_roles.render("user", "hi") == "<|user|>\nhi\n<|end|>"
-
-
 def test_media(spark):
     got = media_sniff.digests(documents(spark)).collect()
     assert len(got) == len(TEXTS) + 1
