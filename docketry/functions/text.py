@@ -12,6 +12,7 @@ STOPWORDS = (
     "ligji ligjit ligjin ligje ligjet neni nenit nenin nenet neneve"
 ).split()
 TOKEN = r"[A-Za-zëçËÇ]+|[0-9]+"
+LEAST_LETTERS = 3
 GARBLE_LEAST_WORDS = 15
 
 
@@ -29,9 +30,9 @@ def fold(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Folded tokens, of three characters or more unless digits, without stopwords; repeats stay."""
-    found = F.transform(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0)), fold)
-    stop = F.array(*map(F.lit, FOLDED_STOPWORDS))
-    return F.filter(found, lambda t: ((F.length(t) >= 3) | t.rlike("^[0-9]+$")) & ~F.array_contains(stop, t))
+    # the whole text is folded once; runs of fewer letters aren't even taken out
+    found = F.regexp_extract_all(fold(c), F.lit(f"[a-z]{{{LEAST_LETTERS},}}|[0-9]+"), F.lit(0))
+    return F.filter(found, lambda t: ~t.isin(FOLDED_STOPWORDS))
 
 
 def trimmed(c: Column) -> Column:

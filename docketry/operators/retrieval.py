@@ -1,8 +1,8 @@
 """Hybrid retrieval over batches of questions: dense top-k, BM25 over each question's pool, blend, rerank, cascade.
 
-Every statistic is of one question's pool, so everything is grouped by qid. The questions are a stated, small set that goes
-to where the vectors are; rank filters (row_number <= k) are pushed below the shuffle as group limits. Only texts that are in a
-pool are tokenized.
+Every statistic is of one question's pool, so everything is grouped by qid. The questions are a stated set that goes
+to where the vectors are, a block of BLOCK questions at a time; rank filters (row_number <= k) are pushed below the shuffle as group limits.
+Only texts that are in a pool are tokenized.
 """
 
 from __future__ import annotations
@@ -14,19 +14,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.streaming.turns import shared_dir
+
 # Pool, weight of the dense score, rerank pool, results; BM25 constants.
 POOL, ALPHA, RERANK_POOL, TOP = 200, 0.2, 20, 5
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Questions that are sent to the vectors together.
+BLOCK = 1024
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written once to the checkpoint folder that driver and executors share, and read from there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
 
 
 def dense_scores(questions: DataFrame, vectors: DataFrame, keep: int | None = None) -> DataFrame:
     """(qid, doc, dense): cosine of questions(qid, embedding) with vectors(doc, embedding), 0 where either is zero.
 
-    The questions are a stated set, gathered once and sent with the code; each Arrow batch of vectors is one matrix product.
+    The questions are a stated set, sent with the code a block of BLOCK at a time; each Arrow batch of vectors is one matrix product.
     With `keep`, a batch gives out only its best `keep` rows a question (by score, then doc): all that can be among the best
     `keep` overall, so that what is shuffled doesn't grow with the vectors' number times the questions'.
     """
-    asked = sorted((r["qid"], r["embedding"]) for r in questions.collect())
+    blocks = max(1, -(-questions.count() // BLOCK))
+    out = None
+    for k in range(blocks):
+        asked = sorted((r["qid"], r["embedding"]) for r in questions.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k).select("qid", "embedding").collect())  # about BLOCK rows
+        scores = _block_scores(asked, vectors, keep)
+        out = scores if out is None else out.unionByName(scores)
+    return out
+
+
+def _block_scores(asked: list[tuple[int, list[float]]], vectors: DataFrame, keep: int | None) -> DataFrame:
     qids, q = np.array([k for k, _ in asked], np.int64), np.array([v for _, v in asked], np.float64)
     q_norm = np.sqrt((q * q).sum(axis=1)) if len(q) else np.empty(0)
 
@@ -52,9 +73,12 @@ def top_k(df: DataFrame, k: int, *order: Column, by: str = "qid", rank: str = "r
 def bm25(pool: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, doc, bm25) of pool(qid, doc, tokens) for questions(qid, tokens). A term in over half a pool gets EPSILON times the mean
     idf of the pool; repeated question terms count each time."""
-    docs = pool.select("qid", "doc", F.size("tokens").alias("dl"), "tokens")
+    docs = pool.select("qid", "doc", F.size("tokens").alias("dl"))
     stats = docs.groupBy("qid").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = docs.select("qid", "doc", "dl", F.explode("tokens").alias("term")).groupBy("qid", "doc", "dl", "term").agg(F.count("*").alias("tf"))
+    # counted once for each text, however many pools it is in
+    texts = pool.groupBy("doc").agg(F.first("tokens").alias("tokens"))
+    counts = texts.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = docs.select("qid", "doc").join(kept(counts), "doc")
     df = tf.groupBy("qid", "term").agg(F.count("*").alias("df")).join(stats, "qid")
     raw = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.groupBy("qid").agg((EPSILON * F.avg("idf")).alias("low"))

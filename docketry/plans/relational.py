@@ -91,9 +91,20 @@ def client_metrics(t: Tables) -> DataFrame:
     return t.customer.join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "open", "closed")))
 
 
-@query("SELECT 'CASE-' || lpad(CAST(max(o_orderkey) + 1 AS VARCHAR), 9, '0') AS next_number FROM orders")
+def next_number(cases: DataFrame, number: str) -> DataFrame:
+    """The number after the latest; the first on an empty table."""
+    return cases.agg(F.format_string("CASE-%06d", F.coalesce(F.max(number), F.lit(0)) + 1).alias("next_number"))
+
+
+@query("SELECT printf('CASE-%06d', coalesce(max(o_orderkey), 0) + 1) AS next_number FROM orders")
 def next_case_number(t: Tables) -> DataFrame:
-    return t.orders.agg(F.concat(F.lit("CASE-"), F.lpad((F.max("o_orderkey") + 1).cast("string"), 9, "0")).alias("next_number"))
+    return next_number(t.orders, "o_orderkey")
+
+
+@query("SELECT n.n_nationkey AS office_id, printf('CASE-%06d', coalesce(max(c.c_custkey), 0) + 1) AS next_number FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9900 GROUP BY n.n_nationkey")
+def next_case_number_per_office(t: Tables) -> DataFrame:
+    rich = t.customer.where("c_acctbal > 9900").groupBy("c_nationkey").agg(F.max("c_custkey").alias("latest"))
+    return t.nation.join(rich, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("n_nationkey").alias("office_id"), F.format_string("CASE-%06d", F.coalesce("latest", F.lit(0)) + 1).alias("next_number"))
 
 
 @query("SELECT event_type AS status, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")
@@ -127,9 +138,9 @@ def recent_sessions(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last_turn")).orderBy(F.desc_nulls_first("last_turn"), "conv_id").limit(100)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_orderkey < 500 ORDER BY l_shipdate ASC NULLS LAST, l_orderkey, l_linenumber")
+@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate ASC NULLS LAST, l_orderkey, l_linenumber")
 def milestones_by_due(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_orderkey < 500").select("l_orderkey", "l_linenumber", "l_shipdate").orderBy(F.asc_nulls_last("l_shipdate"), "l_orderkey", "l_linenumber")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate").orderBy(F.asc_nulls_last("l_shipdate"), "l_orderkey", "l_linenumber")
 
 
 @query("SELECT event_id, ts FROM events WHERE event_type = 'purchase' ORDER BY ts DESC NULLS FIRST, event_id")

@@ -1,4 +1,4 @@
-"""Dense, lexical and hybrid retrieval: the vectors with ids 0 to 19 ask, all vectors answer; texts are the documents of the same id."""
+"""Dense, lexical and hybrid retrieval: every vector whose id is divisible by 50 asks, all vectors answer; texts are the documents of the same id."""
 
 from __future__ import annotations
 
@@ -9,12 +9,12 @@ from docketry.functions.text import tokens
 from docketry.operators import retrieval as R
 from docketry.plans.base import Tables, query, tokens_sql
 
-_CTE = f"""WITH q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 20),
+_CTE = f"""WITH q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0),
 v AS (SELECT vec_id AS doc, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 dense AS (SELECT q.qid, v.doc, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS dense FROM q, v),
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc) AS rank FROM dense) x WHERE rank <= 200),
 tok AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents),
-qt AS (SELECT doc_id AS qid, list_slice(t, 1, 8) AS t FROM tok WHERE doc_id < 20),
+qt AS (SELECT doc_id AS qid, t FROM tok WHERE doc_id % 50 = 0),
 pd AS (SELECT p.qid, p.doc, tok.t, len(tok.t) AS dl FROM pool p JOIN tok ON tok.doc_id = p.doc),
 stats AS (SELECT qid, count(*) AS n, avg(dl) AS avgdl FROM pd GROUP BY qid),
 tf AS (SELECT qid, doc, dl, term, count(*) AS tf FROM (SELECT qid, doc, dl, unnest(t) AS term FROM pd) x GROUP BY ALL),
@@ -31,7 +31,7 @@ rer AS (SELECT h.qid, h.doc, h.hrank, h.score, round(coalesce(len(list_intersect
 
 
 def _questions(t: Tables) -> DataFrame:
-    return t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding")
+    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 def _pool(t: Tables) -> DataFrame:
@@ -44,14 +44,14 @@ def _texts(t: Tables) -> DataFrame:
 
 
 def _question_tokens(t: Tables) -> DataFrame:
-    return t.documents.where("doc_id < 20").select(F.col("doc_id").alias("qid"), F.slice(tokens(F.col("text")), 1, 8).alias("tokens"))
+    return t.documents.where("doc_id % 50 = 0").join(t.embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), tokens(F.col("text")).alias("tokens"))
 
 
 def _pooled(t: Tables) -> DataFrame:
-    """(qid, doc, dense, rank, tokens) of the pools; kept, as several statistics are taken of it."""
-    pool = _pool(t)
+    """(qid, doc, dense, rank, tokens) of the pools; written once, as several statistics are taken of it."""
+    pool = R.kept(_pool(t))
     texts = t.documents.withColumnRenamed("doc_id", "doc").join(pool.select("doc").distinct(), "doc", "left_semi")
-    return pool.join(texts.select("doc", tokens(F.col("text")).alias("tokens")), "doc").cache()
+    return R.kept(pool.join(texts.select("doc", tokens(F.col("text")).alias("tokens")), "doc"))
 
 
 def _hybrid(t: Tables) -> DataFrame:
@@ -61,7 +61,7 @@ def _hybrid(t: Tables) -> DataFrame:
 
 def _reranked(t: Tables) -> DataFrame:
     best = R.top_k(_hybrid(t), R.RERANK_POOL, F.desc("score"), F.asc("rank"), rank="hrank")
-    return best.join(F.broadcast(_question_tokens(t).withColumnRenamed("tokens", "wanted")), "qid").withColumn("rerank", R.lexical_overlap(F.col("wanted"), F.col("tokens")))
+    return best.join(_question_tokens(t).withColumnRenamed("tokens", "wanted"), "qid").withColumn("rerank", R.lexical_overlap(F.col("wanted"), F.col("tokens")))
 
 
 @query(_CTE + "SELECT qid, doc, dense FROM dense")

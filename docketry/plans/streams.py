@@ -10,24 +10,40 @@ from pyspark.sql import functions as F
 from docketry.plans.base import Tables, query
 from docketry.streaming import turns as S
 
-_EVENTS = "(VALUES (1, 1, 'route', ''), (1, 2, 'sources', ''), (1, 3, 'delta', 'Hel'), (1, 4, 'delta', 'lo'), (1, 5, 'done', ''), (2, 1, 'route', ''), (2, 2, 'delta', 'par'), (3, 1, 'delta', 'x'), (3, 2, 'route', ''), (3, 3, 'error', '')) AS s(turn_id, seq, event, payload)"
+# What the events of a turn say, made from the events table: each user is a turn.
+_EVENTS_OF = """SELECT user_id AS turn_id, event_id AS seq, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AND user_id % 3 <> 0 THEN 'route' WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND user_id % 2 = 0 THEN 'done' WHEN event_type = 'error' THEN 'error' ELSE 'delta' END AS event, substr(event_type, 1, 2) AS payload FROM events"""
 
 
-@query("SELECT * FROM (VALUES (1, TRUE, TRUE), (2, TRUE, FALSE), (3, FALSE, TRUE)) AS e(turn_id, starts_right, ended)")
-def event_protocol(t: Tables) -> DataFrame:
-    return t.values(_EVENTS).groupBy("turn_id").agg((F.min_by("event", "seq") == "route").alias("starts_right"), F.bool_or(F.col("event").isin("done", "error")).alias("ended"))
+def _turns(t: Tables) -> DataFrame:
+    t.events.createOrReplaceTempView("events")
+    return t.spark.sql(_EVENTS_OF)
 
 
-@query(f"SELECT turn_id, string_agg(payload, '' ORDER BY seq) AS text FROM {_EVENTS} WHERE event = 'delta' GROUP BY turn_id")
+@query(f"SELECT turn_id, min_by(event, seq) = 'route' AS starts_right, bool_or(event IN ('done', 'error')) AS ended, coalesce(bool_and(event = 'delta' OR event IN ('done', 'error') AND seq = last OR event = 'route' AND seq = first), FALSE) AS in_order FROM (SELECT *, min(seq) OVER (PARTITION BY turn_id) AS first, max(seq) OVER (PARTITION BY turn_id) AS last FROM ({_EVENTS_OF}) e) x GROUP BY turn_id")
+def event_protocol(t: Tables) -> DataFrame:
+    """Whether a turn's events begin with the route, end, and hold nothing but deltas between."""
+    events, ends = _turns(t), F.col("event").isin("done", "error")
+    turns = events.groupBy("turn_id").agg(
+        (F.min_by("event", "seq") == "route").alias("starts_right"),
+        F.bool_or(ends).alias("ended"),
+        F.count_if(ends).alias("n_ends"),
+        F.count_if(F.col("event") == "route").alias("n_routes"),
+        F.max_by("event", "seq").isin("done", "error").alias("ends_last"),
+    )
+    tidy = (F.col("n_routes") <= F.col("starts_right").cast("int")) & (F.col("n_ends") <= F.col("ends_last").cast("int"))
+    return turns.select("turn_id", "starts_right", "ended", tidy.alias("in_order"))
+
+
+@query(f"SELECT turn_id, md5(string_agg(payload, '' ORDER BY seq)) AS digest FROM ({_EVENTS_OF}) e WHERE event = 'delta' GROUP BY turn_id")
 def concat_deltas(t: Tables) -> DataFrame:
-    return S.concat_deltas(t.values(_EVENTS))
+    return S.concat_deltas(_turns(t)).select("turn_id", F.md5("text").alias("digest"))
 
 
-@query("SELECT * FROM (VALUES (2, 'par [partial]')) AS e(turn_id, content)")
+@query(f"SELECT turn_id, md5(string_agg(payload, '' ORDER BY seq) FILTER (WHERE event = 'delta') || ' [partial]') AS digest FROM ({_EVENTS_OF}) e GROUP BY turn_id HAVING NOT bool_or(event IN ('done', 'error')) AND bool_or(event = 'delta')")
 def partial_persist(t: Tables) -> DataFrame:
-    events = t.values(_EVENTS)
+    events = _turns(t)
     ended = events.where(F.col("event").isin("done", "error")).select("turn_id")
-    return S.concat_deltas(events).join(ended, "turn_id", "left_anti").select("turn_id", F.concat("text", F.lit(" [partial]")).alias("content"))
+    return S.concat_deltas(events).join(ended, "turn_id", "left_anti").select("turn_id", F.md5(F.concat("text", F.lit(" [partial]"))).alias("digest"))
 
 
 @query("SELECT event_id, event_type, value FROM events WHERE value > 10")
@@ -47,6 +63,6 @@ def sessions(t: Tables) -> DataFrame:
     return t.events.select("user_id", F.col("ts").cast("timestamp").alias("at")).groupBy("user_id", F.session_window("at", "6 hours")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"))
 
 
-@query()
+@query("SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS last_ms, 'STREAM_TIMEOUT' AS event FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events) x WHERE n IS NULL OR epoch_us(n) // 1000 - epoch_us(ts) // 1000 > 300000")
 def stream_timeout(t: Tables) -> DataFrame:
     return S.timeouts(t.spark, f"{t.sf_dir}/events*.parquet", t.events.schema)

@@ -204,24 +204,32 @@ def delete_by_ids(t: Tables) -> DataFrame:
     return delete_keys(rows, rows.where("o_orderkey % 7 = 0"), "o_orderkey")
 
 
-@query("""SELECT 'client' AS kind, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_custkey % 10 <> 0
-UNION ALL SELECT 'case', CAST(count(*) AS BIGINT) FROM orders WHERE o_custkey % 10 <> 0
-UNION ALL SELECT 'invoice', CAST(count(*) AS BIGINT) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_custkey % 10 = 0)""")
+@query("""SELECT 'client' AS kind, c_custkey AS id, CAST(NULL AS BIGINT) AS part FROM customer WHERE c_custkey % 10 <> 0
+UNION ALL SELECT 'case', o_orderkey, NULL FROM orders WHERE o_custkey % 10 <> 0
+UNION ALL SELECT 'invoice', l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_custkey % 10 = 0)""")
 def cascade_delete_client(t: Tables) -> DataFrame:
+    """What is left once every tenth client is gone: clients, their cases, the cases' invoices."""
     gone = t.customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("o_custkey"))
     cases = t.orders.select("o_orderkey", "o_custkey")
     gone_cases = cases.join(gone, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
-    left = {"client": t.customer.join(gone, F.col("c_custkey") == F.col("o_custkey"), "left_anti"), "case": delete_keys(cases, gone, "o_custkey"), "invoice": delete_keys(t.lineitem.select("l_orderkey"), gone_cases, "l_orderkey")}
-    counted = [df.groupBy().agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, df in left.items()]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    none = F.lit(None).cast("long").alias("part")
+    clients = t.customer.join(gone, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("client").alias("kind"), F.col("c_custkey").alias("id"), none)
+    left = delete_keys(cases, gone, "o_custkey").select(F.lit("case").alias("kind"), F.col("o_orderkey").alias("id"), none)
+    invoices = delete_keys(t.lineitem.select("l_orderkey", "l_linenumber"), gone_cases, "l_orderkey").select(F.lit("invoice").alias("kind"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("part"))
+    return clients.unionByName(left).unionByName(invoices)
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN o.o_orderkey IS NULL THEN l_orderkey END AS case_id FROM lineitem l
-LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 6 = 0) o ON o.o_orderkey = l.l_orderkey""")
+# A case's rows, by their number: documents, milestones, invoices.
+_CASE_ROWS = "CASE l_linenumber % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'milestone' ELSE 'invoice' END"
+
+
+@query(f"""SELECT {_CASE_ROWS} AS kind, l_orderkey, l_linenumber, CASE WHEN o.o_orderkey IS NULL THEN l_orderkey END AS case_id FROM lineitem l
+LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 6 = 0) o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey IS NULL OR l_linenumber % 3 = 2""")
 def cascade_delete_case(t: Tables) -> DataFrame:
+    """Documents and milestones of a deleted case go with it, invoices stay without a case."""
     gone = t.orders.where("o_orderkey % 6 = 0").select("o_orderkey", F.lit(True).alias("gone"))
-    lines = t.lineitem.select("l_orderkey", "l_linenumber")
-    return lines.join(gone, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_orderkey", "l_linenumber", F.when(F.col("gone").isNull(), F.col("l_orderkey")).alias("case_id"))
+    rows = t.lineitem.select(F.expr(_CASE_ROWS).alias("kind"), "l_orderkey", "l_linenumber").join(gone, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return rows.where(F.col("gone").isNull() | (F.col("kind") == "invoice")).select("kind", "l_orderkey", "l_linenumber", F.when(F.col("gone").isNull(), F.col("l_orderkey")).alias("case_id"))
 
 
 @query("SELECT c_nationkey AS office_id, CAST(count(*) AS BIGINT) AS deleted FROM customer WHERE c_nationkey = 9 GROUP BY c_nationkey")
@@ -229,10 +237,39 @@ def delete_all_count(t: Tables) -> DataFrame:
     return TenantView(t.customer, 9, "c_nationkey").rows().groupBy(F.col("c_nationkey").alias("office_id")).agg(F.count("*").alias("deleted"))
 
 
-@query("SELECT s_suppkey AS user_id, CASE WHEN s_suppkey = 6 AND s_nationkey IS NOT NULL THEN 'refused' WHEN s_suppkey = 6 THEN 'owner' ELSE 'unchanged' END AS outcome FROM supplier")
+@query("""SELECT 'office' AS kind, CAST(1000 + s_suppkey AS BIGINT) AS office_id, CAST(NULL AS BIGINT) AS user_id, 'created' AS role FROM supplier WHERE s_suppkey % 7 = 0 AND s_acctbal < 0
+UNION ALL SELECT 'member', CASE WHEN s_suppkey % 7 = 0 AND s_acctbal < 0 THEN 1000 + s_suppkey WHEN s_acctbal < 0 THEN NULL ELSE s_nationkey END, s_suppkey, CASE WHEN s_suppkey % 7 = 0 AND s_acctbal < 0 THEN 'owner' WHEN s_acctbal < 0 THEN NULL ELSE 'member' END FROM supplier
+UNION ALL SELECT 'refused', s_nationkey, s_suppkey, NULL FROM supplier WHERE s_suppkey % 7 = 0 AND s_acctbal >= 0""")
 def create_office(t: Tables) -> DataFrame:
-    asks = F.col("s_suppkey") == 6
-    return t.supplier.select(F.col("s_suppkey").alias("user_id"), F.when(asks & F.col("s_nationkey").isNotNull(), "refused").when(asks, "owner").otherwise("unchanged").alias("outcome"))
+    """Every seventh user asks for an office: who has none (here: a negative balance) gets one and is stamped its owner, who has one is
+    refused. The offices made, all members after it, and the refusals."""
+    users = t.supplier.select(F.col("s_suppkey").alias("user_id"), F.when(F.col("s_acctbal") >= 0, F.col("s_nationkey")).cast("long").alias("office_id"))
+    asks, alone = F.col("user_id") % 7 == 0, F.col("office_id").isNull()
+    own = (F.lit(1000) + F.col("user_id")).cast("long")
+    made = users.where(asks & alone).select(F.lit("office").alias("kind"), own.alias("office_id"), F.lit(None).cast("long").alias("user_id"), F.lit("created").alias("role"))
+    members = users.select(F.lit("member").alias("kind"), F.when(asks & alone, own).otherwise(F.col("office_id")).alias("office_id"), F.col("user_id").cast("long").alias("user_id"), F.when(asks & alone, "owner").when(~alone, "member").alias("role"))
+    refused = users.where(asks & ~alone).select(F.lit("refused").alias("kind"), "office_id", F.col("user_id").cast("long").alias("user_id"), F.lit(None).cast("string").alias("role"))
+    return made.unionByName(members).unionByName(refused)
+
+
+@query("SELECT s_nationkey AS office_id, s_suppkey AS user_id, s_name AS name FROM supplier WHERE s_nationkey = 5")
+def list_members(t: Tables) -> DataFrame:
+    return TenantView(t.supplier, 5, "s_nationkey").rows().select(F.col("s_nationkey").alias("office_id"), F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("name"))
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_id % 11 = 0 AND event_type = 'view' THEN 'revoked' WHEN event_type = 'view' THEN 'pending' ELSE 'used' END AS status FROM events")
+def revoke_invite(t: Tables) -> DataFrame:
+    """Pending invites among those named are revoked; used ones stay as they are."""
+    pending = F.col("event_type") == "view"
+    return t.events.select("event_id", "user_id", F.when(pending & (F.col("event_id") % 11 == 0), "revoked").when(pending, "pending").otherwise("used").alias("status"))
+
+
+@query("SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN substr(repeat('title ' || CAST(conv_id AS VARCHAR) || ' ', 40), 1, 200) ELSE 'New chat' END AS title FROM (SELECT DISTINCT conv_id FROM conversations) x")
+def rename_session(t: Tables) -> DataFrame:
+    """Sessions are created as 'New chat'; every fourth is renamed, to 200 characters at most."""
+    made = t.conversations.select("conv_id").distinct().withColumn("title", F.lit("New chat"))
+    names = made.where("conv_id % 4 = 0").select("conv_id", F.left(F.repeat(F.concat(F.lit("title "), F.col("conv_id").cast("string"), F.lit(" ")), 40), F.lit(200)).alias("title"))
+    return upsert(made, names, "conv_id")
 
 
 _CHANGES = "(VALUES (1, 1, 'admin'), (1, 2, 'admin'), (1, 3, 'boss'), (1, 4, 'member'), (1, 9, CAST(NULL AS STRING))) AS t(actor, target, new_role)"

@@ -34,17 +34,18 @@ def incremental(spark: SparkSession, source: str, schema, build, out: str) -> Da
 
 
 def hourly_counts(spark: SparkSession, source: str, schema, late: str = "1 hour") -> DataFrame:
-    """Counts by hour and type from a stream with a watermark; hours still open when the stream ends are closed by completing it."""
+    """Counts by hour and type from a stream with a watermark: each batch gives out the hours it changed, and of an hour's rows the
+    latest batch's counts. State is kept only for hours that the watermark hasn't passed."""
     out = f"{shared_dir(spark)}/hourly-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(schema).parquet(source).withColumn("at", F.col("ts").cast("timestamp"))
     counts = rows.withWatermark("at", late).groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n"))
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.select(F.col("window.start").alias("hour"), "event_type", "n").write.mode("overwrite").parquet(f"{out}/rows")
+        batch.select(F.col("window.start").alias("hour"), "event_type", "n", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{out}/rows/lot={number}")
 
-    run = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").foreachBatch(write).trigger(availableNow=True).start()
+    run = counts.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").foreachBatch(write).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    return spark.read.parquet(f"{out}/rows").groupBy("hour", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 TIMEOUT_MS = 300_000
@@ -57,16 +58,22 @@ def _quiet(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         state.remove()
         yield pd.DataFrame({"user_id": [key[0]], "last_ms": [last], "event": ["STREAM_TIMEOUT"]})
         return
-    last = max([*(int(b["ms"].max()) for b in batches), *(state.get if state.exists else ())])
-    state.update((last,))
-    state.setTimeoutTimestamp(max(last + TIMEOUT_MS, state.getCurrentWatermarkMs() + 1))
+    seen = sorted([*(int(x) for b in batches for x in b["ms"]), *(state.get if state.exists else ())])
+    quiet = [a for a, b in zip(seen, seen[1:], strict=False) if b - a > TIMEOUT_MS]
+    if quiet:
+        yield pd.DataFrame({"user_id": [key[0]] * len(quiet), "last_ms": quiet, "event": ["STREAM_TIMEOUT"] * len(quiet)})
+    state.update((seen[-1],))
+    state.setTimeoutTimestamp(max(seen[-1] + TIMEOUT_MS, state.getCurrentWatermarkMs() + 1))
 
 
 def timeouts(spark: SparkSession, source: str, schema) -> DataFrame:
-    """(user_id, last_ms, event) of users who fell silent for TIMEOUT_MS, from a stream with a timer for each."""
+    """(user_id, last_ms, event) of every silence of over TIMEOUT_MS, from a stream with a timer for each user; whoever is silent when
+    the stream ends is closed with it."""
     out = f"{shared_dir(spark)}/timeouts-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(schema).parquet(source).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "0 seconds")
     timed = rows.select("user_id", "at", F.unix_millis("at").alias("ms")).groupBy("user_id").applyInPandasWithState(_quiet, "user_id long, last_ms long, event string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
     run = timed.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema("user_id long, last_ms long, event string").parquet(f"{out}/rows")
+    found = spark.read.schema("user_id long, last_ms long, event string").parquet(f"{out}/rows").distinct()
+    last = spark.read.schema(schema).parquet(source).groupBy("user_id").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("last_ms"))
+    return found.unionByName(last.join(found, ["user_id", "last_ms"], "left_anti").withColumn("event", F.lit("STREAM_TIMEOUT")))
