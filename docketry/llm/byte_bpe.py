@@ -25,7 +25,7 @@ END_ID = 0
 #: Texts that are encoded together: the more, the more of their parts are the same.
 BATCH = 1024
 #: What a worker keeps at most of either generation: ids of parts, and of the pieces that they are made of (about 200 bytes each).
-CACHE_PARTS, CACHE_WORDS = 400_000, 100_000
+CACHE_PARTS, CACHE_WORDS = 200_000, 50_000
 #: The vocabulary's pattern on ASCII without control characters other than tab, line feed and return.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 #: The pattern itself, used on text of ASCII and Latin letters, where every Unicode version has the same classes.
