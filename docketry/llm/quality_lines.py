@@ -4,13 +4,19 @@ A line's features are its own character statistics and those of the lines before
 neighbouring labels. Marginals come from the forward-backward pass, and a document's quality is the mean marginal of its
 lines, weighted by their length, put on the scale of the labels by a logistic curve.
 
-The field is trained on a bounded sample of labelled documents (TRAIN_ROWS), every line bearing its document's label. Null
-and empty texts are one empty line and are scored like any other. Repeated rows are scored each. Without labels of both
-classes every score is 1. An empty table gives no rows.
+Only documents are labelled, so the lines' labels are latent: the field's weights and the curve are learned together, by the
+likelihood of the documents' labels under the curve of their mean marginals. A document of good and bad lines may be bad as a whole
+without its good lines being so. The sample is bounded: TRAIN_ROWS labelled documents, of each a run of at most TRAIN_LINES
+lines; the lines' features are computed by the executors, and only these numbers come to the driver.
+
+Null and empty texts are one empty line and are scored like any other; a very long text is scored whole. Repeated rows are scored each.
+Rows without doc_id aren't scored; `keep_good` judges them by their text. Columns other than doc_id and text are ignored, and kept
+by `keep_good` whatever their names. Without labels of both classes every score is 1. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +29,9 @@ from docketry.llm.common import slices
 from docketry.llm.language import held_out
 from docketry.llm.quality_rules import labelled_sample
 
-#: Labelled documents that the field is trained on, at most.
-TRAIN_ROWS = 4000
-STEPS, RATE, RIDGE = 120, 0.1, 1e-3
+#: Labelled documents that the field is trained on, at most, and lines of each.
+TRAIN_ROWS, TRAIN_LINES = 3000, 32
+STEPS, RATE, RIDGE, CHAIN_RIDGE, NUDGE = 200, 0.1, 1e-3, 1e-2, 1e-3
 GOOD_AT = 0.7
 
 _CLASSES = {
@@ -84,10 +90,11 @@ class Field:
     slope: float
     offset: float
 
-    def marginals(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """(probability of good for each line, expected counts of neighbouring labels, log partition) of the chains."""
+    def marginals(self, x: np.ndarray, n: np.ndarray, shift: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
+        """(probability of good for each line, expected counts of neighbouring labels, log partition) of the chains; `shift` is
+        added to each line's weight of good."""
         e = np.zeros((len(x), 2))
-        e[:, 1] = x @ self.weights
+        e[:, 1] = x @ self.weights + shift
         first = np.cumsum(n) - n
         order = np.argsort(-n, kind="stable")
         m, first = n[order], first[order]
@@ -132,39 +139,52 @@ def aggregate(good: np.ndarray, length: np.ndarray, n: np.ndarray) -> np.ndarray
     return np.add.reduceat(good * length, first) / np.add.reduceat(length, first) if len(n) else np.empty(0)
 
 
-def train(texts: list[str], quality: np.ndarray) -> Field:
-    """Maximum conditional likelihood by Adam, each document's lines weighing as one; then the logistic curve."""
+def train(x: np.ndarray, length: np.ndarray, n: np.ndarray, quality: np.ndarray) -> Field:
+    """Maximum likelihood of the documents' labels by Adam. How a document's likelihood moves with the weights of its lines is how their
+    marginals move when every line is shifted by its share in it, as covariances are symmetric: two more passes a step."""
     if not len(quality) or quality.min() == quality.max():
         return Field(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, 30.0)
-    x, length, n = line_features(texts)
-    y = np.repeat(quality, n)
-    inner = np.ones(len(y), bool)
-    inner[np.cumsum(n) - n] = False
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[np.flatnonzero(inner) - 1].astype(int), y[inner].astype(int)), 1)
-    field = Field(np.zeros(FEATURES), np.zeros((2, 2)), 1.0, 0.0)
-    theta = np.zeros(FEATURES + 4)
+    first = np.cumsum(n) - n
+    share = length / np.repeat(np.add.reduceat(length, first), n)
+    theta = np.concatenate((np.zeros(FEATURES + 4), (2.0, 0.0)))
+    ridge = np.concatenate((np.full(FEATURES, RIDGE), np.full(4, CHAIN_RIDGE), np.zeros(2)))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
+    field = Field(theta[:FEATURES], theta[FEATURES:-2].reshape(2, 2), 1.0, 0.0)
     for step in range(1, STEPS + 1):
-        field.weights, field.chain = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
-        good, pairs, _ = field.marginals(x, n)
-        gradient = np.concatenate((x.T @ (y - good), (seen - pairs).ravel())) / len(y) - RIDGE * theta
+        field.weights, field.chain, field.slope, field.offset = theta[:FEATURES], theta[FEATURES:-2].reshape(2, 2), float(theta[-2]), float(theta[-1])
+        whole = aggregate(field.marginals(x, n)[0], length, n)
+        miss = quality - field.scaled(whole)
+        s = np.clip(whole, 1e-4, 1 - 1e-4)
+        pull = NUDGE * share * np.repeat(miss * field.slope / (s * (1 - s)), n)
+        (up, pairs_up, _), (down, pairs_down, _) = field.marginals(x, n, pull), field.marginals(x, n, -pull)
+        gradient = np.concatenate((x.T @ (up - down) / (2 * NUDGE), (pairs_up - pairs_down).ravel() / (2 * NUDGE), (miss @ _logit(whole), miss.sum()))) / len(n) - ridge * theta
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         theta = theta + RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    field.weights, field.chain = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
-    s = np.stack((_logit(aggregate(field.marginals(x, n)[0], length, n)), np.ones(len(n))), 1)
-    curve = np.array([1.0, 0.0])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-s @ curve))
-        curve = curve + np.linalg.solve((s * (p * (1 - p))[:, None]).T @ s + 1e-2 * np.eye(2), s.T @ (quality - p) - 1e-2 * (curve - np.array([1.0, 0.0])))
-    field.slope, field.offset = float(max(curve[0], 1e-3)), float(curve[1])
+        theta[-2] = max(theta[-2], 0.1)
+    field.weights, field.chain, field.slope, field.offset = theta[:FEATURES], theta[FEATURES:-2].reshape(2, 2), float(theta[-2]), float(theta[-1])
     return field
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Field:
-    """The field of at most `rows` labelled documents, whose texts come to the driver."""
-    found = sorted((r["doc_id"], r["quality"], r["text"]) for r in labelled_sample(docs, labels, rows).select("doc_id", "quality", "text").collect())
-    return train([t for _, _, t in found], np.array([q for _, q, _ in found], float))
+    """The field of at most `rows` labelled documents, of whose lines the executors send the features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x, length, n = line_features(batch["text"].to_pylist())
+            ends = np.cumsum(n)
+            lines, lengths = [], []
+            for doc, m, end in zip(batch["doc_id"].to_pylist(), n.tolist(), ends.tolist(), strict=True):
+                skip = zlib.crc32(str(doc).encode()) % max(1, m - TRAIN_LINES + 1)
+                own = slice(end - m + skip, min(end, end - m + skip + TRAIN_LINES))
+                lines.append(x[own].astype("<f4").tobytes())
+                lengths.append(length[own].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], pa.array(lines, pa.binary()), pa.array(lengths, pa.binary())], ["doc_id", "quality", "x", "length"])
+
+    sample = labelled_sample(docs, labels, rows).select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary, length binary")
+    found = sorted((r["doc_id"], r["quality"], bytes(r["x"]), bytes(r["length"])) for r in sample.collect())  # at most rows x TRAIN_LINES lines
+    x = np.frombuffer(b"".join(f for _, _, f, _ in found), "<f4").reshape(-1, FEATURES).astype(np.float64)
+    length = np.frombuffer(b"".join(f for _, _, _, f in found), "<f4").astype(np.float64)
+    return train(x, length, np.array([len(f) // 4 for _, _, _, f in found], np.int64), np.array([q for _, q, _, _ in found], float))
 
 
 def score(docs: DataFrame, labels: DataFrame, field: Field | None = None) -> DataFrame:

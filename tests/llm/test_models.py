@@ -79,6 +79,45 @@ def test_lines_held_out(spark):
     assert len(rows) > 50 and sum(r.predicted == truth[r.doc_id] for r in rows) / len(rows) > 0.9
 
 
+def test_the_lines_gradient():
+    """The gradient that training climbs, by moving each weight a little."""
+    rng = np.random.default_rng(1)
+    n = np.array([3, 1, 4])
+    x, length, y = rng.normal(size=(8, quality_lines.FEATURES)), rng.random(8) + 0.5, np.array([1.0, 0.0, 0.0])
+
+    def likelihood(theta):
+        field = quality_lines.Field(theta[:-6], theta[-6:-2].reshape(2, 2), theta[-2], theta[-1])
+        p = field.scaled(quality_lines.aggregate(field.marginals(x, n)[0], length, n))
+        return float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+
+    theta = np.concatenate((rng.normal(size=quality_lines.FEATURES + 4) / 4, (1.5, -0.2)))
+    field = quality_lines.Field(theta[:-6], theta[-6:-2].reshape(2, 2), theta[-2], theta[-1])
+    whole = quality_lines.aggregate(field.marginals(x, n)[0], length, n)
+    miss = y - field.scaled(whole)
+    share = length / np.repeat(np.add.reduceat(length, np.cumsum(n) - n), n)
+    pull = 1e-4 * share * np.repeat(miss * field.slope / (whole * (1 - whole)), n)
+    (up, pairs_up, _), (down, pairs_down, _) = field.marginals(x, n, pull), field.marginals(x, n, -pull)
+    found = np.concatenate((x.T @ (up - down), (pairs_up - pairs_down).ravel())) / 2e-4
+    for k in (0, 5, 17, len(theta) - 6, len(theta) - 4, len(theta) - 3):
+        step = np.zeros_like(theta)
+        step[k] = 1e-5
+        assert np.isclose(found[k], (likelihood(theta + step) - likelihood(theta - step)) / 2e-5, rtol=1e-3, atol=1e-6)
+
+
+def test_lines_of_half_good_documents(spark):
+    """Documents put together of a good and a bad one: the field tells the halves apart."""
+    docs, known = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    field = quality_lines.fit(docs, known)
+    rows = docs.join(known, "doc_id").where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 4) = 2 AND length(text) > 300").select("doc_id", "text", "quality").orderBy("doc_id").collect()
+    good, bad = ([r.text for r in rows if r.quality == q and r.text.count("\n") >= 2][:60] for q in (1, 0))
+    apart = 0
+    for a, b in zip(good, bad):
+        x, length, n = quality_lines.line_features([a + "\n" + b])
+        m, k = field.marginals(x, n)[0], a.count("\n") + 1
+        apart += np.average(m[:k], weights=length[:k]) > 0.5 > np.average(m[k:], weights=length[k:])
+    assert len(bad) >= 20 and apart / min(len(good), len(bad)) > 0.85
+
+
 def test_lines_odd_cases(spark):
     got = quality_lines.score(documents(spark), labels(spark)).collect()
     assert len(got) == len(TEXTS) + 1 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
