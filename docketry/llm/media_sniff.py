@@ -2,11 +2,13 @@
 
 An Aho-Corasick automaton finds the magic bytes of all known formats in one pass over a value. At each hit the format's
 validator walks the structure and gives its length, or refuses; what passes is a medium. A medium at the value's start
-gives the value's type, whatever was declared; further ones are embedded and can be carved out. Spans don't overlap: of
-two that would, the one that starts first stays.
+gives the value's type, whatever was declared; further ones are embedded, in the value (depth 0) or within another medium (one
+deeper than that). Of two that would overlap without one being in the other, the one that starts first stays.
 
 `store` wraps a text's bytes as the 8-bit samples of a WAV, BMP or PNG (by the CRC of the payload), `inspect` sniffs a
-binary column. Rows without doc_id are no documents. Null texts are empty; null media have no type and no spans. An empty table gives no rows.
+binary column, `carve` cuts every medium out into a row of its own. Rows without doc_id are no documents. Null texts are empty; null media
+have no type and no spans; a very long text is one long medium. Repeated rows are stored each. Columns of a table that have the name of
+one that is added get `_in` after it. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ MAGIC = {
     "gif": (b"GIF8", 0),
     "jpeg": (b"\xff\xd8\xff", 0),
     "png": (b"\x89PNG\r\n\x1a\n", 0),
-    "wav": (b"WAVEfmt ", 8),
+    "wav": (b"RIFF", 0),
 }
 
 
@@ -51,7 +53,7 @@ def _png(data: bytes, at: int) -> int:
 
 
 def _wav(data: bytes, at: int) -> int:
-    if at < 0 or data[at : at + 4] != b"RIFF" or len(data) < at + 44:
+    if data[at + 8 : at + 12] != b"WAVE" or len(data) < at + 44:
         return 0
     end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
     if end > len(data):
@@ -64,13 +66,20 @@ def _wav(data: bytes, at: int) -> int:
     return end - at if pos == end and {b"fmt ", b"data"} <= seen else 0
 
 
+#: Lengths of the picture headers; the first has shorter fields.
+BMP_HEADERS = (12, 40, 52, 56, 64, 108, 124)
+
+
 def _bmp(data: bytes, at: int) -> int:
-    if len(data) < at + 54:
+    if len(data) < at + 26:
         return 0
     n, _, start, header = struct.unpack_from("<IIII", data, at + 2)
-    width, height, planes, bits = struct.unpack_from("<iiHH", data, at + 18)
-    body = (width * bits + 31) // 32 * 4 * abs(height)
-    return n if header == 40 and planes == 1 and bits in (1, 4, 8, 24, 32) and width > 0 and start + body == n and at + n <= len(data) else 0
+    if header not in BMP_HEADERS or len(data) < at + 14 + header or n > len(data) - at:
+        return 0
+    width, height, planes, bits = struct.unpack_from("<HHHH" if header == 12 else "<iiHH", data, at + 18)
+    packed, size = struct.unpack_from("<II", data, at + 30) if header > 12 else (0, 0)
+    body = size if packed in (1, 2) else (width * bits + 31) // 32 * 4 * abs(height)
+    return n if planes == 1 and bits in (1, 4, 8, 16, 24, 32) and width > 0 and height and 14 + header <= start and start + body <= n else 0
 
 
 def _gif(data: bytes, at: int) -> int:
@@ -125,14 +134,17 @@ def _automaton():
     return found
 
 
-def sniff(data: bytes) -> list[tuple[str, int, int]]:
-    """(type, start, length) of every medium whose structure is confirmed, in order, without overlap."""
-    spans, end = [], 0
-    hits = sorted((last - back, kind) for last, (kind, back) in _automaton().iter(data.decode("latin-1")))
-    for start, kind in hits:
-        if start >= end and (n := VALIDATORS[kind](data, start)):
-            spans.append((kind, start, n))
-            end = start + n
+def sniff(data: bytes) -> list[tuple[str, int, int, int]]:
+    """(type, start, length, depth) of every medium whose structure is confirmed, in order."""
+    spans: list[tuple[str, int, int, int]] = []
+    around: list[int] = []  # where the media that are open end
+    for start, kind in sorted((last - back, kind) for last, (kind, back) in _automaton().iter(data.decode("latin-1"))):
+        while around and around[-1] <= start:
+            around.pop()
+        n = VALIDATORS[kind](data, start)
+        if n and (not around or start + n <= around[-1]):
+            spans.append((kind, start, n, len(around)))
+            around.append(start + n)
     return spans
 
 
@@ -186,35 +198,74 @@ def store(docs: DataFrame) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary")
 
 
+_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("depth", pa.int32())]))
+
+
+def _renamed(media: DataFrame, added: tuple[str, ...]) -> DataFrame:
+    """The table with `_in` after names that are added."""
+    taken = {c.lower() for c in (*media.columns, *added)}
+    for c in media.columns:
+        if c.lower() in added:
+            new = c + "_in"
+            while new.lower() in taken:
+                new += "_in"
+            taken.add(new.lower())
+            media = media.withColumnRenamed(c, new)
+    return media
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def inspect(media: DataFrame) -> DataFrame:
     """All columns of a table with `declared` and `media`, and: kind (of the medium at the start, null if none), corrected
-    (whether it isn't the declared one), spans (kind, start, length of every medium)."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in media.schema)}, kind string, corrected boolean, spans array<struct<kind:string,start:long,length:long>>"
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
+    (whether it isn't the declared one), spans (kind, start, length, depth of every medium)."""
+    media = _renamed(media, ("kind", "corrected", "spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [sniff(m) if m is not None else [] for m in batch["media"].to_pylist()]
             kinds = [s[0][0] if s and s[0][1] == 0 else None for s in found]
             wrong = [k is not None and k != d for k, d in zip(kinds, batch["declared"].to_pylist(), strict=True)]
-            spans = [[{"kind": k, "start": a, "length": n} for k, a, n in s] for s in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.string()), pa.array(wrong, pa.bool_()), pa.array(spans, span)], [*batch.schema.names, "kind", "corrected", "spans"])
+            spans = [[{"kind": k, "start": a, "length": n, "depth": d} for k, a, n, d in s] for s in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.string()), pa.array(wrong, pa.bool_()), pa.array(spans, _SPAN)], [*batch.schema.names, "kind", "corrected", "spans"])
+
+    return media.mapInArrow(run, f"{_fields(media)}, kind string, corrected boolean, spans array<struct<kind:string,start:long,length:long,depth:int>>")
+
+
+def carve(media: DataFrame) -> DataFrame:
+    """A row for every medium in a table with `media`: the row's other columns, and kind, start, length, depth, bytes and sha256 of the medium."""
+    media = _renamed(media, ("kind", "start", "length", "depth", "bytes", "sha256"))
+    others = [c for c in media.columns if c != "media"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for k, data in enumerate(batch["media"].to_pylist()):
+                if data is None or not (found := sniff(data)):
+                    continue
+                cut = [data[a : a + n] for _, a, n, _ in found]
+                kind, start, length, depth = zip(*found, strict=True)
+                same = [pa.concat_arrays([batch[c].slice(k, 1)] * len(found)) for c in others]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(kind), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(depth, pa.int32()), pa.array(cut, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in cut])], [*others, "kind", "start", "length", "depth", "bytes", "sha256"])
 
-    return media.mapInArrow(run, schema)
+    own = _fields(media.select(*others))
+    return media.select(*others, "media").mapInArrow(run, f"{own}{', ' * bool(own)}kind string, start long, length long, depth int, bytes binary, sha256 string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document: the payload as read back from its medium, and what sniffing found."""
+    """Per document: the payload as read back from the medium that is carved out of the stored value, and what sniffing found."""
+    carved = carve(inspect(store(docs))).where("start = 0 AND depth = 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for r in batch.to_pylist():
-                back, levels = samples(r["kind"], r["media"]), None
+                back = samples(r["kind"], r["bytes"])
                 levels = np.frombuffer(back, np.uint8)
-                spans = "+".join(f"{s['kind']}@{s['start']}:{s['length']}" for s in r["spans"])
-                feature = f"{r['kind']};corrected={int(r['corrected'])};{spans};mean={levels.mean():.4f};max={levels.max()}"
-                rows.append({"doc_id": r["doc_id"], "n_bytes": r["n_bytes"], "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-32:]), "media_bytes": len(r["media"]), "media_sha256": hashlib.sha256(r["media"]).hexdigest(), "feature": feature})
+                spans = "+".join(f"{'>' * s['depth']}{s['kind']}@{s['start']}:{s['length']}" for s in r["spans"])
+                feature = f"{r['kind_in']};corrected={int(r['corrected'])};{spans};mean={levels.mean():.4f};max={levels.max()}"
+                rows.append({"doc_id": r["doc_id"], "n_bytes": r["n_bytes"], "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-32:]), "media_bytes": r["length"], "media_sha256": r["sha256"], "feature": feature})
             yield pa.RecordBatch.from_pylist(rows)
 
-    return inspect(store(docs)).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return carved.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -147,24 +147,98 @@ def test_language_odd_cases(spark):
 def test_media(spark):
     got = media_sniff.digests(documents(spark)).collect()
     assert len(got) == len(TEXTS) + 1
+    kinds = set()
     for r in got:
         payload = media_sniff.payload_of(TEXTS[r.doc_id] or "")
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert r.n_bytes == len((TEXTS[r.doc_id] or "").encode()) and r.payload_bytes % 576 == 0
+        kind = media_sniff.KINDS[zlib.crc32(payload) % 3]
+        stored = media_sniff.wrap(kind, payload)
+        levels = list(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r.feature == f"{kind};corrected={int(kind != 'png')};{kind}@0:{len(stored)};mean={sum(levels) / len(levels):.4f};max={max(levels)}"
+        kinds.add(kind)
+    assert len(kinds) == 3
     assert media_sniff.digests(empty(spark)).collect() == []
 
 
-def test_sniffing_and_carving(spark):
+GIF = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02D\x01\x00\x3b"
+JPEG = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02\x01\xff\x00\x02\xff\xd9"
+
+
+def test_sniffing():
     payload = media_sniff.payload_of("some text BM and RIFF and GIF87a")
     wav, bmp, png = (media_sniff.wrap(k, payload) for k in media_sniff.KINDS)
-    gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02D\x01\x00\x3b"
-    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02\x01\xff\x00\x02\xff\xd9"
-    found = media_sniff.sniff(b"junk" + png + b"??" + wav + bmp + gif + jpeg + b"tail")
-    assert [k for k, _, _ in found] == ["png", "wav", "bmp", "gif", "jpeg"]
-    assert [n for _, _, n in found] == [len(png), len(wav), len(bmp), len(gif), len(jpeg)]
+    found = media_sniff.sniff(b"junk" + png + b"??" + wav + bmp + GIF + JPEG + b"tail")
+    assert [k for k, *_ in found] == ["png", "wav", "bmp", "gif", "jpeg"] and {d for *_, d in found} == {0}
+    assert [n for _, _, n, _ in found] == [len(png), len(wav), len(bmp), len(GIF), len(JPEG)]
     assert all(media_sniff.samples(k, media_sniff.wrap(k, payload)) == payload for k in media_sniff.KINDS)
     broken = png[:40] + b"!" + png[41:]
-    assert media_sniff.sniff(broken) == [] and media_sniff.sniff(wav[:-1]) == []
-    media = spark.createDataFrame([(1, "gif", bytearray(wav), "x"), (2, "wav", None, "y"), (3, "wav", bytearray(wav), "z")], "id int, declared string, media binary, extra string")
-    rows = {r.id: r for r in media_sniff.inspect(media).collect()}
-    assert (rows[1].kind, rows[1].corrected, rows[2].kind, rows[2].spans, rows[3].corrected) == ("wav", True, None, [], False)
+    assert media_sniff.sniff(broken) == [] and media_sniff.sniff(wav[:-1]) == [] and media_sniff.sniff(b"") == []
+    junk = b"JUNK" + struct.pack("<I", 4) + b"abcd"
+    late = wav[:4] + struct.pack("<I", len(wav) - 8 + len(junk)) + b"WAVE" + junk + wav[12:]  # a chunk before the format
+    assert [(k, n) for k, _, n, _ in media_sniff.sniff(late)] == [("wav", len(late))]
+    n, long_header = 14 + 124 + 8 * 4, struct.pack("<IiiHHIIiiII", 124, 2, -4, 1, 24, 0, 0, 0, 0, 0, 0) + bytes(84)
+    assert [(k, m) for k, _, m, _ in media_sniff.sniff(struct.pack("<2sIII", b"BM", n, 0, 138) + long_header + bytes(32))] == [("bmp", n)]
+
+
+def test_media_within_media():
+    inner = b"......" + GIF + b"...." + JPEG
+    outer = media_sniff.wrap("wav", inner + b"\xff" * (576 - len(inner)))
+    assert [(k, d) for k, _, _, d in media_sniff.sniff(b"x" + outer + GIF)] == [("wav", 0), ("gif", 1), ("jpeg", 1), ("gif", 0)]
+
+
+def test_carving(spark):
+    wav = media_sniff.wrap("wav", media_sniff.payload_of("a"))
+    held = media_sniff.wrap("bmp", (b"..." + GIF).ljust(576, b"\xff"))
+    rows = [(1, "gif", bytearray(b"??" + wav + held), "x", 7, 5.0), (2, "wav", None, "y", 8, 6.0), (3, "wav", bytearray(b"nothing"), "z", 9, 7.0), (4, "wav", bytearray(wav), "w", 1, 1.0), (4, "wav", bytearray(wav), "w", 1, 1.0)]
+    media = spark.createDataFrame(rows, "id int, declared string, media binary, kind string, spans int, sha256 double")  # names that clash
+    found = {r.id: r for r in media_sniff.inspect(media).collect()}
+    assert (found[1].kind, found[1].kind_in, found[1].spans_in, found[4].kind, found[4].corrected, found[2].kind, found[2].spans) == (None, "x", 7, "wav", False, None, [])
+    cut = sorted((r.id, r.start, r.kind, r.depth, bytes(r.bytes), r.sha256) for r in media_sniff.carve(media).collect())
+    gif = 2 + len(wav) + 1078 + 3
+    want = [(1, 2, "wav", 0, wav), (1, 2 + len(wav), "bmp", 0, held), (1, gif, "gif", 1, GIF), (4, 0, "wav", 0, wav), (4, 0, "wav", 0, wav)]
+    assert cut == [(*w, hashlib.sha256(w[4]).hexdigest()) for w in want]
+    assert media_sniff.carve(media).columns == ["id", "declared", "kind_in", "spans", "sha256_in", "kind", "start", "length", "depth", "bytes", "sha256"]
+    assert media_sniff.carve(media.limit(0)).collect() == []
+
+
+def test_language_is_the_smallest(spark):
+    """Each verdict again with fresh compressors, block by block, and the ties and narrow margins."""
+    import zstandard
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    texts = language.dictionaries(docs)
+    langs = list(texts)
+
+    def sizes(text):
+        data = language.letters(text).encode()
+        blocks = [data[k : k + 1024] for k in range(0, len(data), 1024)]
+        if len(blocks) > 1 and len(blocks[-1]) < 256:
+            blocks[-2:] = [blocks[-2] + blocks[-1]]
+        out = []
+        for lang in langs:
+            words = zstandard.ZstdCompressionDict(texts[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words.precompute_compress(level=3)
+            out.append(sum(len(zstandard.ZstdCompressor(dict_data=words, level=3, write_checksum=False, write_content_size=False, write_dict_id=False).compress(b)) for b in blocks))
+        return out
+
+    want = {r.doc_id: r.text for r in docs.where("doc_id % 10 = 3").collect()}
+    for r in language.identify(docs).where("doc_id % 10 = 3").collect():
+        if not re.search(r"[^\W\d_]", want[r.doc_id] or ""):
+            assert (r.lang_pred, r.rejected) == ("und", True)
+            continue
+        found = sizes(want[r.doc_id])
+        best, second = sorted(found)[:2]
+        assert r.lang_pred == langs[found.index(best)] and r.rejected == (1 - best / second < language.MARGIN)
+    tie = language.Scorer({"aa": b"one two three " * 20, "bb": b"one two three " * 20})
+    assert tie.score("one two three") == ("aa", 0.5, True)
+    clash = docs.selectExpr("doc_id", "text", "lang", "1 AS score", "'x' AS lang_pred", "true AS rejected").limit(20)
+    assert language.keep_identified(clash).columns == clash.columns and language.identify(clash, texts).columns == ["doc_id", "held_out", "lang_pred", "score", "rejected"]
+
+
+def test_rules_kept_held_out(spark):
+    """The verdict of texts that weren't learned from."""
+    docs, known = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    rows = quality_rules.judge(docs, known).join(known, "doc_id").where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 4) = 2 AND NOT base_failed").collect()
+    assert len(rows) > 300 and sum(r.kept == bool(r.quality) for r in rows) / len(rows) > 0.95
