@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that retrieval ignores, and the token pattern.
 STOPWORDS = (
@@ -64,15 +68,31 @@ def strip_toc(c: Column) -> Column:
     return F.array_join(F.filter(F.split(c, "\n"), lambda line: ~line.contains("....")), "\n")
 
 
+# Control characters, addresses, lines of marks alone.
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+ADDRESS = r"https?://(?:[a-zA-Z0-9$-_@.&+!*(),]|%[0-9a-fA-F][0-9a-fA-F])+"
+MARKS_ALONE = r"^[\s.,;:!?]*$"
+
+
 def clean_text(c: Column) -> Column:
-    """Without addresses and control characters, white space collapsed."""
-    c = F.regexp_replace(c, r"https?://[^\s]+", "")
-    c = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    return F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " "))
+    """Without control characters, white space collapsed."""
+    return trimmed(F.regexp_replace(F.regexp_replace(c, CONTROL, ""), r"(?U)\s+", " "))
+
+
+@F.pandas_udf(StringType())
+def compatible(texts: pd.Series) -> pd.Series:
+    """NFKC, a batch at a time; the engine has no expression for it."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+def preprocess(c: Column) -> Column:
+    """NFKC, without control characters and addresses, white space collapsed; nothing if only marks are left."""
+    c = trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(compatible(c), CONTROL, ""), ADDRESS, ""), r"(?U)\s+", " "))
+    return F.when(c.rlike(MARKS_ALONE), "").otherwise(c)
 
 
 def paragraphs(c: Column, least: int) -> Column:
-    return F.filter(F.transform(F.split(c, r"\n[ \t]*\n"), clean_text), lambda p: F.length(p) >= least)
+    return F.filter(F.transform(F.split(c, r"\n\s*\n"), clean_text), lambda p: F.length(p) >= least)
 
 
 def windows(c: Column, size: int, overlap: int) -> Column:

@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as X
+from docketry.operators import parsing as P
 from docketry.plans.base import Tables, query
 
-_CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\\s]+', '', 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
+_CONTROL, _SPACE = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+_ADDRESS = "https?://(?:[a-zA-Z0-9$-_@.&+!*(),]|%[0-9a-fA-F][0-9a-fA-F])+"
+_CLEAN = f"trim(regexp_replace(regexp_replace(text, '{_CONTROL}', '', 'g'), '{_SPACE}', ' ', 'g'))"
+_PREPROCESSED = f"trim(regexp_replace(regexp_replace(regexp_replace(text, '{_CONTROL}', '', 'g'), '{_ADDRESS}', '', 'g'), '{_SPACE}', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, md5({_CLEAN}) AS clean FROM documents")
+@query(f"SELECT doc_id, md5(CASE WHEN regexp_matches(t, '^[\\s.,;:!?]*$') THEN '' ELSE t END) AS clean FROM (SELECT doc_id, {_PREPROCESSED} AS t FROM documents) x")
 def preprocess_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("clean"))
+    return t.documents.select("doc_id", F.md5(X.preprocess(F.col("text"))).alias("clean"))
 
 
-@query(f"SELECT doc_id, md5(lower({_CLEAN})) AS clean FROM documents")
+@query(f"SELECT doc_id, md5({_CLEAN}) AS clean, md5(trim(lower(text), ' ' || chr(9) || chr(10) || chr(13))) AS normal FROM documents")
 def clean_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(F.lower(X.clean_text(F.col("text")))).alias("clean"))
+    return t.documents.select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("clean"), F.md5(X.trimmed(F.lower(X.compatible("text")))).alias("normal"))
 
 
 @query("""SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n[ \\t]*\\n'), lambda p: trim(regexp_replace(p, '[ \\t\\r\\n]+', ' ', 'g'))), lambda p: length(p) >= 50)) AS BIGINT) AS n FROM documents""")
@@ -26,67 +30,81 @@ def extract_paragraphs(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(X.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")), 50)).cast("long").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN length(l[1]) < 200 THEN l[1] ELSE substr(l[1], 1, 200) END AS title FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents) x")
-def extract_title(t: Tables) -> DataFrame:
-    first = F.get(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.lit(0))
-    return t.documents.select("doc_id", F.left(first, F.lit(200)).alias("title"))
+# Documents of six kinds, made from the documents' lines: a title, then every third line under a header of the kind.
+_KIND = "CASE doc_id % 6 WHEN 0 THEN 'law' WHEN 1 THEN 'regulation' WHEN 2 THEN 'case_law' WHEN 3 THEN 'contract' WHEN 4 THEN 'article' ELSE 'other' END"
+_CASE = ", ".join(f"'{h}'" for h in P.CASE_HEADERS)
+_ARTICLE = ", ".join(f"'{h}'" for h in P.ARTICLE_HEADERS)
 
 
-_LAW_TEXT = "'PREAMBLE\nbody zero\nArticle 1 Scope\nfirst body\nmore\nArticle 2 Terms\nsecond body\nArticle 3 Last'"
+def _head(i: str, at: str) -> str:
+    n = f"CAST({i} AS STRING)"
+    return f"""CASE doc_id % 6 WHEN 0 THEN 'Article ' || {n} || ' Scope' WHEN 1 THEN 'Chapter IV Part' WHEN 2 THEN {at.format(list=_CASE, n=9)} || ' of it' WHEN 3 THEN '(a) between A' || {n} || ', dated the 3rd May 2021' WHEN 4 THEN {at.format(list=_ARTICLE, n=8)} || ' (19' || lpad(CAST({i} % 100 AS STRING), 2, '0') || ')' ELSE 'PART ' || {n} END"""
 
 
-@query("SELECT * FROM (VALUES ('1', 'Scope', 'first body more'), ('2', 'Terms', 'second body')) AS e(number, title, body)")
-def parse_law(t: Tables) -> DataFrame:
-    lines = t.spark.range(1).select(F.posexplode(F.split(F.lit(_LAW_TEXT.strip("'")), "\n")).alias("pos", "line"))
-    number = F.nullif(F.regexp_extract("line", r"^Article (\d+)\s*(.*)$", 1), F.lit(""))
-    return sections(lines.withColumn("head", number), F.regexp_extract("line", r"^Article \d+\s*(.*)$", 1)).select(F.col("head").alias("number"), "title", "body")
+_LINES_SQL = f"""(SELECT doc_id, {_KIND} AS kind, i, 'x ' || regexp_replace(lower(l[i + 1]), '\\s+$', '') AS line, {_head('i', '[{list}][i % {n} + 1]')} AS head FROM (SELECT doc_id, l, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a) b) c"""
 
 
-def sections(lines: DataFrame, title, *by: str) -> DataFrame:
-    """A line with a head opens a section, lines after it are its body; what comes before the first head goes, and so does a last
-    head without a body."""
-    w = Window.partitionBy(*by).orderBy("pos")
-    opened = lines.withColumn("title", F.when(F.col("head").isNotNull(), title)).withColumn("section", F.sum(F.col("head").isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head").isNull(), F.struct("pos", "line")))), lambda x: x["line"]), " ")
-    return opened.where("section > 0").groupBy(*by, "section").agg(F.max("head").alias("head"), F.max("title").alias("title"), body.alias("body")).where("body <> ''")
+def _papers(t: Tables) -> DataFrame:
+    """(doc_id, kind, text)"""
+    lines = t.documents.select("doc_id", F.expr(_KIND).alias("kind"), F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("x "), F.regexp_replace(F.lower(x), r"\s+$", ""))).alias("l"))
+    headed = F.expr(f"transform(l, (x, i) -> CASE WHEN i % 3 = 1 THEN {_head('i', 'element_at(array({list}), i % {n} + 1)')} || '\\n' ELSE '' END || x)")
+    return lines.select("doc_id", "kind", F.concat(F.lit("A title of\n two lines \n\n"), F.array_join(headed, "\n")).alias("text"))
 
 
-@query("""SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(bodies) AS BIGINT) AS bodies FROM (SELECT doc_id, s, count(*) FILTER (WHERE NOT head) AS bodies FROM (SELECT doc_id, head, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM
-(SELECT doc_id, unnest(range(len(l))) AS i, length(unnest(l)) < 60 AS head FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) x) y) z WHERE s > 0 GROUP BY doc_id, s HAVING count(*) FILTER (WHERE NOT head) > 0) u GROUP BY doc_id""")
-def section_state_machine(t: Tables) -> DataFrame:
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("head", F.length("line") < 60).withColumn("s", F.sum(F.col("head").cast("int")).over(w)).where("s > 0")
-    each = marked.groupBy("doc_id", "s").agg(F.count_if(~F.col("head")).alias("bodies")).where("bodies > 0")
-    return each.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("bodies").alias("bodies"))
+def _bodies(t: Tables) -> DataFrame:
+    return _papers(t).select("doc_id", "kind", P.title_and_body(F.col("text")).alias("p")).select("doc_id", "kind", "p.title", "p.body")
+
+
+@query("SELECT doc_id, 'A title of two lines' AS title FROM documents")
+def extract_title(t: Tables) -> DataFrame:
+    return _bodies(t).select("doc_id", "title")
+
+
+_SECTIONS_SQL = f"SELECT doc_id, kind, CAST((i + 2) // 3 AS BIGINT) AS section, CASE WHEN i = 0 THEN 'MAIN' ELSE head END AS title, md5(string_agg(line, chr(10) ORDER BY i) OVER (PARTITION BY doc_id, (i + 2) // 3)) AS content FROM {_LINES_SQL} WHERE kind <> 'contract' AND (i > 0 OR kind = 'other') QUALIFY i = min(i) OVER (PARTITION BY doc_id, (i + 2) // 3)"
+
+
+@query(_SECTIONS_SQL)
+def parse_document(t: Tables) -> DataFrame:
+    """The sections of every document, by the parser of its kind (contracts have clauses instead)."""
+    return P.sections(_bodies(t), "doc_id").select("doc_id", "kind", "section", "title", F.md5("content").alias("content"))
 
 
-@query("SELECT * FROM (VALUES ('FACTS', 'x happened'), ('DECISION', 'it is so')) AS e(head, body)")
+@query(f"SELECT * FROM ({_SECTIONS_SQL}) s WHERE kind = 'case_law'")
 def parse_case_law(t: Tables) -> DataFrame:
-    text = "Court\nFACTS of the case\nx happened\nDECISION\nit is so\nCOSTS"
-    heads = ("FACTS", "LEGAL ISSUES", "REASONING", "DECISION", "COSTS")
-    lines = t.spark.range(1).select(F.posexplode(F.split(F.lit(text), "\n")).alias("pos", "line"))
-    head = F.coalesce(*(F.when(F.upper("line").startswith(h), h) for h in heads))
-    return sections(lines.withColumn("head", head), F.col("line")).select("head", "body")
+    return P.sections(_bodies(t).where("kind = 'case_law'"), "doc_id").select("doc_id", "kind", "section", "title", F.md5("content").alias("content"))
+
+
+@query(f"SELECT * FROM ({_SECTIONS_SQL}) s WHERE kind = 'other'")
+def parse_generic(t: Tables) -> DataFrame:
+    return P.sections(_bodies(t).where("kind = 'other'"), "doc_id").select("doc_id", "kind", "section", "title", F.md5("content").alias("content"))
+
+
+@query(f"SELECT doc_id, CAST(i AS VARCHAR) AS number, 'Scope' AS title FROM {_LINES_SQL} WHERE kind = 'law' AND i % 3 = 1")
+def parse_law(t: Tables) -> DataFrame:
+    laws = _bodies(t).where("kind IN ('law', 'regulation')")
+    return laws.select("doc_id", F.explode(P.law_articles(F.col("body"))).alias("a")).select("doc_id", "a.number", "a.title")
 
 
-@query("SELECT * FROM (VALUES ('1.1', 'Payment is due'), ('2', 'Term ends 01.02.2024')) AS e(clause, body)")
+@query(f"SELECT doc_id, CAST(count(*) FILTER (WHERE i % 3 = 1) AS BIGINT) AS n, coalesce(string_agg('3rd May 2021', ',') FILTER (WHERE i % 3 = 1), '') AS dates, coalesce(string_agg('A' || i, ',' ORDER BY i) FILTER (WHERE i % 3 = 1), '') AS parties FROM {_LINES_SQL} WHERE kind = 'contract' GROUP BY doc_id")
 def parse_contract(t: Tables) -> DataFrame:
-    text = F.lit("Contract\n1.1 Payment is due\n2 Term ends 01.02.2024\nsigned")
-    found = F.regexp_extract_all(text, F.lit(r"(?m)^(\d+(?:\.\d+)*) (.*)$"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(?m)^(\d+(?:\.\d+)*) (.*)$"), F.lit(2))
-    return t.spark.range(1).select(F.explode(F.arrays_zip(found[0].alias("clause"), found[1].alias("body"))).alias("c")).select("c.clause", "c.body")
+    b = F.col("body")
+    return _bodies(t).where("kind = 'contract'").select("doc_id", F.size(P.clauses(b)).cast("long").alias("n"), F.array_join(P.dates(b), ",").alias("dates"), F.array_join(P.parties(b), ",").alias("parties"))
 
 
-@query("SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(x) < 100 AND x = upper(x) AND x <> lower(x))) AS BIGINT) AS heads FROM documents")
-def parse_generic(t: Tables) -> DataFrame:
-    heads = F.filter(F.split("text", "\n"), lambda x: (F.length(x) < 100) & (x == F.upper(x)) & (x != F.lower(x)))
-    return t.documents.select("doc_id", F.size(heads).cast("long").alias("heads"))
+@query(f"SELECT doc_id, coalesce(string_agg('(19' || lpad(CAST(i % 100 AS VARCHAR), 2, '0') || ')', '' ORDER BY i) FILTER (WHERE i % 3 = 1), '') AS years FROM {_LINES_SQL} WHERE kind = 'article' GROUP BY doc_id")
+def parse_article(t: Tables) -> DataFrame:
+    return _bodies(t).where("kind = 'article'").select("doc_id", F.array_join(P.years_cited(F.col("body")), "").alias("years"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, '|') THEN 'table' WHEN contains(text, '!!') THEN 'shout' ELSE 'basic' END AS kind FROM documents")
-def parse_document(t: Tables) -> DataFrame:
-    c = F.col("text")
-    return t.documents.select("doc_id", F.when(c.contains("|"), "table").when(c.contains("!!"), "shout").otherwise("basic").alias("kind"))
+@query("""SELECT doc_id, CAST(s AS BIGINT) AS section, md5(max(CASE WHEN head THEN line END)) AS head, md5(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT head)) AS body FROM (SELECT doc_id, i, line, head, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM
+(SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line, length(unnest(l)) < 60 AS head FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) x) y) z WHERE s > 0 GROUP BY doc_id, s HAVING count(*) FILTER (WHERE NOT head) > 0""")
+def section_state_machine(t: Tables) -> DataFrame:
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("head", F.length("line") < 60).withColumn("s", F.sum(F.col("head").cast("long")).over(w)).where("s > 0")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
+    each = marked.groupBy("doc_id", F.col("s").alias("section")).agg(F.max(F.when(F.col("head"), F.col("line"))).alias("h"), body.alias("b"), F.count_if(~F.col("head")).alias("n")).where("n > 0")
+    return each.select("doc_id", "section", F.md5("h").alias("head"), F.md5("b").alias("body"))
 
 
 def _among(words: list[str]):
