@@ -53,9 +53,9 @@ def articles(laws: DataFrame) -> DataFrame:
         F.max("number").alias("number"),
         F.max("inline_title").alias("inline_title"),
         F.min_by("in_chapter", "pos").alias("chapter"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content"),
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: F.trim(x["line"])).alias("trimmed"),
+        F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("lines"),  # collected once, read twice
     )
+    parts = parts.withColumns({"content": F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), "trimmed": F.transform(F.slice("lines", 1, 4), lambda x: F.trim(x["line"]))})
     next_line = F.get(F.filter(F.slice("trimmed", 2, 3), lambda s: s != ""), F.lit(0))
     title = F.coalesce(F.col("inline_title"), F.when(is_title(next_line), next_line), F.lit(""))
     return parts.withColumns({"title": title, "content": trimmed(F.col("content")), "chapter": F.coalesce("chapter", F.lit(""))}).where(F.length("content") >= LEAST_CHARS).select("law", "start", "number", "title", "chapter", "content")

@@ -35,7 +35,16 @@ def article_boundaries(t: Tables) -> DataFrame:
     return lines.withColumn("chapter", F.last("chapter", True).over(upto)).where("number IS NOT NULL").groupBy("law", "number", "chapter").agg(F.count("*").alias("n"))
 
 
-@query()
+_SPACES = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+_CHUNKS_SQL = f"""WITH a AS (SELECT 'L' || doc_id AS law, i, len(l) AS n, (i - 1) % 7 + 1 AS number, CAST((i - 1) // 5 + 1 AS VARCHAR) AS chapter, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) x) y),
+b AS (SELECT law, i, number, chapter, trim(line, {_SPACES}) AS bare, trim('Neni ' || number || chr(10) || line || CASE WHEN i % 5 = 0 AND i < n THEN chr(10) || 'Kreu ' || (i // 5 + 1) || ' Pjesa' ELSE '' END, {_SPACES}) AS content FROM a),
+c AS (SELECT *, CASE WHEN number <= lag(number) OVER (PARTITION BY law ORDER BY i) THEN 1 ELSE 0 END AS dropped FROM b WHERE length(content) >= 50),
+d AS (SELECT *, sum(dropped) OVER (PARTITION BY law ORDER BY i) AS section, CASE WHEN length(content) <= 12000 THEN [content] ELSE list_transform(range(CAST(ceil(length(content) / 12000.0) AS BIGINT)), lambda k: substr(content, k * 12000 + 1, 12000)) END AS parts FROM c)
+SELECT law, CAST(number AS VARCHAR) AS number, CASE WHEN length(bare) BETWEEN 3 AND 80 AND NOT contains(substr(bare, 1, length(bare) - 1), '.') AND NOT regexp_matches(bare, '^[0-9]') AND NOT regexp_matches(bare, '^[0-9IVX]+[.\\s]') THEN bare ELSE '' END AS title, chapter,
+law || CASE WHEN section > 0 THEN '_d' || CAST(section AS BIGINT) ELSE '' END || '_art' || number || CASE WHEN len(parts) > 1 THEN '_p' || (k - 1) ELSE '' END AS chunk_id, CASE WHEN len(parts) > 1 THEN 'article_part' ELSE 'article' END AS chunk_type, parts[k] AS content FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM d) e"""
+
+
+@query(_CHUNKS_SQL)
 def chunk_law(t: Tables) -> DataFrame:
     return C.chunk_law(gazette(t))
 
@@ -54,12 +63,18 @@ def section_counter(t: Tables) -> DataFrame:
     return C.with_sections(starts).select("law", F.row_number().over(Window.partitionBy("law").orderBy("start")).cast("long").alias("i"), F.col("section").cast("long").alias("section"))
 
 
-@query("SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(list_sum(list_transform(l, lambda x: length(x) + 1)) AS BIGINT) AS extent FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) x")
+@query("""SELECT 'L' || doc_id AS law, CAST(i AS BIGINT) AS i, CAST(7 + before + 6 * (i - 1) + digits_before + kreu_upto AS BIGINT) AS start, CAST(coalesce(lead(7 + before + 6 * (i - 1) + digits_before + kreu_upto) OVER (PARTITION BY doc_id ORDER BY i), total) AS BIGINT) AS stop FROM
+(SELECT doc_id, i, sum(length(line) + 1) OVER w - length(line) - 1 AS before, sum(length(CAST((i - 1) % 7 + 1 AS VARCHAR))) OVER w - length(CAST((i - 1) % 7 + 1 AS VARCHAR)) AS digits_before,
+sum(CASE WHEN (i - 1) % 5 = 0 THEN length('Kreu  Pjesa') + 1 + length(CAST((i - 1) // 5 + 1 AS VARCHAR)) ELSE 0 END) OVER w AS kreu_upto, total FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line, total FROM
+(SELECT d.doc_id, string_split(d.text, chr(10)) AS l, length(g.text) AS total FROM documents d JOIN (""" + _GAZETTE_SQL + """) g ON g.law = 'L' || d.doc_id) x) y WINDOW w AS (PARTITION BY doc_id ORDER BY i)) z""")
 def article_extent(t: Tables) -> DataFrame:
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    starts = lines.withColumn("end", F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return starts.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max("end").cast("long").alias("extent"))
+    """Where each article begins in its law's text, in characters, and where the next one does, or the text ends."""
+    lines = C.lines_of(gazette(t))
+    w = Window.partitionBy("law").orderBy("pos")
+    placed = lines.withColumn("start", F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.length("line") - 1)
+    ends = placed.groupBy("law").agg((F.max("start") + F.max_by(F.length("line"), "pos")).alias("total"))
+    starts = placed.where("number IS NOT NULL").select("law", "start", F.row_number().over(w).cast("long").alias("i"), F.lead("start").over(w).alias("next"))
+    return starts.join(ends, "law").select("law", "i", "start", F.coalesce("next", "total").alias("stop"))
 
 
 @query("SELECT doc_id FROM documents WHERE length(trim(text)) >= 50")
@@ -136,11 +151,9 @@ def chunk_metadata(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("language"), F.md5(F.left("text", F.lit(32_000))).alias("content"), (F.length("text") > 32_000).alias("truncated"))
 
 
-@query("SELECT doc_id, CAST(greatest(ceil((length(text) - 100) / 900.0), 1) AS BIGINT) AS n, CAST(length(text) AS BIGINT) AS chars FROM documents")
+@query("SELECT doc_id, CAST(j AS INT) AS j, md5(substr(text, j * 900 + 1, 1000)) AS digest FROM (SELECT doc_id, text, unnest(range(CAST(greatest(ceil((length(text) - 100) / 900.0), 1) AS BIGINT))) AS j FROM documents) x")
 def sliding_chunks(t: Tables) -> DataFrame:
-    pieces = X.windows(F.col("text"), 1000, 100)
-    back = F.aggregate(pieces, F.lit(0).cast("long"), lambda n, p: n + F.length(p)) - 100 * (F.size(pieces) - 1)
-    return t.documents.select("doc_id", F.size(pieces).cast("long").alias("n"), back.alias("chars"))
+    return t.documents.select("doc_id", F.posexplode(X.windows(F.col("text"), 1000, 100)).alias("j", "piece")).select("doc_id", "j", F.md5("piece").alias("digest"))
 
 
 @query("""SELECT doc_id || '_chunk_' || CAST(j AS VARCHAR) AS id, CAST(n AS BIGINT) AS total FROM (SELECT doc_id, n, unnest(range(0, n)) AS j FROM (SELECT doc_id, CAST(greatest(ceil((length(text) - 100) / 900.0), 1) AS BIGINT) AS n FROM documents) x) y""")
@@ -149,7 +162,15 @@ def chunk_ids(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(pieces).cast("long").alias("total"), F.posexplode(pieces).alias("j", "piece")).select(F.concat("doc_id", F.lit("_chunk_"), "j").alias("id"), "total")
 
 
-@query()
+def _packed_sql(text: str, most: int) -> str:
+    """The pieces of a text, in SQL: paragraphs folded from the left, then cuts."""
+    first = f"list_transform(regexp_split_to_array({text}, '\\n\\s*\\n'), lambda p: {{'parts': CAST([] AS VARCHAR[]), 'now': p, 'size': length(p) + 2}})"
+    fold = f"list_reduce({first}, lambda a, x: CASE WHEN a.size + x.size > {most} THEN {{'parts': list_append(a.parts, a.now), 'now': x.now, 'size': x.size}} ELSE {{'parts': a.parts, 'now': a.now || chr(10) || chr(10) || x.now, 'size': a.size + x.size}} END)"
+    cut = f"flatten(list_transform(list_append(f.parts, f.now), lambda p: list_transform(range(greatest(CAST(ceil(length(p) / {most}.0) AS BIGINT), 1)), lambda k: substr(p, k * {most} + 1, {most}))))"
+    return f"CASE WHEN length({text}) <= {most} THEN [{text}] ELSE (SELECT {cut} FROM (SELECT {fold} AS f) z) END"
+
+
+@query(f"""SELECT doc_id, CAST(i - 1 AS INT) AS part, CAST(length(p[i]) AS INT) AS chars, md5(p[i]) AS digest FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, {_packed_sql('t', 1000)} AS p FROM (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents) a) b) c""")
 def pack_paragraphs(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(C.pack_paragraphs(F.regexp_replace("text", "\n", "\n\n"), 1000)).alias("part", "piece")).select("doc_id", "part", F.length("piece").alias("chars"), F.md5("piece").alias("digest"))
 

@@ -111,12 +111,16 @@ def _among(words: list[str]):
     return lambda w: w.isin(*words)
 
 
-@query()
+_COMMON = {"en": "the of and to in is that for it was with as be on", "de": "der die und das in den von zu mit ist für auf sich des", "fr": "le la les de des et un une que dans qui est pour sur", "es": "el la de que y en los del las un por con no una"}
+_SHARES = ", ".join("{'share': len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in words.split()) + ")))::DOUBLE / len(w), 'lang': '" + lang + "'}" for lang, words in _COMMON.items())
+
+
+@query(f"""SELECT doc_id, CASE WHEN long_enough THEN best.lang END AS lang, CASE WHEN long_enough THEN round(best.share, 6) END AS confidence FROM
+(SELECT doc_id, long_enough, list_reverse_sort([{_SHARES}])[1] AS best FROM (SELECT doc_id, length(text) >= 20 AS long_enough, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM documents) x) y""")
 def detect_language(t: Tables) -> DataFrame:
     """Share of a language's commonest words among a text's words; null under 20 characters."""
-    common = {"en": "the of and to in is that for it was with as be on", "de": "der die und das in den von zu mit ist für auf sich des", "fr": "le la les de des et un une que dans qui est pour sur", "es": "el la de que y en los del las un por con no una"}
     words = F.split(F.lower("text"), r"[^\p{L}]+")
-    share = {lang: F.size(F.filter(words, _among(s.split()))) / F.size(words) for lang, s in common.items()}
+    share = {lang: F.size(F.filter(words, _among(s.split()))) / F.size(words) for lang, s in _COMMON.items()}
     best = F.array_max(F.array(*(F.struct(v.alias("share"), F.lit(k).alias("lang")) for k, v in share.items())))
     return t.documents.select("doc_id", F.when(F.length("text") >= 20, best).alias("b")).select("doc_id", "b.lang", F.round("b.share", 6).alias("confidence"))
 
@@ -155,7 +159,8 @@ def golden_candidates(t: Tables) -> DataFrame:
     return t.documents.where(F.length("text").between(200, 2000) & ~F.col("text").contains("|")).select("doc_id")
 
 
-@query()
+@query("""SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS pos, line AS text FROM (SELECT doc_id, unnest(range(len(l))) AS i, trim(unnest(l), ' ' || chr(9) || chr(13) || chr(10)) AS line FROM
+(SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) x) y WHERE line <> ''""")
 def docx_paragraphs(t: Tables) -> DataFrame:
     """Word files (made here from documents) through the reader of docketry.sources."""
     from docketry.sources.files import docx_bytes, docx_paragraphs as read
