@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Batches that a worker is done with go back to the system, not to a pool that keeps them.
+pa.set_memory_pool(pa.system_memory_pool())
+
 DEFAULT_SHARED = "/tmp/checkpoints"
 
 
