@@ -55,12 +55,12 @@ def sections(texts: DataFrame, *keys: str) -> DataFrame:
 
 def law_articles(text: Column) -> Column:
     """struct(number, title) of every article."""
-    return F.arrays_zip(F.regexp_extract_all(text, F.lit(LAW_ARTICLE), F.lit(1)).alias("number"), F.transform(F.regexp_extract_all(text, F.lit(LAW_ARTICLE), F.lit(2)), F.trim).alias("title"))
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(LAW_ARTICLE), F.lit(1)).alias("number"), F.transform(F.regexp_extract_all(text, F.lit(LAW_ARTICLE), F.lit(2)), lambda x: F.trim(x)).alias("title"))
 
 
 def clauses(text: Column) -> Column:
     """struct(number, content) of every numbered clause."""
-    return F.arrays_zip(F.transform(F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(1)), F.trim).alias("number"), F.transform(F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(2)), F.trim).alias("content"))
+    return F.arrays_zip(F.transform(F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(1)), lambda x: F.trim(x)).alias("number"), F.transform(F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(2)), lambda x: F.trim(x)).alias("content"))
 
 
 def dates(text: Column) -> Column:

@@ -87,9 +87,16 @@ def looks_scanned(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", (F.length(F.trim("text")) < 500).alias("scanned"))
 
 
+# What scanners print on every page, and the letters that a text needs.
+WATERMARK, LEAST_LETTERS = r"(?i)(scanned\s+(with|by)\s+)?cam\s*scanner|adobe\s+scan", 200
+_STAMPED = "text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Scanned with CamScanner' ELSE ' Adobe  Scan' END"
+
+
 @query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) < 200 AS low FROM documents")
 def low_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", (F.length(F.regexp_replace("text", r"[^\p{L}]", "")) < 200).alias("low"))
+    """Whether a page has too few letters beside the scanner's mark, which is put on every text here."""
+    clean = F.regexp_replace(F.expr(_STAMPED), WATERMARK, " ")
+    return t.documents.select("doc_id", (F.length(F.regexp_replace(clean, r"[^\p{L}]", "")) < LEAST_LETTERS).alias("low"))
 
 
 @query("SELECT page_id, md5(list_aggregate(list_filter(string_split(html, chr(10)), lambda x: NOT contains(x, '....')), 'string_agg', chr(10))) AS body FROM pages")
@@ -125,11 +132,14 @@ def corrupt_token(t: Tables) -> DataFrame:
     return t.values(_TOKENS).select("w", X.corrupt_token(F.col("w")).alias("corrupt"))
 
 
-@query("""SELECT class, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN length(text) < 200 THEN 'short' WHEN contains(text, '|') THEN 'artifact' WHEN NOT regexp_matches(text, '[ëçéèüöäßñóí]') THEN 'no_diacritics' ELSE 'clean' END AS class FROM documents) x GROUP BY class""")
+@query("""SELECT class, CAST(n AS BIGINT) AS n, round(100.0 * n / sum(n) OVER (), 4) AS pct FROM (SELECT class, count(*) AS n FROM (SELECT CASE WHEN length(t) < 50 THEN 'very_short' WHEN regexp_matches(t, '/uni0[0-9a-fA-F]{3}') THEN 'uni_artifact' WHEN length(t) > 200 AND NOT regexp_matches(t, '[ëçËÇ]') THEN 'missing_diacritics' ELSE 'clean' END AS class
+FROM (SELECT CASE WHEN doc_id % 9 = 0 THEN text || ' /uni04f2' ELSE text END AS t FROM documents) x) y GROUP BY class) z""")
 def index_audit(t: Tables) -> DataFrame:
-    c = F.col("text")
-    kind = F.when(F.length(c) < 200, "short").when(c.contains("|"), "artifact").when(~c.rlike("[ëçéèüöäßñóí]"), "no_diacritics").otherwise("clean")
-    return t.documents.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+    """The first class that each chunk is in, and the shares of the classes."""
+    c = F.expr("CASE WHEN doc_id % 9 = 0 THEN text || ' /uni04f2' ELSE text END")
+    kind = F.when(F.length(c) < 50, "very_short").when(c.rlike("/uni0[0-9a-fA-F]{3}"), "uni_artifact").when((F.length(c) > 200) & ~c.rlike("[ëçËÇ]"), "missing_diacritics").otherwise("clean")
+    counts = t.documents.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))  # four rows at most
+    return counts.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1)))).select("class", "n", F.round(F.lit(100.0) * F.col("n") / F.col("total"), 4).alias("pct"))
 
 
 _SCANS = "(VALUES (1, 'Neni 1 ........ 5'), (2, 'a . . . . b'), (3, 'x -------- y'), (4, 'w ===== z'), (5, 'a    b'), (6, 'ok... fine')) AS s(id, raw)"
@@ -201,3 +211,36 @@ def safe_id(t: Tables) -> DataFrame:
 @query(f"SELECT law, number, {_SAFE} || CASE WHEN section > 0 THEN '_d' || CAST(section AS VARCHAR) ELSE '' END || '_art' || number || CASE WHEN parts > 1 THEN '_p' || CAST(part AS VARCHAR) ELSE '' END AS chunk_id FROM {_IDS}")
 def chunk_id(t: Tables) -> DataFrame:
     return t.values(_IDS).select("law", "number", C.chunk_name(F.col("law"), F.col("section"), F.col("number"), F.col("part"), F.col("parts")).alias("chunk_id"))
+
+
+@query(f"""WITH k AS ({_CHUNKS_SQL}), g AS ({_GAZETTE_SQL}), o AS (SELECT law, list_distinct(list(number)) AS numbers FROM ({_ARTICLES_SQL}) a GROUP BY law),
+n AS (SELECT law, count(*) AS n, count(DISTINCT chunk_id) AS d, list_distinct(list(number)) AS numbers FROM k GROUP BY law)
+SELECT g.law, CASE WHEN n.law IS NULL THEN 'no_chunks' WHEN {_GARBLE.replace("text", "g.text")} > 0.03 THEN 'garbled' WHEN n.n <> n.d THEN 'duplicate_ids' WHEN len(list_filter(o.numbers, lambda x: NOT list_contains(n.numbers, x))) > 0 THEN 'missing_articles' WHEN length(g.text) < 0.8 * (length(g.text) + CASE WHEN CAST(substr(g.law, 2) AS BIGINT) % 4 = 0 THEN 400 ELSE 0 END) THEN 'too_short' ELSE 'ok' END AS verdict
+FROM g LEFT JOIN o USING (law) LEFT JOIN n USING (law)""")
+def reingest_gate(t: Tables) -> DataFrame:
+    """Whether a law's new chunks may replace the old: not if the text is garbled, ids repeat, an article that was there is missing, or
+    the text is much shorter than the raw one (here: longer by 400 characters for every fourth law)."""
+    laws = gazette(t)
+    old = C.lines_of(laws).where("number IS NOT NULL").groupBy("law").agg(F.collect_set("number").alias("old"))
+    new = C.chunk_law(laws).groupBy("law").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("d"), F.collect_set("number").alias("new"))
+    raw = F.length("text") + F.when(F.substring("law", 2, 20).cast("long") % 4 == 0, 400).otherwise(0)
+    facts = laws.select("law", X.garble_ratio(F.col("text")).alias("garble"), (F.length("text") < 0.8 * raw).alias("short")).join(old, "law", "left").join(new, "law", "left")
+    ladder = F.when(F.col("n").isNull(), "no_chunks").when(F.col("garble") > 0.03, "garbled").when(F.col("n") != F.col("d"), "duplicate_ids").when(F.size(F.array_except("old", "new")) > 0, "missing_articles").when(F.col("short"), "too_short").otherwise("ok")
+    return facts.select("law", ladder.alias("verdict"))
+
+
+# The questions that are asked of an article.
+ARTICLE_QUESTIONS = ("Çfarë thotë Neni {n} i Ligjit {law}?", "Çfarë përcakton Neni {n} i ligjit {law}?", "Më trego përmbajtjen e Nenit {n} të Ligjit {law}.", "Cila është dispozita e Nenit {n} në Ligjin {law}?", "Sipas Ligjit {law}, Neni {n}, çfarë rregullohet?")
+_FORM = "[" + ", ".join(f"'{q}'" for q in ARTICLE_QUESTIONS) + "]"
+
+
+@query(f"""SELECT law, number, title, replace(replace(({_FORM})[CAST(number AS BIGINT) % 5 + 1], '{{n}}', number), '{{law}}', law) AS query FROM (SELECT law, number, title, row_number() OVER (PARTITION BY law ORDER BY md5(law || number || title), chunk_id) AS r FROM ({_CHUNKS_SQL}) k
+WHERE length(title) BETWEEN 3 AND 60 AND NOT regexp_matches(lower(title), '^(ligji|në ligjin|neni)') AND NOT regexp_matches(title, '[0-9]{{4}}/[0-9]')) x WHERE r = 1""")
+def golden_candidates(t: Tables) -> DataFrame:
+    """A question for one article of each law: of those with a real title, the first by a hash that stands for a seeded shuffle."""
+    title = F.col("title")
+    good = C.chunk_law(gazette(t)).where(F.length(title).between(3, 60) & ~F.lower(title).rlike("^(ligji|në ligjin|neni)") & ~title.rlike("[0-9]{4}/[0-9]"))
+    shuffled = Window.partitionBy("law").orderBy(F.md5(F.concat("law", "number", "title")), "chunk_id")
+    one = good.withColumn("r", F.row_number().over(shuffled)).where("r = 1")
+    form = F.element_at(F.array(*map(F.lit, ARTICLE_QUESTIONS)), (F.col("number").cast("int") % 5 + 1))
+    return one.select("law", "number", "title", F.replace(F.replace(form, F.lit("{n}"), F.col("number")), F.lit("{law}"), F.col("law")).alias("query"))

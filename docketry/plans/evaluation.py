@@ -112,9 +112,25 @@ def longquery_gate(t: Tables) -> DataFrame:
     return t.values(_PARTS).where("part <= 6").groupBy("qid").agg(F.when(few, False).otherwise(~any_pass).alias("gated"), F.when(few, "exempt_long").when(any_pass, "decomposed_pass").otherwise("decomposed_all_below").alias("tier"), F.when(few, None).when(any_pass, F.min_by("r", F.when(passes, F.col("part")))).otherwise(F.max("r")).cast("double").alias("top"))
 
 
-@query("""SELECT d.lang, round(avg(CASE WHEN l.quality = 1 THEN 1.0 ELSE 0.0 END), 6) AS law_coverage, bool_or(l.toxic = 1) AS any_toxic, CAST(count(*) AS BIGINT) AS issues FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.lang""")
+# Questions of five issues each, one a document; an issue expects a law or two and articles of them, and a question has what was retrieved for it.
+_ISSUES = "SELECT doc_id, CAST(floor(doc_id / 5) AS BIGINT) AS qid, doc_id % 7 AS law, CASE WHEN doc_id % 2 = 0 THEN (doc_id + 3) % 7 ELSE doc_id % 7 END AS other, doc_id % 4 AS article FROM documents"
+_HITS = "SELECT CAST(floor(doc_id / 5) AS BIGINT) AS qid, (doc_id * 3) % 7 AS law, doc_id % 3 AS article FROM documents WHERE doc_id % 5 < 4"
+
+
+@query(f"""WITH i AS ({_ISSUES}), h AS ({_HITS}), e AS (SELECT doc_id, qid, law, article FROM i UNION SELECT doc_id, qid, other, article FROM i),
+c AS (SELECT e.doc_id, e.qid, coalesce(bool_or(h.law IS NOT NULL), FALSE) AS law_ok, coalesce(bool_or(h.article = e.article), FALSE) AS art_ok FROM e LEFT JOIN h ON h.qid = e.qid AND h.law = e.law GROUP BY e.doc_id, e.qid),
+u AS (SELECT e.qid, count(DISTINCT e.law) AS n, count(DISTINCT CASE WHEN h.law IS NOT NULL THEN e.law END) AS hit FROM e LEFT JOIN h ON h.qid = e.qid AND h.law = e.law GROUP BY e.qid)
+SELECT c.qid, round(max(u.hit) / max(u.n), 3) AS union_recall, round(avg(CAST(law_ok AS INT)), 3) AS law_coverage, round(avg(CAST(art_ok AS INT)), 3) AS article_coverage FROM c JOIN u USING (qid) GROUP BY c.qid""")
 def issue_coverage(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", "lang").join(t.labels, "doc_id").groupBy("lang").agg(F.round(F.avg((F.col("quality") == 1).cast("double")), 6).alias("law_coverage"), F.bool_or(F.col("toxic") == 1).alias("any_toxic"), F.count("*").alias("issues"))
+    """Of each question: the share of all expected laws that were retrieved, of issues with any of their laws, and with any article of these."""
+    t.documents.createOrReplaceTempView("documents")
+    issues, hits = t.spark.sql(_ISSUES), t.spark.sql(_HITS)
+    expected = issues.select("doc_id", "qid", F.explode(F.array_distinct(F.array("law", "other"))).alias("law"), "article")
+    laws = hits.groupBy("qid", "law").agg(F.collect_set("article").alias("articles"))  # once a law, so that nothing fans out
+    seen = expected.join(laws, ["qid", "law"], "left").select("doc_id", "qid", "law", F.col("articles").isNotNull().alias("law_ok"), F.coalesce(F.array_contains("articles", F.col("article")), F.lit(False)).alias("art_ok"))
+    union = seen.groupBy("qid").agg(F.count_distinct("law").alias("n"), F.count_distinct(F.when(F.col("law_ok"), F.col("law"))).alias("hit"))
+    issue = seen.groupBy("qid", "doc_id").agg(F.bool_or("law_ok").alias("law_ok"), F.bool_or("art_ok").alias("art_ok")).groupBy("qid").agg(F.round(F.avg(F.col("law_ok").cast("int")), 3).alias("law_coverage"), F.round(F.avg(F.col("art_ok").cast("int")), 3).alias("article_coverage"))
+    return union.join(issue, "qid").select("qid", F.round(F.col("hit") / F.col("n"), 3).alias("union_recall"), "law_coverage", "article_coverage")
 
 
 @query("""SELECT verdict, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE value < 10) AS BIGINT) AS below_floor FROM (SELECT value, CASE WHEN event_type = 'error' THEN 'REFUSED' WHEN event_type = 'view' THEN 'ANSWERED-NO-CITE' ELSE 'FABRICATED' END AS verdict FROM events) x GROUP BY verdict""")
@@ -150,14 +166,6 @@ def probe_sample(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.min("event_id").alias("event_id")).orderBy("event_id").limit(50)
 
 
-_REINGEST = "(VALUES ('a', 0.01, 10, 10, 0, 950, 1000), ('b', 0.04, 10, 10, 0, 950, 1000), ('c', 0.0, 10, 9, 0, 950, 1000), ('d', 0.0, 5, 5, 2, 950, 1000), ('e', 0.0, 5, 5, 0, 700, 1000)) AS g(law, garble, n, n_distinct, missing, new_len, old_len)"
-
-
-@query(f"SELECT law, CASE WHEN garble > 0.03 THEN 'garbled' WHEN n <> n_distinct THEN 'duplicate_ids' WHEN missing > 0 THEN 'missing_articles' WHEN new_len < 0.8 * old_len THEN 'too_short' ELSE 'ok' END AS verdict FROM {_REINGEST}")
-def reingest_gate(t: Tables) -> DataFrame:
-    return t.values(_REINGEST).select("law", F.when(F.col("garble") > 0.03, "garbled").when(F.col("n") != F.col("n_distinct"), "duplicate_ids").when(F.col("missing") > 0, "missing_articles").when(F.col("new_len") < 0.8 * F.col("old_len"), "too_short").otherwise("ok").alias("verdict"))
-
-
 _USAGE = "(VALUES ('pro-1', 1000, 400, 200), ('flash-2', 5000, 6000, 100), ('other', 10, 0, 10)) AS u(model, prompt, cached, output)"
 
 

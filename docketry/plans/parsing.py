@@ -125,13 +125,23 @@ def detect_language(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(F.length("text") >= 20, best).alias("b")).select("doc_id", "b.lang", F.round("b.share", 6).alias("confidence"))
 
 
-_TEMPLATES = "(VALUES (1, 'Dear {{name}}, on {{ date }} you {{name}}'), (2, 'none'), (3, '{{a}}{{b_1}}')) AS p(id, body)"
+# The kinds of a template's variables.
+VARIABLE_KINDS = ("text", "date", "number", "select")
+# A template a document: tokens in its body, and what was declared of them (a name twice, an unknown kind, a name left out).
+_BODY = "'Dear {{name}}, on {{ day_' || CAST(doc_id % 3 AS STRING) || ' }} ' || CASE WHEN doc_id % 2 = 0 THEN '{{sum}} ' ELSE '' END || 'you {{name}}'"
+_DECLARED = """'[{"name": "name", "type": "number"}, {"name": "place", "type": "city"}, {"name": "", "type": "text"}' || CASE WHEN doc_id % 2 = 1 THEN ', {"name": "name", "type": "date", "required": false}' ELSE '' END || ']'"""
 
 
-@query(f"SELECT id, list_aggregate(list_sort(list_distinct(regexp_extract_all(body, '\\{{\\{{\\s*([A-Za-z0-9_]+)\\s*\\}}\\}}', 1))), 'string_agg', ',') AS names FROM {_TEMPLATES}")
+@query("""SELECT doc_id, 'name:' || CASE WHEN doc_id % 2 = 1 THEN 'date:false' ELSE 'number:true' END || ',place:text:true,day_' || doc_id % 3 || ':text:true' || CASE WHEN doc_id % 2 = 0 THEN ',sum:text:true' ELSE '' END AS variables FROM documents""")
 def template_vars(t: Tables) -> DataFrame:
-    names = F.array_sort(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\{\{\s*([A-Za-z0-9_]+)\s*\}\}"), F.lit(1))))
-    return t.values(_TEMPLATES).select("id", F.when(F.size(names) > 0, F.array_join(names, ",")).alias("names"))
+    """Declared variables, of a name the last, kinds that aren't known as text; then the tokens that nobody declared."""
+    declared = F.filter(F.from_json(F.expr(_DECLARED), "array<struct<name:string,type:string,required:boolean>>"), lambda v: F.coalesce(F.trim(v["name"]), F.lit("")) != "")
+    tokens = F.array_distinct(F.transform(F.regexp_extract_all(F.expr(_BODY), F.lit(r"\{\{\s*([A-Za-z0-9_]+)\s*\}\}"), F.lit(1)), lambda x: F.trim(x)))
+    rows = t.documents.select("doc_id", declared.alias("declared"), tokens.alias("tokens")).withColumn("names", F.array_distinct(F.transform("declared", lambda v: F.trim(v["name"]))))
+    last = F.transform("names", lambda n: F.element_at(F.filter("declared", lambda v: F.trim(v["name"]) == n), -1))
+    shown = F.transform(last, lambda v: F.concat_ws(":", F.trim(v["name"]), F.when(v["type"].isin(*VARIABLE_KINDS), v["type"]).otherwise("text"), F.coalesce(v["required"], F.lit(True)).cast("string")))
+    more = F.transform(F.array_except("tokens", "names"), lambda n: F.concat(n, F.lit(":text:true")))
+    return rows.select("doc_id", F.array_join(F.concat(shown, more), ",").alias("variables"))
 
 
 @query("SELECT * FROM (VALUES (1, 'A', 'sq'), (2, 'B', NULL), (3, NULL, NULL)) AS e(id, title, language)")
@@ -148,15 +158,18 @@ def parse_list_field(t: Tables) -> DataFrame:
     return rows.select("id", F.array_join(F.coalesce(F.when(F.col("raw").startswith("["), F.from_json("raw", "array<string>")), parts), "|").alias("items"))
 
 
-@query("SELECT page_id, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), url) AS title, CASE WHEN contains(url, '/blog') THEN 'blog' ELSE 'page' END AS kind FROM pages")
-def normalize_meta(t: Tables) -> DataFrame:
-    title = F.nullif(F.regexp_extract("html", r"<title>([^<]*)</title>", 1), F.lit(""))
-    return t.pages.select("page_id", F.coalesce(title, F.col("url")).alias("title"), F.when(F.col("url").contains("/blog"), "blog").otherwise("page").alias("kind"))
+_META_URL = "CASE page_id % 4 WHEN 0 THEN url || '/ligji_2021-03-' || lpad(CAST(page_id % 28 + 1 AS STRING), 2, '0') WHEN 1 THEN url || '/aktgjykim' WHEN 2 THEN url || '/kontrate' ELSE url END"
 
 
-@query("SELECT doc_id FROM documents WHERE length(text) BETWEEN 200 AND 2000 AND NOT contains(text, '|')")
-def golden_candidates(t: Tables) -> DataFrame:
-    return t.documents.where(F.length("text").between(200, 2000) & ~F.col("text").contains("|")).select("doc_id")
+@query(f"""SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), nullif(regexp_extract(u, '([^/]+)/*$', 1), ''), 'doc-' || page_id) AS title,
+CASE page_id % 4 WHEN 0 THEN 'law' WHEN 1 THEN 'case_law' WHEN 2 THEN 'contract' ELSE CASE WHEN regexp_matches(lower(u), 'ligj|law') THEN 'law' ELSE 'other' END END AS kind, CASE WHEN page_id % 4 = 0 THEN CAST('2021-03-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') AS DATE) ELSE try_cast(nullif(regexp_extract(u, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', 0), '') AS DATE) END AS day FROM (SELECT *, {_META_URL} AS u FROM pages) p""")
+def normalize_meta(t: Tables) -> DataFrame:
+    """Title (of the page, else the name's last part, else the id), kind by words in the name, and the date in it."""
+    rows = t.pages.select("page_id", "html", F.expr(_META_URL).alias("u"))
+    name, low = F.nullif(F.regexp_extract("u", "([^/]+)/*$", 1), F.lit("")), F.lower("u")
+    title = F.nullif(F.trim(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)), F.lit(""))
+    kind = F.when(low.rlike("aktgjykim|case"), "case_law").when(low.rlike("kontrat|contract"), "contract").when(low.rlike("ligj|law"), "law").otherwise("other")
+    return rows.select("page_id", F.coalesce(title, name, F.concat(F.lit("doc-"), F.col("page_id"))).alias("title"), kind.alias("kind"), F.try_to_date(F.nullif(F.regexp_extract("u", r"\d{4}-\d{2}-\d{2}", 0), F.lit("")), "yyyy-MM-dd").alias("day"))
 
 
 @query("""SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS pos, line AS text FROM (SELECT doc_id, unnest(range(len(l))) AS i, trim(unnest(l), ' ' || chr(9) || chr(13) || chr(10)) AS line FROM
