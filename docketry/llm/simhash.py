@@ -33,8 +33,6 @@ SEED = 42
 RADIUS = 4
 BLOCKS = 7
 PIVOTS = 16
-#: Of fingerprints of distinct words, which keep_one uses as well: bits, blocks, and the distinct words that a text needs.
-WORD_RADIUS, WORD_BLOCKS, LEAST_WORDS = 6, 9, 64
 RUN = 4096
 #: Runs of at most so many rows are compared together, row by row with those after it.
 SHORT = 16
@@ -64,17 +62,6 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(votes * 2 > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def word_fingerprint(text: str, least: int = LEAST_WORDS) -> int | None:
-    """Bits set in over half of the XXH64 values of the text's distinct words; None for texts of fewer than `least`."""
-    words = set(text.encode().lower().split())
-    if len(words) < least:
-        return None
-    votes, h = np.zeros(64, np.int64), np.fromiter([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
-    for k in range(0, len(h), _CHUNK):
-        votes += np.unpackbits(h[k : k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(votes * 2 > len(h), bitorder="little").view(np.int64)[0])
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed long."""
 
@@ -234,33 +221,3 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, run: int = RUN) -> DataFram
     roots = linked(distinct, _keys(F.col("fp"), RADIUS, BLOCKS), comb(BLOCKS, RADIUS), run)
     known = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _both_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = batch["text"].to_pylist()
-            fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps), pa.array(list(map(word_fingerprint, texts)), pa.int64())], ["doc_id", "fp", "word_fp"])
-
-    return texts_of(docs).mapInArrow(run, "doc_id long, fp long, word_fp long")
-
-
-def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents without those of whose class a smaller doc_id is there: one row of each class stays, all columns kept.
-
-    Links of fingerprints are not verified; the pipeline takes `similar.keep_one`, which verifies its own. A fingerprint of word shingles moves by many bits when a few words in a hundred change, as each is in several shingles. So
-    documents are linked here as in `classes`, and also where the fingerprints of their distinct words differ in at
-    most WORD_RADIUS bits; short texts, whose few words are a matter of chance, have none of the latter.
-    Of repeated doc_ids all rows of the one that stays are kept.
-    """
-    fps = saved(_both_fingerprints(docs, shingle))
-    edges = None
-    for column, radius, blocks in (("fp", RADIUS, BLOCKS), ("word_fp", WORD_RADIUS, WORD_BLOCKS)):
-        own = fps.where(F.col(column).isNotNull()).select("doc_id", F.col(column).alias("fp"))
-        distinct = saved(own.groupBy("fp").agg(F.min("doc_id").alias("node")))
-        same = own.join(distinct, "fp").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-        now = same.unionByName(links(distinct, radius=radius, blocks=blocks))
-        edges = now if edges is None else edges.unionByName(now)
-    gone = components(edges).where("node <> root").select("node")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["node"], "left_anti")

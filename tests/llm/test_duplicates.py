@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from docketry.llm import simhash, suffix_dedup
+from docketry.llm import similar, simhash, suffix_dedup
 from docketry.llm.common import components
 from tests.llm.cases import TEXTS, documents, empty
 
@@ -45,8 +45,8 @@ def test_fingerprints_and_classes(spark):
     assert len(got) == len(TEXTS) + 1
     assert all((r.fingerprint, r.component_id) == (f"{fps[r.doc_id]:016x}", want[r.doc_id]) for r in got)
     assert simhash.classes(empty(spark)).collect() == []
-    assert {r.doc_id for r in simhash.keep_one(documents(spark)).where("doc_id IS NOT NULL").collect()} == set(want.values())
-    assert simhash.keep_one(documents(spark)).columns == documents(spark).columns
+    clash = documents(spark).selectExpr("doc_id", "text", "'x' AS fingerprint", "7 AS component_id", "text AS fp")
+    assert sorted(map(tuple, simhash.classes(clash).collect())) == sorted(map(tuple, got))
 
 
 def test_keep_one_finds_edited_copies(spark):
@@ -58,7 +58,7 @@ def test_keep_one_finds_edited_copies(spark):
         for i in range(20 * k, 400, 50):
             edited[i] = f"x{k}{i}"
         texts[k] = " ".join(edited)
-    assert {r.doc_id for r in simhash.keep_one(documents(spark, texts, repeated=False)).where("doc_id IS NOT NULL").collect()} == {0, 5}
+    assert {r.doc_id for r in similar.keep_one(documents(spark, texts, repeated=False)).where("doc_id IS NOT NULL").collect()} == {0, 5}
 
 
 @pytest.mark.parametrize("run", [4096, 7])

@@ -7,10 +7,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from docketry.llm import byte_bpe, language, packing, quality_lines, registry, simhash
+from docketry.llm import byte_bpe, language, packing, quality_lines, registry
 from docketry.llm.common import stored, table
 from tests.conftest import SF
-from tests.llm.test_duplicates import brute_fingerprint
 
 
 def test_registered():
@@ -18,8 +17,13 @@ def test_registered():
     assert {name.split("_")[0] for name in found} == {f"op{n}" for n in range(1, 11)}
 
 
-def brute_keep_one(texts):
-    """The smallest doc_id of each class: pairs linked by either fingerprint, all compared with all."""
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_kept(texts):
+    """The smallest doc_id of each class: sets of 5-word shingles with a similarity of 0.8 or more, all compared with all."""
     root = {k: k for k in texts}
 
     def find(x):
@@ -27,16 +31,13 @@ def brute_keep_one(texts):
             x = root[x]
         return x
 
-    shingles = {k: brute_fingerprint(t) for k, t in texts.items()}
-    words = {k: f for k, t in texts.items() if (f := simhash.word_fingerprint(t)) is not None}
-    for fps, radius in ((shingles, simhash.RADIUS), (words, simhash.WORD_RADIUS)):
-        ids = sorted(fps)
-        for n, i in enumerate(ids):
-            for j in ids[n + 1 :]:
-                if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= radius:
-                    a, b = find(i), find(j)
-                    root[max(a, b)] = min(a, b)
-    return {k: t for k, t in texts.items() if find(k) == k}
+    sets = {k: shingles(t) for k, t in texts.items()}
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {k for k in texts if find(k) == k}
 
 
 def brute_without_repeats(texts):
@@ -61,7 +62,8 @@ def test_run(spark):
     texts = {k: t for k, t in texts.items() if not scorer.score(t)[2]}
     field = quality_lines.fit(docs.where(docs.doc_id.isin(list(texts))), labels)
     texts = {k: t for k, t in texts.items() if field.documents([t])[0] >= quality_lines.GOOD_AT}
-    texts = brute_without_repeats(brute_keep_one(texts))
+    kept = brute_kept(texts)
+    texts = brute_without_repeats({k: t for k, t in texts.items() if k in kept})
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stored(stage(spark, docs, SF), f"test-{name}")

@@ -6,30 +6,8 @@ import pytest
 
 import corpus_pipeline
 from docketry.llm import similar
-from tests.llm import test_pipeline
 from tests.llm.cases import TEXTS, documents, empty
-
-
-def shingles(text):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def brute_kept(texts):
-    root = {k: k for k in texts}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    sets = {k: shingles(t) for k, t in texts.items()}
-    for i in sets:
-        for j in sets:
-            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return {k for k in texts if find(k) == k}
+from tests.llm.test_pipeline import brute_kept
 
 
 def edited(words, share, rng):
@@ -72,9 +50,3 @@ def test_large_class_in_pieces(spark, run, piece):
             b = root[b]
         root[max(a, b)] = min(a, b)
     assert {k for k in texts if root[k] == k} == brute_kept(texts)
-
-
-def test_pipeline_with_similarity(spark, monkeypatch):
-    """The whole run against test_pipeline's stages in plain Python, with the near-duplicates by similarity alone."""
-    monkeypatch.setattr(test_pipeline, "brute_keep_one", lambda texts: {k: texts[k] for k in brute_kept(texts)})
-    test_pipeline.test_run(spark)
