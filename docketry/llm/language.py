@@ -7,7 +7,9 @@ the verdict is narrow and the document is rejected.
 
 A dictionary is made of a bounded sample of labelled rows: SAMPLE_CELLS rows a language, one for each residue of a hash of
 doc_id, PIECE bytes of each. Null texts and texts without a letter are `und` with score 0 and rejected. Rows without lang
-aren't learned from. Where no row is labelled every prediction is `und`. Repeated rows get one verdict each.
+aren't learned from. Where no row is labelled every prediction is `und`. Repeated rows get one verdict each. Of languages with the smallest
+size in common the commonest is told, with score 0.5, and rejected. A very long text is compressed whole. Columns other than doc_id, text and lang are
+ignored (`keep_identified` keeps them), whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

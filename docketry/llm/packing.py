@@ -7,7 +7,9 @@ available length, else by two, else by three (looked up in indexes of single, pa
 are left); what has no exact complement is packed best-fit, whole groups of equal sequences at a time. Pieces then find
 their place by their number among the pieces of their length.
 
-Rows without doc_id are no documents. Null texts are empty (one end id); an empty table gives no rows; repeated doc_ids keep all their rows.
+Rows without doc_id are no documents. Null texts are empty (one end id); a very long text is cut as any other, all of its pieces full but the
+first; an empty table gives no rows; repeated doc_ids keep all their rows. Of several complements the one that can be taken most often is,
+of equals the one with the shortest length. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ lines, repeated words or capitals never raise a document's quality. A grown ense
 threshold, children, value), and scoring walks all rows of a batch down all trees at once.
 
 Rows without doc_id are no documents. Null texts have no words and fail the base rule, as empty ones do. Repeated rows get one verdict each. Without labels
-of both classes the trees are empty and the base rule decides alone. An empty table gives no rows.
+of both classes the trees are empty and the base rule decides alone. A very long text is counted whole. Columns other than doc_id and text
+are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -99,6 +99,15 @@ def test_plan_places_every_piece_once(seed):
     assert len(held) <= 1.01 * sum(k * n for k, n in histogram.items()) / packing.CAPACITY + 1
 
 
+def test_plan_of_ties():
+    """Equal counts, equal lengths, nothing that fits, whole sequences: each piece placed once, as few sequences as can be."""
+    for histogram, sequences in (({1024: 4, 512: 2}, 3), ({2048: 3}, 3), ({2047: 2, 2: 2}, 3), ({1: 2048}, 1), ({1000: 2, 24: 2, 1048: 0}, 1), ({700: 3, 648: 3}, 2), ({683: 3, 682: 0}, 2), ({}, 0)):
+        slots = packing.plan({k: n for k, n in histogram.items() if n})
+        assert sum(n for _, _, n, _, _ in slots) == sum(histogram.values())
+        assert len({q + j for _, _, n, q, _ in slots for j in range(n)}) == sequences, histogram
+        assert packing.plan({k: n for k, n in histogram.items() if n}) == slots
+
+
 def test_piece_bpe_is_the_library():
     bpe = piece_bpe.piece_bpe(piece_bpe.default_model())
     for text in ODD + ["▁x", "a▁▁ b", "   the", "A" * 300, "😀 x", "<s> hi"] + random_texts(3000):
