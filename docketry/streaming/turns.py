@@ -14,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def shared_dir(spark: SparkSession) -> str:
     """Where checkpoints of streams go: the folder that driver and executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (where or "/tmp/checkpoints").rstrip("/")
 
 
