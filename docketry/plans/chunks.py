@@ -244,3 +244,11 @@ def golden_candidates(t: Tables) -> DataFrame:
     one = good.withColumn("r", F.row_number().over(shuffled)).where("r = 1")
     form = F.element_at(F.array(*map(F.lit, ARTICLE_QUESTIONS)), (F.col("number").cast("int") % 5 + 1))
     return one.select("law", "number", "title", F.replace(F.replace(form, F.lit("{n}"), F.col("number")), F.lit("{law}"), F.col("law")).alias("query"))
+
+
+@query()
+def recursive_chunks(t: Tables) -> DataFrame:
+    """Chunks at the coarsest separators; the walk over pieces isn't told in SQL (tests hold it to its properties)."""
+    from docketry.operators.splitting import chunks
+
+    return chunks(t.documents).select("doc_id", "j", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.operators.dml import first_seen, latest_per_key
 from docketry.plans.base import Tables, query
+from docketry.sources import reports as R
+from docketry.streaming.turns import shared_dir
 
 
 @query("SELECT o.o_orderkey, o.o_orderstatus, c.c_name AS client_name, c.c_mktsegment AS client_segment FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey")
@@ -217,3 +221,35 @@ def append_turn(t: Tables) -> DataFrame:
 @query("SELECT k AS attempt, least(60.0, 0.5 * pow(2, k)) AS seconds FROM range(0, 10) r(k)")
 def backoff_schedule(t: Tables) -> DataFrame:
     return t.spark.range(10).select(F.col("id").alias("attempt"), F.least(F.lit(60.0), F.lit(0.5) * F.pow(F.lit(2), F.col("id"))).alias("seconds"))
+
+
+_RUNS = "SELECT event_id % 500 AS law, event_id AS line, CASE WHEN event_type = 'error' OR event_id % 11 = 0 THEN 'ERROR' WHEN value > 50 THEN 'GATE_FAILED' ELSE 'INGESTED' END AS status FROM events"
+
+
+@query(f"SELECT law, max_by(status, line) AS status, max(line) AS line FROM ({_RUNS}) r GROUP BY law")
+def report_latest(t: Tables) -> DataFrame:
+    """A report that two runs append to, read back: the last line of each law."""
+    return _report(t)
+
+
+@query(f"SELECT law FROM (SELECT DISTINCT o_orderkey % 600 AS law FROM orders) w WHERE law NOT IN (SELECT law FROM (SELECT law, max_by(status, line) AS s FROM ({_RUNS}) r GROUP BY law) x WHERE s <> 'ERROR')")
+def report_todo(t: Tables) -> DataFrame:
+    """What a further run has to do: laws without a line, or whose last one is an error."""
+    return R.todo(t.orders.select((F.col("o_orderkey") % 600).alias("law")).distinct(), _report(t), "law")
+
+
+def _report(t: Tables) -> DataFrame:
+    t.events.createOrReplaceTempView("events")
+    path, runs = f"{shared_dir(t.spark)}/report-{uuid.uuid4().hex}", t.spark.sql(_RUNS)
+    for half in (0, 1):
+        R.append(runs.where(F.col("line") % 2 == half), path)
+    return R.latest(t.spark, path, "law long, line long, status string", "law", "line").select("law", "status", "line")
+
+
+@query("SELECT 'L' || p_partkey AS abolished, CAST(count(*) AS BIGINT) AS n, bool_or(p_size > 25) AS fully FROM part GROUP BY p_partkey")
+def registry_scan(t: Tables) -> DataFrame:
+    """Registries of relations, one JSON document a brand, written from parts and read back, by the law that is abolished."""
+    relation = F.struct(F.concat(F.lit("L"), "p_partkey").alias("abolished"), F.col("p_name").alias("abolishing"), F.when(F.col("p_size") > 25, "full").otherwise("partial").alias("kind"))
+    path = f"{shared_dir(t.spark)}/registry-{uuid.uuid4().hex}"
+    t.part.groupBy("p_brand").agg(F.collect_list(relation).alias("relations")).select("relations").write.json(path)
+    return R.registry(t.spark, path, one=False).groupBy("abolished").agg(F.count("*").alias("n"), F.bool_or(F.col("kind") == "full").alias("fully"))

@@ -85,3 +85,35 @@ def test_files(spark):
     assert sorted(map(tuple, docx_paragraphs(files.unionByName(broken)).collect())) == [(1, 0, "one"), (1, 1, "two")]
     raw = spark.createDataFrame([("p", bytearray("ë".encode() + b"\xff"))], "path string, content binary")
     assert text_files(raw).first().text == "ë�"
+
+
+def test_recursive_chunks():
+    """Short enough, in order, nothing but white space lost, overlaps of at most a hundred characters; single cases by hand."""
+    import random
+
+    from docketry.operators.splitting import split
+
+    assert split("") == [] and split(" a b ") == ["a b"] and split("x" * 2500) == ["x" * 1000, "x" * 1000, "x" * 700]
+    assert split("aaa bbb ccc ddd", 8, 4) == ["aaa bbb", "bbb ccc", "ccc ddd"]
+    assert split("aaa\n\nbbb ccc\n\nddd", 9, 0) == ["aaa", "bbb ccc", "ddd"]
+    rng = random.Random(0)
+    for _ in range(200):
+        text = "".join(rng.choice(["word", "a", "longerword", " ", " ", "\n", "\n\n"]) for _ in range(rng.randint(0, 900)))
+        found, at = split(text), 0
+        assert all(0 < len(c) <= 1000 for c in found)
+        place = 0
+        for chunk in found:
+            at = text.find(chunk, max(0, place - 101))
+            assert at >= 0 and not text[place:at].strip()
+            place = max(place, at + len(chunk))
+        assert not text[place:].strip()
+
+
+def test_registry_of_one_document(spark, tmp_path):
+    """A document over several lines, a relation without its law, and a file that is no document."""
+    from docketry.sources.reports import registry
+
+    (tmp_path / "a.json").write_text('{"relations": [\n {"abolished": "1", "abolishing": "2", "kind": "full"},\n {"abolishing": "3"}\n]}')
+    assert [tuple(r) for r in registry(spark, str(tmp_path)).collect()] == [("1", "2", "full")]
+    (tmp_path / "a.json").write_text("{not json")
+    assert registry(spark, str(tmp_path)).collect() == []
