@@ -145,14 +145,17 @@ def citation_fallback_rank(t: Tables) -> DataFrame:
     return ranked.where("priority IS NOT NULL").select("law", "id", F.row_number().over(Window.partitionBy("law").orderBy("priority", "doc_id")).cast("long").alias("rank"))
 
 
-_WANTED = "(VALUES (1, '04/L-77'), (2, 'KUV-06/L-074-KOD'), (3, '99/L-1')) AS w(qid, law)"
+# Every document's law, and one spelling under which it is stored (the inner number for some codes, nothing for every fifth).
+_WANTED = f"CASE WHEN doc_id % 2 = 0 THEN {_SHORT} ELSE 'KUV-' || {_SHORT} || '-KOD' END"
+_STORED_AS = f"CASE doc_id % 5 WHEN 0 THEN 'NR.' || {_WANTED} WHEN 1 THEN lower({_WANTED}) WHEN 2 THEN replace({_WANTED}, '/L-', '/L -') WHEN 3 THEN CASE WHEN doc_id % 2 = 1 THEN 'NR.' || {_SHORT} ELSE {_WANTED} END END"
 
 
-@query("SELECT * FROM (VALUES (1, 'NR.04/L-77'), (2, '06/L-074'), (3, NULL)) AS e(qid, found)")
+@query(f"SELECT doc_id, {_STORED_AS} AS found FROM documents")
 def variant_probe(t: Tables) -> DataFrame:
-    tried = t.values(_WANTED).select("qid", F.posexplode(lawnum.variants(F.col("law"))).alias("pos", "spelling"))
-    stored = t.values("(VALUES ('NR.04/L-77'), ('06/L-074'), ('02/L-10')) AS c(law)")
-    return tried.join(stored, F.col("spelling") == F.col("law"), "left").groupBy("qid").agg(F.min_by("law", F.when(F.col("law").isNotNull(), F.col("pos"))).alias("found"))
+    """The first spelling, in the order they are tried, under which a law is stored."""
+    tried = t.documents.select("doc_id", F.posexplode(lawnum.variants(F.expr(_WANTED))).alias("pos", "spelling"))
+    stored = t.documents.select(F.expr(_STORED_AS).alias("law")).where("law IS NOT NULL").distinct()
+    return tried.join(stored, F.col("spelling") == F.col("law"), "left").groupBy("doc_id").agg(F.min_by("law", F.when(F.col("law").isNotNull(), F.col("pos"))).alias("found"))
 
 
 _REGISTRY = """(VALUES ('04/L-051', '06/L-010', 'full', '12.03.2018'), ('04/L-051', '05/L-001', 'partial', '1.1.2016'), ('03/L-212', '08/L-100', 'partial', '2.2.2022'), ('2004/2', '04/L-077', 'full', '19.06.2012'), ('x', 'y', 'full', '32.01.2020')) AS g(abolished, abolishing, kind, published)"""
@@ -183,23 +186,27 @@ def parse_gazette_date(t: Tables) -> DataFrame:
     return t.values(_REGISTRY).select("published", F.when(F.col("published").rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), F.try_to_date("published", "d.M.yyyy")).alias("day"))
 
 
-_CATALOG = "(VALUES (1, '04/L-077', 'Obligations'), (2, '04/L-077', 'Obligations, amended'), (3, 'KUV-06/L-074-KOD', 'Criminal code'), (4, 'KUV-06/L-074-X', 'Other'), (5, NULL, 'none')) AS k(n, law, title)"
+# A catalog made from documents: laws as they are typed, some without a number, many more than once.
+_CATALOG_SQL = f"""SELECT CASE WHEN doc_id % 10 = 9 THEN NULL ELSE {_RAW_LAW} END AS law, CASE doc_id % 8 WHEN 3 THEN {_LAW} WHEN 4 THEN {_SHORT} END AS inner_law, doc_id AS n, 'T' || CAST(doc_id AS VARCHAR) AS title FROM documents"""
+_CATALOG_VIEW = f"""(WITH k AS ({_CATALOG_SQL}), own AS (SELECT law, max_by(title, n) AS title FROM k WHERE law IS NOT NULL GROUP BY law), alias AS (SELECT inner_law AS law, min_by(title, n) AS title FROM k WHERE law IS NOT NULL AND inner_law IS NOT NULL GROUP BY inner_law)
+SELECT law, title FROM own UNION ALL SELECT law, title FROM alias WHERE law NOT IN (SELECT law FROM own))"""
 
 
-@query("SELECT * FROM (VALUES ('04/L-077', 'Obligations, amended'), ('KUV-06/L-074-KOD', 'Criminal code'), ('KUV-06/L-074-X', 'Other'), ('06/L-074', 'Criminal code')) AS e(law, title)")
+@query(f"SELECT law, title FROM {_CATALOG_VIEW} v")
 def catalog_alias(t: Tables) -> DataFrame:
-    rows = t.values(_CATALOG).where("law IS NOT NULL").withColumn("law", lawnum.canonical(F.col("law")))
-    own = rows.groupBy("law").agg(F.max_by("title", "n").alias("title"))  # the last repeat wins
-    alias = rows.select(lawnum.inner(F.col("law")).alias("law"), "title", "n").where("law IS NOT NULL").groupBy("law").agg(F.min_by("title", "n").alias("title"))  # the first
+    """Titles by number: of repeats the last; a code is also found under its inner number, the first of them, unless a law has it."""
+    rows = t.documents.where("doc_id % 10 <> 9").select(lawnum.canonical(F.expr(_RAW)).alias("law"), F.col("doc_id").alias("n"), F.concat(F.lit("T"), "doc_id").alias("title"))
+    own = rows.groupBy("law").agg(F.max_by("title", "n").alias("title"))
+    alias = rows.select(lawnum.inner(F.col("law")).alias("law"), "title", "n").where("law IS NOT NULL").groupBy("law").agg(F.min_by("title", "n").alias("title"))
     return own.unionByName(alias.join(own, "law", "left_anti"))
 
 
-@query("SELECT * FROM (VALUES ('04/L-077', 'Obligations, amended'), ('KUV-06/L-074-ZZ', 'Criminal code'), ('9/L-9', NULL)) AS e(asked, title)")
+@query(f"SELECT d.doc_id, coalesce(a.title, b.title) AS title FROM (SELECT doc_id, {_RAW_LAW} AS law, CASE doc_id % 8 WHEN 3 THEN {_LAW} WHEN 4 THEN {_SHORT} END AS inner_law FROM documents) d LEFT JOIN {_CATALOG_VIEW} a ON a.law = d.law LEFT JOIN {_CATALOG_VIEW} b ON b.law = d.inner_law")
 def catalog_lookup(t: Tables) -> DataFrame:
-    asked = t.values("(VALUES ('04/L-077'), ('KUV-06/L-074-ZZ'), ('9/L-9')) AS a(asked)").select("asked", lawnum.canonical(F.col("asked")).alias("law")).withColumn("inner_law", lawnum.inner(F.col("law")))
+    asked = t.documents.select("doc_id", lawnum.canonical(F.expr(_RAW)).alias("law")).withColumn("inner_law", lawnum.inner(F.col("law")))
     catalog = catalog_alias(t)
     direct, fallback = catalog.select("law", F.col("title").alias("direct")), catalog.select(F.col("law").alias("inner_law"), F.col("title").alias("fallback"))
-    return asked.join(direct, "law", "left").join(fallback, "inner_law", "left").select("asked", F.coalesce("direct", "fallback").alias("title"))
+    return asked.join(direct, "law", "left").join(fallback, "inner_law", "left").select("doc_id", F.coalesce("direct", "fallback").alias("title"))
 
 
 # An answer a document: an article of a law, a law alone, and a law with the next article. What its sources cover is known by construction.
@@ -294,9 +301,11 @@ def status_answer(t: Tables) -> DataFrame:
     return law_status(t).join(by, "law", "left").select("law", F.concat(F.lit("Ligji "), "law", F.lit(": "), "status", F.coalesce(F.concat(F.lit(" nga "), "by_laws"), F.lit(""))).alias("answer"))
 
 
-@query("SELECT * FROM (VALUES ('12'), ('7')) AS e(article)")
+@query("SELECT 'L' || CAST(CAST(floor(doc_id / 20) AS BIGINT) AS VARCHAR) AS law, CAST(doc_id % 20 + 1 AS VARCHAR) AS article FROM documents WHERE doc_id % 5 = 0")
 def missing_articles(t: Tables) -> DataFrame:
-    ids = t.values("(VALUES ('old', '02_L-10_art7'), ('old', '02_L-10_art12_p0'), ('old', '02_L-10_art3'), ('new', '02_L-10_art3'), ('new', '02_L-10_d1_art4')) AS i(side, id)")
-    numbers = ids.select("side", F.regexp_extract("id", r"_art(\d+)", 1).alias("article"))
-    gone = numbers.where("side = 'old'").select("article").subtract(numbers.where("side = 'new'").select("article"))
-    return gone.orderBy(F.length("article"), "article")
+    """Articles of a law that were in the ids before and aren't now, however the ids are cut into sections and parts."""
+    name = "'L' || CAST(CAST(floor(doc_id / 20) AS BIGINT) AS STRING)"
+    old = t.documents.select(F.expr(f"{name} || '_art' || CAST(doc_id % 20 + 1 AS STRING) || CASE WHEN doc_id % 3 = 0 THEN '_p0' ELSE '' END").alias("id"))
+    new = t.documents.where("doc_id % 5 <> 0").select(F.expr(f"{name} || '_d1_art' || CAST(doc_id % 20 + 1 AS STRING)").alias("id"))
+    numbers = lambda ids: ids.select(F.regexp_extract("id", "^(L[0-9]+)_", 1).alias("law"), F.regexp_extract("id", r"_art(\d+)", 1).alias("article")).distinct()
+    return numbers(old).join(numbers(new), ["law", "article"], "left_anti")
