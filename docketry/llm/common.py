@@ -79,14 +79,16 @@ def _bytes(batch: pa.RecordBatch, at: int, n: int) -> int:
 
 #: A node with more than one in HUBS of an edge list's rows is a hub; so there are at most HUBS of them.
 HUBS = 1000
+#: Rows of an edge list that one task takes at least: a small list isn't spread over many tasks, each with files of its own.
+TASK_ROWS = 50_000
 
 
-def _with_minimum(rows: DataFrame, low: DataFrame, least: int) -> DataFrame:
+def _with_minimum(rows: DataFrame, low: DataFrame, least: int, tasks: int) -> DataFrame:
     """rows (u, v) with m of low (u, m, n). A hub's rows, spread as they are, are joined with the broadcast minima of the hubs
     (those with `least` rows or more, which bounds their number); only the rest is dealt by u."""
     hubs = F.broadcast(low.where(F.col("n") >= least).select("u", F.col("m").alias("of_hub")))
     marked = rows.join(hubs, "u", "left")
-    rest = marked.where("of_hub is null").select("u", "v").join(low.where(F.col("n") < least).select("u", "m"), "u")
+    rest = marked.where("of_hub is null").select("u", "v").join(low.where(F.col("n") < least).select("u", "m"), "u").coalesce(tasks)
     return marked.where("of_hub is not null").select("u", "v", F.col("of_hub").alias("m")).unionByName(rest)
 
 
@@ -102,12 +104,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break
-        before, least = state, max(32, 2 * state["n"] // HUBS)
+        before, least, tasks = state, max(32, 2 * state["n"] // HUBS), max(8, state["n"] // TASK_ROWS)
+        now = now.coalesce(tasks)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = _with_minimum(both, low, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_minimum(large, low, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = saved(small.where("u <> v").distinct())
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")).coalesce(tasks)
+        large = _with_minimum(both, low, least, tasks).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(tasks)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).coalesce(tasks)
+        small = _with_minimum(large, low, least, tasks).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        now = saved(small.where("u <> v").distinct().coalesce(tasks))
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
