@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import chat_roles, language, media_sniff, packing, piece_bpe, quality_lines, quality_rules, repair_store, simhash, suffix_dedup
+from docketry.llm import chat_roles, fill_middle, language, lexical_search, media_sniff, mixing, packing, piece_bpe, quality_lines, quality_rules, repair_store, simhash, suffix_dedup
 from docketry.llm.common import table
 
 
@@ -50,9 +50,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_simhash, op3_piece_bpe, op4_chat_roles, op5_quality_rules, op6_quality_lines, op7_language, op8_suffix_dedup, op9_media_sniff, op10_packing)}
+    return {f.__name__: f for f in (op1_token_store, op2_simhash, op3_piece_bpe, op4_chat_roles, op5_quality_rules, op6_quality_lines, op7_language, op8_suffix_dedup, op9_media_sniff, op10_packing, op11_mixing, op12_lexical_search, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_lexical_search": lexical_search.SQL, "op13_fill_middle": fill_middle.SQL}
