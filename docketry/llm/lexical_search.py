@@ -168,7 +168,7 @@ def _score_all(rows: DataFrame, pairs: list[tuple[int, int]], weights: dict[int,
 def _ranked(found: DataFrame, best: int) -> DataFrame:
     """The best of each item, numbered. (Spark keeps `best` an item in each task before the shuffle.)"""
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return found.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= best).select("item_id", "rank", "doc_id", "score")
+    return found.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= best).select("item_id", "rank", "doc_id", "score", "tier")
 
 
 class _Block:
