@@ -1,14 +1,12 @@
 """Hybrid retrieval over batches of questions: dense top-k, BM25 over each question's pool, blend, rerank, cascade.
 
-Every statistic is of one question's pool, so everything is grouped by qid. The questions are a stated set that goes
-to where the vectors are, a block of BLOCK questions at a time; rank filters (row_number <= k) are pushed below the shuffle as group limits.
+Every statistic is of one question's pool, so everything is grouped by qid. The questions are a stated set that meets
+the vectors in a grid of blocks and lots; rank filters (row_number <= k) are pushed below the shuffle as group limits.
 Only texts that are in a pool are tokenized.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +17,8 @@ from docketry.streaming.turns import shared_dir
 # Pool, weight of the dense score, rerank pool, results; BM25 constants.
 POOL, ALPHA, RERANK_POOL, TOP = 200, 0.2, 20, 5
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Questions that are sent to the vectors together.
-BLOCK = 1024
+#: Questions of a block, vectors of a lot.
+BLOCK, LOT = 4096, 1 << 16
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -34,36 +32,44 @@ def kept(df: DataFrame) -> DataFrame:
 def dense_scores(questions: DataFrame, vectors: DataFrame, keep: int | None = None) -> DataFrame:
     """(qid, doc, dense): cosine of questions(qid, embedding) with vectors(doc, embedding), 0 where either is zero.
 
-    The questions are a stated set, sent with the code a block of BLOCK at a time; each Arrow batch of vectors is one matrix product.
-    With `keep`, a batch gives out only its best `keep` rows a question (by score, then doc): all that can be among the best
+    A grid: questions are dealt to blocks and vectors to lots by a hash of their id, and each cell of a block and a lot is some matrix
+    products in a task. With `keep`, a cell gives out only its best `keep` rows a question (by score, then doc): all that can be among the best
     `keep` overall, so that what is shuffled doesn't grow with the vectors' number times the questions'.
     """
-    blocks = max(1, -(-questions.count() // BLOCK))
-    out = None
-    for k in range(blocks):
-        asked = sorted((r["qid"], r["embedding"]) for r in questions.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k).select("qid", "embedding").collect())  # about BLOCK rows
-        scores = _block_scores(asked, vectors, keep)
-        out = scores if out is None else out.unionByName(scores)
-    return out
-
-
-def _block_scores(asked: list[tuple[int, list[float]]], vectors: DataFrame, keep: int | None) -> DataFrame:
-    qids, q = np.array([k for k, _ in asked], np.int64), np.array([v for _, v in asked], np.float64)
-    q_norm = np.sqrt((q * q).sum(axis=1)) if len(q) else np.empty(0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(qids):
-                continue
-            doc = batch["doc"].to_numpy()
-            v = batch["embedding"].flatten().to_numpy().astype(np.float64).reshape(len(doc), -1)
-            norm = np.sqrt((v * v).sum(axis=1))[:, None] * q_norm[None, :]
-            score = np.round(np.divide(v @ q.T, norm, out=np.zeros_like(norm), where=norm > 0), 6)
-            for k, qid in enumerate(qids):
-                rows = np.lexsort((doc, -score[:, k]))[:keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), qid)), pa.array(doc[rows]), pa.array(score[rows, k])], ["qid", "doc", "dense"])
-
-    return vectors.select("doc", "embedding").where("doc IS NOT NULL AND embedding IS NOT NULL").mapInArrow(run, "qid long, doc long, dense double")
+    asked, rows = questions.where("qid IS NOT NULL AND embedding IS NOT NULL").select("qid", "embedding"), vectors.where("doc IS NOT NULL AND embedding IS NOT NULL").select("doc", "embedding")
+    n = rows.count()
+    blocks, lots = max(1, -(-asked.count() // BLOCK)), max(1, -(-n // LOT), min(questions.sparkSession.sparkContext.defaultParallelism, n // 256))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    spread = rows.withColumn("lot", F.pmod(F.xxhash64("doc"), F.lit(lots)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return dealt.groupBy("block", "lot").cogroup(spread.groupBy("block", "lot")).applyInArrow(_cell(keep), "qid long, doc long, dense double")
+
+
+def _cell(keep: int | None):
+    schema = pa.schema([("qid", pa.int64()), ("doc", pa.int64()), ("dense", pa.float64())])
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        if not asked.num_rows or not rows.num_rows:
+            return schema.empty_table()
+        qid, doc, q, v = asked["qid"].to_numpy(), rows["doc"].to_numpy(), matrix(asked["embedding"]), matrix(rows["embedding"])
+        q_norm, v_norm, out = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1)), []
+        for at in range(0, len(qid), 64):  # at most 64 rows of scores at a time
+            norm = q_norm[at : at + 64, None] * v_norm[None, :]
+            score = np.round(np.divide(q[at : at + 64] @ v.T, norm, out=np.zeros_like(norm), where=norm > 0), 6)
+            if keep is None or keep >= len(doc):
+                row, col = np.indices(score.shape).reshape(2, -1)
+            else:
+                row, col = np.nonzero(score >= -np.partition(-score, keep - 1, axis=1)[:, keep - 1 : keep])
+                order = np.lexsort((doc[col], -score[row, col], row))
+                row, col = row[order], col[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < keep  # of equal scores the smaller ids
+                row, col = row[first], col[first]
+            out.append(pa.table([pa.array(qid[at + row], pa.int64()), pa.array(doc[col], pa.int64()), pa.array(score[row, col])], schema=schema))
+        return pa.concat_tables(out)
+
+    return run
 
 
 def top_k(df: DataFrame, k: int, *order: Column, by: str = "qid", rank: str = "rank") -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.text import tokens
 from docketry.operators import retrieval as R
+from docketry.operators.vector_index import VectorIndex
 from docketry.plans.base import Tables, query, tokens_sql
+from docketry.streaming.turns import shared_dir
 
 _CTE = f"""WITH q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0),
 v AS (SELECT vec_id AS doc, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -74,6 +78,30 @@ def dense_topk(t: Tables) -> DataFrame:
     return _pool(t).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _index(t: Tables) -> VectorIndex:
+    rows = t.embeddings.select(F.col("vec_id").alias("doc"), "embedding", "label", F.when(F.col("vec_id") % 3 == 0, "laws").otherwise("cases").alias("namespace"))
+    return VectorIndex.build(rows, f"{shared_dir(t.spark)}/vectors-{uuid.uuid4().hex}")
+
+
+@query()
+def ivf_topk(t: Tables) -> DataFrame:
+    """The pool through the index; the tests hold its recall against dense_topk."""
+    return _index(t).search(_questions(t), R.POOL).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_CTE + "SELECT qid, doc, dense, rank FROM pool")
+def ivf_every_list(t: Tables) -> DataFrame:
+    """All lists probed: the exact pool."""
+    return _index(t).search(_questions(t), R.POOL, every=True).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_CTE + "SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc) AS rank FROM dense d JOIN embeddings e ON e.vec_id = d.doc WHERE e.label IN (1, 2, 5) AND e.vec_id % 3 = 0) x WHERE rank <= 20")
+def ivf_filtered(t: Tables) -> DataFrame:
+    """A namespace and a metadata filter, pushed down to the lists' files."""
+    of = (F.col("namespace") == "laws") & F.col("label").isin(1, 2, 5)
+    return _index(t).search(_questions(t), 20, where=of, every=True).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(_CTE + "SELECT doc_id, CAST(len(t) AS BIGINT) AS n, t[1] AS first_token, t[-1] AS last_token FROM tok")
 def tokenize(t: Tables) -> DataFrame:
     return _texts(t).select("doc_id", F.size("tokens").cast("long").alias("n"), F.get("tokens", F.lit(0)).alias("first_token"), F.try_element_at("tokens", F.lit(-1)).alias("last_token"))
