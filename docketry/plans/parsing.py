@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as X
+from docketry.operators import language_model as L
 from docketry.operators import parsing as P
 from docketry.plans.base import Tables, query
+from docketry.sources import charsets as C
 
 _CONTROL, _SPACE = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 _ADDRESS = "https?://(?:[a-zA-Z0-9$-_@.&+!*(),]|%[0-9a-fA-F][0-9a-fA-F])+"
@@ -107,22 +109,22 @@ def section_state_machine(t: Tables) -> DataFrame:
     return each.select("doc_id", "section", F.md5("h").alias("head"), F.md5("b").alias("body"))
 
 
-def _among(words: list[str]):
-    return lambda w: w.isin(*words)
+_GRAMS_SQL = """SELECT doc_id, lang, substr(w, k, 3) AS gram FROM (SELECT doc_id, lang, w, unnest(range(1, length(w) - 1)) AS k FROM (SELECT doc_id, lang, '_' || unnest(regexp_extract_all(lower(text), '\\p{L}+')) || '_' AS w FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 20 OR lang IS NOT NULL) x) y"""
+_LEARNED = "doc_id % 4 <> 2 AND lang IS NOT NULL"
 
 
-_COMMON = {"en": "the of and to in is that for it was with as be on", "de": "der die und das in den von zu mit ist für auf sich des", "fr": "le la les de des et un une que dans qui est pour sur", "es": "el la de que y en los del las un por con no una"}
-_SHARES = ", ".join("{'share': len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in words.split()) + ")))::DOUBLE / len(w), 'lang': '" + lang + "'}" for lang, words in _COMMON.items())
-
-
-@query(f"""SELECT doc_id, CASE WHEN long_enough THEN best.lang END AS lang, CASE WHEN long_enough THEN round(best.share, 6) END AS confidence FROM
-(SELECT doc_id, long_enough, list_reverse_sort([{_SHARES}])[1] AS best FROM (SELECT doc_id, length(text) >= 20 AS long_enough, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM documents) x) y""")
+@query(f"""WITH g AS ({_GRAMS_SQL}),
+kept AS (SELECT lang, gram, n FROM (SELECT lang, gram, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS r FROM g WHERE {_LEARNED} GROUP BY lang, gram) x WHERE r <= {L.GRAMS}),
+model AS (SELECT v.gram, s.lang, CAST(round(1000 * ln((coalesce(k.n, 0) + 0.5::DOUBLE) / (s.total + 0.5::DOUBLE * (SELECT count(DISTINCT gram) FROM kept)))) AS BIGINT) AS w
+  FROM (SELECT DISTINCT gram FROM kept) v CROSS JOIN (SELECT lang, sum(n)::BIGINT AS total FROM kept GROUP BY lang) s LEFT JOIN kept k ON k.lang = s.lang AND k.gram = v.gram),
+sums AS (SELECT g.doc_id, m.lang, sum(m.w)::BIGINT AS w FROM g JOIN model m USING (gram) JOIN documents d ON d.doc_id = g.doc_id WHERE length(trim(d.text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 20 GROUP BY g.doc_id, m.lang),
+parts AS (SELECT doc_id, lang, exp((w - max(w) OVER (PARTITION BY doc_id)) / 1000.0::DOUBLE) AS part FROM sums),
+p AS (SELECT doc_id, lang, part / sum(part) OVER (PARTITION BY doc_id) AS p FROM parts)
+SELECT d.doc_id, b.lang, round(b.p, 6) AS confidence, coalesce(b.lang IN ('en', 'de'), FALSE) AS supported
+FROM documents d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, lang DESC) AS r FROM p) b ON b.doc_id = d.doc_id AND b.r = 1""")
 def detect_language(t: Tables) -> DataFrame:
-    """Share of a language's commonest words among a text's words; null under 20 characters."""
-    words = F.split(F.lower("text"), r"[^\p{L}]+")
-    share = {lang: F.size(F.filter(words, _among(s.split()))) / F.size(words) for lang, s in _COMMON.items()}
-    best = F.array_max(F.array(*(F.struct(v.alias("share"), F.lit(k).alias("lang")) for k, v in share.items())))
-    return t.documents.select("doc_id", F.when(F.length("text") >= 20, best).alias("b")).select("doc_id", "b.lang", F.round("b.share", 6).alias("confidence"))
+    """The likeliest language of each text and its probability; the model is counted on three rows in four."""
+    return L.detect(t.documents, L.learn(t.documents.where(_LEARNED)), supported=("en", "de"))
 
 
 # The kinds of a template's variables.
@@ -181,7 +183,8 @@ def docx_paragraphs(t: Tables) -> DataFrame:
     return read(docx_bytes(t.documents.select(F.col("doc_id").alias("id"), "text")))
 
 
-@query("SELECT doc_id, md5(text) AS digest FROM documents")
+@query("SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS digest FROM documents")
 def txt_decode(t: Tables) -> DataFrame:
-    raw = t.documents.select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    return raw.select("doc_id", F.md5(F.make_valid_utf8(F.col("content").cast("string"))).alias("digest"))
+    """Texts as bytes in six charsets, by id, read back without being told which."""
+    texts = C.decoded(C.encoded(t.documents), C.Detector(C.learn(t.documents.where("doc_id % 4 <> 2"))), "doc_id")
+    return texts.select("doc_id", F.md5(F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).alias("digest"))
