@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.plans import dialogue
 from docketry.plans.base import Tables, query
+from docketry.streaming import conversations as V
+from docketry.streaming import ingest as I
 from docketry.streaming import turns as S
 
 # What the events of a turn say, made from the events table: each user is a turn.
@@ -15,8 +18,7 @@ _EVENTS_OF = """SELECT user_id AS turn_id, event_id AS seq, CASE WHEN row_number
 
 
 def _turns(t: Tables) -> DataFrame:
-    t.events.createOrReplaceTempView("events")
-    return t.spark.sql(_EVENTS_OF)
+    return t.spark.sql(_EVENTS_OF.replace("FROM events", "FROM {events}"), events=t.events)
 
 
 @query(f"SELECT turn_id, min_by(event, seq) = 'route' AS starts_right, bool_or(event IN ('done', 'error')) AS ended, coalesce(bool_and(event = 'delta' OR event IN ('done', 'error') AND seq = last OR event = 'route' AND seq = first), FALSE) AS in_order FROM (SELECT *, min(seq) OVER (PARTITION BY turn_id) AS first, max(seq) OVER (PARTITION BY turn_id) AS last FROM ({_EVENTS_OF}) e) x GROUP BY turn_id")
@@ -66,3 +68,71 @@ def sessions(t: Tables) -> DataFrame:
 @query("SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS last_ms, 'STREAM_TIMEOUT' AS event FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events) x WHERE n IS NULL OR epoch_us(n) // 1000 - epoch_us(ts) // 1000 > 300000")
 def stream_timeout(t: Tables) -> DataFrame:
     return S.timeouts(t.spark, f"{t.sf_dir}/events*.parquet", t.events.schema)
+
+
+@query(f"SELECT conv_id, turn, role, law, article, nullif(user_article, '') AS user_article FROM {dialogue._BEFORE}")
+def stream_focus(t: Tables) -> DataFrame:
+    """The focus of every turn from a stream of files in no order, two a micro-batch, with the conversation's state kept between them."""
+    out = V.new_folder(t.spark, "focus")
+    named = dialogue.named(dialogue.said(t)).select("conv_id", "turn", "role", "own_law", "own_article")
+    named.repartition(6, "turn", "role").write.parquet(f"{out}/turns")
+    turns = t.spark.readStream.schema(named.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/turns")
+    return V.focus_stream(turns, f"{out}/focus")
+
+
+_SHORT_TURNS = "SELECT event_id // 5 AS turn_id, CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 11 = 0 THEN 'done' ELSE 'delta' END AS event FROM events"
+
+
+@query(f"SELECT CAST(turn_id AS BIGINT) AS turn_id, CAST(count(*) AS BIGINT) AS events, 'STREAM_TIMEOUT' AS event FROM ({_SHORT_TURNS}) e GROUP BY turn_id HAVING NOT bool_or(event IN ('done', 'error'))")
+def hard_timeout(t: Tables) -> DataFrame:
+    """The turns that neither end nor fail, ended by their timers (of 5 seconds here) and nothing else."""
+    out = V.new_folder(t.spark, "deadlines")
+    events = t.spark.sql(_SHORT_TURNS.replace("event_id // 5", "event_id div 5").replace("FROM events", "FROM {events}"), events=t.events)
+    events.write.parquet(f"{out}/events")
+    return V.timeout_stream(t.spark.readStream.schema(events.schema).parquet(f"{out}/events"), f"{out}/ended", 5000)
+
+
+_ORDERS = "namespace string, o_custkey long, o_orderkey long, at timestamp, o_totalprice double"
+
+
+def _keyed(t: Tables) -> tuple[I.KeyedTable, str]:
+    """Orders as a stream of changes to the last order of each customer and priority, in five files in no order; some of them without a customer."""
+    out = V.new_folder(t.spark, "keyed")
+    key = F.when(F.col("o_orderkey") % 10 > 0, F.col("o_custkey"))
+    rows = t.orders.select(F.col("o_orderpriority").alias("namespace"), key.alias("o_custkey"), "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"), "o_totalprice")
+    rows.repartition(5, "o_orderkey").write.parquet(f"{out}/source")
+    return I.KeyedTable(t.spark, f"{out}/table", _ORDERS, ("o_custkey",), ("at", "o_orderkey")), f"{out}/source"
+
+
+def _changes(t: Tables, source: str) -> DataFrame:
+    return t.spark.readStream.schema(_ORDERS).option("maxFilesPerTrigger", 2).parquet(source)
+
+
+_LAST_ORDERS = "SELECT o_orderpriority AS namespace, o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders WHERE o_orderkey % 10 > 0 GROUP BY ALL"
+
+
+@query(_LAST_ORDERS)
+def keyed_ingest(t: Tables) -> DataFrame:
+    """Three micro-batches upserted by key; the stream is then started again, and finds nothing new."""
+    table, source = _keyed(t)
+    table.ingest(_changes(t, source))
+    table.ingest(_changes(t, source))
+    return table.rows().drop("at")
+
+
+@query("SELECT CASE WHEN o_orderkey % 10 > 0 THEN 'completed' ELSE 'no o_custkey' END AS reason, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'total', count(*) FROM orders")
+def ingest_state(t: Tables) -> DataFrame:
+    """How many rows were taken, how many were skipped and why, and the total."""
+    table, source = _keyed(t)
+    table.ingest(_changes(t, source))
+    return table.state()
+
+
+@query(f"SELECT * FROM ({_LAST_ORDERS}) x WHERE namespace <> '1-URGENT' AND o_custkey % 3 <> 0")
+def keyed_deletes(t: Tables) -> DataFrame:
+    """A namespace dropped as a partition, and keys deleted from the buckets that hold them."""
+    table, source = _keyed(t)
+    table.ingest(_changes(t, source))
+    table.delete_all("1-URGENT")
+    table.delete_keys(table.rows().where("o_custkey % 3 = 0"))
+    return table.rows().drop("at")

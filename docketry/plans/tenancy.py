@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.operators.dml import delete_keys, insert_ignore, partial_update, upsert
+from docketry.operators.policies import Policies
 from docketry.operators.tenancy import TenantView, leaked
 from docketry.plans.base import Tables, query
 
@@ -341,3 +342,46 @@ _ERRORS = "(VALUES (1, 'Invalid login credentials'), (2, 'Email not confirmed'),
 def error_map(t: Tables) -> DataFrame:
     low = F.lower("message")
     return t.values(_ERRORS).select("id", F.when(low.contains("invalid login"), "wrong_credentials").when(low.contains("not confirmed"), "unconfirmed").when(low.contains("quota"), "quota").otherwise("unknown").alias("code"))
+
+
+# Six tables and their policies: an office is a nation; orders, their lines and the region follow their customers and nations.
+_POLICIES = {
+    "customer": "c_nationkey = auth_office_id()",
+    "supplier": "s_nationkey = auth_office_id() OR s_suppkey = auth_user_id()",
+    "nation": "n_nationkey = auth_office_id()",
+    "orders": "EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)",
+    "lineitem": "EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)",
+    "part": "auth_office_id() IS NOT NULL",
+}
+
+
+def _as_office(t: Tables, office: int | None, user: int | None = 1) -> Policies:
+    return Policies(t.spark, {name: f"{t.sf_dir}/{name}.parquet" for name in (*_POLICIES, "region")}, _POLICIES, user, office)
+
+
+@query("""SELECT 'customer' AS name, CAST(count(*) AS BIGINT) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer WHERE c_nationkey = 5
+UNION ALL SELECT 'supplier', count(*), sum(s_suppkey) FROM supplier WHERE s_nationkey = 5 OR s_suppkey = 1 UNION ALL SELECT 'nation', count(*), sum(n_nationkey) FROM nation WHERE n_nationkey = 5
+UNION ALL SELECT 'orders', count(*), sum(o_orderkey) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5)
+UNION ALL SELECT 'lineitem', count(*), sum(l_partkey) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 5)
+UNION ALL SELECT 'part', count(*), sum(p_partkey) FROM part UNION ALL SELECT 'region', 0, NULL""")
+def policy_select(t: Tables) -> DataFrame:
+    """What one office sees of every table; of one without a policy, nothing."""
+    keys = {"customer": "c_custkey", "supplier": "s_suppkey", "nation": "n_nationkey", "orders": "o_orderkey", "lineitem": "l_partkey", "part": "p_partkey", "region": "r_regionkey"}
+    return _as_office(t, 5).select(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n, sum({key}) AS `keys` FROM {name}" for name, key in keys.items()))
+
+
+@query("SELECT c_custkey, c_nationkey, c_mktsegment FROM customer UNION ALL SELECT c_custkey + 1000000, c_nationkey, 'NEW' FROM customer WHERE c_nationkey = 5 AND c_acctbal > 0")
+def policy_insert(t: Tables) -> DataFrame:
+    mine = _as_office(t, 5)
+    return mine.insert("customer", "SELECT c_custkey + 1000000 AS c_custkey, c_name, CAST(auth_office_id() AS INT) AS c_nationkey, c_acctbal, 'NEW' AS c_mktsegment FROM customer WHERE c_acctbal > 0").select("c_custkey", "c_nationkey", "c_mktsegment")
+
+
+@query("SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey = 5 AND c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def policy_update(t: Tables) -> DataFrame:
+    """The rows of others stay as they are, though the condition holds for them as well."""
+    return _as_office(t, 5).update("customer", {"c_mktsegment": "'DEBT'"}, "c_acctbal < 0").select("c_custkey", "c_nationkey", "c_mktsegment")
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT (c_nationkey = 5 AND c_acctbal < 0)")
+def policy_delete(t: Tables) -> DataFrame:
+    return _as_office(t, 5).delete("customer", "c_acctbal < 0").select("c_custkey", "c_nationkey")
