@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as X
 from docketry.operators import chunking as C
+from docketry.operators.chunk_function import chunk_lines
 from docketry.plans.base import Tables, query
+from docketry.sources.folders import register
+from docketry.streaming.turns import shared_dir
 
 _GAZETTE_SQL = """SELECT 'L' || doc_id AS law, 'Gazeta' || chr(10) || list_aggregate(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN (i - 1) % 5 = 0 THEN 'Kreu ' || CAST((i - 1) // 5 + 1 AS VARCHAR) || ' Pjesa' || chr(10) ELSE '' END || 'Neni ' || CAST((i - 1) % 7 + 1 AS VARCHAR) || chr(10) || l[i]), 'string_agg', chr(10)) AS text
 FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) x"""
@@ -49,6 +54,38 @@ def chunk_law(t: Tables) -> DataFrame:
     return C.chunk_law(gazette(t))
 
 
+@query(_CHUNKS_SQL)
+def chunk_table_function(t: Tables) -> DataFrame:
+    """The same chunks from SQL's table function."""
+    return chunk_lines(gazette(t).select("law", F.posexplode(F.split("text", "\n")).alias("pos", "line")))
+
+
+def _folders(t: Tables) -> str:
+    """A folder a document, named by its law, with its text in a file (or, for every seventh, none)."""
+    path = f"{shared_dir(t.spark)}/laws-{uuid.uuid4().hex}"
+    made = t.documents.select(F.format_string("%02d_L-%d", F.col("doc_id") % 9, "doc_id").alias("folder"), F.when(F.col("doc_id") % 7 > 0, F.col("text")).alias("text"))
+    made.select("folder", F.to_json(F.struct("text"), {"ignoreNullFields": "false"}).alias("value")).repartition(4, "folder").write.partitionBy("folder").text(path)
+    return path
+
+
+@query("""SELECT regexp_replace(printf('%02d_L-%d', doc_id % 9, doc_id), '_', '/') AS law, md5(CASE WHEN doc_id % 7 > 0 THEN text END) AS digest FROM documents WHERE doc_id IN (4, 14, 22, 100, 101)""")
+def law_folders(t: Tables) -> DataFrame:
+    """Folders through the data source, five laws of them; only their folders are planned."""
+    register(t.spark)
+    laws = [f"folder={k % 9:02d}/L-{k}" for k in (4, 14, 22, 100, 101)]
+    rows = t.spark.read.format("law_folders").option("pattern", "part-*.txt").load(_folders(t)).where(F.col("law").isin(laws))
+    text = F.from_json(F.trim(F.col("content").cast("string")), "text string")["text"]
+    return rows.select(F.regexp_replace("law", "^folder=", "").alias("law"), F.md5(text).alias("digest"))
+
+
+@query("""SELECT regexp_replace(f, '_', '/') AS law FROM (SELECT printf('%02d_L-%d', doc_id % 9, doc_id) AS f FROM documents) x ORDER BY f LIMIT 25""")
+def law_folders_limit(t: Tables) -> DataFrame:
+    """The first 25 folders by name."""
+    register(t.spark)
+    rows = t.spark.read.format("law_folders").option("pattern", "part-*.txt").option("limit", 25).load(_folders(t))
+    return rows.select(F.regexp_replace("law", "^folder=", "").alias("law"))
+
+
 @query(f"SELECT law, CAST(i AS BIGINT) AS i, number, chapter AS at_chapter FROM ({_ARTICLES_SQL}) a")
 def chapter_asof(t: Tables) -> DataFrame:
     w = Window.partitionBy("law").orderBy("pos")

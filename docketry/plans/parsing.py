@@ -27,9 +27,10 @@ def clean_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("clean"), F.md5(X.trimmed(F.lower(X.compatible("text")))).alias("normal"))
 
 
-@query("""SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n[ \\t]*\\n'), lambda p: trim(regexp_replace(p, '[ \\t\\r\\n]+', ' ', 'g'))), lambda p: length(p) >= 50)) AS BIGINT) AS n FROM documents""")
+@query("""SELECT doc_id, CAST(len(p) AS BIGINT) AS n, md5(array_to_string(p, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n[ \\t]*\\n'), lambda p: trim(regexp_replace(p, '[ \\t\\r\\n]+', ' ', 'g'))), lambda p: length(p) >= 50) AS p FROM documents) x""")
 def extract_paragraphs(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.size(X.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")), 50)).cast("long").alias("n"))
+    found = t.documents.select("doc_id", X.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")), 50).alias("p"))
+    return found.select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
 # Documents of six kinds, made from the documents' lines: a title, then every third line under a header of the kind.

@@ -102,9 +102,9 @@ def ivf_filtered(t: Tables) -> DataFrame:
     return _index(t).search(_questions(t), 20, where=of, every=True).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(_CTE + "SELECT doc_id, CAST(len(t) AS BIGINT) AS n, t[1] AS first_token, t[-1] AS last_token FROM tok")
+@query(_CTE + "SELECT doc_id, CAST(len(t) AS BIGINT) AS n, t[1] AS first_token, t[-1] AS last_token, md5(array_to_string(t, ' ')) AS digest FROM tok")
 def tokenize(t: Tables) -> DataFrame:
-    return _texts(t).select("doc_id", F.size("tokens").cast("long").alias("n"), F.get("tokens", F.lit(0)).alias("first_token"), F.try_element_at("tokens", F.lit(-1)).alias("last_token"))
+    return _texts(t).select("doc_id", F.size("tokens").cast("long").alias("n"), F.get("tokens", F.lit(0)).alias("first_token"), F.try_element_at("tokens", F.lit(-1)).alias("last_token"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
 @query("SELECT doc_id, md5(translate(lower(text), 'ëç', 'ec')) AS folded FROM documents")
@@ -155,6 +155,6 @@ def score_band(t: Tables) -> DataFrame:
     return t.values(_BANDS).select(s.alias("score"), F.when((F.col("kind") == "status_verdict") | (s >= 0.5), "strong").when(s >= 0.3, "moderate").when(s >= 0.18, "topical").otherwise("weak").alias("band"))
 
 
-@query(f"SELECT a.doc_id, CAST(len(list_distinct(a.t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents) a")
+@query(f"SELECT a.doc_id, CAST(len(list_distinct(a.t)) AS BIGINT) AS n_distinct, md5(array_to_string(list_sort(list_distinct(a.t)), ' ')) AS digest FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents) a")
 def distinct_tokens(t: Tables) -> DataFrame:
-    return _texts(t).select("doc_id", F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"))
+    return _texts(t).select("doc_id", F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"), F.md5(F.array_join(F.array_sort(F.array_distinct("tokens")), " ")).alias("digest"))
