@@ -4,11 +4,12 @@ A shard is one row of a Parquet table in the shared folder: the documents' ids,
 (pairs of symbols that a nonterminal stands for) and every rule's expansion length. Frequent pairs within a document are
 replaced by nonterminals round after round, the most frequent pairs of a round together: those within a STEP of the commonest,
 if they are used LEAST_USES times or more, below which a rule takes more bytes than it saves. Rounds end when no pair is left that
-gains, when a round takes less than LEAST_SHARE of the symbols away, or when the numbers of 16 bits are used up. The expansion lengths
+gains (uses that overlap, as in a run of one symbol, count once), when a round takes less than LEAST_SHARE of the symbols away, or when the
+numbers of 16 bits are used up: 15,278 beside the vocabulary, which on a full shard is what ends the grammar. The expansion lengths
 let a reader skip to any id of any document without expanding what comes before it.
 
-Rows without doc_id are no documents. Null texts are empty; an empty document holds its end id alone. Repeated doc_ids keep all their rows. An empty table
-gives an empty store. Columns other than doc_id and text are ignored.
+Rows without doc_id are no documents. Null texts are empty; an empty document holds its end id alone. Repeated doc_ids keep all their rows. A very
+long text fills a shard of its own, whole. An empty table gives an empty store. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -53,6 +54,12 @@ def _frequent(codes: np.ndarray, slot: np.ndarray, most: int) -> np.ndarray:
     return chosen[np.sort(np.unique(_slot(chosen), return_index=True)[1])]
 
 
+def _every_other(at: np.ndarray) -> np.ndarray:
+    """Which places to keep so that no two are neighbours: of each run of neighbours the first, the third and so on."""
+    run = np.concatenate(([True], np.diff(at) != 1))[: len(at)]
+    return (at - np.maximum.accumulate(np.where(run, at, 0))) % 2 == 0
+
+
 def compress(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, number of symbols of each document, rules) of the documents' ids; a rule k stands for VOCABULARY + k."""
     counts = np.array([len(d) for d in docs], np.int64)
@@ -64,17 +71,21 @@ def compress(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     while len(symbols) > 1:
         codes = (symbols[:-1].astype(np.uint32) << np.uint32(16)) | symbols[1:]
         codes[last[:-1]] = _NO_PAIR
+        again = np.flatnonzero(codes[1:] == codes[:-1]) + 1  # within a run of one symbol, whose pairs overlap
+        codes[again[_every_other(again)]] = _NO_PAIR
         slot = _slot(codes)
-        chosen = _frequent(codes, slot, (1 << 16) - 1 - VOCABULARY - done)
-        table = np.full(1 << _TABLE_BITS, -1, np.int32)
-        table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
-        rule = table[slot]
-        hit = np.flatnonzero(rule >= 0)
-        hit = hit[codes[hit] == chosen[rule[hit]]]
-        run = np.concatenate(([True], np.diff(hit) != 1))[: len(hit)]  # of overlapping pairs, every other one from the left
-        hit = hit[(hit - np.maximum.accumulate(np.where(run, hit, 0))) % 2 == 0]
-        which = rule[hit]
-        gains = np.bincount(which, minlength=len(chosen)) >= LEAST_USES
+        for most in ((1 << 16) - 1 - VOCABULARY - done, 1):  # where pairs that overlap take each other's uses, the commonest alone
+            chosen = _frequent(codes, slot, most)
+            table = np.full(1 << _TABLE_BITS, -1, np.int32)
+            table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
+            rule = table[slot]
+            hit = np.flatnonzero(rule >= 0)
+            hit = hit[codes[hit] == chosen[rule[hit]]]
+            hit = hit[_every_other(hit)]
+            which = rule[hit]
+            gains = np.bincount(which, minlength=len(chosen)) >= LEAST_USES
+            if gains.any() or most < 1:
+                break
         if not gains.any():
             break
         hit, which = hit[gains[which]], (np.cumsum(gains) - 1)[which[gains[which]]]

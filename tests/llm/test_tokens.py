@@ -49,6 +49,25 @@ def test_repair_round_trip():
                 assert shard.part(k, a, b) == d[a:b].tolist()
 
 
+def test_repair_leaves_no_pair_that_gains(monkeypatch):
+    """Short of the number limit, with no share to reach, every pair is left with fewer uses than a rule needs, runs of one symbol too."""
+    monkeypatch.setattr(repair_store, "LEAST_SHARE", 0)
+    rng = np.random.default_rng(1)
+    docs = [rng.zipf(1.6, 4000).clip(0, 300).astype(np.uint16), np.zeros(777, np.uint16), np.repeat(np.arange(40), 9).astype(np.uint16), rng.integers(0, 4, 3000).astype(np.uint16)]
+    symbols, counts, rules = repair_store.compress(docs)
+    assert len(rules) < 15_000
+    last, uses, before = set(np.cumsum(counts) - 1), Counter(), None
+    for k, (a, b) in enumerate(zip(symbols.tolist(), symbols[1:].tolist(), strict=False)):
+        if k not in last and (a, b) != before:
+            uses[a, b] += 1
+            before = (a, b) if a == b else None
+        else:
+            before = None
+    assert max(uses.values()) < repair_store.LEAST_USES
+    row = {"rules": rules.tobytes(), "symbols": symbols.tobytes(), "doc_symbols": counts.astype("<u4").tobytes(), "rule_lengths": repair_store.lengths(rules).astype("<u4").tobytes(), "doc_ids": np.arange(4).tobytes()}
+    assert all(repair_store.Shard(row).document(k) == d.astype("<u2").tobytes() for k, d in enumerate(docs))
+
+
 def test_store_digests(spark, library):
     got = repair_store.token_store_digests(documents(spark)).collect()
     start, want = 0, []
