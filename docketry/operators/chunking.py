@@ -24,6 +24,13 @@ def lines_of(laws: DataFrame) -> DataFrame:
     return lines.withColumns({"number": F.nullif(number, F.lit("")), "inline_title": F.nullif(F.regexp_extract("line", ARTICLE_LINE, 2), F.lit("")), "chapter": F.nullif(chapter, F.lit(""))})
 
 
+def strip_header(laws: DataFrame) -> DataFrame:
+    """(law, body): each text from its first article or chapter on; a text without either is all body. No row leaves its place."""
+    lines = F.split("text", "\n")
+    first = F.array_position(F.transform(lines, lambda x: x.rlike(ARTICLE_LINE) | x.rlike(CHAPTER_LINE)), True)
+    return laws.select("law", F.when(first > 1, F.array_join(F.slice(lines, first.cast("int"), F.size(lines)), "\n")).otherwise(F.col("text")).alias("body"))
+
+
 def is_title(line: Column) -> Column:
     return F.length(line).between(3, 80) & ~F.substring(line, 1, F.length(line) - 1).contains(".") & ~line.rlike(r"^\d") & ~line.rlike(r"^[\dIVX]+[.\s]")
 

@@ -222,10 +222,10 @@ def pack_paragraphs(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(C.pack_paragraphs(F.regexp_replace("text", "\n", "\n\n"), 1000)).alias("part", "piece")).select("doc_id", "part", F.length("piece").alias("chars"), F.md5("piece").alias("digest"))
 
 
-@query("SELECT law, 'Neni 1' AS first_line FROM (" + _GAZETTE_SQL + ") g WHERE FALSE UNION ALL SELECT law, 'Kreu 1 Pjesa' FROM (" + _GAZETTE_SQL + ") g")
+@query("SELECT law, md5(substr(text, length('Gazeta') + 2)) AS digest, CAST(length(text) - length('Gazeta') - 1 AS BIGINT) AS n FROM (" + _GAZETTE_SQL + ") g")
 def strip_header(t: Tables) -> DataFrame:
-    lines = C.lines_of(gazette(t)).where("number IS NOT NULL OR chapter IS NOT NULL")
-    return lines.groupBy("law").agg(F.min_by("line", "pos").alias("first_line"))
+    """The body of each law, without what comes before its first article or chapter."""
+    return C.strip_header(gazette(t)).select("law", F.md5("body").alias("digest"), F.length("body").cast("long").alias("n"))
 
 
 _TITLES = "(VALUES (1, 'Lënda'), (2, '1. Shprehjet'), (3, 'Ka. pikë'), (4, 'IV. Pjesa'), (5, 'ab'), (6, 'Programi i punës.')) AS h(id, line)"

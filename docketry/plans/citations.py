@@ -66,8 +66,7 @@ CASE WHEN doc_id % 7 = 0 AND doc_id % 2 = 0 THEN '## Neni ' || CAST(doc_id % 20
 
 
 def _chunks(t: Tables) -> DataFrame:
-    t.documents.createOrReplaceTempView("documents")
-    return t.spark.sql(_CHUNK)
+    return t.spark.sql(_CHUNK.replace("FROM documents", "FROM {documents}"), documents=t.documents)
 
 
 @query(f"SELECT doc_id, NOT (doc_id % 7 = 0 AND doc_id % 2 = 1) AS starts FROM ({_CHUNK}) c")
@@ -228,19 +227,28 @@ def cited(t: Tables) -> DataFrame:
     return _answers(t).select("doc_id", F.posexplode(lawnum.citations(F.col("answer"))).alias("pos", "c")).select("doc_id", "pos", "c.law", "c.article")
 
 
-def verified(marks: DataFrame, sources: DataFrame) -> DataFrame:
+def verified(marks: DataFrame, sources: DataFrame, authoritative: DataFrame | None = None) -> DataFrame:
     """Of each citation (doc_id, pos, law, article): whether a source of its answer covers it, and which first. Sources are found
-    under their law's number and under the number within a code; a citation by either. An article must be a source's own or head its content."""
+    under their law's number and under the number within a code; a citation by either. An article must be a source's own or head its content.
+    A law of the authoritative ones (law) verifies a citation without an article, by either number, though no source has it."""
     keys = sources.withColumn("key", F.explode(F.array_distinct(F.array_compact(F.array("law", lawnum.inner(F.col("law"))))))).select("doc_id", "key", "seq", "source", F.col("article").alias("s_article"), "content")
     asked = marks.withColumn("key", F.coalesce(lawnum.inner(F.col("law")), "law"))
     fits = F.col("article").isNull() | F.coalesce(F.col("s_article") == F.col("article"), F.lit(False)) | lawnum.starts_article(F.col("content"), F.col("article"), fixed.SOURCE_HEADER_REACH)
     hits = asked.join(keys, ["doc_id", "key"], "left").groupBy("doc_id", "pos", "law", "article").agg(F.min(F.when(fits & F.col("source").isNotNull(), F.struct("seq", "source"))).alias("hit"))
-    return hits.select("doc_id", "pos", "law", "article", F.col("hit").isNotNull().alias("verified"), F.col("hit.source").alias("source"))
+    known = F.col("hit").isNotNull()
+    if authoritative is not None:
+        laws = authoritative.select(F.explode(F.array_compact(F.array("law", lawnum.inner(F.col("law"))))).alias("key")).distinct()
+        told = hits.withColumn("key", F.coalesce(lawnum.inner(F.col("law")), "law")).join(laws.withColumn("told", F.lit(True)), "key", "left")
+        hits, known = told, known | (F.col("article").isNull() & F.col("told").isNotNull())
+    return hits.select("doc_id", "pos", "law", "article", known.alias("verified"), F.col("hit.source").alias("source"))
+
+
+def _given(t: Tables) -> DataFrame:
+    return t.spark.sql(_SOURCES.replace("FROM documents", "FROM {documents}"), documents=t.documents)
 
 
 def _checked(t: Tables) -> DataFrame:
-    t.documents.createOrReplaceTempView("documents")
-    return verified(cited(t), t.spark.sql(_SOURCES))
+    return verified(cited(t), _given(t))
 
 
 @query(_CITED)
@@ -248,6 +256,13 @@ def validate_citations(t: Tables) -> DataFrame:
     return _checked(t)
 
 
+@query(f"SELECT doc_id, pos, law, article, verified OR (article IS NULL AND law IN (SELECT {_Y} FROM documents WHERE doc_id % 8 = 1)) AS verified, source FROM ({_CITED}) c")
+def validate_with_registry(t: Tables) -> DataFrame:
+    """Laws that warnings have named (here those of every eighth document) verify a bare citation of theirs."""
+    warned = t.documents.where("doc_id % 8 = 1").select(F.expr(_Y).alias("law"))
+    return verified(cited(t), _given(t), warned)
+
+
 @query(f"SELECT doc_id, pos, law, article FROM ({_CITED}) c")
 def extract_citations(t: Tables) -> DataFrame:
     return cited(t)

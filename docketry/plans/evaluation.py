@@ -51,7 +51,7 @@ def at_rank(rows: DataFrame, by: str, value: str, rank: DataFrame) -> DataFrame:
     window has a row a distinct value, not a row an event."""
     w = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     upto = rows.groupBy(by, value).agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(w))
-    return upto.join(F.broadcast(rank), by).where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k"))).select(by, value)
+    return upto.join(rank, by).where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k"))).select(by, value)
 
 
 @query("""SELECT event_type, median(value) AS p50, list_sort(list(value))[greatest(CAST(floor(count(*) * 0.95) AS INT), 1)] AS p95 FROM events WHERE value > 0 GROUP BY event_type""")
@@ -114,17 +114,16 @@ def longquery_gate(t: Tables) -> DataFrame:
 
 # Questions of five issues each, one a document; an issue expects a law or two and articles of them, and a question has what was retrieved for it.
 _ISSUES = "SELECT doc_id, CAST(floor(doc_id / 5) AS BIGINT) AS qid, doc_id % 7 AS law, CASE WHEN doc_id % 2 = 0 THEN (doc_id + 3) % 7 ELSE doc_id % 7 END AS other, doc_id % 4 AS article FROM documents"
-_HITS = "SELECT CAST(floor(doc_id / 5) AS BIGINT) AS qid, (doc_id * 3) % 7 AS law, doc_id % 3 AS article FROM documents WHERE doc_id % 5 < 4"
+_RETRIEVED = "SELECT CAST(floor(doc_id / 5) AS BIGINT) AS qid, (doc_id * 3) % 7 AS law, doc_id % 3 AS article FROM documents WHERE doc_id % 5 < 4"
 
 
-@query(f"""WITH i AS ({_ISSUES}), h AS ({_HITS}), e AS (SELECT doc_id, qid, law, article FROM i UNION SELECT doc_id, qid, other, article FROM i),
+@query(f"""WITH i AS ({_ISSUES}), h AS ({_RETRIEVED}), e AS (SELECT doc_id, qid, law, article FROM i UNION SELECT doc_id, qid, other, article FROM i),
 c AS (SELECT e.doc_id, e.qid, coalesce(bool_or(h.law IS NOT NULL), FALSE) AS law_ok, coalesce(bool_or(h.article = e.article), FALSE) AS art_ok FROM e LEFT JOIN h ON h.qid = e.qid AND h.law = e.law GROUP BY e.doc_id, e.qid),
 u AS (SELECT e.qid, count(DISTINCT e.law) AS n, count(DISTINCT CASE WHEN h.law IS NOT NULL THEN e.law END) AS hit FROM e LEFT JOIN h ON h.qid = e.qid AND h.law = e.law GROUP BY e.qid)
 SELECT c.qid, round(max(u.hit) / max(u.n), 3) AS union_recall, round(avg(CAST(law_ok AS INT)), 3) AS law_coverage, round(avg(CAST(art_ok AS INT)), 3) AS article_coverage FROM c JOIN u USING (qid) GROUP BY c.qid""")
 def issue_coverage(t: Tables) -> DataFrame:
     """Of each question: the share of all expected laws that were retrieved, of issues with any of their laws, and with any article of these."""
-    t.documents.createOrReplaceTempView("documents")
-    issues, hits = t.spark.sql(_ISSUES), t.spark.sql(_HITS)
+    issues, hits = (t.spark.sql(x.replace("FROM documents", "FROM {documents}"), documents=t.documents) for x in (_ISSUES, _RETRIEVED))
     expected = issues.select("doc_id", "qid", F.explode(F.array_distinct(F.array("law", "other"))).alias("law"), "article")
     laws = hits.groupBy("qid", "law").agg(F.collect_set("article").alias("articles"))  # once a law, so that nothing fans out
     seen = expected.join(laws, ["qid", "law"], "left").select("doc_id", "qid", "law", F.col("articles").isNotNull().alias("law_ok"), F.coalesce(F.array_contains("articles", F.col("article")), F.lit(False)).alias("art_ok"))

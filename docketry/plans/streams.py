@@ -11,6 +11,7 @@ from docketry.plans import dialogue
 from docketry.plans.base import Tables, query
 from docketry.streaming import conversations as V
 from docketry.streaming import ingest as I
+from docketry.streaming import protocol as P
 from docketry.streaming import turns as S
 
 # What the events of a turn say, made from the events table: each user is a turn.
@@ -136,3 +137,16 @@ def keyed_deletes(t: Tables) -> DataFrame:
     table.delete_all("1-URGENT")
     table.delete_keys(table.rows().where("o_custkey % 3 = 0"))
     return table.rows().drop("at")
+
+
+# Turns of nine events in order, some of them disturbed; and all errors together as one long turn.
+_SCRIPT = """SELECT CASE WHEN event_type = 'error' AND event_id % 5 > 0 THEN -1 ELSE CAST(floor(event_id / 9) AS BIGINT) END AS turn_id, event_id AS seq,
+CASE WHEN event_id % 101 = 7 THEN 'sources' WHEN event_id % 97 = 5 THEN 'ping' WHEN event_type = 'error' AND event_id % 5 > 0 THEN 'delta' WHEN event_type = 'error' THEN 'error' WHEN event_id % 9 = 0 THEN 'route' WHEN event_id % 9 = 1 THEN 'sources' WHEN event_id % 9 = 2 THEN 'warnings' WHEN event_id % 9 = 8 THEN 'done' ELSE 'delta' END AS event FROM events"""
+
+
+@query(f"""WITH e AS (SELECT *, lag(event, 1, 'start') OVER (PARTITION BY turn_id ORDER BY seq) AS before FROM ({_SCRIPT}) x),
+w AS (SELECT *, NOT CASE event WHEN 'route' THEN before = 'start' WHEN 'sources' THEN before = 'route' WHEN 'warnings' THEN before IN ('route', 'sources') WHEN 'delta' THEN before IN ('route', 'sources', 'warnings', 'delta') WHEN 'done' THEN before IN ('route', 'sources', 'warnings', 'delta') WHEN 'error' THEN before NOT IN ('done', 'error') ELSE FALSE END AS bad FROM e)
+SELECT turn_id, CASE WHEN bool_or(bad) THEN 'wrong' WHEN arg_max(event, seq) IN ('done', 'error') THEN 'right' ELSE 'unfinished' END AS verdict, min(seq) FILTER (WHERE bad) AS wrong_seq, arg_min(event, seq) FILTER (WHERE bad) AS wrong_event FROM w GROUP BY turn_id""")
+def protocol_automaton(t: Tables) -> DataFrame:
+    """Whether each turn keeps the protocol, and which event first breaks it (in SQL: the first that may not follow the one before)."""
+    return P.judged(t.spark.sql(_SCRIPT.replace("FROM events", "FROM {events}"), events=t.events))

@@ -385,3 +385,24 @@ def policy_update(t: Tables) -> DataFrame:
 @query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT (c_nationkey = 5 AND c_acctbal < 0)")
 def policy_delete(t: Tables) -> DataFrame:
     return _as_office(t, 5).delete("customer", "c_acctbal < 0").select("c_custkey", "c_nationkey")
+
+
+# Invites are the customers' (a token, an office, an e-mail), and every supplier asks for one; some of them are used, expired, or another's.
+_ASKED = "SELECT s_suppkey AS user_id, s_nationkey, s_suppkey * 3 AS token, CASE WHEN s_suppkey % 5 = 0 THEN 'x' ELSE 'U' || CAST(s_suppkey * 3 AS STRING) || '@Law.org' END AS email FROM supplier"
+_OFFERED = "SELECT c_custkey AS token, c_nationkey AS office_id, c_custkey % 4 = 0 AS used, c_acctbal < 0 AS expired, 'u' || CAST(c_custkey AS STRING) || '@law.org' AS email FROM customer WHERE c_custkey % 9 > 0"
+_ANSWERED = "CASE WHEN i.token IS NULL THEN 'not_found' WHEN i.used THEN 'used' WHEN i.expired THEN 'expired' WHEN lower(r.email) <> lower(i.email) THEN 'other_email' ELSE 'ok' END"
+
+
+@query(f"""WITH a AS (SELECT r.user_id, r.s_nationkey, r.token, i.office_id, {_ANSWERED} AS answer FROM ({_ASKED}) r LEFT JOIN ({_OFFERED}) i ON i.token = r.token)
+SELECT 'user' AS kind, user_id AS id, CASE WHEN answer = 'ok' THEN office_id ELSE s_nationkey END AS office_id, CAST(NULL AS BIGINT) AS used_by, answer FROM a
+UNION ALL SELECT 'invite', i.token, i.office_id, a.user_id, coalesce(a.answer, CASE WHEN i.used THEN 'used' ELSE 'open' END) FROM ({_OFFERED}) i LEFT JOIN a ON a.token = i.token AND a.answer = 'ok'""")
+def accept_invites(t: Tables) -> DataFrame:
+    """Both sides of an acceptance: the user joins the office, the invite is stamped with who used it; a refusal changes neither."""
+    asked, offered = t.spark.sql(_ASKED.replace("FROM supplier", "FROM {supplier}"), supplier=t.supplier), t.spark.sql(_OFFERED.replace("FROM customer", "FROM {customer}"), customer=t.customer)
+    other = F.lower("email") != F.lower("invited")
+    answer = F.when(F.col("office_id").isNull(), "not_found").when(F.col("used"), "used").when(F.col("expired"), "expired").when(other, "other_email").otherwise("ok")
+    answered = asked.join(offered.withColumnRenamed("email", "invited"), "token", "left").withColumn("answer", answer)
+    users = answered.select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), F.when(F.col("answer") == "ok", F.col("office_id")).otherwise(F.col("s_nationkey")).alias("office_id"), F.lit(None).cast("long").alias("used_by"), "answer")
+    stamps = answered.where("answer = 'ok'").select("token", F.col("user_id").alias("used_by"), "answer")
+    invites = offered.join(stamps, "token", "left").select(F.lit("invite").alias("kind"), F.col("token").alias("id"), "office_id", "used_by", F.coalesce("answer", F.when(F.col("used"), "used").otherwise("open")).alias("answer"))
+    return users.unionByName(invites)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.plans import dialogue
-from docketry.streaming import conversations, ingest
+from docketry.streaming import conversations, ingest, protocol
 
 
 def spoken(spark):
@@ -95,3 +95,25 @@ def test_keyed_stream_resumes(spark, tmp_path):
     table.ingest(stream(), late="1 hour")
     assert {r.reason: r.n for r in table.state().collect()}["total"] == 8  # of a row delivered twice, one
     assert held(table) == [("a", 1, 3, "new"), ("a", 2, 1, "y"), ("b", 1, 5, "z"), ("b", 7, 1, "q")]
+
+
+def test_protocol_of_any_cut(spark, monkeypatch):
+    """Folded in pieces of any size, a turn ends where a loop over its events ends."""
+    rng, names = random.Random(9), ["route", "sources", "warnings", "delta", "delta", "delta", "done", "error", "ping", None]
+    turns = {k: [rng.choice(names) for _ in range(rng.randrange(1, 40))] for k in range(30)}
+    turns |= {100: ["route", "sources", "warnings", *["delta"] * 700, "done"], 101: ["error"], 102: ["route", "delta"], 103: ["route", *["delta"] * 300, "warnings", "done"]}
+    rows = [(k, at, e) for k, events in turns.items() for at, e in enumerate(events)]
+    table = spark.createDataFrame(rows, "turn_id long, seq long, event string").repartition(3)
+    want = {}
+    for k, events in turns.items():
+        state, wrong = 0, None
+        for at, e in enumerate(events):
+            if state in protocol._FROM.get(e, ()):
+                state = protocol._TO[e]
+            elif wrong is None:
+                wrong = at
+        want[k] = ("wrong" if wrong is not None else "right" if state == 5 else "unfinished", wrong, events[wrong] if wrong is not None else None)
+    for fan in (2, 7, 256):
+        monkeypatch.setattr(protocol, "FAN", fan)
+        assert {r.turn_id: (r.verdict, r.wrong_seq, r.wrong_event) for r in protocol.judged(table).collect()} == want
+    assert want[100][0] == "right" and want[103] == ("wrong", 301, "warnings")
