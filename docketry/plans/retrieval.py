@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.text import tokens
+from docketry.operators import learned_rank as M
 from docketry.operators import retrieval as R
 from docketry.operators.vector_index import VectorIndex
 from docketry.plans.base import Tables, query, tokens_sql
@@ -34,12 +35,13 @@ rer AS (SELECT h.qid, h.doc, h.hrank, h.score, round(coalesce(len(list_intersect
 """
 
 
-def _questions(t: Tables) -> DataFrame:
-    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+def _questions(t: Tables, rest: int = 0) -> DataFrame:
+    """The vectors whose id leaves `rest` when divided by 50."""
+    return t.embeddings.where(F.col("vec_id") % 50 == rest).select(F.col("vec_id").alias("qid"), "embedding")
 
 
-def _pool(t: Tables) -> DataFrame:
-    scores = R.dense_scores(_questions(t), t.embeddings.select(F.col("vec_id").alias("doc"), "embedding"), R.POOL)
+def _pool(t: Tables, rest: int = 0) -> DataFrame:
+    scores = R.dense_scores(_questions(t, rest), t.embeddings.select(F.col("vec_id").alias("doc"), "embedding"), R.POOL)
     return R.top_k(scores, R.POOL, F.desc("dense"), F.asc("doc"))
 
 
@@ -47,20 +49,41 @@ def _texts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tokens(F.col("text")).alias("tokens"))
 
 
-def _question_tokens(t: Tables) -> DataFrame:
-    return t.documents.where("doc_id % 50 = 0").join(t.embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), tokens(F.col("text")).alias("tokens"))
+def _question_tokens(t: Tables, rest: int = 0) -> DataFrame:
+    return t.documents.where(F.col("doc_id") % 50 == rest).join(t.embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), tokens(F.col("text")).alias("tokens"))
 
 
-def _pooled(t: Tables) -> DataFrame:
+def _pooled(t: Tables, rest: int = 0) -> DataFrame:
     """(qid, doc, dense, rank, tokens) of the pools; written once, as several statistics are taken of it."""
-    pool = R.kept(_pool(t))
+    pool = R.kept(_pool(t, rest))
     texts = t.documents.withColumnRenamed("doc_id", "doc").join(pool.select("doc").distinct(), "doc", "left_semi")
     return R.kept(pool.join(texts.select("doc", tokens(F.col("text")).alias("tokens")), "doc"))
 
 
-def _hybrid(t: Tables) -> DataFrame:
-    pooled = _pooled(t)
-    return R.hybrid(pooled, R.bm25(pooled, _question_tokens(t)))
+def _hybrid(t: Tables, rest: int = 0) -> DataFrame:
+    pooled = _pooled(t, rest)
+    return R.hybrid(pooled, R.bm25(pooled, _question_tokens(t, rest)))
+
+
+#: Of a pool of 200, those that count as near.
+NEAREST = 50
+
+
+def ranked_features(t: Tables, rest: int = 0) -> DataFrame:
+    """The rerank pool of each question with the features of a learned model, and whether a row counts as relevant: in the question's language
+    and among the NEAREST of its pool. (The tables' labels say nothing about vectors or texts, so they teach nothing.)"""
+    best = R.top_k(_hybrid(t, rest), R.RERANK_POOL, F.desc("score"), F.asc("rank"), rank="hrank")
+    rows = M.features(best, _question_tokens(t, rest).withColumnRenamed("tokens", "wanted"))
+    langs = t.documents.select("doc_id", "lang")
+    both = rows.join(langs.select(F.col("doc_id").alias("qid"), F.col("lang").alias("asked")), "qid").join(langs.select(F.col("doc_id").alias("doc"), F.col("lang").alias("found")), "doc")
+    return both.where("qid <> doc").withColumn("relevant", F.coalesce(F.col("asked") == F.col("found"), F.lit(False)) & (F.col("rank") <= NEAREST))
+
+
+@query()
+def learned_rerank(t: Tables) -> DataFrame:
+    """The rerank pools by a model that was fitted on other questions (ids that leave 25), the best five of each."""
+    model = M.fit(ranked_features(t, 25))
+    return M.rerank(ranked_features(t), model, k=R.TOP).select("qid", "doc", F.col("final").cast("long").alias("final"))
 
 
 def _reranked(t: Tables) -> DataFrame:
