@@ -184,6 +184,15 @@ def docx_paragraphs(t: Tables) -> DataFrame:
     return read(docx_bytes(t.documents.select(F.col("doc_id").alias("id"), "text")))
 
 
+@query("""SELECT doc_id AS id, md5(coalesce(string_agg(line, chr(10) || chr(10) ORDER BY i) FILTER (WHERE line <> ''), '')) AS digest FROM (SELECT doc_id, unnest(range(len(l))) AS i, trim(unnest(l), ' ' || chr(9) || chr(13) || chr(10)) AS line FROM
+(SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) x) y GROUP BY doc_id""")
+def docx_text(t: Tables) -> DataFrame:
+    """Word files (made here from documents) as whole texts."""
+    from docketry.sources import files
+
+    return files.docx_text(files.docx_bytes(t.documents.select(F.col("doc_id").alias("id"), "text"))).select("id", F.md5("text").alias("digest"))
+
+
 @query("SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS digest FROM documents")
 def txt_decode(t: Tables) -> DataFrame:
     """Texts as bytes in six charsets, by id, read back without being told which."""

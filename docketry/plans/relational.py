@@ -252,3 +252,15 @@ def registry_scan(t: Tables) -> DataFrame:
     path = f"{shared_dir(t.spark)}/registry-{uuid.uuid4().hex}"
     t.part.select(F.array(relation).alias("relations")).write.json(path)
     return R.registry(t.spark, path, one=False).groupBy("abolished").agg(F.count("*").alias("n"), F.bool_or(F.col("kind") == "full").alias("fully"))
+
+
+@query("SELECT '04/L-' || p_partkey AS law, p_name || ' (e re)' AS title FROM part WHERE p_partkey % 6 > 0")
+def json_catalog(t: Tables) -> DataFrame:
+    """Catalogues written from parts and read back: each names its law twice and once without a number, and every sixth is cut off in the middle."""
+    number = F.concat(F.lit("04/L-"), "p_partkey")
+    entry = lambda n, title: F.struct(n.alias("number"), title.alias("title"), F.lit(None).cast("string").alias("url"))
+    laws = F.array(entry(number, F.col("p_name")), entry(F.lit(None).cast("string"), F.col("p_name")), entry(F.lit("  "), F.col("p_name")), entry(number, F.concat("p_name", F.lit(" (e re)"))))
+    line = F.to_json(F.struct(laws.alias("laws")))
+    path = f"{shared_dir(t.spark)}/catalog-{uuid.uuid4().hex}"
+    t.part.select(F.when(F.col("p_partkey") % 6 > 0, line).otherwise(F.substring(line, 1, 30)).alias("value")).write.text(path)
+    return R.catalog(t.spark, path).select(F.col("number").alias("law"), "title")

@@ -43,6 +43,26 @@ def docx_bytes(rows: DataFrame) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id long, content binary")
 
 
+def _paragraphs(content: bytes | None) -> list[str]:
+    """The paragraphs that aren't empty, stripped; none of what isn't a Word file."""
+    try:
+        root = ET.fromstring(zipfile.ZipFile(io.BytesIO(content or b"")).read("word/document.xml"))
+    except (zipfile.BadZipFile, KeyError, ET.ParseError):
+        return []
+    found = ("".join(t.text or "" for t in p.iter(f"{_W}t")).strip() for p in root.iter(f"{_W}p"))
+    return list(filter(None, found))
+
+
+def docx_text(files: DataFrame) -> DataFrame:
+    """(id, text): each file's paragraphs, a blank line between; empty if it can't be opened."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(["\n\n".join(_paragraphs(c)) for c in batch["content"].to_pylist()], pa.string())], ["id", "text"])
+
+    return files.select("id", "content").mapInArrow(run, "id long, text string")
+
+
 def docx_paragraphs(files: DataFrame) -> DataFrame:
     """(id, pos, text) of the paragraphs that aren't empty; a file that can't be opened has none."""
 
@@ -50,12 +70,7 @@ def docx_paragraphs(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for key, content in zip(batch["id"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                try:
-                    root = ET.fromstring(zipfile.ZipFile(io.BytesIO(content or b"")).read("word/document.xml"))
-                except (zipfile.BadZipFile, KeyError, ET.ParseError):
-                    continue
-                found = ("".join(t.text or "" for t in p.iter(f"{_W}t")).strip() for p in root.iter(f"{_W}p"))
-                rows += [{"id": key, "pos": k, "text": s} for k, s in enumerate(filter(None, found))]
+                rows += [{"id": key, "pos": k, "text": s} for k, s in enumerate(_paragraphs(content))]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("text", pa.string())]))
 
     return files.select("id", "content").mapInArrow(run, "id long, pos int, text string")

@@ -27,3 +27,13 @@ def registry(spark: SparkSession, path: str, one: bool = True) -> DataFrame:
     """(abolished, abolishing, kind) of a JSON document of relations (or of one a line); what can't be read has none."""
     fields = "abolished string, abolishing string, kind string"
     return spark.read.schema(f"relations array<struct<{fields.replace(' string', ':string')}>>").json(path, multiLine=one).select(F.explode("relations").alias("r")).select("r.*").where("abolished IS NOT NULL")
+
+
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """(number, title, url) of JSON documents (one a line) of laws, numbers as written. Entries without a number are skipped, of a number that a
+    document has twice the last entry counts, and a document that can't be read has none."""
+    entry = "number string, title string, url string"
+    rows = spark.read.schema(f"laws array<struct<{entry.replace(' string', ':string')}>>").json(path)
+    each = rows.withColumn("document", F.monotonically_increasing_id()).select("document", F.posexplode("laws").alias("at", "law")).select("document", "at", "law.*")
+    named = each.where(F.trim(F.coalesce("number", F.lit(""))) != "")
+    return named.groupBy("document", "number").agg(F.max_by(F.struct("title", "url"), "at").alias("last")).select("number", "last.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
 from docketry.operators import chunk_function, chunking
-from docketry.sources import folders
+from docketry.sources import files, folders, reports
 
 BODY = "Teksti i nenit është mjaft i gjatë për të mbetur në korpus. "
 LAW = f"Gazeta zyrtare\nNeni pa numër\nKreu I Dispozita\nNENI 1\n  \nLënda\n{BODY * 2}\nNeni 2 - Qëllimi.\n{BODY}\r\nneni 3\nx\nKreu II Tjera\nNeni 1\n1. jo titull\n{BODY}\nNeni 4\nMe pikë. brenda\n{BODY}\n\n{BODY * 3}\n \n{BODY * 9}\nNeni  5 :\n{BODY * 12}"
@@ -57,3 +57,12 @@ def test_unchosen_folders_stay_closed(spark, tmp_path):
     assert rows.where("law = '02/L-9'").rdd.getNumPartitions() == 1
     assert [(r.law, r.name) for r in rows.where("folder = '05_L-5' AND law LIKE '05%'").collect()] == [("05/L-5", None)]
     assert rows.where("law = 'x'").count() == 0
+
+
+def test_catalog_and_word_files(spark, tmp_path):
+    lines = ['{"laws": [{"number": "04/L-1", "title": "a"}, {"number": null, "title": "b"}, {"title": "c"}, {"number": "04/L-1", "title": "d", "url": "u"}]}', '{"laws": [{"num', "", "[]", '{"laws": null}', '{"other": 1}', '{"laws": [{"number": "x"}]}']
+    (tmp_path / "catalog.json").write_text("\n".join(lines))
+    assert sorted(map(tuple, reports.catalog(spark, str(tmp_path)).collect()), key=str) == [("04/L-1", "d", "u"), ("x", None, None)]
+    made = files.docx_bytes(spark.createDataFrame([(1, " a \n\n b"), (2, ""), (3, None)], "id long, text string"))
+    broken = spark.createDataFrame([(4, b"no zip"), (5, None)], "id long, content binary")
+    assert {r.id: r.text for r in files.docx_text(made.unionByName(broken)).collect()} == {1: "a\n\nb", 2: "", 3: "", 4: "", 5: ""}
