@@ -29,6 +29,8 @@ PIECES, VALUES, STEPS = 8, 256, 12
 RECALL, TRIALS, OVER = 0.95, 256, 2
 #: Survivors of a part of a list, as a multiple of the rows asked for; rows of a part.
 REFINE, PART = 2, 1 << 16
+#: Questions that meet a part of a list in one task.
+BLOCK = 4096
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -137,8 +139,12 @@ class VectorIndex:
         parts = F.broadcast(self.spark.createDataFrame([(l, int(n_parts[l])) for l in wanted], "list int, parts int"))  # a row a list
         dealt = rows.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
         sent = asked.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        key = ["list", "part"]
-        near = sent.groupBy(*key).cogroup(dealt.select(*key, "doc", "codes").groupBy(*key)).applyInArrow(self._survivors(None if every else REFINE * k), "qid long, embedding array<double>, list int, part int, doc long")
+        # questions of a popular list come in blocks, so that a group is at most BLOCK questions and about PART rows
+        blocks = max(1, -(-questions.count() // BLOCK))
+        sent = sent.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+        key, cell = ["list", "part"], ["list", "part", "block"]
+        coded = dealt.select(*key, "doc", "codes", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        near = sent.groupBy(*cell).cogroup(coded.groupBy(*cell)).applyInArrow(self._survivors(None if every else REFINE * k), "qid long, embedding array<double>, list int, part int, doc long")
         pairs = near.join(dealt.select(*key, "doc", F.col("embedding").alias("v")), [*key, "doc"])
         dot = F.aggregate(F.zip_with("embedding", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))

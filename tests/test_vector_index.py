@@ -23,6 +23,7 @@ def questions(rows):
 
 def test_recall_and_exactness(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(vector_index, "PART", 256)
+    monkeypatch.setattr(vector_index, "BLOCK", 20)
     rows = vectors(spark)
     index = VectorIndex.build(rows, f"{tmp_path}/index")
     best = retrieval.top_k(retrieval.dense_scores(questions(rows), rows, 100), 100, F.desc("dense"), F.asc("doc"))
