@@ -14,7 +14,8 @@ from tests.conftest import SF
 
 def test_registered():
     found = registry.queries()
-    assert {name.split("_")[0] for name in found} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in found} == {f"op{n}" for n in range(1, 14)}
+    assert set(registry.oracle_sql()) == {"op12_lexical_search", "op13_fill_middle"}
 
 
 def shingles(text):
