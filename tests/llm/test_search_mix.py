@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.llm import fill_middle, lexical_search, mixing
+from docketry.llm import fill_middle, lexical_search, mixing, registry
+from tests.compare import connect, rows_of_spark, rows_of_sql
+from tests.conftest import SF
 from tests.llm.cases import TEXTS, documents, empty, prose
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -215,3 +217,9 @@ def test_native():
     """Operator 11 has DataFrame functions alone."""
     source = open(mixing.__file__).read()
     assert not re.search(r"mapIn|applyIn|udf|\.rdd|toPandas|import (numpy|pandas|pyarrow)", source)
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_sql(spark, name):
+    """The whole tables through the query and through its SQL."""
+    assert rows_of_spark(registry.queries()[name](spark, SF)) == rows_of_sql(connect(SF), registry.oracle_sql()[name])
