@@ -92,3 +92,14 @@ FILLER_WORDS = (
     "what does do say says tell show me explain of the article is are regulate define state provide about"
 ).split()
 LAW_WORDS = "ligj ligji ligjit ligjin ligjet nr numer numri numrin law".split()
+
+# What an answer says that refuses, in lower case.
+REFUSAL_MARKERS = ("nuk kam informacion të mjaftueshëm", "do not have enough information")
+
+# The questions that are asked of a topic, and the words that are no topic.
+TOPIC_QUESTIONS = ("Cilat ligje rregullojnë {topic}?", "Cili ligj flet për {topic}?", "Cilat janë dispozitat ligjore për {topic}?", "Më trego ligjin që rregullon {topic}.", "Çfarë thotë legjislacioni për {topic}?")
+TOPIC_STOPWORDS = (
+    "neni", "ligji", "ligjit", "ligjin", "këtij", "kësaj", "është", "eshte", "mund", "kjo", "ky", "këto", "këta", "atë", "atij", "asaj", "këtu", "ketu", "këtë", "kete",
+    "për", "per", "nga", "deri", "mbi", "para", "pasi", "pastaj", "thotë", "thote", "flet", "rregullon",
+    "kosovës", "kosoves", "kosova", "republikës", "republikes", "personal", "organi", "pjesa", "rasti", "rastin",
+)

@@ -108,6 +108,19 @@ def hybrid(pool: DataFrame, scores: DataFrame, alpha: float = ALPHA) -> DataFram
     return both.withColumn("score", F.round(alpha * F.col("dense_n") + (1 - alpha) * F.col("bm25_n"), 6))
 
 
+def rescore(pool: DataFrame, questions: DataFrame, alpha: float = ALPHA, k: int = 10) -> DataFrame:
+    """(qid, doc, place, score, dense_score, bm25_score): the best k of pool(qid, doc, dense, rank, tokens) by the blend with BM25 for
+    questions(qid, tokens); equal blends stay in the pool's order. Where there is nothing to blend (alpha 1 or more, a question without
+    tokens, or a pool without any) the pool keeps its order and its scores, and the two parts are null."""
+    dense = (F.col("dense").alias("score"), F.lit(None).cast("double").alias("dense_score"), F.lit(None).cast("double").alias("bm25_score"))
+    if alpha >= 1:
+        return top_k(pool, k, F.asc("rank"), rank="place").select("qid", "doc", "place", *dense)
+    has = pool.groupBy("qid").agg(F.max(F.size("tokens")).alias("most")).where("most > 0").join(questions.where(F.size("tokens") > 0).select("qid").distinct(), "qid").select("qid")
+    mixed = hybrid(pool, bm25(pool, questions), alpha).join(has, "qid", "left_semi")
+    told = top_k(mixed, k, F.desc("score"), F.asc("rank"), rank="place").select("qid", "doc", "place", "score", F.col("dense").alias("dense_score"), F.col("bm25").alias("bm25_score"))
+    return told.unionByName(top_k(pool.join(has, "qid", "left_anti"), k, F.asc("rank"), rank="place").select("qid", "doc", "place", *dense))
+
+
 def lexical_overlap(a: Column, b: Column) -> Column:
     """The offline stand-in for a cross-encoder: share of the question's terms that the text has."""
     return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a))), F.lit(0.0)), 6)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from docketry.functions.text import FOLDED_STOPWORDS, TOKEN
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,9 +23,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def values(self, rows: str) -> DataFrame:
-        """An inline table, in the form that both engines read: (VALUES (...), ...) AS t(a, b)."""
-        return self.spark.sql(f"SELECT * FROM {rows}")
+    def made(self, rows: str) -> DataFrame:
+        """Rows that SQL, read by both engines alike, makes of the tables of this folder: (SELECT ... FROM documents) AS t."""
+        names = sorted(set(re.findall(rf"\b(?:FROM|JOIN) ({'|'.join(TABLES)})\b", rows)))
+        text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", rows.replace("{", "{{").replace("}", "}}"))
+        return self.spark.sql(f"SELECT * FROM {text}", **{name: getattr(self, name) for name in names})
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable:

@@ -161,12 +161,10 @@ def ocr_routing(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(X.garble_ratio(F.col("text")) > 0.05, "ocr").otherwise("keep").alias("route"))
 
 
-_TOKENS = "(VALUES ('p€r'), ('n3ni'), ('04/L-077'), ('1.Në'), ('11km'), ('a|b'), ('mirë')) AS k(w)"
-
-
-@query(f"SELECT w, {_BAD} AS corrupt FROM {_TOKENS}")
+@query(f"SELECT w, {_BAD} AS corrupt FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents) k")
 def corrupt_token(t: Tables) -> DataFrame:
-    return t.values(_TOKENS).select("w", X.corrupt_token(F.col("w")).alias("corrupt"))
+    """Every distinct word of all texts, and whether it is garbled."""
+    return t.documents.select(F.explode(F.split("text", " ")).alias("w")).distinct().select("w", X.corrupt_token(F.col("w")).alias("corrupt"))
 
 
 @query("""SELECT class, CAST(n AS BIGINT) AS n, round(100.0 * n / sum(n) OVER (), 4) AS pct FROM (SELECT class, count(*) AS n FROM (SELECT CASE WHEN length(t) < 50 THEN 'very_short' WHEN regexp_matches(t, '/uni0[0-9a-fA-F]{3}') THEN 'uni_artifact' WHEN length(t) > 200 AND NOT regexp_matches(t, '[ëçËÇ]') THEN 'missing_diacritics' ELSE 'clean' END AS class
@@ -179,12 +177,12 @@ def index_audit(t: Tables) -> DataFrame:
     return counts.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1)))).select("class", "n", F.round(F.lit(100.0) * F.col("n") / F.col("total"), 4).alias("pct"))
 
 
-_SCANS = "(VALUES (1, 'Neni 1 ........ 5'), (2, 'a . . . . b'), (3, 'x -------- y'), (4, 'w ===== z'), (5, 'a    b'), (6, 'ok... fine')) AS s(id, raw)"
+_SCANS = """(SELECT doc_id AS id, CASE doc_id % 8 WHEN 0 THEN 'Neni 1 ........ 5' WHEN 1 THEN 'a . . . . b' WHEN 2 THEN 'x -------- y' WHEN 3 THEN 'w ===== z' WHEN 4 THEN 'a    b' WHEN 5 THEN 'ok... fine' WHEN 6 THEN 'p ---- q  r . . . s' ELSE '' END || ' ' || coalesce(text, '') AS raw FROM documents) AS s"""
 
 
-@query(f"SELECT id, regexp_replace(regexp_replace(regexp_replace(raw, '[ \\t]*\\.(?:[ \\t]*\\.){{3,}}[ \\t]*', ' ', 'g'), '-{{5,}}|_{{5,}}|={{5,}}|•{{5,}}|·{{5,}}|~{{5,}}', ' ', 'g'), '[ \\t]{{3,}}', '  ', 'g') AS clean FROM {_SCANS}")
+@query(f"SELECT id, md5(regexp_replace(regexp_replace(regexp_replace(raw, '[ \\t]*\\.(?:[ \\t]*\\.){{3,}}[ \\t]*', ' ', 'g'), '-{{5,}}|_{{5,}}|={{5,}}|•{{5,}}|·{{5,}}|~{{5,}}', ' ', 'g'), '[ \\t]{{3,}}', '  ', 'g')) AS clean FROM {_SCANS}")
 def normalize_ocr(t: Tables) -> DataFrame:
-    return t.values(_SCANS).select("id", X.normalize_ocr(F.col("raw")).alias("clean"))
+    return t.made(_SCANS).select("id", F.md5(X.normalize_ocr(F.col("raw"))).alias("clean"))
 
 
 @query("SELECT doc_id, md5(substr(text, 1, 10000)) AS head, md5(substr(text, 1, 5000)) AS retry FROM documents")
@@ -228,26 +226,26 @@ def strip_header(t: Tables) -> DataFrame:
     return C.strip_header(gazette(t)).select("law", F.md5("body").alias("digest"), F.length("body").cast("long").alias("n"))
 
 
-_TITLES = "(VALUES (1, 'Lënda'), (2, '1. Shprehjet'), (3, 'Ka. pikë'), (4, 'IV. Pjesa'), (5, 'ab'), (6, 'Programi i punës.')) AS h(id, line)"
+_TITLES = """(SELECT doc_id AS id, CASE doc_id % 9 WHEN 0 THEN 'Lënda' WHEN 1 THEN '1. Shprehjet' WHEN 2 THEN 'Ka. pikë' WHEN 3 THEN 'IV. Pjesa' WHEN 4 THEN 'ab' WHEN 5 THEN 'Programi i punës.' WHEN 6 THEN repeat('a', doc_id % 5 + 78) WHEN 7 THEN 'IVpjesa ' || CAST(doc_id AS STRING) ELSE 'X ' || CAST(doc_id AS STRING) END AS line FROM documents) AS h"""
 
 
 @query(f"SELECT id, length(line) BETWEEN 3 AND 80 AND NOT contains(substr(line, 1, length(line) - 1), '.') AND NOT regexp_matches(line, '^[0-9]') AND NOT regexp_matches(line, '^[0-9IVX]+[.\\s]') AS ok FROM {_TITLES}")
 def detect_title(t: Tables) -> DataFrame:
-    return t.values(_TITLES).select("id", C.is_title(F.col("line")).alias("ok"))
+    return t.made(_TITLES).select("id", C.is_title(F.col("line")).alias("ok"))
 
 
-_IDS = "(VALUES ('02/L-10', 0, '1', 0, 1), ('02/L-10', 1, '12', 0, 1), ('KUV 06/L.074', 0, '3', 2, 4)) AS i(law, section, number, part, parts)"
-_SAFE = "regexp_replace(law, '[^A-Za-z0-9_-]', '_', 'g')"
+_IDS = """(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '02/L-' || CAST(doc_id AS STRING) WHEN 1 THEN 'KUV 06/L.' || CAST(doc_id AS STRING) ELSE 'Kodi_ë-' || CAST(doc_id AS STRING) END AS law, doc_id % 4 AS section, CAST(doc_id % 200 + 1 AS STRING) AS number, doc_id % 5 AS part, CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 1 END AS parts FROM documents) AS i"""
+_SAFE = "regexp_replace(law, '[^\\p{L}\\p{N}_-]', '_', 'g')"  # letters of every alphabet are kept
 
 
 @query(f"SELECT law, {_SAFE} AS safe FROM {_IDS} GROUP BY law")
 def safe_id(t: Tables) -> DataFrame:
-    return t.values(_IDS).select("law", C.safe_id(F.col("law")).alias("safe")).distinct()
+    return t.made(_IDS).select("law", C.safe_id(F.col("law")).alias("safe")).distinct()
 
 
 @query(f"SELECT law, number, {_SAFE} || CASE WHEN section > 0 THEN '_d' || CAST(section AS VARCHAR) ELSE '' END || '_art' || number || CASE WHEN parts > 1 THEN '_p' || CAST(part AS VARCHAR) ELSE '' END AS chunk_id FROM {_IDS}")
 def chunk_id(t: Tables) -> DataFrame:
-    return t.values(_IDS).select("law", "number", C.chunk_name(F.col("law"), F.col("section"), F.col("number"), F.col("part"), F.col("parts")).alias("chunk_id"))
+    return t.made(_IDS).select("law", "number", C.chunk_name(F.col("law"), F.col("section"), F.col("number"), F.col("part"), F.col("parts")).alias("chunk_id"))
 
 
 @query(f"""WITH k AS ({_CHUNKS_SQL}), g AS ({_GAZETTE_SQL}), o AS (SELECT law, list_distinct(list(number)) AS numbers FROM ({_ARTICLES_SQL}) a GROUP BY law),

@@ -13,18 +13,18 @@ from docketry.plans.base import Tables, query
 _S, _N, _A, _Y = "CAST(doc_id % 9 + 1 AS STRING)", "CAST(doc_id % 300 + 1 AS STRING)", "CAST(doc_id % 1059 + 1 AS STRING)", "CAST(1999 + doc_id % 20 AS STRING) || '/' || CAST(doc_id % 90 + 1 AS STRING)"
 _LAW, _SHORT, _CODE = f"'0' || {_S} || '/L-' || lpad({_N}, 3, '0')", f"'0' || {_S} || '/L-' || {_N}", f"'KUV-0' || {_S} || '/L-' || lpad({_N}, 3, '0') || '-KOD'"
 
-_RAW = f"CASE doc_id % 8 WHEN 0 THEN {_S} || ' l' || {_N} WHEN 1 THEN {_S} || 'L' || {_N} WHEN 2 THEN ' 0' || {_S} || ' / L - ' || {_N} WHEN 3 THEN {_CODE} WHEN 4 THEN 'kuv-' || {_S} || '/l' || {_N} || '-kod' WHEN 5 THEN {_Y} WHEN 6 THEN '0' || {_S} || '_L-' || {_N} ELSE {_SHORT} END"
-_RAW_LAW = f"CASE doc_id % 8 WHEN 3 THEN {_CODE} WHEN 4 THEN 'KUV-' || {_SHORT} || '-KOD' WHEN 5 THEN {_Y} ELSE {_SHORT} END"
+RAW = f"CASE doc_id % 8 WHEN 0 THEN {_S} || ' l' || {_N} WHEN 1 THEN {_S} || 'L' || {_N} WHEN 2 THEN ' 0' || {_S} || ' / L - ' || {_N} WHEN 3 THEN {_CODE} WHEN 4 THEN 'kuv-' || {_S} || '/l' || {_N} || '-kod' WHEN 5 THEN {_Y} WHEN 6 THEN '0' || {_S} || '_L-' || {_N} ELSE {_SHORT} END"
+RAW_LAW = f"CASE doc_id % 8 WHEN 3 THEN {_CODE} WHEN 4 THEN 'KUV-' || {_SHORT} || '-KOD' WHEN 5 THEN {_Y} ELSE {_SHORT} END"
 
 
-@query(f"SELECT doc_id, {_RAW_LAW} AS law FROM documents")
+@query(f"SELECT doc_id, {RAW_LAW} AS law FROM documents")
 def canon_law(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", lawnum.canonical(F.expr(_RAW)).alias("law"))
+    return t.documents.select("doc_id", lawnum.canonical(F.expr(RAW)).alias("law"))
 
 
 @query(f"SELECT doc_id, CASE doc_id % 8 WHEN 3 THEN {_LAW} WHEN 4 THEN {_SHORT} END AS inner_law FROM documents")
 def law_inner(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", lawnum.inner(lawnum.canonical(F.expr(_RAW))).alias("inner_law"))
+    return t.documents.select("doc_id", lawnum.inner(lawnum.canonical(F.expr(RAW))).alias("inner_law"))
 
 
 def _spelled(f: str) -> str:
@@ -157,36 +157,35 @@ def variant_probe(t: Tables) -> DataFrame:
     return tried.join(stored, F.col("spelling") == F.col("law"), "left").groupBy("doc_id").agg(F.min_by("law", F.when(F.col("law").isNotNull(), F.col("pos"))).alias("found"))
 
 
-_REGISTRY = """(VALUES ('04/L-051', '06/L-010', 'full', '12.03.2018'), ('04/L-051', '05/L-001', 'partial', '1.1.2016'), ('03/L-212', '08/L-100', 'partial', '2.2.2022'), ('2004/2', '04/L-077', 'full', '19.06.2012'), ('x', 'y', 'full', '32.01.2020')) AS g(abolished, abolishing, kind, published)"""
+# A registry of abolishments, one a document: laws by their canonical number, many of them more than once, and dates as gazettes print them.
+_NEXT = "'0' || CAST((doc_id + 1) % 9 + 1 AS STRING) || '/L-' || CAST((doc_id + 1) % 300 + 1 AS STRING)"
+_REGISTRY = f"""(SELECT doc_id AS id, {_SHORT} AS abolished, CASE WHEN doc_id % 7 = 0 THEN {_NEXT} ELSE {_Y} END AS abolishing, CASE WHEN doc_id % 4 = 0 THEN 'full' ELSE 'partial' END AS kind,
+CASE doc_id % 6 WHEN 0 THEN '32.01.2020' WHEN 1 THEN '2020-01-05' WHEN 2 THEN '29.2.2019' WHEN 3 THEN CAST(doc_id % 28 + 1 AS STRING) || '.' || CAST(doc_id % 12 + 1 AS STRING) || '.2018' ELSE lpad(CAST(doc_id % 28 + 1 AS STRING), 2, '0') || '.' || lpad(CAST(doc_id % 12 + 1 AS STRING), 2, '0') || '.2012' END AS published
+FROM documents WHERE doc_id % 5 < 3) AS g"""
+_BY_LAW = f"(SELECT abolished AS law, count(*) AS n, string_agg(DISTINCT abolishing, ',' ORDER BY abolishing) AS by_laws, bool_or(kind = 'full') AS fully FROM {_REGISTRY} GROUP BY abolished)"
+LAW_STATUS = f"(SELECT coalesce(a.law, b.law) AS law, CASE WHEN a.fully THEN 'fully_abolished' WHEN a.law IS NOT NULL THEN 'partially_abolished' ELSE 'abolisher' END AS status, a.by_laws FROM {_BY_LAW} a FULL JOIN (SELECT DISTINCT abolishing AS law FROM {_REGISTRY}) b ON a.law = b.law)"
 
 
-@query(f"SELECT abolished AS law, CAST(count(*) AS BIGINT) AS n, string_agg(abolishing, ',' ORDER BY abolishing) AS by_laws, bool_or(kind = 'full') AS fully FROM {_REGISTRY} GROUP BY abolished")
+@query(f"SELECT law, CAST(n AS BIGINT) AS n, by_laws, fully FROM {_BY_LAW} x")
 def registry_by_abolished(t: Tables) -> DataFrame:
-    return t.values(_REGISTRY).groupBy(F.col("abolished").alias("law")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("abolishing")), ",").alias("by_laws"), F.bool_or(F.col("kind") == "full").alias("fully"))
+    """How often each law was abolished, the distinct laws that did it, in order, and whether one did so fully."""
+    return t.made(_REGISTRY).groupBy(F.col("abolished").alias("law")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("abolishing")), ",").alias("by_laws"), F.bool_or(F.col("kind") == "full").alias("fully"))
 
 
-@query(f"""SELECT coalesce(a.law, b.law) AS law, CASE WHEN a.fully THEN 'fully_abolished' WHEN a.law IS NOT NULL THEN 'partially_abolished' ELSE 'abolisher' END AS status FROM
-(SELECT abolished AS law, bool_or(kind = 'full') AS fully FROM {_REGISTRY} GROUP BY abolished) a FULL JOIN (SELECT DISTINCT abolishing AS law FROM {_REGISTRY}) b ON a.law = b.law""")
+@query(f"SELECT law, status FROM {LAW_STATUS} x")
 def law_status(t: Tables) -> DataFrame:
-    edges = t.values(_REGISTRY)
+    edges = t.made(_REGISTRY)
     roles = edges.select(F.col("abolished").alias("law"), F.when(F.col("kind") == "full", 3).otherwise(2).alias("rank")).unionByName(edges.select(F.col("abolishing").alias("law"), F.lit(1).alias("rank")))
     return roles.groupBy("law").agg(F.max("rank").alias("rank")).select("law", F.when(F.col("rank") == 3, "fully_abolished").when(F.col("rank") == 2, "partially_abolished").otherwise("abolisher").alias("status"))
 
 
-@query(f"SELECT c.doc_id, r.law IS NOT NULL AS is_abolished, coalesce(r.by_laws, '') AS by_laws FROM (SELECT doc_id, {_RAW_LAW} AS law FROM documents) c LEFT JOIN (SELECT abolished AS law, string_agg(abolishing, ',' ORDER BY abolishing) AS by_laws FROM {_REGISTRY} GROUP BY abolished) r ON r.law = c.law")
-def enrich_abolished(t: Tables) -> DataFrame:
-    sources = t.documents.select("doc_id", lawnum.canonical(F.expr(_RAW)).alias("law"))
-    registry = registry_by_abolished(t).select("law", "by_laws")
-    return sources.join(registry, "law", "left").select("doc_id", F.col("by_laws").isNotNull().alias("is_abolished"), F.coalesce("by_laws", F.lit("")).alias("by_laws"))
-
-
-@query(f"SELECT published, CAST(try_strptime(published, '%d.%m.%Y') AS DATE) AS day FROM {_REGISTRY}")
+@query(f"SELECT id, published, CAST(CASE WHEN NOT contains(published, '-') THEN try_strptime(published, '%d.%m.%Y') END AS DATE) AS day FROM {_REGISTRY}")
 def parse_gazette_date(t: Tables) -> DataFrame:
-    return t.values(_REGISTRY).select("published", F.when(F.col("published").rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), F.try_to_date("published", "d.M.yyyy")).alias("day"))
+    return t.made(_REGISTRY).select("id", "published", F.when(F.col("published").rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), F.try_to_date("published", "d.M.yyyy")).alias("day"))
 
 
 # A catalog made from documents: laws as they are typed, some without a number, many more than once.
-_CATALOG_SQL = f"""SELECT CASE WHEN doc_id % 10 = 9 THEN NULL ELSE {_RAW_LAW} END AS law, CASE doc_id % 8 WHEN 3 THEN {_LAW} WHEN 4 THEN {_SHORT} END AS inner_law, doc_id AS n, 'T' || CAST(doc_id AS VARCHAR) AS title FROM documents"""
+_CATALOG_SQL = f"""SELECT CASE WHEN doc_id % 10 = 9 THEN NULL ELSE {RAW_LAW} END AS law, CASE doc_id % 8 WHEN 3 THEN {_LAW} WHEN 4 THEN {_SHORT} END AS inner_law, doc_id AS n, 'T' || CAST(doc_id AS VARCHAR) AS title FROM documents"""
 _CATALOG_VIEW = f"""(WITH k AS ({_CATALOG_SQL}), own AS (SELECT law, max_by(title, n) AS title FROM k WHERE law IS NOT NULL GROUP BY law), alias AS (SELECT inner_law AS law, min_by(title, n) AS title FROM k WHERE law IS NOT NULL AND inner_law IS NOT NULL GROUP BY inner_law)
 SELECT law, title FROM own UNION ALL SELECT law, title FROM alias WHERE law NOT IN (SELECT law FROM own))"""
 
@@ -194,15 +193,25 @@ SELECT law, title FROM own UNION ALL SELECT law, title FROM alias WHERE law NOT
 @query(f"SELECT law, title FROM {_CATALOG_VIEW} v")
 def catalog_alias(t: Tables) -> DataFrame:
     """Titles by number: of repeats the last; a code is also found under its inner number, the first of them, unless a law has it."""
-    rows = t.documents.where("doc_id % 10 <> 9").select(lawnum.canonical(F.expr(_RAW)).alias("law"), F.col("doc_id").alias("n"), F.concat(F.lit("T"), "doc_id").alias("title"))
+    rows = t.documents.where("doc_id % 10 <> 9").select(lawnum.canonical(F.expr(RAW)).alias("law"), F.col("doc_id").alias("n"), F.concat(F.lit("T"), "doc_id").alias("title"))
     own = rows.groupBy("law").agg(F.max_by("title", "n").alias("title"))
     alias = rows.select(lawnum.inner(F.col("law")).alias("law"), "title", "n").where("law IS NOT NULL").groupBy("law").agg(F.min_by("title", "n").alias("title"))
     return own.unionByName(alias.join(own, "law", "left_anti"))
 
 
-@query(f"SELECT d.doc_id, coalesce(a.title, b.title) AS title FROM (SELECT doc_id, {_RAW_LAW} AS law, CASE doc_id % 8 WHEN 3 THEN {_LAW} WHEN 4 THEN {_SHORT} END AS inner_law FROM documents) d LEFT JOIN {_CATALOG_VIEW} a ON a.law = d.law LEFT JOIN {_CATALOG_VIEW} b ON b.law = d.inner_law")
+@query(f"""SELECT c.doc_id, r.law IS NOT NULL AS is_abolished, coalesce(r.by_laws, '') AS by_laws, CASE WHEN r.fully THEN 'fully' WHEN r.law IS NOT NULL THEN 'partially' END AS kind, coalesce(a.title, b.title) AS title
+FROM (SELECT doc_id, {RAW_LAW} AS law, CASE doc_id % 8 WHEN 3 THEN {_LAW} WHEN 4 THEN {_SHORT} END AS inner_law FROM documents) c LEFT JOIN {_BY_LAW} r ON r.law = c.law LEFT JOIN {_CATALOG_VIEW} a ON a.law = c.law LEFT JOIN {_CATALOG_VIEW} b ON b.law = c.inner_law""")
+def enrich_abolished(t: Tables) -> DataFrame:
+    """Of each source: whether its law is abolished, by which, how far, and the catalogue's title of it."""
+    registry = registry_by_abolished(t).select("law", "by_laws", "fully")
+    sources = t.documents.select("doc_id", lawnum.canonical(F.expr(RAW)).alias("law")).join(registry, "law", "left")
+    kind = F.when(F.col("fully"), "fully").when(F.col("by_laws").isNotNull(), "partially")
+    return sources.join(catalog_lookup(t), "doc_id").select("doc_id", F.col("by_laws").isNotNull().alias("is_abolished"), F.coalesce("by_laws", F.lit("")).alias("by_laws"), kind.alias("kind"), "title")
+
+
+@query(f"SELECT d.doc_id, coalesce(a.title, b.title) AS title FROM (SELECT doc_id, {RAW_LAW} AS law, CASE doc_id % 8 WHEN 3 THEN {_LAW} WHEN 4 THEN {_SHORT} END AS inner_law FROM documents) d LEFT JOIN {_CATALOG_VIEW} a ON a.law = d.law LEFT JOIN {_CATALOG_VIEW} b ON b.law = d.inner_law")
 def catalog_lookup(t: Tables) -> DataFrame:
-    asked = t.documents.select("doc_id", lawnum.canonical(F.expr(_RAW)).alias("law")).withColumn("inner_law", lawnum.inner(F.col("law")))
+    asked = t.documents.select("doc_id", lawnum.canonical(F.expr(RAW)).alias("law")).withColumn("inner_law", lawnum.inner(F.col("law")))
     catalog = catalog_alias(t)
     direct, fallback = catalog.select("law", F.col("title").alias("direct")), catalog.select(F.col("law").alias("inner_law"), F.col("title").alias("fallback"))
     return asked.join(direct, "law", "left").join(fallback, "inner_law", "left").select("doc_id", F.coalesce("direct", "fallback").alias("title"))
@@ -211,16 +220,16 @@ def catalog_lookup(t: Tables) -> DataFrame:
 # An answer a document: an article of a law, a law alone, and a law with the next article. What its sources cover is known by construction.
 _B = "CAST(doc_id % 1059 + 2 AS STRING)"
 _FIRST, _SECOND, _THIRD = f"'nenit ' || {_A} || ' të Ligjit ' || {_LAW}", f"'Ligji ' || {_Y}", f"'Ligjit Nr. ' || {_LAW} || ', neni ' || {_B}"
-_ANSWER = f"'Sipas ' || {_FIRST} || ', dhe ' || {_SECOND} || ' si dhe ' || {_THIRD} || ' vlen.'"
+ANSWER = f"'Sipas ' || {_FIRST} || ', dhe ' || {_SECOND} || ' si dhe ' || {_THIRD} || ' vlen.'"
 _STORED = f"CASE WHEN doc_id % 2 = 0 THEN {_CODE} ELSE {_LAW} END"
-_SOURCES = f"""SELECT doc_id, 1 AS seq, 's1' AS source, {_STORED} AS law, {_A} AS article, '' AS content FROM documents WHERE doc_id % 3 <> 0
+SOURCES = f"""SELECT doc_id, 1 AS seq, 's1' AS source, {_STORED} AS law, {_A} AS article, '' AS content FROM documents WHERE doc_id % 3 <> 0
 UNION ALL SELECT doc_id, 2, 's2', {_STORED}, NULL, '## Neni ' || CASE WHEN doc_id % 5 = 0 THEN {_B} ELSE '0' END FROM documents UNION ALL SELECT doc_id, 3, 's3', {_Y}, '1', '' FROM documents WHERE doc_id % 4 = 0"""
-_CITED = f"""SELECT doc_id, 0 AS pos, {_LAW} AS law, {_A} AS article, doc_id % 3 <> 0 AS verified, CASE WHEN doc_id % 3 <> 0 THEN 's1' END AS source FROM documents
+CITED = f"""SELECT doc_id, 0 AS pos, {_LAW} AS law, {_A} AS article, doc_id % 3 <> 0 AS verified, CASE WHEN doc_id % 3 <> 0 THEN 's1' END AS source FROM documents
 UNION ALL SELECT doc_id, 1, {_Y}, NULL, doc_id % 4 = 0, CASE WHEN doc_id % 4 = 0 THEN 's3' END FROM documents UNION ALL SELECT doc_id, 2, {_LAW}, {_B}, doc_id % 5 = 0, CASE WHEN doc_id % 5 = 0 THEN 's2' END FROM documents"""
 
 
 def _answers(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.expr(_ANSWER).alias("answer"))
+    return t.documents.select("doc_id", F.expr(ANSWER).alias("answer"))
 
 
 def cited(t: Tables) -> DataFrame:
@@ -243,27 +252,27 @@ def verified(marks: DataFrame, sources: DataFrame, authoritative: DataFrame | No
     return hits.select("doc_id", "pos", "law", "article", known.alias("verified"), F.col("hit.source").alias("source"))
 
 
-def _given(t: Tables) -> DataFrame:
-    return t.spark.sql(_SOURCES.replace("FROM documents", "FROM {documents}"), documents=t.documents)
+def given(t: Tables) -> DataFrame:
+    return t.spark.sql(SOURCES.replace("FROM documents", "FROM {documents}"), documents=t.documents)
 
 
 def _checked(t: Tables) -> DataFrame:
-    return verified(cited(t), _given(t))
+    return verified(cited(t), given(t))
 
 
-@query(_CITED)
+@query(CITED)
 def validate_citations(t: Tables) -> DataFrame:
     return _checked(t)
 
 
-@query(f"SELECT doc_id, pos, law, article, verified OR (article IS NULL AND law IN (SELECT {_Y} FROM documents WHERE doc_id % 8 = 1)) AS verified, source FROM ({_CITED}) c")
+@query(f"SELECT doc_id, pos, law, article, verified OR (article IS NULL AND law IN (SELECT {_Y} FROM documents WHERE doc_id % 8 = 1)) AS verified, source FROM ({CITED}) c")
 def validate_with_registry(t: Tables) -> DataFrame:
     """Laws that warnings have named (here those of every eighth document) verify a bare citation of theirs."""
     warned = t.documents.where("doc_id % 8 = 1").select(F.expr(_Y).alias("law"))
-    return verified(cited(t), _given(t), warned)
+    return verified(cited(t), given(t), warned)
 
 
-@query(f"SELECT doc_id, pos, law, article FROM ({_CITED}) c")
+@query(f"SELECT doc_id, pos, law, article FROM ({CITED}) c")
 def extract_citations(t: Tables) -> DataFrame:
     return cited(t)
 
@@ -277,40 +286,52 @@ def annotate_unverified(t: Tables) -> DataFrame:
     return _answers(t).join(_checked(t).groupBy("doc_id").agg(truths.alias("ok")), "doc_id").select("doc_id", lawnum.annotated(F.col("answer"), F.col("ok")).alias("annotated"))
 
 
-@query(f"SELECT DISTINCT law FROM (SELECT law FROM ({_CITED}) c UNION ALL SELECT {_RAW_LAW} FROM documents UNION ALL SELECT CASE doc_id % 8 WHEN 3 THEN {_LAW} WHEN 4 THEN {_SHORT} END FROM documents) x WHERE law IS NOT NULL")
+@query(f"SELECT DISTINCT law FROM (SELECT law FROM ({CITED}) c UNION ALL SELECT {RAW_LAW} FROM documents UNION ALL SELECT CASE doc_id % 8 WHEN 3 THEN {_LAW} WHEN 4 THEN {_SHORT} END FROM documents) x WHERE law IS NOT NULL")
 def authoritative_laws(t: Tables) -> DataFrame:
-    synthetic = t.documents.select(lawnum.canonical(F.expr(_RAW)).alias("law"))
+    synthetic = t.documents.select(lawnum.canonical(F.expr(RAW)).alias("law"))
     inners = synthetic.select(lawnum.inner(F.col("law")).alias("law")).where("law IS NOT NULL")
     return cited(t).select("law").unionByName(synthetic).unionByName(inners).distinct()
 
 
-@query(f"SELECT doc_id, regexp_replace(lower(replace('NR. ' || {_RAW}, ' ', '')), '^(nr\\.|nr|n\\.)', '') AS norm FROM documents")
+@query(f"SELECT doc_id, regexp_replace(lower(replace('NR. ' || {RAW}, ' ', '')), '^(nr\\.|nr|n\\.)', '') AS norm FROM documents")
 def norm_law(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.regexp_replace(F.lower(F.replace(F.expr(f"'NR. ' || {_RAW}"), F.lit(" "))), r"^(nr\.|nr|n\.)", "").alias("norm"))
+    return t.documents.select("doc_id", F.regexp_replace(F.lower(F.replace(F.expr(f"'NR. ' || {RAW}"), F.lit(" "))), r"^(nr\.|nr|n\.)", "").alias("norm"))
 
 
-@query(f"SELECT doc_id, regexp_replace({_RAW}, '[^A-Za-z0-9_-]', '_', 'g') AS safe, regexp_replace({_RAW}, '_', '/') AS law FROM documents")
+@query(f"SELECT doc_id, regexp_replace({RAW}, '[^A-Za-z0-9_-]', '_', 'g') AS safe, regexp_replace({RAW}, '_', '/') AS law FROM documents")
 def dirname_to_law(t: Tables) -> DataFrame:
-    raw = F.expr(_RAW)
+    raw = F.expr(RAW)
     return t.documents.select("doc_id", F.regexp_replace(raw, r"(?U)[^\w-]", "_").alias("safe"), F.regexp_replace(raw, "^([^_]*)_", "$1/").alias("law"))
 
 
-@query(f"SELECT DISTINCT law, 'Ligji ' || law || ' (' || CASE WHEN law = '03/L-212' THEN 'pjesërisht' ELSE 'plotësisht' END || ')' AS warning FROM (VALUES ('03/L-212'), ('04/L-051'), ('2004/2'), ('x')) AS e(law)")
+# The answer to each question of five sources: it names the laws of all of them or, for every third question, only that of the first.
+_NAMED = f"(SELECT CAST(floor(doc_id / 5) AS BIGINT) AS qid, doc_id, {RAW_LAW} AS law FROM documents WHERE doc_id % 5 = 0 OR CAST(floor(doc_id / 5) AS BIGINT) % 3 > 0) AS m"
+_WARNING = "'Ligji ' || law || ' (' || CASE WHEN status = 'fully_abolished' THEN 'plotësisht' ELSE 'pjesërisht' END || ')'"
+
+
+@query(f"""WITH a AS (SELECT qid, 'Sipas ' || string_agg(law, '; ' ORDER BY doc_id) || '.' AS answer FROM {_NAMED} GROUP BY qid),
+w AS (SELECT DISTINCT s.qid, s.law, l.status FROM (SELECT CAST(floor(doc_id / 5) AS BIGINT) AS qid, {RAW_LAW} AS law FROM documents) s JOIN {LAW_STATUS} l ON l.law = s.law WHERE l.status <> 'abolisher')
+SELECT w.qid, string_agg({_WARNING}, '; ' ORDER BY w.law) AS warnings, NOT bool_and(coalesce(contains(a.answer, w.law), FALSE)) AS banner FROM w LEFT JOIN a ON a.qid = w.qid GROUP BY w.qid""")
 def abolish_warnings(t: Tables) -> DataFrame:
-    status = law_status(t).where("status <> 'abolisher'")
-    return status.select("law", F.concat(F.lit("Ligji "), "law", F.lit(" ("), F.when(F.col("status") == "fully_abolished", "plotësisht").otherwise("pjesërisht"), F.lit(")")).alias("warning"))
+    """A warning for each distinct abolished law among a question's sources; no banner where the answer names all of them already."""
+    sources = t.documents.select(F.floor(F.col("doc_id") / 5).alias("qid"), lawnum.canonical(F.expr(RAW)).alias("law")).distinct()
+    named = t.made(_NAMED).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "law"))), lambda x: x["law"]), "; ").alias("answer"))
+    warned = sources.join(law_status(t).where("status <> 'abolisher'"), "law").withColumn("warning", F.expr(_WARNING)).join(named, "qid", "left")
+    told = F.bool_and(F.coalesce(F.contains(F.col("answer"), F.col("law")), F.lit(False)))
+    return warned.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("law", "warning"))), lambda x: x["warning"]), "; ").alias("warnings"), (~told).alias("banner"))
 
 
-@query(f"""SELECT '04/L-051' AS law, 'status_verdict' AS kind, CAST(1.0 AS DOUBLE) AS score UNION ALL SELECT abolishing, 'abolishing_law', CAST(0.95 AS DOUBLE) FROM {_REGISTRY} WHERE abolished = '04/L-051' UNION ALL SELECT abolished, 'abolished_law', CAST(0.90 AS DOUBLE) FROM {_REGISTRY} WHERE abolishing = '04/L-051'""")
+@query(f"""SELECT law AS asked, law, 'status_verdict' AS kind, CAST(1.0 AS DOUBLE) AS score FROM {LAW_STATUS} x UNION ALL SELECT DISTINCT abolished, abolishing, 'abolishing_law', CAST(0.95 AS DOUBLE) FROM {_REGISTRY}
+UNION ALL SELECT DISTINCT abolishing, abolished, 'abolished_law', CAST(0.90 AS DOUBLE) FROM {_REGISTRY}""")
 def synthetic_chunks(t: Tables) -> DataFrame:
-    edges, law = t.values(_REGISTRY), F.lit("04/L-051")
-    verdict = t.spark.range(1).select(law.alias("law"), F.lit("status_verdict").alias("kind"), F.lit(1.0).alias("score"))
-    over = edges.where(F.col("abolished") == law).select(F.col("abolishing").alias("law"), F.lit("abolishing_law").alias("kind"), F.lit(0.95).alias("score"))
-    under = edges.where(F.col("abolishing") == law).select(F.col("abolished").alias("law"), F.lit("abolished_law").alias("kind"), F.lit(0.90).alias("score"))
-    return verdict.unionByName(over).unionByName(under)
+    """The chunks that answer a question on the status of each law: the verdict, the laws that abolished it and those it abolished."""
+    edges = t.made(_REGISTRY).select("abolished", "abolishing").distinct()
+    row = lambda asked, law, kind, score: (F.col(asked).alias("asked"), F.col(law).alias("law"), F.lit(kind).alias("kind"), F.lit(score).alias("score"))
+    verdicts = law_status(t).select(*row("law", "law", "status_verdict", 1.0))
+    return verdicts.unionByName(edges.select(*row("abolished", "abolishing", "abolishing_law", 0.95))).unionByName(edges.select(*row("abolishing", "abolished", "abolished_law", 0.90)))
 
 
-@query(f"SELECT law, 'Ligji ' || law || ': ' || status || CASE WHEN by_laws IS NULL THEN '' ELSE ' nga ' || by_laws END AS answer FROM (SELECT s.law, s.status, r.by_laws FROM (SELECT coalesce(a.law, b.law) AS law, CASE WHEN a.fully THEN 'fully_abolished' WHEN a.law IS NOT NULL THEN 'partially_abolished' ELSE 'abolisher' END AS status FROM (SELECT abolished AS law, bool_or(kind = 'full') AS fully FROM {_REGISTRY} GROUP BY abolished) a FULL JOIN (SELECT DISTINCT abolishing AS law FROM {_REGISTRY}) b ON a.law = b.law) s LEFT JOIN (SELECT abolished AS law, string_agg(abolishing, ', ' ORDER BY abolishing) AS by_laws FROM {_REGISTRY} GROUP BY abolished) r ON r.law = s.law) x")
+@query(f"SELECT law, 'Ligji ' || law || ': ' || status || coalesce(' nga ' || replace(by_laws, ',', ', '), '') AS answer FROM {LAW_STATUS} x")
 def status_answer(t: Tables) -> DataFrame:
     by = registry_by_abolished(t).select("law", F.regexp_replace("by_laws", ",", ", ").alias("by_laws"))
     return law_status(t).join(by, "law", "left").select("law", F.concat(F.lit("Ligji "), "law", F.lit(": "), "status", F.coalesce(F.concat(F.lit(" nga "), "by_laws"), F.lit(""))).alias("answer"))

@@ -69,27 +69,21 @@ def pct_nearest(t: Tables) -> DataFrame:
     return at_rank(rows, "event_type", "value", rank).withColumnRenamed("value", "p90")
 
 
-@query("""SELECT user_id, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS verified, CAST(count(*) FILTER (WHERE event_type <> 'view') AS BIGINT) AS unverified,
-round(count(*) FILTER (WHERE event_type = 'view') / count(*), 6) AS rate FROM events GROUP BY user_id""")
-def citation_summary(t: Tables) -> DataFrame:
-    verified = F.count_if(F.col("event_type") == "view")
-    return t.events.groupBy("user_id").agg(F.count("*").alias("total"), verified.alias("verified"), (F.count("*") - verified).alias("unverified"), F.round(F.when(F.count("*") == 0, 1.0).otherwise(verified / F.count("*")), 6).alias("rate"))
-
-
 @query("SELECT user_id, CAST(count(DISTINCT CASE WHEN event_type = 'view' THEN value END) AS BIGINT) AS laws, count(DISTINCT CASE WHEN event_type = 'view' THEN value END) >= 3 AS gated FROM events GROUP BY user_id")
 def multilaw_gate(t: Tables) -> DataFrame:
     laws = F.count_distinct(F.when(F.col("event_type") == "view", F.col("value")))
     return t.events.groupBy("user_id").agg(laws.alias("laws"), (laws >= 3).alias("gated"))
 
 
-_POOL = "(VALUES (1, 40, 0.8, 0.5), (1, 40, 0.1, 0.9), (2, 40, 0.1, 0.9), (3, 40, CAST(NULL AS DOUBLE), 0.55), (4, 40, CAST(NULL AS DOUBLE), 0.10), (5, 40, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)), (6, 301, 0.01, 0.01)) AS p(qid, chars, rerank, dense)"
+_POOL = """(SELECT qid, CASE qid % 9 WHEN 0 THEN 301 WHEN 1 THEN 300 ELSE 40 END AS chars, CASE WHEN qid % 3 > 0 AND doc_id % 4 > 0 THEN CAST(doc_id * 37 % 100 * (qid % 5 + 1) AS DOUBLE) / 500 END AS rerank,
+CASE WHEN qid % 6 > 0 THEN CAST(doc_id * 53 % 60 * (qid % 4 + 1) AS DOUBLE) / 240 END AS dense FROM (SELECT doc_id, CAST(floor(doc_id / 4) AS BIGINT) AS qid FROM documents) d) AS p"""
 
 
 @query(f"""SELECT qid, CASE WHEN chars > 300 THEN FALSE WHEN r IS NOT NULL THEN r < 0.40 WHEN d IS NOT NULL THEN d < 0.28 ELSE TRUE END AS gated,
 CASE WHEN chars > 300 THEN 'exempt_long' WHEN r IS NOT NULL THEN 'rerank' WHEN d IS NOT NULL THEN 'dense' ELSE 'no_signal' END AS tier, CASE WHEN chars > 300 THEN NULL ELSE CAST(coalesce(r, d) AS DOUBLE) END AS top
 FROM (SELECT qid, max(chars) AS chars, max(rerank) AS r, max(dense) AS d FROM {_POOL} GROUP BY qid) x""")
 def relevance_gate(t: Tables) -> DataFrame:
-    best = t.values(_POOL).groupBy("qid").agg(F.max("chars").alias("chars"), F.max("rerank").cast("double").alias("r"), F.max("dense").cast("double").alias("d"))
+    best = t.made(_POOL).groupBy("qid").agg(F.max("chars").alias("chars"), F.max("rerank").cast("double").alias("r"), F.max("dense").cast("double").alias("d"))
     return gate(best).select("qid", "gated", "tier", "top")
 
 
@@ -101,15 +95,22 @@ def gate(best: DataFrame) -> DataFrame:
     return best.withColumns({"gated": gated, "tier": tier, "top": F.when(~long, F.coalesce(r, d))})
 
 
-_PARTS = "(VALUES (1, 1, 0.05), (1, 2, 0.9), (1, 3, 0.95), (2, 1, 0.05), (2, 2, 0.2), (3, 1, 0.1)) AS p(qid, part, r)"
+# Questions of up to eight parts, a document a part: how long the part is, and its best scores.
+_PARTS = """(SELECT qid, part, CASE WHEN part > 1 AND doc_id % 11 = 0 THEN 301 ELSE 60 END AS chars, CASE WHEN doc_id % 5 > 0 THEN CAST(doc_id * 37 % 100 * (qid % 4 + 1) AS DOUBLE) / 500 END AS r, CASE WHEN doc_id % 7 > 0 THEN CAST(doc_id * 53 % 60 * (qid % 3 + 1) AS DOUBLE) / 400 END AS d
+FROM (SELECT doc_id, CAST(floor(doc_id / 8) AS BIGINT) AS qid, doc_id % 8 + 1 AS part FROM documents) x WHERE part <= qid % 8 + 1) AS p"""
 
 
-@query(f"""SELECT qid, CASE WHEN count(*) < 2 THEN FALSE ELSE NOT bool_or(r >= 0.40) END AS gated, CASE WHEN count(*) < 2 THEN 'exempt_long' WHEN bool_or(r >= 0.40) THEN 'decomposed_pass' ELSE 'decomposed_all_below' END AS tier,
-CAST(CASE WHEN count(*) < 2 THEN NULL WHEN bool_or(r >= 0.40) THEN min_by(r, CASE WHEN r >= 0.40 THEN part END) ELSE max(r) END AS DOUBLE) AS top FROM {_PARTS} WHERE part <= 6 GROUP BY qid""")
+@query(f"""WITH g AS (SELECT qid, part, coalesce(r, d) AS top, CASE WHEN r IS NOT NULL THEN r >= 0.40 WHEN d IS NOT NULL THEN d >= 0.28 ELSE FALSE END AS pass FROM {_PARTS} WHERE part <= 6 AND chars <= 300)
+SELECT qid, CASE WHEN count(*) < 2 THEN FALSE ELSE NOT bool_or(pass) END AS gated, CASE WHEN count(*) < 2 THEN 'exempt_long' WHEN bool_or(pass) THEN 'decomposed_pass' ELSE 'decomposed_all_below' END AS tier,
+CASE WHEN count(*) < 2 THEN NULL WHEN bool_or(pass) THEN arg_min(top, part) FILTER (WHERE pass) ELSE max(top) END AS top FROM g GROUP BY qid""")
 def longquery_gate(t: Tables) -> DataFrame:
-    passes = F.col("r") >= 0.40
-    few, any_pass = F.count("*") < 2, F.bool_or(passes)
-    return t.values(_PARTS).where("part <= 6").groupBy("qid").agg(F.when(few, False).otherwise(~any_pass).alias("gated"), F.when(few, "exempt_long").when(any_pass, "decomposed_pass").otherwise("decomposed_all_below").alias("tier"), F.when(few, None).when(any_pass, F.min_by("r", F.when(passes, F.col("part")))).otherwise(F.max("r")).cast("double").alias("top"))
+    """A long question by its parts: of the first six, those the floor holds for (300 characters), each by the layered gate. The first to
+    pass lets it through with its score; with fewer than two such parts it is exempt. A question of no such part has no row."""
+    parts = gate(t.made(_PARTS).where("part <= 6 AND chars <= 300"))
+    few, passes = F.count("*") < 2, F.bool_or(~F.col("gated"))
+    first = F.min(F.when(~F.col("gated"), F.struct("part", "top")))["top"]
+    tier = F.when(few, "exempt_long").when(passes, "decomposed_pass").otherwise("decomposed_all_below")
+    return parts.groupBy("qid").agg(F.when(few, False).otherwise(~passes).alias("gated"), tier.alias("tier"), F.when(few, None).when(passes, first).otherwise(F.max("top")).alias("top"))
 
 
 # Questions of five issues each, one a document; an issue expects a law or two and articles of them, and a question has what was retrieved for it.
@@ -132,50 +133,35 @@ def issue_coverage(t: Tables) -> DataFrame:
     return union.join(issue, "qid").select("qid", F.round(F.col("hit") / F.col("n"), 3).alias("union_recall"), "law_coverage", "article_coverage")
 
 
-@query("""SELECT verdict, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE value < 10) AS BIGINT) AS below_floor FROM (SELECT value, CASE WHEN event_type = 'error' THEN 'REFUSED' WHEN event_type = 'view' THEN 'ANSWERED-NO-CITE' ELSE 'FABRICATED' END AS verdict FROM events) x GROUP BY verdict""")
-def abstention(t: Tables) -> DataFrame:
-    verdict = F.when(F.col("event_type") == "error", "REFUSED").when(F.col("event_type") == "view", "ANSWERED-NO-CITE").otherwise("FABRICATED")
-    return t.events.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"), F.count_if(F.col("value") < 10).alias("below_floor"))
-
-
-_ROUTED = "(VALUES (1, 'citation_lookup', 'citation_lookup'), (2, 'citation_lookup', 'citation_miss'), (3, 'status_lookup', 'semantic_question'), (4, 'semantic_question', 'semantic_question')) AS r(id, expected, got)"
+_ROUTED = """(SELECT CASE event_id % 4 WHEN 0 THEN 'citation_lookup' WHEN 1 THEN 'status_lookup' ELSE 'semantic_question' END AS expected, CASE event_id * 7 % 5 WHEN 0 THEN 'citation_miss' WHEN 1 THEN 'status_lookup' WHEN 2 THEN 'citation_lookup' ELSE 'semantic_question' END AS got FROM events) AS r"""
 
 
 @query(f"SELECT expected, round(avg(CASE WHEN expected = got OR (expected = 'citation_lookup' AND got = 'citation_miss') THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM {_ROUTED} GROUP BY expected")
 def routing_accuracy(t: Tables) -> DataFrame:
     right = (F.col("expected") == F.col("got")) | ((F.col("expected") == "citation_lookup") & (F.col("got") == "citation_miss"))
-    return t.values(_ROUTED).groupBy("expected").agg(F.round(F.avg(right.cast("double")), 6).alias("accuracy"))
-
+    return t.made(_ROUTED).groupBy("expected").agg(F.round(F.avg(right.cast("double")), 6).alias("accuracy"))
 
-@query("SELECT event_type, round(sum(value), 2) AS cost, round(count(*) FILTER (WHERE value > 50) / nullif(count(*) FILTER (WHERE value > 10), 0), 6) AS ratio FROM events GROUP BY event_type")
-def cost_rollup(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("cost"), F.round(F.try_divide(F.count_if(F.col("value") > 50), F.count_if(F.col("value") > 10)), 6).alias("ratio"))
 
+def usage_sql(table: str, key: str) -> str:
+    """A call of a model for each row of a table: its model and its tokens, asked, found in the cache (more than asked, for some), given."""
+    return f"(SELECT {key}, CASE {key} % 3 WHEN 0 THEN 'pro-1' WHEN 1 THEN 'flash-2' ELSE 'other' END AS model, {key} % 5003 AS prompt, {key} * 3 % 6007 AS cached, {key} % 701 AS output FROM {table}) AS u"
 
-@query(f"""SELECT round(avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(CASE WHEN (event_type = 'view') = (value > 20) THEN 1.0 ELSE 0.0 END), 6) AS agreement, round(avg(CASE WHEN rank > 1 THEN value END), 6) AS warm_mean FROM ({_RANKED}) r""")
-def router_bench(t: Tables) -> DataFrame:
-    firsts = t.events.groupBy("user_id").agg(F.min("event_id").alias("event_id")).withColumn("cold", F.lit(True))
-    rows = t.events.join(firsts, ["user_id", "event_id"], "left")
-    view = F.col("event_type") == "view"
-    return rows.agg(F.round(F.avg(view.cast("double")), 6).alias("accuracy"), F.round(F.avg((view == (F.col("value") > 20)).cast("double")), 6).alias("agreement"), F.round(F.avg(F.when(F.col("cold").isNull(), F.col("value"))), 6).alias("warm_mean"))
 
+COST_SQL = "CASE WHEN model LIKE 'pro%' THEN greatest(0, prompt - cached) * 0.435 + cached * 0.003625 + output * 0.87 WHEN model LIKE 'flash%' THEN greatest(0, prompt - cached) * 0.14 + cached * 0.0035 + output * 0.28 ELSE 0 END / 1000000"
+# Dollars a million tokens, missed cache, hit cache, output.
+RATES = {"pro": (0.435, 0.003625, 0.87), "flash": (0.14, 0.0035, 0.28)}
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id) x ORDER BY event_id LIMIT 50")
-def probe_sample(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.min("event_id").alias("event_id")).orderBy("event_id").limit(50)
 
-
-_USAGE = "(VALUES ('pro-1', 1000, 400, 200), ('flash-2', 5000, 6000, 100), ('other', 10, 0, 10)) AS u(model, prompt, cached, output)"
+def dollars() -> Column:
+    missed, cost = F.greatest(F.lit(0), F.col("prompt") - F.col("cached")), F.lit(0.0)
+    for prefix, (miss, hit, out) in RATES.items():
+        cost = F.when(F.col("model").startswith(prefix), missed * miss + F.col("cached") * hit + F.col("output") * out).otherwise(cost)
+    return cost / 1_000_000
 
 
-@query(f"""SELECT model, round(CASE WHEN model LIKE 'pro%' THEN greatest(0, prompt - cached) * 0.435 + cached * 0.003625 + output * 0.87 WHEN model LIKE 'flash%' THEN greatest(0, prompt - cached) * 0.14 + cached * 0.0035 + output * 0.28 ELSE 0 END / 1000000, 9)::DOUBLE AS cost FROM {_USAGE}""")
+@query(f"SELECT event_id, model, round({COST_SQL}, 12)::DOUBLE AS cost FROM {usage_sql('events', 'event_id')}")
 def llm_cost(t: Tables) -> DataFrame:
-    # fixed values: dollars a million tokens, missed cache, hit cache, output
-    rates = {"pro": (0.435, 0.003625, 0.87), "flash": (0.14, 0.0035, 0.28)}
-    missed, cost = F.greatest(F.lit(0), F.col("prompt") - F.col("cached")), F.lit(0.0)
-    for prefix, (miss, hit, out) in rates.items():
-        cost = F.when(F.col("model").startswith(prefix), missed * miss + F.col("cached") * hit + F.col("output") * out).otherwise(cost)
-    return t.values(_USAGE).select("model", F.round(cost / 1_000_000, 9).alias("cost"))
+    return t.made(usage_sql("events", "event_id")).select("event_id", "model", F.round(dollars(), 12).alias("cost"))
 
 
 @query("SELECT status, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN contains(props, 'error') THEN 'ERROR' WHEN value > 50 THEN 'GATE_FAILED' ELSE 'INGESTED' END AS status FROM events) x GROUP BY status")

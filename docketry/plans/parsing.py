@@ -147,18 +147,24 @@ def template_vars(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.concat(shown, more), ",").alias("variables"))
 
 
-@query("SELECT * FROM (VALUES (1, 'A', 'sq'), (2, 'B', NULL), (3, NULL, NULL)) AS e(id, title, language)")
+_REPLIES = """(SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN '```json' || chr(10) || '{"title": "T' || CAST(doc_id AS STRING) || '", "language": "sq"}' || chr(10) || '```' WHEN 1 THEN 'here: {"title": "B {x}"} done' WHEN 2 THEN 'nothing'
+WHEN 3 THEN '{"title": "C' || chr(10) WHEN 4 THEN '{"language": "en", "title": null}' ELSE '```' || chr(10) || '{"title": "D", "more": {"title": "E"}}' || chr(10) || '```' END AS reply FROM documents) AS r"""
+
+
+@query("SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN 'T' || CAST(doc_id AS VARCHAR) WHEN 1 THEN 'B {x}' WHEN 5 THEN 'D' END AS title, CASE doc_id % 6 WHEN 0 THEN 'sq' WHEN 4 THEN 'en' END AS language FROM documents")
 def template_json(t: Tables) -> DataFrame:
-    replies = t.spark.createDataFrame([(1, '```json\n{"title": "A", "language": "sq"}\n```'), (2, 'here: {"title": "B"} done'), (3, "nothing")], "id int, reply string")
     body = F.regexp_extract(F.regexp_replace("reply", r"```(?:json)?", ""), r"(?s)\{.*\}", 0)
-    return replies.select("id", F.from_json(body, "title string, language string").alias("j")).select("id", "j.title", "j.language")
+    return t.made(_REPLIES).select("id", F.from_json(body, "title string, language string").alias("j")).select("id", "j.title", "j.language")
+
+
+_LISTS = """(SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN '["a' || CAST(doc_id AS STRING) || '", "b, c"]' WHEN 1 THEN 'c, d' || CAST(doc_id AS STRING) || ' ,, ' WHEN 2 THEN '' WHEN 3 THEN '[]' ELSE CAST(doc_id AS STRING) END AS raw FROM documents) AS v"""
 
 
-@query("SELECT * FROM (VALUES (1, 'a|b'), (2, 'c|d'), (3, '')) AS e(id, items)")
+@query("SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'a' || CAST(doc_id AS VARCHAR) || '|b, c' WHEN 1 THEN 'c|d' || CAST(doc_id AS VARCHAR) WHEN 4 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS items FROM documents")
 def parse_list_field(t: Tables) -> DataFrame:
-    rows = t.values("(VALUES (1, '[\"a\", \"b\"]'), (2, 'c, d'), (3, '')) AS v(id, raw)")
+    """A list that is written as JSON or between commas."""
     parts = F.filter(F.transform(F.split("raw", ","), lambda x: F.trim(x)), lambda x: x != "")
-    return rows.select("id", F.array_join(F.coalesce(F.when(F.col("raw").startswith("["), F.from_json("raw", "array<string>")), parts), "|").alias("items"))
+    return t.made(_LISTS).select("id", F.array_join(F.coalesce(F.when(F.col("raw").startswith("["), F.from_json("raw", "array<string>")), parts), "|").alias("items"))
 
 
 _META_URL = "CASE page_id % 4 WHEN 0 THEN url || '/ligji_2021-03-' || lpad(CAST(page_id % 28 + 1 AS STRING), 2, '0') WHEN 1 THEN url || '/aktgjykim' WHEN 2 THEN url || '/kontrate' ELSE url END"

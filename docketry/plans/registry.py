@@ -6,7 +6,7 @@ import importlib
 
 from docketry.plans.base import ORACLES, QUERIES
 
-for _name in ("tenancy", "relational", "evaluation", "retrieval", "citations", "chunks", "dialogue", "parsing", "streams"):
+for _name in ("tenancy", "relational", "evaluation", "retrieval", "citations", "chunks", "dialogue", "parsing", "runs", "streams"):
     importlib.import_module(f"docketry.plans.{_name}")
 
 

@@ -61,18 +61,18 @@ def anti_unprovisioned(t: Tables) -> DataFrame:
     return t.customer.join(users, F.col("c_custkey") == F.col("s_suppkey"), "left_anti").join(users, F.col("c_name") == F.col("s_name"), "left_anti").select("c_custkey")
 
 
-_A = "(VALUES (1, 'a@x'), (2, 'b@x'), (3, 'c@x')) AS a(aid, aemail)"
-_U = "(VALUES (1, 'a@x'), (9, 'b@x'), (3, 'z@x'), (4, 'c@x')) AS u(uid, uemail)"
+_A = "(SELECT c_custkey AS aid, 'm' || CAST(c_custkey * 3 AS STRING) AS aemail FROM customer) AS a"
+_U = "(SELECT s_suppkey AS uid, 'm' || CAST(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey * 3 WHEN s_suppkey % 3 = 1 THEN s_suppkey * 6 ELSE s_suppkey * 2 + 1 END AS STRING) AS uemail FROM supplier) AS u"
 
 
 @query(f"SELECT aid, uid FROM {_A} JOIN {_U} ON aemail = uemail AND aid <> uid")
 def id_drift(t: Tables) -> DataFrame:
-    return t.values(_A).join(t.values(_U), (F.col("aemail") == F.col("uemail")) & (F.col("aid") != F.col("uid"))).select("aid", "uid")
+    return t.made(_A).join(t.made(_U), (F.col("aemail") == F.col("uemail")) & (F.col("aid") != F.col("uid"))).select("aid", "uid")
 
 
 @query(f"""SELECT aid, uid FROM (SELECT aid, uid, row_number() OVER (PARTITION BY aid ORDER BY CASE WHEN aid = uid THEN 0 ELSE 1 END, uid) AS r FROM {_A} JOIN {_U} ON aid = uid OR aemail = uemail) x WHERE r = 1""")
 def resolve_identity(t: Tables) -> DataFrame:
-    a, u = t.values(_A), t.values(_U)  # two equi-joins instead of an OR
+    a, u = t.made(_A), t.made(_U)  # two equi-joins instead of an OR
     found = a.join(u, F.col("aid") == F.col("uid")).select("aid", "uid", F.lit(0).alias("rank")).unionByName(a.join(u, F.col("aemail") == F.col("uemail")).select("aid", "uid", F.lit(1).alias("rank")))
     return found.groupBy("aid").agg(F.min(F.struct("rank", "uid"))["uid"].alias("uid"))
 
@@ -218,9 +218,15 @@ def append_turn(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", "role").unionByName(new)
 
 
-@query("SELECT k AS attempt, least(60.0, 0.5 * pow(2, k)) AS seconds FROM range(0, 10) r(k)")
+_FAILED = "(SELECT event_id, event_id % 10 AS attempt, CASE event_id % 6 WHEN 0 THEN 429 WHEN 1 THEN 400 WHEN 2 THEN 404 WHEN 3 THEN 500 WHEN 4 THEN 499 END AS status FROM events) AS f"
+
+
+@query(f"SELECT event_id, CASE WHEN status BETWEEN 400 AND 499 AND status <> 429 THEN NULL ELSE least(60.0, 0.5 * pow(2, attempt)) END AS seconds FROM {_FAILED}")
 def backoff_schedule(t: Tables) -> DataFrame:
-    return t.spark.range(10).select(F.col("id").alias("attempt"), F.least(F.lit(60.0), F.lit(0.5) * F.pow(F.lit(2), F.col("id"))).alias("seconds"))
+    """How long each failed call waits: doubled from half a second to a minute; none (null) where the caller is at fault, but for too
+    many calls. A failure without a status is one of the network and tried again."""
+    final = F.coalesce(F.col("status").between(400, 499) & (F.col("status") != 429), F.lit(False))
+    return t.made(_FAILED).select("event_id", F.when(~final, F.least(F.lit(60.0), F.lit(0.5) * F.pow(F.lit(2), F.col("attempt")))).alias("seconds"))
 
 
 _RUNS = "SELECT event_id % 500 AS law, event_id AS line, CASE WHEN event_type = 'error' OR event_id % 11 = 0 THEN 'ERROR' WHEN value > 50 THEN 'GATE_FAILED' ELSE 'INGESTED' END AS status FROM events"

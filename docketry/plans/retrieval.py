@@ -96,6 +96,28 @@ def cosine_bruteforce(t: Tables) -> DataFrame:
     return R.dense_scores(_questions(t), t.embeddings.select(F.col("vec_id").alias("doc"), "embedding"))
 
 
+@query(_CTE + """SELECT qid, doc, CAST(place AS BIGINT) AS place, score, dense_score, bm25_score FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS place, score, dense AS dense_score, bm25 AS bm25_score FROM blend WHERE qid % 100 > 0 AND qid IN (SELECT qid FROM qt WHERE len(t) > 0)
+UNION ALL SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY rank), dense, NULL, NULL FROM pd JOIN pool p USING (qid, doc) WHERE qid % 100 = 0 OR qid NOT IN (SELECT qid FROM qt WHERE len(t) > 0)) x WHERE place <= 10""")
+def rescore_exits(t: Tables) -> DataFrame:
+    """The best ten by the blend; every other question is made one without tokens, and its pool stays as it was, as does that of a question
+    without a text. Vectors without a text aren't in the pools."""
+    asked = _question_tokens(t).withColumn("tokens", F.when(F.col("qid") % 100 > 0, F.col("tokens")).otherwise(F.array().cast("array<string>")))
+    return R.rescore(_pooled(t), asked).withColumn("place", F.col("place").cast("long"))
+
+
+_SAMPLE = 50
+
+
+@query(_CTE + f"""SELECT doc, qid, rank FROM (SELECT doc, qid, rank, row_number() OVER (PARTITION BY doc ORDER BY qid, rank) AS r FROM pool WHERE rank <= greatest(1, {_SAMPLE} // (SELECT count(DISTINCT qid) FROM pool) + 1)) x WHERE r = 1 ORDER BY qid, rank LIMIT {_SAMPLE}""")
+def probe_sample(t: Tables) -> DataFrame:
+    """A sample of the index by probes: the best few of each question, a row only where the first probe saw it, fifty in all (the sample is the
+    feature). Each probe brings so many that all of them together fill it."""
+    few = max(1, _SAMPLE // max(1, _questions(t).count()) + 1)
+    seen = R.dense_scores(_questions(t), t.embeddings.select(F.col("vec_id").alias("doc"), "embedding"), few)
+    best = R.top_k(seen, few, F.desc("dense"), F.asc("doc")).groupBy("doc").agg(F.min(F.struct("qid", "rank")).alias("first"))
+    return best.select("doc", "first.qid", F.col("first.rank").cast("long").alias("rank")).orderBy("qid", "rank").limit(_SAMPLE)
+
+
 @query(_CTE + "SELECT qid, doc, dense, rank FROM pool")
 def dense_topk(t: Tables) -> DataFrame:
     return _pool(t).withColumn("rank", F.col("rank").cast("long"))
@@ -169,13 +191,13 @@ def pad_embedding(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", e.alias("e")).select("vec_id", F.size("e").cast("long").alias("n"), F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-_BANDS = "(VALUES (0.6, 'x'), (0.4, 'x'), (0.22, 'x'), (0.05, 'x'), (0.0, 'status_verdict')) AS b(score, kind)"
+_BANDS = "(SELECT doc_id, CAST(doc_id * 37 % 101 AS DOUBLE) / 100 AS score, CASE WHEN doc_id % 13 = 0 THEN 'status_verdict' WHEN doc_id % 13 = 1 THEN 'abolishing_law' ELSE 'article' END AS kind FROM documents) AS b"
 
 
 @query(f"SELECT CAST(score AS DOUBLE) AS score, CASE WHEN kind = 'status_verdict' OR score >= 0.5 THEN 'strong' WHEN score >= 0.3 THEN 'moderate' WHEN score >= 0.18 THEN 'topical' ELSE 'weak' END AS band FROM {_BANDS}")
 def score_band(t: Tables) -> DataFrame:
     s = F.col("score").cast("double")
-    return t.values(_BANDS).select(s.alias("score"), F.when((F.col("kind") == "status_verdict") | (s >= 0.5), "strong").when(s >= 0.3, "moderate").when(s >= 0.18, "topical").otherwise("weak").alias("band"))
+    return t.made(_BANDS).select(s.alias("score"), F.when((F.col("kind") == "status_verdict") | (s >= 0.5), "strong").when(s >= 0.3, "moderate").when(s >= 0.18, "topical").otherwise("weak").alias("band"))
 
 
 @query(f"SELECT a.doc_id, CAST(len(list_distinct(a.t)) AS BIGINT) AS n_distinct, md5(array_to_string(list_sort(list_distinct(a.t)), ' ')) AS digest FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents) a")

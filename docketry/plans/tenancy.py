@@ -37,20 +37,18 @@ def filter_in(t: Tables) -> DataFrame:
     return t.orders.where(F.col("o_custkey").isin(1, 2, 5, 8, 13, 21)).select("o_orderkey", "o_custkey")
 
 
-_INVITES = """(VALUES
- ('tok1', 3, 'ana@x.org', 'member', TIMESTAMP '2024-02-01 00:00:00', CAST(NULL AS TIMESTAMP)),
- ('tok2', 3, 'ben@x.org', 'admin', TIMESTAMP '2024-01-05 00:00:00', CAST(NULL AS TIMESTAMP)),
- ('tok3', 4, 'Eva@X.org', 'member', TIMESTAMP '2024-03-01 00:00:00', TIMESTAMP '2024-01-02 00:00:00'),
- ('tok4', 9, 'dea@x.org', 'member', TIMESTAMP '2024-02-20 00:00:00', CAST(NULL AS TIMESTAMP))
-) AS t(token, office_id, email, role, expires_at, accepted_at)"""
+_INVITES = """(SELECT 'tok' || CAST(c_custkey AS STRING) AS token, c_nationkey AS office_id, CASE WHEN c_custkey % 3 = 0 THEN 'Client' ELSE 'client' END || CAST(c_custkey AS STRING) || '@x.org' AS email,
+CASE WHEN c_custkey % 7 = 0 THEN 'admin' ELSE 'member' END AS role, CASE c_custkey % 4 WHEN 0 THEN TIMESTAMP '2024-01-05 00:00:00' WHEN 1 THEN TIMESTAMP '2024-01-15 00:00:00' ELSE TIMESTAMP '2024-02-01 00:00:00' END AS expires_at,
+CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2024-01-02 00:00:00' END AS accepted_at FROM customer) AS t"""
 
 
 @query(f"SELECT token, office_id, email FROM {_INVITES} WHERE accepted_at IS NULL")
 def pending_invites(t: Tables) -> DataFrame:
-    return t.values(_INVITES).where(F.col("accepted_at").isNull()).select("token", "office_id", "email")
+    return t.made(_INVITES).where(F.col("accepted_at").isNull()).select("token", "office_id", "email")
 
 
-_REQUESTS = "(VALUES ('tok1', 'ANA@x.org'), ('tok2', 'ben@x.org'), ('tok3', 'eva@x.org'), ('tok4', 'other@x.org'), ('none', 'x@x.org')) AS r(token, caller)"
+_REQUESTS = """(SELECT s_suppkey AS user_id, CASE WHEN s_suppkey % 11 = 0 THEN 'none' ELSE 'tok' END || CAST(s_suppkey * 3 + s_suppkey % 2 AS STRING) AS token,
+CASE WHEN s_suppkey % 6 = 0 THEN 'other' ELSE 'CLIENT' END || CAST(s_suppkey * 3 + s_suppkey % 2 AS STRING) || '@X.org' AS caller FROM supplier) AS r"""
 _STATUS = "CASE WHEN i.office_id IS NULL THEN 'not_found' WHEN i.accepted_at IS NOT NULL THEN 'used' WHEN i.expires_at < TIMESTAMP '2024-01-15 00:00:00' THEN 'expired' WHEN lower(i.email) <> lower(r.caller) THEN 'email_mismatch' ELSE 'ok' END"
 
 
@@ -60,18 +58,18 @@ def _invite_status():
 
 @query(f"SELECT r.token, r.caller, {_STATUS} AS status FROM {_REQUESTS} LEFT JOIN (SELECT * FROM {_INVITES}) i ON r.token = i.token")
 def invite_status(t: Tables) -> DataFrame:
-    return t.values(_REQUESTS).join(t.values(_INVITES), "token", "left").select("token", "caller", _invite_status().alias("status"))
+    return t.made(_REQUESTS).join(t.made(_INVITES), "token", "left").select("token", "caller", _invite_status().alias("status"))
 
 
-@query(f"SELECT i.token, i.email, i.role, n.n_name AS office FROM {_INVITES.replace('AS t(', 'AS i(')} JOIN nation n ON n.n_nationkey = i.office_id")
+@query(f"SELECT i.token, i.email, i.role, n.n_name AS office FROM (SELECT * FROM {_INVITES}) i JOIN nation n ON n.n_nationkey = i.office_id")
 def invite_preview(t: Tables) -> DataFrame:
-    return t.values(_INVITES).join(t.nation, F.col("office_id") == F.col("n_nationkey")).select("token", "email", "role", F.col("n_name").alias("office"))
+    return t.made(_INVITES).join(t.nation, F.col("office_id") == F.col("n_nationkey")).select("token", "email", "role", F.col("n_name").alias("office"))
 
 
 @query(f"""SELECT s.s_suppkey AS user_id, CASE WHEN a.office_id IS NOT NULL THEN a.office_id ELSE s.s_nationkey END AS office_id FROM supplier s
-LEFT JOIN (SELECT i.office_id, 1 AS user_id FROM {_REQUESTS} JOIN (SELECT * FROM {_INVITES}) i ON r.token = i.token WHERE ({_STATUS}) = 'ok') a ON a.user_id = s.s_suppkey""")
+LEFT JOIN (SELECT i.office_id, r.user_id FROM {_REQUESTS} JOIN (SELECT * FROM {_INVITES}) i ON r.token = i.token WHERE ({_STATUS}) = 'ok') a ON a.user_id = s.s_suppkey""")
 def accept_invite(t: Tables) -> DataFrame:
-    ok = t.values(_REQUESTS).join(t.values(_INVITES), "token").where(_invite_status() == "ok").select("office_id", F.lit(1).cast("long").alias("user_id"))
+    ok = t.made(_REQUESTS).join(t.made(_INVITES), "token").where(_invite_status() == "ok").select("office_id", "user_id")
     users = t.supplier.select(F.col("s_suppkey").alias("user_id"), "s_nationkey")
     return users.join(ok, "user_id", "left").select("user_id", F.coalesce("office_id", "s_nationkey").alias("office_id"))
 
@@ -117,7 +115,7 @@ def self_or_super(t: Tables) -> DataFrame:
     return t.supplier.where((F.col("s_suppkey") == 3) | (F.col("s_acctbal") > 9000)).select("s_suppkey", "s_name")
 
 
-_CALLERS = "(VALUES (1, CAST(NULL AS INT), 'member'), (2, 5, 'member'), (3, 5, 'admin'), (4, 6, 'owner')) AS t(user_id, office_id, office_role)"
+_CALLERS = "(SELECT s_suppkey AS user_id, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey END AS office_id, CASE s_suppkey % 3 WHEN 0 THEN 'member' WHEN 1 THEN 'admin' ELSE 'owner' END AS office_role FROM supplier) AS t"
 
 
 @query(f"SELECT user_id, CASE WHEN office_id IS NULL THEN 409 ELSE 200 END AS any_member, CASE WHEN office_id IS NULL THEN 409 WHEN office_role IN ('admin', 'owner') THEN 200 ELSE 403 END AS as_admin, CASE WHEN office_id IS NULL THEN 409 WHEN office_role = 'owner' THEN 200 ELSE 403 END AS as_owner FROM {_CALLERS}")
@@ -127,28 +125,29 @@ def authz_decision(t: Tables) -> DataFrame:
     def ladder(*roles: str):
         return F.when(homeless, 409).when(F.col("office_role").isin(*roles), 200).otherwise(403)
 
-    return t.values(_CALLERS).select("user_id", F.when(homeless, 409).otherwise(200).alias("any_member"), ladder("admin", "owner").alias("as_admin"), ladder("owner").alias("as_owner"))
+    return t.made(_CALLERS).select("user_id", F.when(homeless, 409).otherwise(200).alias("any_member"), ladder("admin", "owner").alias("as_admin"), ladder("owner").alias("as_owner"))
 
 
-_CONSENTS = """(VALUES (1, 'ai', '2024-06', CAST(NULL AS TIMESTAMP)), (2, 'ai', '2023-01', CAST(NULL AS TIMESTAMP)), (3, 'ai', '2024-06', TIMESTAMP '2024-07-01 00:00:00')) AS t(user_id, purpose, version, withdrawn_at)"""
-_NEW_CONSENTS = "(VALUES (2, 'ai', '2024-06', CAST(NULL AS TIMESTAMP)), (5, 'ai', '2024-06', CAST(NULL AS TIMESTAMP))) AS t(user_id, purpose, version, withdrawn_at)"
+_CONSENTS = """(SELECT c_custkey AS user_id, 'ai' AS purpose, CASE WHEN c_custkey % 3 = 0 THEN '2023-01' ELSE '2024-06' END AS version, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2024-07-01 00:00:00' END AS withdrawn_at FROM customer
+UNION ALL SELECT c_custkey, 'mail', '2024-06', CASE WHEN c_custkey % 7 = 0 THEN TIMESTAMP '2024-07-01 00:00:00' END FROM customer WHERE c_custkey % 2 = 0) AS t"""
+_NEW_CONSENTS = "(SELECT c_custkey * 2 AS user_id, CASE WHEN c_custkey % 8 = 1 THEN 'mail' ELSE 'ai' END AS purpose, '2024-06' AS version, CAST(NULL AS TIMESTAMP) AS withdrawn_at FROM customer WHERE c_custkey % 4 = 1) AS t"
 
 
-@query(f"SELECT user_id, withdrawn_at IS NULL AND version = '2024-06' AS active FROM {_CONSENTS}")
+@query(f"SELECT user_id, purpose, withdrawn_at IS NULL AND version = '2024-06' AS active FROM {_CONSENTS}")
 def consent_active(t: Tables) -> DataFrame:
-    return t.values(_CONSENTS).select("user_id", (F.col("withdrawn_at").isNull() & (F.col("version") == "2024-06")).alias("active"))
+    return t.made(_CONSENTS).select("user_id", "purpose", (F.col("withdrawn_at").isNull() & (F.col("version") == "2024-06")).alias("active"))
 
 
-@query(f"SELECT * FROM {_CONSENTS} WHERE user_id NOT IN (2, 5) UNION ALL SELECT * FROM {_NEW_CONSENTS}")
+@query(f"SELECT * FROM {_CONSENTS} WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM {_NEW_CONSENTS}) n WHERE n.user_id = t.user_id AND n.purpose = t.purpose) UNION ALL SELECT * FROM {_NEW_CONSENTS}")
 def consent_upsert(t: Tables) -> DataFrame:
-    return upsert(t.values(_CONSENTS), t.values(_NEW_CONSENTS), "user_id", "purpose")
+    return upsert(t.made(_CONSENTS), t.made(_NEW_CONSENTS), "user_id", "purpose")
 
 
-@query(f"SELECT user_id, CASE WHEN user_id = 1 THEN FALSE ELSE withdrawn_at IS NULL AND version = '2024-06' END AS active, CASE WHEN user_id = 1 OR withdrawn_at IS NOT NULL THEN 'withdrawn' WHEN version = '2024-06' THEN 'granted' ELSE 'outdated' END AS status FROM {_CONSENTS}")
+@query(f"SELECT user_id, purpose, CASE WHEN user_id % 10 = 1 THEN FALSE ELSE withdrawn_at IS NULL AND version = '2024-06' END AS active, CASE WHEN user_id % 10 = 1 OR withdrawn_at IS NOT NULL THEN 'withdrawn' WHEN version = '2024-06' THEN 'granted' ELSE 'outdated' END AS status FROM {_CONSENTS}")
 def consent_status(t: Tables) -> DataFrame:
-    rows = partial_update(t.values(_CONSENTS), {"withdrawn_at": F.lit("2024-08-01").cast("timestamp")}, F.col("user_id") == 1)
+    rows = partial_update(t.made(_CONSENTS), {"withdrawn_at": F.lit("2024-08-01").cast("timestamp")}, F.col("user_id") % 10 == 1)
     gone, current = F.col("withdrawn_at").isNotNull(), F.col("version") == "2024-06"
-    return rows.select("user_id", (~gone & current).alias("active"), F.when(gone, "withdrawn").when(current, "granted").otherwise("outdated").alias("status"))
+    return rows.select("user_id", "purpose", (~gone & current).alias("active"), F.when(gone, "withdrawn").when(current, "granted").otherwise("outdated").alias("status"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment, c_nationkey FROM customer", name="partial_update")
@@ -157,12 +156,12 @@ def partial_update_rows(t: Tables) -> DataFrame:
     return partial_update(rows, {"c_mktsegment": F.lit("MOVED")}, F.col("c_custkey") % 10 == 0)
 
 
-_FILES = "(VALUES (1, 5, CAST(NULL AS INT)), (2, CAST(NULL AS INT), 7), (3, 5, 7), (4, CAST(NULL AS INT), CAST(NULL AS INT))) AS t(id, case_id, client_id)"
+_FILES = "(SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS case_id, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS client_id FROM documents) AS t"
 
 
 @query(f"SELECT id FROM {_FILES} WHERE (case_id IS NULL) = (client_id IS NULL)")
 def xor_violation(t: Tables) -> DataFrame:
-    return t.values(_FILES).where(F.col("case_id").isNull() == F.col("client_id").isNull()).select("id")
+    return t.made(_FILES).where(F.col("case_id").isNull() == F.col("client_id").isNull()).select("id")
 
 
 @query("""SELECT event_id, coalesce(json_extract_string(props, '$.page'), json_extract_string(props, '$.ref'), event_type) AS label FROM events""")
@@ -273,15 +272,15 @@ def rename_session(t: Tables) -> DataFrame:
     return upsert(made, names, "conv_id")
 
 
-_CHANGES = "(VALUES (1, 1, 'admin'), (1, 2, 'admin'), (1, 3, 'boss'), (1, 4, 'member'), (1, 9, CAST(NULL AS STRING))) AS t(actor, target, new_role)"
-_MEMBERS = "(VALUES (1, 5, 'owner'), (2, 5, 'member'), (3, 5, 'member'), (4, 6, 'member'), (9, 5, 'admin')) AS m(user_id, office_id, role)"
+_CHANGES = "(SELECT s_suppkey AS actor, CAST(floor(s_suppkey / 8) AS BIGINT) AS actor_office, s_suppkey + s_suppkey % 6 AS target, CASE s_suppkey % 5 WHEN 0 THEN 'boss' WHEN 1 THEN 'member' WHEN 2 THEN NULL ELSE 'admin' END AS new_role FROM supplier) AS c"
+_MEMBERS = "(SELECT s_suppkey AS user_id, CAST(floor(s_suppkey / 8) AS BIGINT) AS office_id, CASE WHEN s_suppkey % 8 = 1 THEN 'owner' WHEN s_suppkey % 8 = 2 THEN 'admin' ELSE 'member' END AS role FROM supplier) AS m"
 
 
-@query(f"""SELECT c.target, CASE WHEN c.actor = c.target THEN 'self' WHEN m.office_id IS NULL OR m.office_id <> 5 THEN 'not_found' WHEN m.role = 'owner' THEN 'owner' WHEN c.new_role IS NULL THEN 'empty' WHEN c.new_role NOT IN ('admin', 'member') THEN 'bad_role' ELSE 'ok' END AS outcome
-FROM {_CHANGES.replace('AS t(', 'AS c(').replace('STRING', 'VARCHAR')} LEFT JOIN {_MEMBERS} ON m.user_id = c.target""")
+@query(f"""SELECT c.actor, c.target, CASE WHEN c.actor = c.target THEN 'self' WHEN m.office_id IS NULL OR m.office_id <> c.actor_office THEN 'not_found' WHEN m.role = 'owner' THEN 'owner' WHEN c.new_role IS NULL THEN 'empty' WHEN c.new_role NOT IN ('admin', 'member') THEN 'bad_role' ELSE 'ok' END AS outcome
+FROM {_CHANGES} LEFT JOIN {_MEMBERS} ON m.user_id = c.target""")
 def update_member(t: Tables) -> DataFrame:
-    ladder = F.when(F.col("actor") == F.col("target"), "self").when(F.col("office_id").isNull() | (F.col("office_id") != 5), "not_found").when(F.col("role") == "owner", "owner").when(F.col("new_role").isNull(), "empty").when(~F.col("new_role").isin("admin", "member"), "bad_role").otherwise("ok")
-    return t.values(_CHANGES).join(t.values(_MEMBERS), F.col("target") == F.col("user_id"), "left").select("target", ladder.alias("outcome"))
+    ladder = F.when(F.col("actor") == F.col("target"), "self").when(F.col("office_id").isNull() | (F.col("office_id") != F.col("actor_office")), "not_found").when(F.col("role") == "owner", "owner").when(F.col("new_role").isNull(), "empty").when(~F.col("new_role").isin("admin", "member"), "bad_role").otherwise("ok")
+    return t.made(_CHANGES).join(t.made(_MEMBERS), F.col("target") == F.col("user_id"), "left").select("actor", "target", ladder.alias("outcome"))
 
 
 @query("SELECT conv_id, turn, role FROM conversations WHERE conv_id % 3 <> 0")
@@ -290,32 +289,34 @@ def delete_session(t: Tables) -> DataFrame:
     return delete_keys(turns, turns.where("conv_id % 3 = 0").select("conv_id").distinct(), "conv_id")
 
 
-_SYNC = "(VALUES ('Supplier#000000001', 'ADMIN'), ('new@x.org', CAST(NULL AS STRING)), ('two@x.org', 'Client')) AS t(email, role)"
+_SYNC = "(SELECT replace(c_name, 'Customer', 'Supplier') AS email, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'ADMIN' ELSE 'Client' END AS role FROM customer) AS t"
 
 
-@query(f"SELECT s_name AS email, 'member' AS role FROM supplier UNION ALL SELECT email, coalesce(lower(role), 'paralegal') FROM {_SYNC.replace('STRING', 'VARCHAR')} WHERE email NOT IN (SELECT s_name FROM supplier)")
+@query(f"SELECT s_name AS email, 'member' AS role FROM supplier UNION ALL SELECT email, coalesce(lower(role), 'paralegal') FROM {_SYNC} WHERE email NOT IN (SELECT s_name FROM supplier)")
 def sync_user(t: Tables) -> DataFrame:
     known = t.supplier.select(F.col("s_name").alias("email"), F.lit("member").alias("role"))
-    return insert_ignore(known, t.values(_SYNC).select("email", F.coalesce(F.lower("role"), F.lit("paralegal")).alias("role")), "email")
+    return insert_ignore(known, t.made(_SYNC).select("email", F.coalesce(F.lower("role"), F.lit("paralegal")).alias("role")), "email")
 
 
-_UPLOADS = "(VALUES ('a.pdf', 'application/pdf', 1000), ('b.exe', 'application/x-msdownload', 10), ('c.docx', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 60000000), ('d.txt', 'text/plain', 52428800)) AS t(name, mime, bytes)"
+_UPLOADS = """(SELECT 'doc' || CAST(doc_id AS STRING) || CASE doc_id % 7 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '.exe' WHEN 3 THEN '.docx' WHEN 4 THEN '.txt' WHEN 5 THEN '.pdf.png' ELSE '' END AS name,
+CASE doc_id % 9 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/x-msdownload' WHEN 2 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 3 THEN 'text/plain' WHEN 4 THEN 'image/png' WHEN 5 THEN 'text/html' WHEN 6 THEN 'application/pdf' ELSE 'text/plain' END AS mime,
+doc_id % 100 * 1048576 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS bytes FROM documents) AS t"""
 
 
 @query(f"SELECT name, mime IN ('application/pdf', 'text/plain', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document') AND bytes <= 52428800 AS valid FROM {_UPLOADS}")
 def upload_valid(t: Tables) -> DataFrame:
     allowed = F.col("mime").isin("application/pdf", "text/plain", "application/vnd.openxmlformats-officedocument.wordprocessingml.document")
-    return t.values(_UPLOADS).select("name", (allowed & (F.col("bytes") <= 50 << 20)).alias("valid"))
+    return t.made(_UPLOADS).select("name", (allowed & (F.col("bytes") <= 50 << 20)).alias("valid"))
 
 
 @query(f"SELECT name, CASE WHEN mime = 'application/pdf' THEN 'pdf' WHEN mime LIKE '%wordprocessingml%' THEN 'docx' WHEN mime LIKE 'text/%' THEN 'txt' ELSE 'unsupported' END AS extractor FROM {_UPLOADS}")
 def mime_dispatch(t: Tables) -> DataFrame:
-    return t.values(_UPLOADS).select("name", F.when(F.col("mime") == "application/pdf", "pdf").when(F.col("mime").contains("wordprocessingml"), "docx").when(F.col("mime").startswith("text/"), "txt").otherwise("unsupported").alias("extractor"))
+    return t.made(_UPLOADS).select("name", F.when(F.col("mime") == "application/pdf", "pdf").when(F.col("mime").contains("wordprocessingml"), "docx").when(F.col("mime").startswith("text/"), "txt").otherwise("unsupported").alias("extractor"))
 
 
 @query(f"SELECT name, regexp_matches(lower(name), '\\.pdf$') OR mime = 'application/pdf' AS is_pdf, regexp_matches(lower(name), '\\.docx$') AS is_docx, mime LIKE 'image/%' AS is_image FROM {_UPLOADS}")
 def sniff_type(t: Tables) -> DataFrame:
-    return t.values(_UPLOADS).select("name", (F.lower("name").endswith(".pdf") | (F.col("mime") == "application/pdf")).alias("is_pdf"), F.lower("name").endswith(".docx").alias("is_docx"), F.col("mime").startswith("image/").alias("is_image"))
+    return t.made(_UPLOADS).select("name", (F.lower("name").endswith(".pdf") | (F.col("mime") == "application/pdf")).alias("is_pdf"), F.lower("name").endswith(".docx").alias("is_docx"), F.col("mime").startswith("image/").alias("is_image"))
 
 
 @query("SELECT event_id, ts < TIMESTAMP '2024-01-15 00:00:00' AS expired FROM events")
@@ -335,13 +336,13 @@ def resolve_url(t: Tables) -> DataFrame:
     return t.pages.select("url", F.when(F.col("url").startswith("http"), "url").otherwise("key").alias("kind"))
 
 
-_ERRORS = "(VALUES (1, 'Invalid login credentials'), (2, 'Email not confirmed'), (3, 'quota exceeded for project'), (4, 'boom')) AS t(id, message)"
+_ERRORS = "(SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'Invalid login credentials' WHEN 1 THEN 'INVALID LOGIN of ' WHEN 2 THEN 'Email not confirmed' WHEN 3 THEN 'quota exceeded for project ' WHEN 4 THEN 'Not confirmed, Quota' WHEN 5 THEN 'quot' ELSE 'boom ' END || event_type AS message FROM events) AS t"
 
 
 @query(f"SELECT id, CASE WHEN contains(lower(message), 'invalid login') THEN 'wrong_credentials' WHEN contains(lower(message), 'not confirmed') THEN 'unconfirmed' WHEN contains(lower(message), 'quota') THEN 'quota' ELSE 'unknown' END AS code FROM {_ERRORS}")
 def error_map(t: Tables) -> DataFrame:
     low = F.lower("message")
-    return t.values(_ERRORS).select("id", F.when(low.contains("invalid login"), "wrong_credentials").when(low.contains("not confirmed"), "unconfirmed").when(low.contains("quota"), "quota").otherwise("unknown").alias("code"))
+    return t.made(_ERRORS).select("id", F.when(low.contains("invalid login"), "wrong_credentials").when(low.contains("not confirmed"), "unconfirmed").when(low.contains("quota"), "quota").otherwise("unknown").alias("code"))
 
 
 # Six tables and their policies: an office is a nation; orders, their lines and the region follow their customers and nations.

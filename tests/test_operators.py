@@ -117,3 +117,31 @@ def test_registry_of_one_document(spark, tmp_path):
     assert [tuple(r) for r in registry(spark, str(tmp_path)).collect()] == [("1", "2", "full")]
     (tmp_path / "a.json").write_text("{not json")
     assert registry(spark, str(tmp_path)).collect() == []
+
+
+def test_rescore_leaves_what_it_cant_blend(spark):
+    rows = [(1, 10, 0.9, 1, ["a"]), (1, 11, 0.8, 2, ["b", "b"]), (1, 13, 0.7, 3, ["c"]), (2, 10, 0.7, 1, []), (2, 12, 0.6, 2, []), (3, 10, 0.5, 1, ["a"]), (3, 11, 0.4, 2, ["b"])]
+    pool = spark.createDataFrame(rows, "qid long, doc long, dense double, rank int, tokens array<string>")
+    asked = spark.createDataFrame([(1, ["b"]), (2, ["b"]), (3, [])], "qid long, tokens array<string>")
+    got = sorted(tuple(r) for r in retrieval.rescore(pool, asked, 0.0, 5).select("qid", "place", "doc", "score", "dense_score").collect())
+    assert [r[:3] for r in got if r[0] == 1] == [(1, 1, 11), (1, 2, 10), (1, 3, 13)]  # the question's word wins
+    assert [r for r in got if r[0] > 1] == [(2, 1, 10, 0.7, None), (2, 2, 12, 0.6, None), (3, 1, 10, 0.5, None), (3, 2, 11, 0.4, None)]
+    dense = sorted(tuple(r) for r in retrieval.rescore(pool, asked, 1.0, 1).select("qid", "doc", "score", "bm25_score").collect())
+    assert dense == [(1, 10, 0.9, None), (2, 10, 0.7, None), (3, 10, 0.5, None)]
+    assert retrieval.rescore(pool.where("qid = 0"), asked, 0.5, 5).count() == 0
+
+
+def test_near_misses_of_small_rules(spark):
+    words = spark.createDataFrame([(w,) for w in ("p€r", "n3ni", "04/L-077", "1.Në", "11km", "a|b", "mirë")], "w string")
+    assert {r.w for r in words.select("w", text.corrupt_token(F.col("w")).alias("bad")).where("bad").collect()} == {"p€r", "n3ni", "a|b"}
+    scans = [("Neni 1 ........ 5", "Neni 1 5"), ("a . . . . b", "a b"), ("x -------- y", "x   y"), ("a    b", "a  b"), ("ok... fine", "ok... fine")]
+    clean = [r.c for r in spark.createDataFrame([(i, s) for i, (s, _) in enumerate(scans)], "i int, s string").orderBy("i").select(text.normalize_ocr(F.col("s")).alias("c")).collect()]
+    assert [c.split() for c in clean] == [w.split() for _, w in scans]
+
+
+def test_rows_made_of_tables_keep_braces(spark):
+    from docketry.plans.base import Tables
+    from tests.conftest import SF
+
+    got = Tables(spark, SF).made("(SELECT r_regionkey AS k, '{\"a\": 1}' AS j FROM region) AS x").collect()
+    assert len(got) == 5 and {r.j for r in got} == {'{"a": 1}'}
