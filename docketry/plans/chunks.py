@@ -62,16 +62,18 @@ def chunk_table_function(t: Tables) -> DataFrame:
 
 def _folders(t: Tables) -> str:
     """A folder a document, named by its law, with its text in a file (or, for every seventh, none)."""
+    register(t.spark)
     path = f"{shared_dir(t.spark)}/laws-{uuid.uuid4().hex}"
-    made = t.documents.select(F.format_string("%02d_L-%d", F.col("doc_id") % 9, "doc_id").alias("folder"), F.when(F.col("doc_id") % 7 > 0, F.col("text")).alias("text"))
-    made.select("folder", F.to_json(F.struct("text"), {"ignoreNullFields": "false"}).alias("value")).repartition(4, "folder").write.partitionBy("folder").text(path)
+    text = F.when(F.col("doc_id") % 7 > 0, F.col("text"))
+    folder = F.format_string("folder=%02d_L-%d", F.col("doc_id") % 9, "doc_id")
+    made = t.documents.select(folder.alias("folder"), F.lit("part-0.txt").alias("name"), F.to_json(F.struct(text.alias("text")), {"ignoreNullFields": "false"}).cast("binary").alias("content"))
+    made.write.format("law_folders").mode("append").save(path)
     return path
 
 
 @query("""SELECT regexp_replace(printf('%02d_L-%d', doc_id % 9, doc_id), '_', '/') AS law, md5(CASE WHEN doc_id % 7 > 0 THEN text END) AS digest FROM documents WHERE doc_id IN (4, 14, 22, 100, 101)""")
 def law_folders(t: Tables) -> DataFrame:
     """Folders through the data source, five laws of them; only their folders are planned."""
-    register(t.spark)
     laws = [f"folder={k % 9:02d}/L-{k}" for k in (4, 14, 22, 100, 101)]
     rows = t.spark.read.format("law_folders").option("pattern", "part-*.txt").load(_folders(t)).where(F.col("law").isin(laws))
     text = F.from_json(F.trim(F.col("content").cast("string")), "text string")["text"]
@@ -81,7 +83,6 @@ def law_folders(t: Tables) -> DataFrame:
 @query("""SELECT regexp_replace(f, '_', '/') AS law FROM (SELECT printf('%02d_L-%d', doc_id % 9, doc_id) AS f FROM documents) x ORDER BY f LIMIT 25""")
 def law_folders_limit(t: Tables) -> DataFrame:
     """The first 25 folders by name."""
-    register(t.spark)
     rows = t.spark.read.format("law_folders").option("pattern", "part-*.txt").option("limit", 25).load(_folders(t))
     return rows.select(F.regexp_replace("law", "^folder=", "").alias("law"))
 

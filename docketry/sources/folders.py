@@ -3,16 +3,23 @@
 The reader plans a partition a folder, in the order of their names. Predicates on law or folder choose among the folders before any is
 opened; the option `limit` then takes the first so many, and `pattern` names the files. A folder without such a file is a row with null
 name and content, so that it can be reported as skipped.
+
+rows(folder, name, content).write.format("law_folders").mode("append").save(path) writes one: a folder a row, with its file, or with none if the name
+is null. Each task writes its rows' folders where they belong, so no driver moves them one by one; a task that runs again writes the same.
 """
 
 from __future__ import annotations
 
+import heapq
+import os
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 
 def law_of(folder: str) -> str:
@@ -26,6 +33,18 @@ def _system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _names(path: str) -> Iterator[str]:
+    """The folders in a folder, in no order; local ones as the system lists them, without asking about each."""
+    from pyarrow import fs
+
+    system, root = _system(path)
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(root) as found:
+            yield from (x.name for x in found if x.is_dir())
+    else:
+        yield from (x.base_name for x in system.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.Directory)
+
+
 @dataclass
 class Folder(InputPartition):
     name: str
@@ -46,12 +65,8 @@ class FolderReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Folder]:
-        from pyarrow import fs
-
-        system, root = _system(self.path)
-        names = sorted(x.base_name for x in system.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.Directory)
-        chosen = [n for n in names if all((law_of(n) if column == "law" else n) in values for column, values in self.wanted)]
-        return [Folder(n) for n in chosen[: self.limit]]
+        chosen = (n for n in _names(self.path) if all((law_of(n) if column == "law" else n) in values for column, values in self.wanted))
+        return [Folder(n) for n in (sorted(chosen) if self.limit is None else heapq.nsmallest(self.limit, chosen))]
 
     def read(self, partition: Folder | None) -> Iterator[tuple]:
         from pyarrow import fs
@@ -68,6 +83,25 @@ class FolderReader(DataSourceReader):
             yield partition.name, law_of(partition.name), None, None, None
 
 
+class FolderWriter(DataSourceArrowWriter):
+    def __init__(self, path: str, columns: list[str]) -> None:
+        self.path, self.columns = path, columns
+        if set(columns) != {"folder", "name", "content"}:
+            raise ValueError(f"a folder, the name of its file and the content are written, not {columns}")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        system, root = _system(self.path)
+        for batch in iterator:
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                folder = f"{root}/{row['folder']}"
+                system.create_dir(folder, recursive=True)
+                if row["name"] is not None:  # whole under its name, or not there
+                    with system.open_output_stream(held := f"{folder}/.{uuid.uuid4().hex}") as stream:
+                        stream.write(row["content"] or b"")
+                    system.move(held, f"{folder}/{row['name']}")
+        return WriterCommitMessage()
+
+
 class LawFolders(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -80,6 +114,11 @@ class LawFolders(DataSource):
         limit = self.options.get("limit")
         return FolderReader(self.options["path"].rstrip("/"), self.options.get("pattern", "*"), None if limit is None else int(limit))
 
+    def writer(self, schema, overwrite: bool) -> FolderWriter:
+        if overwrite:
+            raise ValueError("folders are only added: mode('append')")
+        return FolderWriter(self.options["path"].rstrip("/"), schema.names)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(LawFolders)

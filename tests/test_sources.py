@@ -59,6 +59,21 @@ def test_unchosen_folders_stay_closed(spark, tmp_path):
     assert rows.where("law = 'x'").count() == 0
 
 
+def test_folders_are_written_by_tasks(spark, tmp_path):
+    """What the source writes, it reads: a folder a row, without a file where the row names none; a second write of the same changes nothing."""
+    folders.register(spark)
+    rows = spark.createDataFrame([(f"{k % 9:02d}_L-{k}", "law.txt" if k % 7 else None, f"text {k}".encode() if k != 8 else None) for k in range(300)], "folder string, name string, content binary")
+    for _ in range(2):
+        rows.repartition(7).write.format("law_folders").mode("append").save(f"{tmp_path}/laws")
+        got = {r.law: (r.name, r.content) for r in spark.read.format("law_folders").option("pattern", "*.txt").load(f"file://{tmp_path}/laws").collect()}
+        assert got == {f"{k % 9:02d}/L-{k}": (("law.txt", bytearray(f"text {k}".encode() if k != 8 else b"")) if k % 7 else (None, None)) for k in range(300)}
+    assert not [x for _, _, names in os.walk(tmp_path) for x in names if x != "law.txt"]
+    with pytest.raises(Exception, match="only added"):
+        rows.write.format("law_folders").mode("overwrite").save(f"{tmp_path}/laws")
+    with pytest.raises(Exception, match="a folder, the name"):
+        rows.drop("name").write.format("law_folders").mode("append").save(f"{tmp_path}/laws")
+
+
 def test_catalog_and_word_files(spark, tmp_path):
     lines = ['{"laws": [{"number": "04/L-1", "title": "a"}, {"number": null, "title": "b"}, {"title": "c"}, {"number": "04/L-1", "title": "d", "url": "u"}]}', '{"laws": [{"num', "", "[]", '{"laws": null}', '{"other": 1}', '{"laws": [{"number": "x"}]}']
     (tmp_path / "catalog.json").write_text("\n".join(lines))
