@@ -7,6 +7,8 @@ Only texts that are in a pool are tokenized.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +19,8 @@ from docketry.streaming.turns import shared_dir
 # Pool, weight of the dense score, rerank pool, results; BM25 constants.
 POOL, ALPHA, RERANK_POOL, TOP = 200, 0.2, 20, 5
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Questions of a block, vectors of a lot.
-BLOCK, LOT = 4096, 1 << 16
+#: Questions of a block, vectors of a lot; of both at most, where all scores are given out.
+BLOCK, LOT, SIDE = 4096, 1 << 16, 2048
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -33,40 +35,50 @@ def dense_scores(questions: DataFrame, vectors: DataFrame, keep: int | None = No
     """(qid, doc, dense): cosine of questions(qid, embedding) with vectors(doc, embedding), 0 where either is zero.
 
     A grid: questions are dealt to blocks and vectors to lots by a hash of their id, and each cell of a block and a lot is some matrix
-    products in a task. With `keep`, a cell gives out only its best `keep` rows a question (by score, then doc): all that can be among the best
+    products in a task. All scores of a cell are at most about SIDE squared rows. With `keep`, a cell gives out only its best `keep` rows a question (by score, then doc): all that can be among the best
     `keep` overall, so that what is shuffled doesn't grow with the vectors' number times the questions'.
     """
     asked, rows = questions.where("qid IS NOT NULL AND embedding IS NOT NULL").select("qid", "embedding"), vectors.where("doc IS NOT NULL AND embedding IS NOT NULL").select("doc", "embedding")
     n = rows.count()
-    blocks, lots = max(1, -(-asked.count() // BLOCK)), max(1, -(-n // LOT), min(questions.sparkSession.sparkContext.defaultParallelism, n // 256))
+    block, lot = (BLOCK, LOT) if keep is not None else (min(BLOCK, SIDE), min(LOT, SIDE))
+    blocks, lots = max(1, -(-asked.count() // block)), max(1, -(-n // lot), min(questions.sparkSession.sparkContext.defaultParallelism, n // 256))
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
     spread = rows.withColumn("lot", F.pmod(F.xxhash64("doc"), F.lit(lots)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     return dealt.groupBy("block", "lot").cogroup(spread.groupBy("block", "lot")).applyInArrow(_cell(keep), "qid long, doc long, dense double")
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def best_of(qid: np.ndarray, q: np.ndarray, doc: np.ndarray, v: np.ndarray, keep: int | None, among: Callable[[int, int], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """qid, doc and cosine of the best `keep` (None: all) rows a question, by score, then doc. `among` says which rows questions from..to may have."""
+    q_norm, v_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
+    for at in range(0, len(qid), 64):  # at most 64 rows of scores at a time
+        norm = q_norm[at : at + 64, None] * v_norm[None, :]
+        score = np.round(np.divide(q[at : at + 64] @ v.T, norm, out=np.zeros_like(norm), where=norm > 0), 6)
+        may = np.ones(score.shape, bool) if among is None else among(at, at + len(score))
+        if keep is None or keep >= len(doc):
+            row, col = np.nonzero(may)
+        else:
+            masked = np.where(may, score, -np.inf)
+            row, col = np.nonzero(may & (masked >= -np.partition(-masked, keep - 1, axis=1)[:, keep - 1 : keep]))
+            order = np.lexsort((doc[col], -score[row, col], row))
+            row, col = row[order], col[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < keep  # of equal scores the smaller ids
+            row, col = row[first], col[first]
+        yield qid[at + row], doc[col], score[row, col]
+
+
 def _cell(keep: int | None):
     schema = pa.schema([("qid", pa.int64()), ("doc", pa.int64()), ("dense", pa.float64())])
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         if not asked.num_rows or not rows.num_rows:
             return schema.empty_table()
-        qid, doc, q, v = asked["qid"].to_numpy(), rows["doc"].to_numpy(), matrix(asked["embedding"]), matrix(rows["embedding"])
-        q_norm, v_norm, out = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1)), []
-        for at in range(0, len(qid), 64):  # at most 64 rows of scores at a time
-            norm = q_norm[at : at + 64, None] * v_norm[None, :]
-            score = np.round(np.divide(q[at : at + 64] @ v.T, norm, out=np.zeros_like(norm), where=norm > 0), 6)
-            if keep is None or keep >= len(doc):
-                row, col = np.indices(score.shape).reshape(2, -1)
-            else:
-                row, col = np.nonzero(score >= -np.partition(-score, keep - 1, axis=1)[:, keep - 1 : keep])
-                order = np.lexsort((doc[col], -score[row, col], row))
-                row, col = row[order], col[order]
-                first = np.arange(len(row)) - np.searchsorted(row, row) < keep  # of equal scores the smaller ids
-                row, col = row[first], col[first]
-            out.append(pa.table([pa.array(qid[at + row], pa.int64()), pa.array(doc[col], pa.int64()), pa.array(score[row, col])], schema=schema))
+        out = []
+        for qid, doc, score in best_of(asked["qid"].to_numpy(), matrix(asked["embedding"]), rows["doc"].to_numpy(), matrix(rows["embedding"]), keep):
+            out.append(pa.table([pa.array(qid, pa.int64()), pa.array(doc, pa.int64()), pa.array(score)], schema=schema))
         return pa.concat_tables(out)
 
     return run

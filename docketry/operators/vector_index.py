@@ -2,11 +2,12 @@
 
 Centroids, code books and the number of lists to probe are fitted on at most SAMPLE vectors (those of the smallest hash of the id), then every vector is assigned,
 coded and written, partitioned by list. A search sends each question to its nearest lists; only those lists, and of them only the codes,
-are read. Codes give a score to every row of a list, the best REFINE a question and part of a list survive, and for these the vectors
-themselves are read and compared. Other columns of the table (namespace, metadata) stay beside the vectors, so predicates on
+are read. Lists meet their questions in cells of about PART rows (short lists together), so that what is shuffled grows with the cells, not
+with the pairs: codes give a score to every row of the lists asked for, the best REFINE a question and cell survive, and for these the vectors
+themselves are read and compared; a cell gives out the best of each question. Other columns of the table (namespace, metadata) stay beside the vectors, so predicates on
 them reach the scan.
 
-Long lists are split into parts of about PART rows by a hash of the id, so a list that holds a third of all vectors is no hot group.
+Long lists are split into cells of about PART rows by a hash of the id, so a list that holds a third of all vectors is no hot group.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
+from docketry.operators.retrieval import best_of, matrix
+
 #: Vectors that centroids and code books are fitted on; most lists.
 SAMPLE, MOST_LISTS = 20_000, 4096
 #: Sub-vectors of a code, values of each (a byte), k-means steps.
@@ -27,9 +30,9 @@ PIECES, VALUES, STEPS = 8, 256, 12
 #: A question's lists are taken by nearness: as many as held RECALL of the sample's true neighbours of TRIALS of its vectors, and on until
 #: they hold OVER times the rows that are asked for.
 RECALL, TRIALS, OVER = 0.95, 256, 2
-#: Survivors of a part of a list, as a multiple of the rows asked for; rows of a part.
-REFINE, PART = 2, 1 << 16
-#: Questions that meet a part of a list in one task.
+#: Survivors of a cell, as a multiple of the rows asked for; rows of a cell, at most about and (but for small tables) at least.
+REFINE, PART, LEAST_PART = 2, 1 << 16, 256
+#: Questions that meet a cell in one task.
 BLOCK = 4096
 
 
@@ -115,7 +118,7 @@ class VectorIndex:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/vectors")
 
     def probes(self, questions: DataFrame, k: int, every: bool = False) -> DataFrame:
-        """qid, embedding (of length 1), list: the lists that a question is sent to."""
+        """qid, embedding, lists: the lists that a question is sent to."""
         centres, sizes, dim, least = self.centres, self.sizes, self.centres.shape[1], self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,54 +126,95 @@ class VectorIndex:
                 q = _unit(_matrix(batch["embedding"])) if batch.num_rows else np.zeros((0, dim))
                 order = np.argsort(-(2 * q @ centres.T - (centres * centres).sum(axis=1)), axis=1, kind="stable")
                 before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                row, col = np.nonzero(((before < OVER * k) | (np.arange(len(centres)) < least) | every) & (sizes[order] > 0))
-                yield pa.RecordBatch.from_arrays([batch["qid"].take(pa.array(row)), pa.array(list(q[row]), pa.list_(pa.float64())), pa.array(order[row, col], pa.int32())], ["qid", "embedding", "list"])
-
-        return questions.select("qid", "embedding").where("embedding IS NOT NULL").mapInArrow(run, "qid long, embedding array<double>, list int")
+                sent = ((before < OVER * k) | (np.arange(len(centres)) < least) | every) & (sizes[order] > 0)
+                lists = pa.array([order[n, s] for n, s in enumerate(sent)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch["qid"], batch["embedding"].cast(pa.list_(pa.float64())), lists], ["qid", "embedding", "lists"])
+
+        return questions.where("qid IS NOT NULL AND embedding IS NOT NULL").select("qid", "embedding").mapInArrow(run, "qid long, embedding array<double>, lists array<int>")
+
+    def _cells(self, wanted: list[int]) -> list[tuple[int, int, int]]:
+        """(list, cell, cells): a list is dealt to so many cells from that one; short lists share one."""
+        total = int(self.sizes[wanted].sum())
+        most = min(PART, max(LEAST_PART, -(-total // max(1, self.spark.sparkContext.defaultParallelism))))
+        out, cell, held = [], 0, 0
+        for at in wanted:
+            n = int(self.sizes[at])
+            if held and held + n > most:
+                cell, held = cell + 1, 0
+            parts = max(1, -(-n // most))
+            out.append((at, cell, parts))
+            cell, held = (cell, held + n) if parts == 1 else (cell + parts, 0)
+        return out
 
     def search(self, questions: DataFrame, k: int, where: Column | None = None, every: bool = False) -> DataFrame:
         """qid, doc, dense, rank: of questions(qid, embedding) the k nearest by cosine among the rows that `where` holds for. With `every` all
         lists are probed and all their rows survive: the exact result."""
         asked = self.probes(questions, k, every)
-        wanted = sorted(r["list"] for r in asked.select("list").distinct().collect())  # at most MOST_LISTS numbers
+        wanted = sorted(r["list"] for r in asked.select(F.explode("lists").alias("list")).distinct().collect())  # at most MOST_LISTS numbers
         rows = self.vectors().where(F.col("list").isin(wanted))  # partitions that nobody asks for aren't opened
         rows = rows.where(where) if where is not None else rows
-        n_parts = -(-self.sizes // PART)
-        parts = F.broadcast(self.spark.createDataFrame([(l, int(n_parts[l])) for l in wanted], "list int, parts int"))  # a row a list
-        dealt = rows.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
-        sent = asked.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        # questions of a popular list come in blocks, so that a group is at most BLOCK questions and about PART rows
+        cells = self._cells(wanted)
+        dealt = rows.join(F.broadcast(self.spark.createDataFrame(cells, "list int, cell int, cells int")), "list")  # a row a list
+        dealt = dealt.withColumn("cell", F.col("cell") + F.pmod(F.xxhash64("doc"), "cells").cast("int"))
+        # questions of a popular cell come in blocks, so that a group is at most BLOCK questions and about PART rows
         blocks = max(1, -(-questions.count() // BLOCK))
-        sent = sent.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-        key, cell = ["list", "part"], ["list", "part", "block"]
-        coded = dealt.select(*key, "doc", "codes", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        near = sent.groupBy(*cell).cogroup(coded.groupBy(*cell)).applyInArrow(self._survivors(None if every else REFINE * k), "qid long, embedding array<double>, list int, part int, doc long")
-        pairs = near.join(dealt.select(*key, "doc", F.col("embedding").alias("v")), [*key, "doc"])
-        dot = F.aggregate(F.zip_with("embedding", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-        scored = pairs.select("qid", "doc", F.when(norm > 0, F.round(dot / norm, 6)).otherwise(0.0).alias("dense"))
+        of = {}
+        for at, first, n in cells:
+            for c in range(first, first + n):
+                of.setdefault(c, []).append(at)
+        lists = F.broadcast(self.spark.createDataFrame(sorted(of.items()), "cell int, held array<int>"))  # a number a list and its cells
+        sent = asked.crossJoin(lists).withColumn("lists", F.array_intersect("lists", "held")).where(F.size("lists") > 0).drop("held").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+        key, block = ["cell", "block"], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        if not every:
+            coded = dealt.select("cell", "list", "doc", "codes", block)
+            sent = sent.groupBy(*key).cogroup(coded.groupBy(*key)).applyInArrow(self._survivors(REFINE * k), "cell int, block int, qid long, embedding array<double>, docs array<long>")
+        scored = sent.groupBy(*key).cogroup(dealt.select("cell", "doc", "embedding", block).groupBy(*key)).applyInArrow(_scores(k, every), "qid long, doc long, dense double")
         rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("dense"), "doc"))
         return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    def _survivors(self, keep: int | None):
-        """Of the rows of one part of a list, those with the best coded score for each question sent there."""
+    def _survivors(self, keep: int):
+        """Of the rows of a cell that are in lists asked for, those with the best coded score for each question."""
         centres, books = self.centres, self.books
+        schema = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("qid", pa.int64()), ("embedding", pa.list_(pa.float64())), ("docs", pa.list_(pa.int64()))])
 
         def run(sent: pa.Table, rows: pa.Table) -> pa.Table:
-            out = []
-            if sent.num_rows and rows.num_rows:
-                at, part = sent["list"][0].as_py(), sent["part"][0].as_py()
-                q, doc = _matrix(sent["embedding"].combine_chunks()), rows["doc"].to_numpy()
-                codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(doc), -1)
-                tables = [x @ b.T for x, b in zip(np.array_split(q, len(books), axis=1), books, strict=True)]
-                for k, question in enumerate(sent["qid"].to_pylist()):
-                    chosen = np.arange(len(doc))
-                    if keep is not None and keep < len(doc):
-                        score = sum(t[k][codes[:, m]] for m, t in enumerate(tables)) + q[k] @ centres[at]
-                        chosen = np.argpartition(-score, keep - 1)[:keep]
-                    n = len(chosen)
-                    out.append(pa.table([pa.array([question] * n, pa.int64()), pa.array([q[k]] * n, pa.list_(pa.float64())), pa.array([at] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(doc[chosen], pa.int64())], schema=schema))
-            return pa.concat_tables(out) if out else schema.empty_table()
-
-        schema = pa.schema([("qid", pa.int64()), ("embedding", pa.list_(pa.float64())), ("list", pa.int32()), ("part", pa.int32()), ("doc", pa.int64())])
+            if not sent.num_rows or not rows.num_rows:
+                return schema.empty_table()
+            q, doc, at = _unit(matrix(sent["embedding"])), rows["doc"].to_numpy(), rows["list"].to_numpy()
+            codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(doc), -1)
+            tables = [x @ b.T for x, b in zip(np.array_split(q, len(books), axis=1), books, strict=True)]
+            near, docs = q @ centres.T, []
+            for k, lists in enumerate(sent["lists"].to_pylist()):
+                chosen = np.flatnonzero(np.isin(at, lists))
+                if keep < len(chosen):
+                    score = sum(t[k][codes[chosen, m]] for m, t in enumerate(tables)) + near[k][at[chosen]]
+                    chosen = chosen[np.argpartition(-score, keep - 1)[:keep]]
+                docs.append(doc[chosen])
+            return pa.table([sent["cell"], sent["block"], sent["qid"], sent["embedding"], pa.array(docs, schema.field("docs").type)], schema=schema)
+
         return run
+
+
+def _scores(keep: int, every: bool):
+    """The best `keep` of a cell for each question, of its survivors (or of all rows)."""
+    schema = pa.schema([("qid", pa.int64()), ("doc", pa.int64()), ("dense", pa.float64())])
+
+    def run(sent: pa.Table, rows: pa.Table) -> pa.Table:
+        if not sent.num_rows or not rows.num_rows:
+            return schema.empty_table()
+        doc = rows["doc"].to_numpy()
+        among = None
+        if not every:
+            known, place = np.unique(doc, return_inverse=True)
+            lists = sent["docs"].combine_chunks()
+
+            def among(start: int, stop: int) -> np.ndarray:
+                may = np.zeros((stop - start, len(known)), bool)
+                for k in range(start, stop):
+                    may[k - start, np.searchsorted(known, lists[k].values.to_numpy())] = True
+                return may[:, place]
+
+        found = best_of(sent["qid"].to_numpy(), matrix(sent["embedding"]), doc, matrix(rows["embedding"]), keep, among)
+        return pa.concat_tables([schema.empty_table(), *(pa.table([pa.array(a), pa.array(b), pa.array(c)], schema=schema) for a, b, c in found)])
+
+    return run

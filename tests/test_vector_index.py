@@ -1,6 +1,7 @@
 """The inverted-file index: recall, exactness with every list, pruning, odd rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,40 @@ def test_grid(spark, monkeypatch):
     kept = retrieval.top_k(retrieval.dense_scores(questions(rows), rows, 7), 7, F.desc("dense"), F.asc("doc"))
     whole = retrieval.top_k(retrieval.dense_scores(questions(rows), rows), 7, F.desc("dense"), F.asc("doc"))
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def _sizes(keep):
+    """In place of a cell's products: how many questions and vectors meet."""
+
+    def run(asked, rows):
+        return pa.table({"qid": pa.array([asked.num_rows], pa.int64()), "doc": pa.array([rows.num_rows], pa.int64()), "dense": [0.0]})
+
+    return run
+
+
+def test_cells_of_all_scores_are_small(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SIDE", 64)
+    rows = vectors(spark).where("doc IS NOT NULL AND embedding IS NOT NULL")
+    whole = sorted(map(tuple, retrieval.top_k(retrieval.dense_scores(questions(rows), rows), 50, F.desc("dense"), F.asc("doc")).collect()))
+    assert whole == sorted(map(tuple, retrieval.top_k(retrieval.dense_scores(questions(rows), rows, 50), 50, F.desc("dense"), F.asc("doc")).collect()))
+    monkeypatch.setattr(retrieval, "_cell", _sizes)
+    cells = retrieval.dense_scores(questions(rows), rows).collect()
+    assert max(r.qid * r.doc for r in cells) < 3 * 64**2 and sum(r.qid * r.doc for r in cells) == questions(rows).count() * rows.count()
+
+
+def test_short_lists_share_cells(spark, tmp_path, monkeypatch):
+    """Many lists, few cells: what a cell gives out is bounded by the cells' number, not the lists'."""
+    monkeypatch.setattr(vector_index, "PART", 500)
+    rows = vectors(spark).where("doc IS NOT NULL AND embedding IS NOT NULL")
+    index = VectorIndex.build(rows, f"{tmp_path}/index", lists=300)
+    cells = index._cells([at for at in range(len(index.centres)) if index.sizes[at]])
+    held = {}
+    for at, first, n in cells:
+        for c in range(first, first + n):
+            held[c] = held.get(c, 0) + index.sizes[at] / n
+    assert max(held.values()) <= 500 and len(held) <= 2 * -(-rows.count() // 500) + 1 and sum(held.values()) == rows.count()
+    best = retrieval.top_k(retrieval.dense_scores(questions(rows), rows, 60), 60, F.desc("dense"), F.asc("doc"))
+    want = {(r.qid, r.doc): r["rank"] for r in best.collect()}
+    got = index.search(questions(rows), 60, every=True)
+    assert {(r.qid, r.doc): r["rank"] for r in got.collect()} == want
+    assert "v#" not in got._jdf.queryExecution().optimizedPlan().toString()  # no pairs with vectors on them
