@@ -1,8 +1,9 @@
-"""Document parsers as relational steps over lines: a header opens a section, the lines after it are its body."""
+"""Document parsers as expressions over a text's lines: a header opens a section, the lines after it are its body. A text is a row from
+beginning to end, so nothing is shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What begins a section, by kind of document; and what else is looked for.
@@ -16,6 +17,9 @@ DATED = rf"(?i)(?:dated|effective|as of).*?(\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{MONT
 PARTY = r"(?i)(?:between|party of the first part|party of the second part)\s+([^,\n]+)"
 YEAR_CITED = r"\(\d{4}\)"
 LONGEST_TITLE_LINE, LONGEST_HEADER = 200, 100
+# White space, and that of one line; where the title's block ends: before an empty line or a long one.
+SPACE, BLANK = " \t\n\x0B\f\r", r"[ \t\x0B\f\r]*"
+TITLE_END = rf"\n(?={BLANK}(?:\n|\z|\S[^\n]{{{LONGEST_TITLE_LINE - 2},}}\S))"
 KINDS = ("law", "regulation", "case_law", "contract", "article", "other")
 
 
@@ -28,29 +32,38 @@ def header(kind: str, line: Column) -> Column:
     return (F.length(line) < LONGEST_HEADER) & (line == F.upper(line)) & (line != F.lower(line))
 
 
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(SPACE))
+
+
 def title_and_body(text: Column) -> Column:
     """struct(title, body): the first block of lines, up to an empty one or, after the first, a long one; and what follows it."""
-    lines = F.split(text, "\n")
-    bare = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    first = F.array_position(F.transform(bare, lambda x: x != ""), True)
-    ends = F.transform(bare, lambda x, k: (k >= first) & ((x == "") | (F.length(x) >= LONGEST_TITLE_LINE)))
-    stop = F.when(F.array_position(ends, True) > 0, F.array_position(ends, True)).otherwise(F.size(lines) + 1)
-    title = F.array_join(F.slice(bare, F.greatest(first, F.lit(1)), F.greatest(stop - first, F.lit(0))), " ")
-    body = F.regexp_replace(F.array_join(F.slice(lines, stop, F.size(lines)), "\n"), r"^\s+|\s+$", "")
-    return F.when(first > 0, F.struct(title.alias("title"), body.alias("body"))).otherwise(F.struct(F.lit("").alias("title"), F.lit("").alias("body")))
+    parts = F.split(F.ltrim(text, F.lit(SPACE)), TITLE_END, 2)
+    title = F.array_join(F.transform(F.split(F.get(parts, F.lit(0)), "\n"), _bare), " ")
+    return F.struct(F.coalesce(title, F.lit("")).alias("title"), F.coalesce(_bare(F.get(parts, F.lit(1))), F.lit("")).alias("body"))
+
+
+def _if_header(kind: str):
+    return lambda line, k: F.when(header(kind, line), k)
 
 
 def sections(texts: DataFrame, *keys: str) -> DataFrame:
     """(keys, kind, section, title, content) of texts(keys, kind, body). What comes before the first header goes, or is MAIN in documents
     of other kinds; a last header without a body is no section."""
-    lines = texts.select(*keys, "kind", F.posexplode(F.split("body", "\n")).alias("pos", "raw")).withColumn("line", F.regexp_replace("raw", r"^\s+|\s+$", "")).where("line <> ''")
-    opens = F.coalesce(*(F.when(F.col("kind").isin(*kinds), header(kinds[0], F.col("line"))) for kinds in (("law", "regulation"), ("case_law",), ("article",), ("other",))), F.lit(False))
-    so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("opens", opens).withColumn("section", F.sum(F.col("opens").cast("long")).over(so_far)).where((F.col("section") > 0) | (F.col("kind") == "other"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("opens"), F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    found = marked.groupBy(*keys, "kind", "section").agg(F.coalesce(F.max(F.when(F.col("opens"), F.col("line"))), F.lit("MAIN")).alias("title"), body.alias("content"))
-    last = F.max("section").over(Window.partitionBy(*keys))
-    return found.withColumn("last", last).where((F.col("content") != "") | (F.col("section") < F.col("last"))).drop("last")
+    bare = F.filter(F.transform(F.split("body", "\n"), _bare), lambda x: x != "")
+    # a line is looked at by its kind's rule alone
+    at = {kinds: F.filter(F.transform("lines", _if_header(kinds[0])), lambda k: k.isNotNull()) for kinds in (("law", "regulation"), ("case_law",), ("article",), ("other",))}
+    opens = F.coalesce(*(F.when(F.col("kind").isin(*kinds), found) for kinds, found in at.items()), F.array().cast("array<int>"))
+    ends = F.concat(F.slice("opens", 2, F.greatest(F.size("opens"), F.lit(1))), F.array(F.size("lines")))
+    rows = texts.select(*keys, "kind", bare.alias("lines")).withColumn("opens", opens).withColumn("spans", F.arrays_zip("opens", ends.alias("ends")))
+    # of other kinds, what comes before the first header
+    before = F.coalesce(F.get("opens", F.lit(0)), F.size("lines"))
+    main = F.when((F.col("kind") == "other") & (before > 0), F.array(F.struct(F.lit(0).cast("long").alias("section"), F.lit("MAIN").alias("title"), F.array_join(F.slice("lines", 1, before), "\n").alias("content"))))
+    content = lambda s: F.array_join(F.slice("lines", s["opens"] + 2, s["ends"] - s["opens"] - 1), "\n")
+    headed = F.transform(F.filter("spans", lambda s: s["opens"].isNotNull()), lambda s, k: F.struct((k + 1).cast("long").alias("section"), F.get("lines", s["opens"]).alias("title"), content(s).alias("content")))
+    found = F.concat(F.coalesce(main, F.array().cast("array<struct<section:bigint,title:string,content:string>>")), headed)
+    each = rows.select(*keys, "kind", F.size("opens").alias("last"), F.explode(found).alias("s"))
+    return each.where((F.col("s.content") != "") | (F.col("s.section") < F.col("last"))).select(*keys, "kind", "s.section", "s.title", "s.content")
 
 
 def law_articles(text: Column) -> Column:

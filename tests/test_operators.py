@@ -1,11 +1,12 @@
 """Operators on small tables: expected values, and properties against plain loops."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from docketry.functions import lawnum, text
-from docketry.operators import chunking, dml, retrieval
+from docketry.operators import chunking, dml, parsing, retrieval
 from docketry.operators.tenancy import TenantView, leaked
 from docketry.sources.files import docx_bytes, docx_paragraphs, text_files
 
@@ -145,3 +146,43 @@ def test_rows_made_of_tables_keep_braces(spark):
 
     got = Tables(spark, SF).made("(SELECT r_regionkey AS k, '{\"a\": 1}' AS j FROM region) AS x").collect()
     assert len(got) == 5 and {r.j for r in got} == {'{"a": 1}'}
+
+
+ODD = ["", " \n\t\n", "\n\n  One \n two\n\n\n body \n x \n", "One", "One\nTwo", "One\n" + "y" * 199 + "\nlast", "One\n  " + "y" * 200 + "\nlast\n\n", "z" * 300 + "\nq\n\f\nFACTS\nsome\nORDER", "T\n\nPART A\nPART B\n\n b \nlow\nEND", "T\n\nfree\nfree too\nPART A\nx\nPART B", "T\n\n\n", None]
+
+
+def _parsed(text, kind):
+    lines = (text or "").split("\n")
+    bare = [x.strip(" \t\n\x0b\f\r") for x in lines]
+    first = next((k for k, x in enumerate(bare) if x), None)
+    if first is None:
+        return "", "", []
+    stop = next((k for k in range(first + 1, len(bare)) if not bare[k] or len(bare[k]) >= 200), len(bare))
+    body = "\n".join(lines[stop:]).strip(" \t\n\x0b\f\r")
+    found = [(0, "MAIN", [])] if kind == "other" else []
+    for line in filter(None, (x.strip(" \t\n\x0b\f\r") for x in body.split("\n"))):
+        opens = line.startswith(parsing.CASE_HEADERS) if kind == "case_law" else kind == "other" and len(line) < 100 and line == line.upper() != line.lower()
+        if opens:
+            found.append((found[-1][0] + 1 if found else 1, line, []))
+        elif found:
+            found[-1][2].append(line)
+    return " ".join(bare[first:stop]), body, [(n, t, "\n".join(c)) for n, t, c in found if c or 0 < n < found[-1][0]]
+
+
+def test_titles_and_sections_of_odd_texts(spark):
+    kinds = ("case_law", "other", "contract")
+    rows = spark.createDataFrame([(k * 3 + j, kind, text) for k, text in enumerate(ODD) for j, kind in enumerate(kinds)], "id long, kind string, text string")
+    bodies = rows.select("id", "kind", parsing.title_and_body(F.col("text")).alias("p")).select("id", "kind", "p.title", "p.body")
+    assert {r.id: (r.title, r.body) for r in bodies.collect()} == {k * 3 + j: _parsed(text, None)[:2] for k, text in enumerate(ODD) for j in range(3)}
+    cut = parsing.sections(bodies, "id")
+    got = sorted((r.id, r.section, r.title, r.content) for r in cut.collect())
+    assert got == sorted((k * 3 + j, *s) for k, text in enumerate(ODD) for j, kind in enumerate(kinds) for s in _parsed(text, kind)[2])
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_title_takes_one_look_at_each_line(spark):
+    """Fifty thousand lines before the first empty one: two and a half thousand million looks, if each line asked for the others."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(50_000)), lambda k: F.concat(F.lit(" line "), k)), "\n")
+    start = time.time()
+    row = spark.range(1).select(parsing.title_and_body(F.concat(text, F.lit("\n\nbody"))).alias("p")).select(F.length("p.title").alias("n"), "p.body").first()
+    assert row.body == "body" and row.n > 450_000 and time.time() - start < 60
