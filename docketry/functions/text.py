@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from docketry.functions.batches import pieces
+
 # Words that retrieval ignores, and the token pattern.
 STOPWORDS = (
     "dhe ose por se që qe këtë kete këtu ketu kjo ky këto keto këta keta një nje nuk është eshte janë jane kanë kane ka kishte ku si kur "
@@ -79,10 +81,16 @@ def clean_text(c: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(c, CONTROL, ""), r"(?U)\s+", " "))
 
 
-@F.pandas_udf(StringType())
-def compatible(texts: pd.Series) -> pd.Series:
-    """NFKC, a batch at a time; the engine has no expression for it."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    """A piece of a batch at a time."""
+    out = [pa.array((t and unicodedata.normalize("NFKC", t) for t in piece["t"].to_pylist()), pa.string()) for piece in pieces([pa.RecordBatch.from_arrays([texts], ["t"])], "t")]
+    return pa.concat_arrays(out)
+
+
+def compatible(c: Column) -> Column:
+    """NFKC, which the engine has no expression for; texts of ASCII alone are so already, and don't leave it."""
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def preprocess(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Files as tables: text of any bytes, and paragraphs of Word files (a zip with XML inside), a batch at a time."""
+"""Files as tables: text of any bytes, and paragraphs of Word files (a zip with XML inside), a piece of a batch at a time."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.functions.batches import pieces
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -27,7 +29,7 @@ def docx_bytes(rows: DataFrame) -> DataFrame:
     """(id, content): each text as a minimal Word file, a paragraph a line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             out = []
             for text in batch["text"].to_pylist():
                 body = ET.Element(f"{_W}body")
@@ -57,7 +59,7 @@ def docx_text(files: DataFrame) -> DataFrame:
     """(id, text): each file's paragraphs, a blank line between; empty if it can't be opened."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "content"):
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(["\n\n".join(_paragraphs(c)) for c in batch["content"].to_pylist()], pa.string())], ["id", "text"])
 
     return files.select("id", "content").mapInArrow(run, "id long, text string")
@@ -67,7 +69,7 @@ def docx_paragraphs(files: DataFrame) -> DataFrame:
     """(id, pos, text) of the paragraphs that aren't empty; a file that can't be opened has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "content"):
             rows = []
             for key, content in zip(batch["id"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 rows += [{"id": key, "pos": k, "text": s} for k, s in enumerate(_paragraphs(content))]

@@ -2,10 +2,12 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
+from docketry.functions import batches, text
 from docketry.operators import chunk_function, chunking
 from docketry.sources import files, folders, reports
 
@@ -81,3 +83,18 @@ def test_catalog_and_word_files(spark, tmp_path):
     made = files.docx_bytes(spark.createDataFrame([(1, " a \n\n b"), (2, ""), (3, None)], "id long, text string"))
     broken = spark.createDataFrame([(4, b"no zip"), (5, None)], "id long, content binary")
     assert {r.id: r.text for r in files.docx_text(made.unionByName(broken)).collect()} == {1: "a\n\nb", 2: "", 3: "", 4: "", 5: ""}
+
+
+def test_batches_come_in_pieces():
+    texts = ["a" * k for k in range(600)] + [None, "é" * 3_000_000, "b", "c" * 5_000_000] + [None] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    found = list(batches.pieces(iter([batch, batch.slice(0, 0)]), "text"))
+    assert [k for p in found for k in p["id"].to_pylist()] == list(range(len(texts))) and [t for p in found for t in p["text"].to_pylist()] == texts
+    assert max(p.num_rows for p in found) == batches.ROWS and all(p.num_rows < 2 or sum(len((t or "").encode()) for t in p["text"].to_pylist()) <= batches.BYTES for p in found)
+
+
+def test_only_texts_beyond_ascii_leave_the_engine(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "plain"), (2, "ﬁn ①"), (3, ""), (4, None), (5, "é")], "id long, text string")
+    assert {r.id: r.t for r in rows.select("id", text.compatible(F.col("text")).alias("t")).collect()} == {1: "plain", 2: "fin 1", 3: "", 4: None, 5: "é"}
+    monkeypatch.setattr(text, "_nfkc", lambda c: F.when(c.isNotNull(), "sent"))
+    assert {r.id: r.t for r in rows.select("id", text.compatible(F.col("text")).alias("t")).collect()} == {1: "plain", 2: "sent", 3: "", 4: None, 5: "sent"}
