@@ -98,7 +98,7 @@ class Deadline(StatefulProcessor):
         self.seen = handle.getValueState("seen", "events long, due long, over boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events, due, over = self.seen.get() if self.seen.exists() else (0, None, False)
+        events, due, over = self.seen.get() or (0, None, False)
         for batch in rows:
             events += len(batch)
             over = over or bool(batch["event"].isin(["done", "error"]).any())
@@ -109,7 +109,7 @@ class Deadline(StatefulProcessor):
             due = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
             self.handle.registerTimer(due)
         self.seen.update((events, due, over))
-        yield pd.DataFrame({"turn_id": pd.Series([], dtype="int64"), "events": pd.Series([], dtype="int64"), "event": pd.Series([], dtype="object")})
+        yield from ()  # no frame at all: one for each turn would be most of the work
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         events, _, over = self.seen.get() if self.seen.exists() else (0, None, True)
@@ -138,14 +138,15 @@ def focus_stream(turns: DataFrame, out: str) -> DataFrame:
 
 def timeout_stream(events: DataFrame, out: str, timeout_ms: int = TIMEOUT_MS, patience_s: int = 120) -> DataFrame:
     """(turn_id, events, event) of the turns whose timer ran out, from a stream of (turn_id, event). It runs until a batch has begun after
-    the last event's deadline, so every timer of what is there has had its chance; patience_s bounds the wait for that batch."""
+    the last event's deadline and ended, so every timer of what is there has had its chance. A batch may take as long as it needs;
+    patience_s bounds only how long the stream may stand idle beyond a turn's time, which is an error: no part is given out for the whole."""
     spark = events.sparkSession
     with _settings(spark):
         timed = events.select("turn_id", "event").groupBy("turn_id").transformWithStateInPandas(Deadline(timeout_ms), "turn_id long, events long, event string", "Append", "ProcessingTime")
         run = timed.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(processingTime="500 milliseconds").start()
         try:
-            give_up, due = time.time() + timeout_ms / 1000 + patience_s, None
-            while time.time() < give_up:  # batches without rows go on for ever, for the timers
+            lively, due, batch = time.time(), None, None
+            while True:  # batches without rows go on for ever, for the timers
                 last = run.lastProgress
                 if due is None and last and last["numInputRows"] == 0:
                     due = time.time() + timeout_ms / 1000
@@ -153,6 +154,10 @@ def timeout_stream(events: DataFrame, out: str, timeout_ms: int = TIMEOUT_MS, pa
                     break
                 if run.exception() is not None:
                     raise run.exception()
+                if run.status["isTriggerActive"] or (last and last["batchId"] != batch):
+                    lively, batch = time.time(), last and last["batchId"]
+                if time.time() > lively + timeout_ms / 1000 + patience_s:
+                    raise TimeoutError(f"no batch for {patience_s} seconds beyond the turns' time")
                 time.sleep(0.2)
         finally:
             run.stop()

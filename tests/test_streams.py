@@ -50,6 +50,24 @@ def test_timers(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, 2, "STREAM_TIMEOUT"), (4, 1, "STREAM_TIMEOUT")]
 
 
+def test_timers_wait_for_long_batches(spark, tmp_path, monkeypatch):
+    """Batches that take longer than all patience are waited for: none of their turns is left out."""
+    rows = spark.range(40).selectExpr("id AS turn_id", "CASE WHEN id % 4 = 0 THEN 'done' ELSE 'delta' END AS event")
+    rows.repartition(2).write.parquet(f"{tmp_path}/in")
+
+    class Slow(conversations.Deadline):
+        def handleInputRows(self, key, rows, timerValues):
+            import time
+
+            time.sleep(0.5)
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(conversations, "Deadline", Slow)
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    got = conversations.timeout_stream(stream, f"{tmp_path}/out", 200, patience_s=1)
+    assert sorted(map(tuple, got.collect())) == [(k, 1, "STREAM_TIMEOUT") for k in range(40) if k % 4]
+
+
 SCHEMA = "namespace string, k long, v long, at timestamp, body string"
 
 
