@@ -88,13 +88,14 @@ def top_k(df: DataFrame, k: int, *order: Column, by: str = "qid", rank: str = "r
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def bm25(pool: DataFrame, questions: DataFrame) -> DataFrame:
+def bm25(pool: DataFrame, questions: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(qid, doc, bm25) of pool(qid, doc, tokens) for questions(qid, tokens). A term in over half a pool gets EPSILON times the mean
-    idf of the pool; repeated question terms count each time."""
-    docs = pool.select("qid", "doc", F.size("tokens").alias("dl"))
+    idf of the pool; repeated question terms count each time. With texts(doc, tokens), a row a text, the pool needs no tokens but
+    dl, their number."""
+    docs = pool.select("qid", "doc", "dl" if texts is not None else F.size("tokens").alias("dl"))
     stats = docs.groupBy("qid").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     # counted once for each text, however many pools it is in
-    texts = pool.groupBy("doc").agg(F.first("tokens").alias("tokens"))
+    texts = pool.groupBy("doc").agg(F.first("tokens").alias("tokens")) if texts is None else texts
     counts = texts.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     tf = docs.select("qid", "doc").join(kept(counts), "doc")
     df = tf.groupBy("qid", "term").agg(F.count("*").alias("df")).join(stats, "qid")
@@ -120,15 +121,15 @@ def hybrid(pool: DataFrame, scores: DataFrame, alpha: float = ALPHA) -> DataFram
     return both.withColumn("score", F.round(alpha * F.col("dense_n") + (1 - alpha) * F.col("bm25_n"), 6))
 
 
-def rescore(pool: DataFrame, questions: DataFrame, alpha: float = ALPHA, k: int = 10) -> DataFrame:
+def rescore(pool: DataFrame, questions: DataFrame, alpha: float = ALPHA, k: int = 10, texts: DataFrame | None = None) -> DataFrame:
     """(qid, doc, place, score, dense_score, bm25_score): the best k of pool(qid, doc, dense, rank, tokens) by the blend with BM25 for
     questions(qid, tokens); equal blends stay in the pool's order. Where there is nothing to blend (alpha 1 or more, a question without
-    tokens, or a pool without any) the pool keeps its order and its scores, and the two parts are null."""
+    tokens, or a pool without any) the pool keeps its order and its scores, and the two parts are null. texts: as in bm25."""
     dense = (F.col("dense").alias("score"), F.lit(None).cast("double").alias("dense_score"), F.lit(None).cast("double").alias("bm25_score"))
     if alpha >= 1:
         return top_k(pool, k, F.asc("rank"), rank="place").select("qid", "doc", "place", *dense)
-    has = pool.groupBy("qid").agg(F.max(F.size("tokens")).alias("most")).where("most > 0").join(questions.where(F.size("tokens") > 0).select("qid").distinct(), "qid").select("qid")
-    mixed = hybrid(pool, bm25(pool, questions), alpha).join(has, "qid", "left_semi")
+    has = pool.groupBy("qid").agg(F.max(F.size("tokens") if texts is None else F.col("dl")).alias("most")).where("most > 0").join(questions.where(F.size("tokens") > 0).select("qid").distinct(), "qid").select("qid")
+    mixed = hybrid(pool, bm25(pool, questions, texts), alpha).join(has, "qid", "left_semi")
     told = top_k(mixed, k, F.desc("score"), F.asc("rank"), rank="place").select("qid", "doc", "place", "score", F.col("dense").alias("dense_score"), F.col("bm25").alias("bm25_score"))
     return told.unionByName(top_k(pool.join(has, "qid", "left_anti"), k, F.asc("rank"), rank="place").select("qid", "doc", "place", *dense))
 

@@ -64,6 +64,16 @@ def test_bm25_prefers_the_match(spark):
     assert max(scores, key=lambda r: r.bm25).doc == 1 and sum(r.bm25 > 0 for r in scores) == 1
 
 
+def test_texts_stay_beside_the_pools(spark):
+    """A text that is in many pools is given once: the same scores as with its tokens on every row."""
+    words = [["tax", "law", "code"], ["animal", "care", "animal"], [], ["code", "law", "tax", "law"]]
+    pool = spark.createDataFrame([(q, d, 1.0 - d / 10, d + 1, words[d]) for q in range(3) for d in range(4) if (q + d) % 3], "qid long, doc long, dense double, rank int, tokens array<string>")
+    asked = spark.createDataFrame([(0, ["law", "law", "animal"]), (1, ["tax"]), (2, [])], "qid long, tokens array<string>")
+    bare, texts = pool.withColumn("dl", F.size("tokens")).drop("tokens"), pool.select("doc", "tokens").distinct()
+    assert sorted(map(tuple, retrieval.bm25(bare, asked, texts).collect())) == sorted(map(tuple, retrieval.bm25(pool, asked).collect()))
+    assert sorted(map(tuple, retrieval.rescore(bare, asked, texts=texts).collect())) == sorted(map(tuple, retrieval.rescore(pool, asked).collect()))
+
+
 def test_dml(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
