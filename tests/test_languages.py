@@ -86,3 +86,12 @@ def test_six_charsets(spark):
     files = spark.createDataFrame([("a", b"\xff\xfe\x00"), ("b", None), ("c", bytes(range(256))), ("d", b"\x81\x8d\x8f\x90\x9d ok \xff"), ("e", b"\x00\x00\x00")], "path string, content binary")
     got = {r.path: r.text for r in charsets.decoded(files, detector).collect()}
     assert got["b"] == "" and len(got) == 5 and all(t is not None for t in got.values())
+
+
+def test_a_capital_after_a_full_stop(spark):
+    """Bytes that are a capital in one charset and a small letter in another: what stands before the space tells which."""
+    said = ["il va été là éo un éon", "la fin. Èo dit. Èon va", "mot. Èonoi. Èoto"]
+    detector = charsets.Detector(charsets.learn(spark.createDataFrame([(k, said[0] if k < 30 else said[1 + k % 2]) for k in range(40)], "doc_id long, text string")))
+    for t in ("es re paon. Èonoioi menti", "es re paon éonoioi menti"):
+        for charset in charsets.SINGLE[:2]:
+            assert detector.decode(t.encode(charset)) == (charset, t)
