@@ -30,8 +30,9 @@ PIECES, VALUES, STEPS = 8, 256, 12
 #: A question's lists are taken by nearness: as many as held RECALL of the sample's true neighbours of TRIALS of its vectors, and on until
 #: they hold OVER times the rows that are asked for.
 RECALL, TRIALS, OVER = 0.95, 256, 2
-#: Survivors of a cell, as a multiple of the rows asked for; rows of a cell, at most about and (but for small tables) at least.
-REFINE, PART, LEAST_PART = 2, 1 << 16, 256
+#: Survivors of a cell, as a multiple of the rows asked for, and at least one in SHARE; rows of a cell, at most about and (but for small
+#: tables) at least.
+REFINE, SHARE, PART, LEAST_PART = 2, 4, 1 << 16, 256
 #: Questions that meet a cell in one task.
 BLOCK = 4096
 
@@ -186,9 +187,10 @@ class VectorIndex:
             near, docs = q @ centres.T, []
             for k, lists in enumerate(sent["lists"].to_pylist()):
                 chosen = np.flatnonzero(np.isin(at, lists))
-                if keep < len(chosen):
+                most = max(keep, len(chosen) // SHARE)
+                if most < len(chosen):
                     score = sum(t[k][codes[chosen, m]] for m, t in enumerate(tables)) + near[k][at[chosen]]
-                    chosen = chosen[np.argpartition(-score, keep - 1)[:keep]]
+                    chosen = chosen[np.argpartition(-score, most - 1)[:most]]
                 docs.append(doc[chosen])
             return pa.table([sent["cell"], sent["block"], sent["qid"], sent["embedding"], pa.array(docs, schema.field("docs").type)], schema=schema)
 
