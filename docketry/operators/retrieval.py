@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,21 +92,58 @@ def top_k(df: DataFrame, k: int, *order: Column, by: str = "qid", rank: str = "r
 def bm25(pool: DataFrame, questions: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(qid, doc, bm25) of pool(qid, doc, tokens) for questions(qid, tokens). A term in over half a pool gets EPSILON times the mean
     idf of the pool; repeated question terms count each time. With texts(doc, tokens), a row a text, the pool needs no tokens but
-    dl, their number."""
+    dl, their number.
+
+    A text goes to each pool it is in as one row of its distinct terms and their counts, and a pool is scored as one group: what is shuffled
+    grows with the pools' texts, not with the rows of each term in each pool. A pool is a bounded number of rows."""
     docs = pool.select("qid", "doc", "dl" if texts is not None else F.size("tokens").alias("dl"))
-    stats = docs.groupBy("qid").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     # counted once for each text, however many pools it is in
     texts = pool.groupBy("doc").agg(F.first("tokens").alias("tokens")) if texts is None else texts
-    counts = texts.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
-    tf = docs.select("qid", "doc").join(kept(counts), "doc")
-    df = tf.groupBy("qid", "term").agg(F.count("*").alias("df")).join(stats, "qid")
-    raw = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.groupBy("qid").agg((EPSILON * F.avg("idf")).alias("low"))
-    wanted = questions.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    idf = raw.join(wanted, ["qid", "term"]).join(floor, "qid").select("qid", "term", "times", "avgdl", F.when(F.col("idf") < 0, F.col("low")).otherwise(F.col("idf")).alias("idf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(idf, ["qid", "term"]).groupBy("qid", "doc").agg(F.round(F.sum(part), 6).alias("bm25"))
-    return docs.select("qid", "doc").join(scored, ["qid", "doc"], "left").select("qid", "doc", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    held = docs.join(texts.select("doc", "tokens").mapInArrow(_term_counts, f"doc {pool.schema['doc'].dataType.simpleString()}, terms array<string>, tf array<int>"), "doc", "left")
+    asked, of = questions.select(F.col("qid").cast(pool.schema["qid"].dataType).alias("qid"), "tokens"), ", ".join(f"{c} {pool.schema[c].dataType.simpleString()}" for c in ("qid", "doc"))
+    scored = held.select("qid", "doc", "dl", "terms", "tf").groupBy("qid").cogroup(asked.groupBy("qid")).applyInArrow(_okapi, f"{of}, bm25 double")
+    return scored.withColumn("bm25", F.round("bm25", 6))
+
+
+#: Texts whose terms are counted at a time.
+COUNTED = 256
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, its distinct terms and how often each occurs."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, COUNTED):
+            texts = batch.slice(start, COUNTED)
+            row, terms = _flat(texts["tokens"])
+            coded = terms.dictionary_encode()
+            known = max(1, len(coded.dictionary))
+            key, tf = np.unique(row * known + coded.indices.to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(key, np.arange(texts.num_rows + 1) * known), pa.int32())
+            counted = (pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(key % known))), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32())))
+            yield pa.RecordBatch.from_arrays([texts["doc"], *counted], ["doc", "terms", "tf"])
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The values of all lists that aren't null, and the number of the list that each is from."""
+    return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(lists)
+
+
+def _okapi(pool: pa.Table, asked: pa.Table) -> pa.Table:
+    """The scores of one question's pool."""
+    row, terms = _flat(pool["terms"].combine_chunks())
+    coded = terms.dictionary_encode()
+    code, tf, n = coded.indices.to_numpy(), pc.list_flatten(pool["tf"].combine_chunks()).to_numpy(), pool.num_rows
+    wanted = pc.index_in(pc.list_flatten(asked["tokens"].combine_chunks()), coded.dictionary).drop_null().to_numpy()
+    if not len(wanted):
+        return pool.select(["qid", "doc"]).append_column("bm25", pa.array(np.zeros(n)))
+    df, times = np.bincount(code), np.bincount(wanted, minlength=len(coded.dictionary))  # a text has a term once
+    idf = np.log(n - df + 0.5) - np.log(df + 0.5)
+    weight = times * np.where(idf < 0, EPSILON * idf.mean(), idf)
+    hit = np.flatnonzero(times[code])
+    dl = pool["dl"].to_numpy().astype(np.float64)
+    size = dl[row[hit]] / np.nanmean(dl)
+    part = weight[code[hit]] * tf[hit] * (K1 + 1) / (tf[hit] + K1 * (1 - B + B * size))
+    return pool.select(["qid", "doc"]).append_column("bm25", pa.array(np.bincount(row[hit], part, minlength=n)))
 
 
 def minmax(df: DataFrame, column: str, out: str, by: str = "qid") -> DataFrame:

@@ -1,7 +1,9 @@
 """Operators on small tables: expected values, and properties against plain loops."""
 
+import math
 import random
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -74,6 +76,48 @@ def test_texts_stay_beside_the_pools(spark):
     assert sorted(map(tuple, retrieval.rescore(bare, asked, texts=texts).collect())) == sorted(map(tuple, retrieval.rescore(pool, asked).collect()))
 
 
+def _okapi_by_hand(pool, asked):
+    """qid -> doc -> score; pool: qid -> doc -> tokens."""
+    out = {}
+    for qid, texts in pool.items():
+        n, avgdl = len(texts), sum(len(t) for t in texts.values()) / len(texts)
+        df = Counter(term for t in texts.values() for term in set(t))
+        idf = {term: math.log(n - k + 0.5) - math.log(k + 0.5) for term, k in df.items()}
+        low = 0.25 * sum(idf.values()) / max(1, len(idf))
+        for doc, t in texts.items():
+            hits = [(t.count(w), idf[w]) for w in asked.get(qid, []) if w in t]
+            out[qid, doc] = sum((low if i < 0 else i) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl)) for tf, i in hits)
+    return out
+
+
+def _shuffled_rows(spark, frame):
+    """The rows of frame, and how many rows its shuffles wrote."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def total():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before, rows = total(), frame().collect()
+    return rows, total() - before
+
+
+def test_a_text_is_one_row_in_each_pool(spark):
+    """BM25 shuffles a row for each text of a pool, not for each term of it."""
+    words = {d: [f"w{(d * k) % 83}" for k in range(120)] + ["rare"] * (d % 5 == 0) for d in range(30)} | {30: []}
+    pool = {q: {d: words[d] for d in range(31) if (q + d) % 4} for q in range(40)}
+    asked = {q: [f"w{q}", "w0", "rare", "rare", "absent"] for q in range(38)} | {37: [], 99: ["w1"]}  # 38 and 39 ask nothing, 99 has no pool
+    rows = spark.createDataFrame([(q, d, len(t)) for q, ts in pool.items() for d, t in ts.items()], "qid long, doc long, dl int")
+    questions = spark.createDataFrame(list(asked.items()), "qid long, tokens array<string>")
+    texts = spark.createDataFrame(list(words.items()), "doc long, tokens array<string>")
+    got, shuffled = _shuffled_rows(spark, lambda: retrieval.bm25(rows, questions, texts))
+    want = _okapi_by_hand(pool, asked)
+    assert {(r.qid, r.doc) for r in got} == set(want) and len(got) == len(want)
+    assert all(abs(r.bm25 - want[r.qid, r.doc]) < 2e-6 for r in got) and any(r.bm25 > 0 for r in got)
+    assert shuffled <= 2 * rows.count() + texts.count() + questions.count()
+
+
 def test_dml(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
