@@ -5,12 +5,17 @@ import random
 import time
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import lawnum, text
 from docketry.operators import chunking, dml, parsing, retrieval
 from docketry.operators.tenancy import TenantView, leaked
+from docketry.plans.base import Tables
+from docketry.plans.registry import queries
+from docketry.plans.retrieval import _pooled
 from docketry.sources.files import docx_bytes, docx_paragraphs, text_files
+from tests.conftest import SF
 
 
 def one(spark, column):
@@ -118,6 +123,15 @@ def test_a_text_is_one_row_in_each_pool(spark):
     assert shuffled <= 2 * rows.count() + texts.count() + questions.count()
 
 
+@pytest.mark.parametrize("name", ["retrieval_cascade"])
+def test_pools_of_queries_are_shuffled_by_text(spark, name):
+    """A whole query writes a few rows for each text of a pool, and none for each term."""
+    t = Tables(spark, SF)
+    pools = _pooled(t)[0].count()
+    rows, shuffled = _shuffled_rows(spark, lambda: queries()[name](spark, SF))
+    assert rows and shuffled < 10 * pools
+
+
 def test_dml(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
