@@ -123,7 +123,7 @@ def test_a_text_is_one_row_in_each_pool(spark):
     assert shuffled <= 2 * rows.count() + texts.count() + questions.count()
 
 
-@pytest.mark.parametrize("name", ["retrieval_cascade", "bm25_rescore"])
+@pytest.mark.parametrize("name", ["retrieval_cascade", "bm25_rescore", "hybrid_rank", "rerank_topk"])
 def test_pools_of_queries_are_shuffled_by_text(spark, name):
     """A whole query writes a few rows for each text of a pool, and none for each term."""
     t = Tables(spark, SF)
