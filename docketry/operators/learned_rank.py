@@ -18,10 +18,9 @@ FEATURES = ("dense_n", "bm25_n", "overlap", "dense", "brevity")
 STEPS, PENALTY = 8, 1.0
 
 
-def features(pool: DataFrame, wanted: DataFrame) -> DataFrame:
-    """pool(qid, doc, tokens, dense, dense_n, bm25_n, ...) with overlap and brevity, for wanted(qid, wanted: the question's tokens)."""
-    brevity = 1 / (1 + F.log1p(F.size("tokens")))
-    return pool.join(wanted, "qid").withColumn("overlap", R.lexical_overlap(F.col("wanted"), F.col("tokens"))).withColumn("brevity", brevity)
+def features(pool: DataFrame) -> DataFrame:
+    """pool(qid, doc, dl, overlap, dense, dense_n, bm25_n, ...) with brevity, without the rows of questions that have no text."""
+    return pool.where("overlap IS NOT NULL").withColumn("brevity", 1 / (1 + F.log1p("dl")))
 
 
 def fit(rows: DataFrame) -> list[float] | None:

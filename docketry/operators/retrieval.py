@@ -7,6 +7,7 @@ Only texts that are in a pool are tokenized.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -91,36 +92,64 @@ def top_k(df: DataFrame, k: int, *order: Column, by: str = "qid", rank: str = "r
 
 def bm25(pool: DataFrame, questions: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(qid, doc, bm25) of pool(qid, doc, tokens) for questions(qid, tokens). A term in over half a pool gets EPSILON times the mean
-    idf of the pool; repeated question terms count each time. With texts(doc, tokens), a row a text, the pool needs no tokens but
-    dl, their number.
+    idf of the pool; repeated question terms count each time. With texts(doc, tokens), a row a text, the pool needs no tokens."""
+    return scored(with_packed(pool, texts), questions).select("qid", "doc", "bm25")
 
-    A text goes to each pool it is in as one row of its distinct terms and their counts, and a pool is scored as one group: what is shuffled
-    grows with the pools' texts, not with the rows of each term in each pool. A pool is a bounded number of rows."""
-    docs = pool.select("qid", "doc", "dl" if texts is not None else F.size("tokens").alias("dl"))
-    # counted once for each text, however many pools it is in
-    texts = pool.groupBy("doc").agg(F.first("tokens").alias("tokens")) if texts is None else texts
-    held = docs.join(texts.select("doc", "tokens").mapInArrow(_term_counts, f"doc {pool.schema['doc'].dataType.simpleString()}, terms array<string>, tf array<int>"), "doc", "left")
-    asked, of = questions.select(F.col("qid").cast(pool.schema["qid"].dataType).alias("qid"), "tokens"), ", ".join(f"{c} {pool.schema[c].dataType.simpleString()}" for c in ("qid", "doc"))
-    scored = held.select("qid", "doc", "dl", "terms", "tf").groupBy("qid").cogroup(asked.groupBy("qid")).applyInArrow(_okapi, f"{of}, bm25 double")
-    return scored.withColumn("bm25", F.round("bm25", 6))
 
+def with_packed(pool: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """pool(qid, doc, ...) with dl and packed, of its own tokens or, where texts(doc, tokens) are given, of those: each packed once, however
+    many pools it is in."""
+    pool = pool.drop("dl")
+    return packed(pool) if texts is None else pool.drop("tokens").join(packed(texts.select("doc", "tokens")), "doc", "left")
 
-#: Texts whose terms are counted at a time.
-COUNTED = 256
 
+def packed(texts: DataFrame) -> DataFrame:
+    """texts(tokens, ...) with dl and packed in place of the tokens: their number, and the distinct terms with their counts as one compressed value."""
+    others = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in texts.schema if f.name != "tokens")
+    return texts.mapInArrow(_pack, f"{others}dl int, packed binary")
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, its distinct terms and how often each occurs."""
+
+def scored(pool: DataFrame, questions: DataFrame) -> DataFrame:
+    """pool(qid, doc, dl, packed, ...), without packed, with bm25 and overlap (share of the question's terms that the text has; null where
+    there is no such question) for questions(qid, tokens).
+
+    A text goes to each pool it is in as one row, packed, and a pool is scored as one group: what is shuffled and sorted grows with the
+    pools' texts, compressed, and nothing of a text is needed after it. A pool is a bounded number of rows."""
+    asked = questions.select(F.col("qid").cast(pool.schema["qid"].dataType).alias("qid"), "tokens")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema if f.name != "packed")
+    done = pool.groupBy("qid").cogroup(asked.groupBy("qid")).applyInArrow(_score, f"{columns}, bm25 double, overlap double")
+    return done.withColumn("bm25", F.round("bm25", 6)).withColumn("overlap", F.round("overlap", 6))
+
+
+#: Texts that are packed at a time.
+PACKED = 256
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In place of tokens their number, and packed: the number of distinct terms, their lengths in bytes, how often each occurs, the terms."""
     for batch in batches:
-        for start in range(0, batch.num_rows, COUNTED):
-            texts = batch.slice(start, COUNTED)
+        for start in range(0, batch.num_rows, PACKED):
+            texts = batch.slice(start, PACKED)
             row, terms = _flat(texts["tokens"])
             coded = terms.dictionary_encode()
-            known = max(1, len(coded.dictionary))
-            key, tf = np.unique(row * known + coded.indices.to_numpy(), return_counts=True)
-            ends = pa.array(np.searchsorted(key, np.arange(texts.num_rows + 1) * known), pa.int32())
-            counted = (pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(key % known))), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32())))
-            yield pa.RecordBatch.from_arrays([texts["doc"], *counted], ["doc", "terms", "tf"])
+            order = pc.sort_indices(coded.dictionary)  # neighbours alike compress better
+            known = max(1, len(order))
+            key, tf = np.unique(row * known + np.argsort(order.to_numpy())[coded.indices.to_numpy()], return_counts=True)
+            found = coded.dictionary.take(order.take(pa.array(key % known)))
+            length = pc.binary_length(found).to_numpy()
+            chars, at = b"".join(found.cast(pa.binary()).to_pylist()), np.concatenate(([0], np.cumsum(length)))
+            ends = np.searchsorted(key, np.arange(texts.num_rows + 1) * known)
+            values = [zlib.compress(np.concatenate(([b - a], length[a:b], tf[a:b])).astype("<i4").tobytes() + chars[at[a] : at[b]], 1) for a, b in zip(ends, ends[1:], strict=False)]
+            yield texts.drop_columns(["tokens"]).append_column("dl", pc.list_value_length(texts["tokens"]).cast(pa.int32())).append_column("packed", pa.array(values, pa.binary()))
+
+
+def _unpack(values: list[bytes | None]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of all terms of the texts: the number of the text, the term, how often it occurs there. A text that is missing has none."""
+    raw = [zlib.decompress(v) if v is not None else bytes(4) for v in values]
+    many = [int.from_bytes(r[:4], "little") for r in raw]
+    length, tf = (np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(r, "<i4", k, 4 + 4 * k * part) for r, k in zip(raw, many, strict=True))]) for part in (0, 1))
+    chars, at = b"".join(r[4 + 8 * k :] for r, k in zip(raw, many, strict=True)), np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
+    return np.repeat(np.arange(len(raw)), many), pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(at), pa.py_buffer(chars)), tf
 
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
@@ -128,22 +157,24 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(lists)
 
 
-def _okapi(pool: pa.Table, asked: pa.Table) -> pa.Table:
+def _score(pool: pa.Table, asked: pa.Table) -> pa.Table:
     """The scores of one question's pool."""
-    row, terms = _flat(pool["terms"].combine_chunks())
-    coded = terms.dictionary_encode()
-    code, tf, n = coded.indices.to_numpy(), pc.list_flatten(pool["tf"].combine_chunks()).to_numpy(), pool.num_rows
-    wanted = pc.index_in(pc.list_flatten(asked["tokens"].combine_chunks()), coded.dictionary).drop_null().to_numpy()
-    if not len(wanted):
-        return pool.select(["qid", "doc"]).append_column("bm25", pa.array(np.zeros(n)))
-    df, times = np.bincount(code), np.bincount(wanted, minlength=len(coded.dictionary))  # a text has a term once
-    idf = np.log(n - df + 0.5) - np.log(df + 0.5)
-    weight = times * np.where(idf < 0, EPSILON * idf.mean(), idf)
-    hit = np.flatnonzero(times[code])
-    dl = pool["dl"].to_numpy().astype(np.float64)
-    size = dl[row[hit]] / np.nanmean(dl)
-    part = weight[code[hit]] * tf[hit] * (K1 + 1) / (tf[hit] + K1 * (1 - B + B * size))
-    return pool.select(["qid", "doc"]).append_column("bm25", pa.array(np.bincount(row[hit], part, minlength=n)))
+    row, terms, tf = _unpack(pool["packed"].to_pylist())
+    coded, n = terms.dictionary_encode(), pool.num_rows
+    code, known = coded.indices.to_numpy(), len(coded.dictionary)
+    tokens = pc.list_flatten(asked["tokens"].combine_chunks()).cast(pa.large_string())
+    wanted = pc.index_in(tokens, coded.dictionary).drop_null().to_numpy()
+    bm25, overlap = np.zeros(n), np.full(n, 0.0 if asked.num_rows else np.nan)
+    if len(wanted):
+        df, times = np.bincount(code, minlength=known), np.bincount(wanted, minlength=known)  # a text has a term once
+        idf = np.log(n - df + 0.5) - np.log(df + 0.5)
+        weight = times * np.where(idf < 0, EPSILON * idf.mean(), idf)
+        hit = np.flatnonzero(times[code])
+        dl = pool["dl"].to_numpy().astype(np.float64)
+        size = dl[row[hit]] / np.nanmean(dl)
+        bm25 = np.bincount(row[hit], weight[code[hit]] * tf[hit] * (K1 + 1) / (tf[hit] + K1 * (1 - B + B * size)), minlength=n)
+        overlap = np.bincount(row[hit], minlength=n) / pc.count_distinct(tokens).as_py()
+    return pool.drop_columns(["packed"]).append_column("bm25", pa.array(bm25)).append_column("overlap", pa.array(overlap, from_pandas=True))
 
 
 def minmax(df: DataFrame, column: str, out: str, by: str = "qid") -> DataFrame:
@@ -153,9 +184,9 @@ def minmax(df: DataFrame, column: str, out: str, by: str = "qid") -> DataFrame:
     return df.withColumn(out, F.when(span < 1e-9, 0.0).otherwise((F.col(column) - F.min(column).over(w)) / span))
 
 
-def hybrid(pool: DataFrame, scores: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """pool(qid, doc, dense, rank) with bm25 and the blend of both, scaled within the pool."""
-    both = minmax(minmax(pool.join(scores, ["qid", "doc"]), "dense", "dense_n"), "bm25", "bm25_n")
+def blend(pool: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """pool(qid, dense, bm25, ...) with the blend of both, scaled within the pool."""
+    both = minmax(minmax(pool, "dense", "dense_n"), "bm25", "bm25_n")
     return both.withColumn("score", F.round(alpha * F.col("dense_n") + (1 - alpha) * F.col("bm25_n"), 6))
 
 
@@ -163,13 +194,24 @@ def rescore(pool: DataFrame, questions: DataFrame, alpha: float = ALPHA, k: int
     """(qid, doc, place, score, dense_score, bm25_score): the best k of pool(qid, doc, dense, rank, tokens) by the blend with BM25 for
     questions(qid, tokens); equal blends stay in the pool's order. Where there is nothing to blend (alpha 1 or more, a question without
     tokens, or a pool without any) the pool keeps its order and its scores, and the two parts are null. texts: as in bm25."""
-    dense = (F.col("dense").alias("score"), F.lit(None).cast("double").alias("dense_score"), F.lit(None).cast("double").alias("bm25_score"))
     if alpha >= 1:
-        return top_k(pool, k, F.asc("rank"), rank="place").select("qid", "doc", "place", *dense)
-    has = pool.groupBy("qid").agg(F.max(F.size("tokens") if texts is None else F.col("dl")).alias("most")).where("most > 0").join(questions.where(F.size("tokens") > 0).select("qid").distinct(), "qid").select("qid")
-    mixed = hybrid(pool, bm25(pool, questions, texts), alpha).join(has, "qid", "left_semi")
+        return _in_order(pool, k)
+    return rescored(scored(with_packed(pool, texts), questions), questions, alpha, k)
+
+
+def rescored(pool: DataFrame, questions: DataFrame, alpha: float = ALPHA, k: int = 10) -> DataFrame:
+    """As rescore, alpha below 1, of a pool that is scored: it is written once, small rows without their texts."""
+    pool = kept(pool)
+    has = pool.groupBy("qid").agg(F.max("dl").alias("most")).where("most > 0").join(questions.where(F.size("tokens") > 0).select("qid").distinct(), "qid").select("qid")
+    mixed = blend(pool, alpha).join(has, "qid", "left_semi")
     told = top_k(mixed, k, F.desc("score"), F.asc("rank"), rank="place").select("qid", "doc", "place", "score", F.col("dense").alias("dense_score"), F.col("bm25").alias("bm25_score"))
-    return told.unionByName(top_k(pool.join(has, "qid", "left_anti"), k, F.asc("rank"), rank="place").select("qid", "doc", "place", *dense))
+    return told.unionByName(_in_order(pool.join(has, "qid", "left_anti"), k))
+
+
+def _in_order(pool: DataFrame, k: int) -> DataFrame:
+    """The best k as the pool has them, in the columns of rescore."""
+    nothing = F.lit(None).cast("double")
+    return top_k(pool, k, F.asc("rank"), rank="place").select("qid", "doc", "place", F.col("dense").alias("score"), nothing.alias("dense_score"), nothing.alias("bm25_score"))
 
 
 def lexical_overlap(a: Column, b: Column) -> Column:

@@ -54,23 +54,16 @@ def _question_tokens(t: Tables, rest: int = 0) -> DataFrame:
 
 
 def _pooled(t: Tables, rest: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(qid, doc, dense, rank, dl) of the pools and (doc, tokens) of their texts, once for each text, however many pools it is in; both
-    written once, as several statistics are taken of them."""
+    """(qid, doc, dense, rank, dl, packed) of the pools' rows that have a text, each text packed once, however many pools it is in; and (qid,
+    tokens) of the questions. The pools are written once, as their texts are looked up by them."""
     pool = R.kept(_pool(t, rest))
     texts = t.documents.withColumnRenamed("doc_id", "doc").join(pool.select("doc").distinct(), "doc", "left_semi")
-    texts = R.kept(texts.select("doc", tokens(F.col("text")).alias("tokens")))
-    return R.kept(pool.join(texts.select("doc", F.size("tokens").alias("dl")), "doc")), texts
-
-
-def _hybrid(t: Tables, rest: int = 0) -> tuple[DataFrame, DataFrame]:
-    pooled, texts = _pooled(t, rest)
-    return R.hybrid(pooled, R.bm25(pooled, _question_tokens(t, rest), texts)), texts
+    return pool.join(R.packed(texts.select("doc", tokens(F.col("text")).alias("tokens"))), "doc"), _question_tokens(t, rest)
 
 
 def _best(t: Tables, rest: int = 0) -> DataFrame:
-    """The rerank pools with their texts' tokens."""
-    mixed, texts = _hybrid(t, rest)
-    return R.top_k(mixed, R.RERANK_POOL, F.desc("score"), F.asc("rank"), rank="hrank").join(texts, "doc")
+    """The rerank pools."""
+    return R.top_k(R.blend(R.scored(*_pooled(t, rest))), R.RERANK_POOL, F.desc("score"), F.asc("rank"), rank="hrank")
 
 
 #: Of a pool of 200, those that count as near.
@@ -80,7 +73,7 @@ NEAREST = 50
 def ranked_features(t: Tables, rest: int = 0) -> DataFrame:
     """The rerank pool of each question with the features of a learned model, and whether a row counts as relevant: in the question's language
     and among the NEAREST of its pool. (The tables' labels say nothing about vectors or texts, so they teach nothing.)"""
-    rows = M.features(_best(t, rest), _question_tokens(t, rest).withColumnRenamed("tokens", "wanted"))
+    rows = M.features(_best(t, rest))
     langs = t.documents.select("doc_id", "lang")
     both = rows.join(langs.select(F.col("doc_id").alias("qid"), F.col("lang").alias("asked")), "qid").join(langs.select(F.col("doc_id").alias("doc"), F.col("lang").alias("found")), "doc")
     return both.where("qid <> doc").withColumn("relevant", F.coalesce(F.col("asked") == F.col("found"), F.lit(False)) & (F.col("rank") <= NEAREST))
@@ -94,7 +87,8 @@ def learned_rerank(t: Tables) -> DataFrame:
 
 
 def _reranked(t: Tables) -> DataFrame:
-    return _best(t).join(_question_tokens(t).withColumnRenamed("tokens", "wanted"), "qid").withColumn("rerank", R.lexical_overlap(F.col("wanted"), F.col("tokens")))
+    """The rerank pools of the questions with a text, by the share of its terms that a row has."""
+    return _best(t).where("overlap IS NOT NULL").withColumnRenamed("overlap", "rerank")
 
 
 @query(_CTE + "SELECT qid, doc, dense FROM dense")
@@ -107,9 +101,9 @@ UNION ALL SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY rank), d
 def rescore_exits(t: Tables) -> DataFrame:
     """The best ten by the blend; every other question is made one without tokens, and its pool stays as it was, as does that of a question
     without a text. Vectors without a text aren't in the pools."""
-    asked = _question_tokens(t).withColumn("tokens", F.when(F.col("qid") % 100 > 0, F.col("tokens")).otherwise(F.array().cast("array<string>")))
-    pooled, texts = _pooled(t)
-    return R.rescore(pooled, asked, texts=texts).withColumn("place", F.col("place").cast("long"))
+    pooled, asked = _pooled(t)
+    asked = asked.withColumn("tokens", F.when(F.col("qid") % 100 > 0, F.col("tokens")).otherwise(F.array().cast("array<string>")))
+    return R.rescored(R.scored(pooled, asked), asked).withColumn("place", F.col("place").cast("long"))
 
 
 _SAMPLE = 50
@@ -168,18 +162,17 @@ def fold(t: Tables) -> DataFrame:
 
 @query(_CTE + "SELECT qid, doc, bm25 FROM bm")
 def bm25_rescore(t: Tables) -> DataFrame:
-    pooled, texts = _pooled(t)
-    return R.bm25(pooled, _question_tokens(t), texts)
+    return R.scored(*_pooled(t)).select("qid", "doc", "bm25")
 
 
 @query(_CTE + "SELECT qid, doc, score FROM blend")
 def hybrid_rescore(t: Tables) -> DataFrame:
-    return _hybrid(t)[0].select("qid", "doc", "score")
+    return R.blend(R.scored(*_pooled(t))).select("qid", "doc", "score")
 
 
 @query(_CTE + "SELECT qid, doc, hrank FROM hyb")
 def hybrid_rank(t: Tables) -> DataFrame:
-    return R.top_k(_hybrid(t)[0], R.RERANK_POOL, F.desc("score"), F.asc("rank"), rank="hrank").select("qid", "doc", F.col("hrank").cast("long").alias("hrank"))
+    return _best(t).select("qid", "doc", F.col("hrank").cast("long").alias("hrank"))
 
 
 @query(_CTE + "SELECT qid, doc, rerank FROM rer")

@@ -132,6 +132,41 @@ def test_pools_of_queries_are_shuffled_by_text(spark, name):
     assert rows and shuffled < 10 * pools
 
 
+def _shuffled_bytes(spark, frame):
+    """The rows of frame, and how many bytes its shuffles wrote."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def total():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before, rows = total(), frame().collect()
+    return rows, total() - before
+
+
+def test_reranking_shuffles_no_texts(spark):
+    """The cascade writes next to nothing that the scores of its pools don't need, also where nothing is small enough to be broadcast."""
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, cascade = _shuffled_bytes(spark, lambda: queries()["retrieval_cascade"](spark, SF))
+        _, scores = _shuffled_bytes(spark, lambda: queries()["bm25_rescore"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert rows and cascade < 1.1 * scores
+
+
+def test_overlap_is_told_with_the_scores(spark):
+    """As the expression has it, for missing texts and questions too."""
+    pool = spark.createDataFrame([(1, 10, ["a", "b", "b"]), (1, 11, []), (1, 12, None), (2, 10, ["a", "b", "b"]), (3, 10, ["a"])], "qid long, doc long, tokens array<string>")
+    asked = spark.createDataFrame([(1, ["b", "b", "c", "ë"]), (2, [])], "qid long, tokens array<string>")  # 3 isn't asked
+    got = {(r.qid, r.doc): r.overlap for r in retrieval.scored(retrieval.with_packed(pool), asked).collect()}
+    wanted = asked.withColumnRenamed("tokens", "wanted")
+    want = {(r.qid, r.doc): r.o for r in pool.join(wanted, "qid").select("qid", "doc", retrieval.lexical_overlap(F.col("wanted"), F.col("tokens")).alias("o")).collect()}
+    assert got == want | {(3, 10): None} and got[1, 10] == 0.333333
+
+
 def test_dml(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
