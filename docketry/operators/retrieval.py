@@ -23,6 +23,8 @@ POOL, ALPHA, RERANK_POOL, TOP = 200, 0.2, 20, 5
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Questions of a block, vectors of a lot; of both at most, where all scores are given out.
 BLOCK, LOT, SIDE = 4096, 1 << 16, 2048
+#: Scores that a task works on at a time: it holds a few arrays of so many.
+SCORES = 1 << 20
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -56,9 +58,10 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 def best_of(qid: np.ndarray, q: np.ndarray, doc: np.ndarray, v: np.ndarray, keep: int | None, among: Callable[[int, int], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """qid, doc and cosine of the best `keep` (None: all) rows a question, by score, then doc. `among` says which rows questions from..to may have."""
     q_norm, v_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
-    for at in range(0, len(qid), 64):  # at most 64 rows of scores at a time
-        norm = q_norm[at : at + 64, None] * v_norm[None, :]
-        score = np.round(np.divide(q[at : at + 64] @ v.T, norm, out=np.zeros_like(norm), where=norm > 0), 6)
+    step = max(1, min(64, SCORES // max(1, len(doc))))
+    for at in range(0, len(qid), step):
+        norm = q_norm[at : at + step, None] * v_norm[None, :]
+        score = np.round(np.divide(q[at : at + step] @ v.T, norm, out=np.zeros_like(norm), where=norm > 0), 6)
         may = np.ones(score.shape, bool) if among is None else among(at, at + len(score))
         if keep is None or keep >= len(doc):
             row, col = np.nonzero(may)

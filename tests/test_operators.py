@@ -3,8 +3,10 @@
 import math
 import random
 import time
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +169,31 @@ def test_overlap_is_told_with_the_scores(spark):
     assert got == want | {(3, 10): None} and got[1, 10] == 0.333333
 
 
+def test_a_cell_works_on_few_scores_at_a_time():
+    """Of 64 questions and 65,536 vectors there are four million scores; the arrays that a task holds of them stay under 80 MB."""
+    rng = np.random.default_rng(3)
+    q, v = rng.normal(size=(64, 4)), rng.normal(size=(1 << 16, 4))
+    tracemalloc.start()
+    got = [tuple(map(np.copy, piece)) for piece in retrieval.best_of(np.arange(64), q, np.arange(1 << 16), v, 3)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    cosine = (q @ v.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(v, axis=1)
+    score = np.concatenate([s for _, _, s in got]).reshape(64, 3)
+    assert np.allclose(score, np.round(-np.sort(-cosine, axis=1)[:, :3], 6), atol=2e-6)
+    assert np.array_equal(np.concatenate([k for k, _, _ in got]), np.repeat(np.arange(64), 3)) and most < 80e6
+
+
+def test_texts_go_to_pools_compressed(spark):
+    """A task holds and sorts its pools' texts packed, in a third of the bytes of their distinct terms and counts."""
+    words = {d: [f"word{(d * k) % 997:06}" for k in range(400)] for d in range(1, 61)}
+    rows = spark.createDataFrame([(q, d, 400) for q in range(50) for d in words], "qid long, doc long, dl int")
+    questions = spark.createDataFrame([(q, [f"word{q:06}"]) for q in range(50)], "qid long, tokens array<string>")
+    texts = spark.createDataFrame(list(words.items()), "doc long, tokens array<string>")
+    got, moved = _shuffled_bytes(spark, lambda: retrieval.bm25(rows, questions, texts))
+    terms = 50 * sum(len(set(t)) * (10 + 4) for t in words.values())
+    assert len(got) == 3000 and any(r.bm25 > 0 for r in got) and moved < terms / 3
+
+
 def test_dml(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
