@@ -5,6 +5,7 @@ import random
 import time
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -194,6 +195,15 @@ def test_texts_go_to_pools_compressed(spark):
     assert len(got) == 3000 and any(r.bm25 > 0 for r in got) and moved < terms / 3
 
 
+def test_texts_of_pools_are_not_written(spark):
+    """Only the pools' rows are written to the checkpoint folder, not their texts."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before, rows = size(), queries()["hybrid_rank"](spark, SF).collect()
+    written, pools = size() - before, _pooled(Tables(spark, SF))[0].count()
+    assert rows and written < 100 * pools
+
+
 def test_dml(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
