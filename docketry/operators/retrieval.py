@@ -1,7 +1,8 @@
 """Hybrid retrieval over batches of questions: dense top-k, BM25 over each question's pool, blend, rerank, cascade.
 
 Every statistic is of one question's pool, so everything is grouped by qid. The questions are a stated set that meets
-the vectors in a grid of blocks and lots; rank filters (row_number <= k) are pushed below the shuffle as group limits.
+the vectors in a grid of blocks and lots, and each cell's best of a question go on as one row; other rank filters
+(row_number <= k) are pushed below the shuffle as group limits.
 Only texts that are in a pool are tokenized.
 """
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from docketry.streaming.turns import shared_dir
 
@@ -42,13 +44,23 @@ def dense_scores(questions: DataFrame, vectors: DataFrame, keep: int | None = No
     products in a task. All scores of a cell are at most about SIDE squared rows. With `keep`, a cell gives out only its best `keep` rows a question (by score, then doc): all that can be among the best
     `keep` overall, so that what is shuffled doesn't grow with the vectors' number times the questions'.
     """
-    asked, rows = questions.where("qid IS NOT NULL AND embedding IS NOT NULL").select("qid", "embedding"), vectors.where("doc IS NOT NULL AND embedding IS NOT NULL").select("doc", "embedding")
-    n = rows.count()
     block, lot = (BLOCK, LOT) if keep is not None else (min(BLOCK, SIDE), min(LOT, SIDE))
+    return _grid(questions, vectors, block, lot).applyInArrow(_cell(keep), "qid long, doc long, dense double")
+
+
+def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(qid, doc, dense, rank): the best k of dense_scores for each question, by score, then doc."""
+    return merged(_grid(questions, vectors, BLOCK, LOT).applyInArrow(_cell(k, lists=True), LISTS), k)
+
+
+def _grid(questions: DataFrame, vectors: DataFrame, block: int, lot: int) -> PandasCogroupedOps:
+    """The cells, of about `block` questions and `lot` vectors."""
+    asked, rows = questions.where("qid IS NOT NULL AND embedding IS NOT NULL").select("qid", "embedding"), vectors.where("doc IS NOT NULL AND embedding IS NOT NULL").select("doc", F.col("embedding").alias("vector"))  # a name of its own, as the questions may be of the same table
+    n = rows.count()
     blocks, lots = max(1, -(-asked.count() // block)), max(1, -(-n // lot), min(questions.sparkSession.sparkContext.defaultParallelism, n // 256))
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
     spread = rows.withColumn("lot", F.pmod(F.xxhash64("doc"), F.lit(lots)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return dealt.groupBy("block", "lot").cogroup(spread.groupBy("block", "lot")).applyInArrow(_cell(keep), "qid long, doc long, dense double")
+    return dealt.groupBy("block", "lot").cogroup(spread.groupBy("block", "lot"))
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -75,14 +87,44 @@ def best_of(qid: np.ndarray, q: np.ndarray, doc: np.ndarray, v: np.ndarray, keep
         yield qid[at + row], doc[col], score[row, col]
 
 
-def _cell(keep: int | None):
+#: What a cell found for a question as one row: a row a pair would take several times the memory to sort, and tasks are dealt by what
+#: cells read, which is less than they find.
+LISTS = "qid long, docs array<long>, scores array<double>"
+
+
+def in_lists(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    """What best_of gives, in the columns of LISTS."""
+    schema = pa.schema([("qid", pa.int64()), ("docs", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+    out = [schema.empty_table()]
+    for qid, doc, score in found:
+        start = np.flatnonzero(np.diff(qid, prepend=qid[:1] - 1))
+        ends = pa.array(np.append(start, len(qid)), pa.int32())
+        out.append(pa.table([pa.array(qid[start], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(doc, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(score))], schema=schema))
+    return pa.concat_tables(out)
+
+
+def merged(lists: DataFrame, k: int) -> DataFrame:
+    """(qid, doc, dense, rank): of LISTS the best k of each question, by score, then doc."""
+
+    def run(group: pa.Table) -> pa.Table:
+        doc, score = (pc.list_flatten(group[c].combine_chunks()).to_numpy() for c in ("docs", "scores"))
+        first = np.lexsort((doc, np.where(np.isnan(score), -np.inf, -score)))[:k]
+        return pa.table({"qid": np.full(len(first), group["qid"][0].as_py()), "doc": doc[first], "dense": score[first], "rank": np.arange(1, len(first) + 1, dtype=np.int32)})
+
+    return lists.groupBy("qid").applyInArrow(run, "qid long, doc long, dense double, rank int")
+
+
+def _cell(keep: int | None, lists: bool = False):
     schema = pa.schema([("qid", pa.int64()), ("doc", pa.int64()), ("dense", pa.float64())])
 
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         if not asked.num_rows or not rows.num_rows:
-            return schema.empty_table()
+            return in_lists(iter(())) if lists else schema.empty_table()
+        found = best_of(asked["qid"].to_numpy(), matrix(asked["embedding"]), rows["doc"].to_numpy(), matrix(rows["vector"]), keep)
+        if lists:
+            return in_lists(found)
         out = []
-        for qid, doc, score in best_of(asked["qid"].to_numpy(), matrix(asked["embedding"]), rows["doc"].to_numpy(), matrix(rows["embedding"]), keep):
+        for qid, doc, score in found:
             out.append(pa.table([pa.array(qid, pa.int64()), pa.array(doc, pa.int64()), pa.array(score)], schema=schema))
         return pa.concat_tables(out)
 

@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from docketry.operators.retrieval import best_of, matrix
+from docketry.operators.retrieval import LISTS, best_of, in_lists, matrix, merged
 
 #: Vectors that centroids and code books are fitted on; most lists.
 SAMPLE, MOST_LISTS = 20_000, 4096
@@ -169,9 +169,8 @@ class VectorIndex:
         if not every:
             coded = dealt.select("cell", "list", "doc", "codes", block)
             sent = sent.groupBy(*key).cogroup(coded.groupBy(*key)).applyInArrow(self._survivors(REFINE * k), "cell int, block int, qid long, embedding array<double>, docs array<long>")
-        scored = sent.groupBy(*key).cogroup(dealt.select("cell", "doc", "embedding", block).groupBy(*key)).applyInArrow(_scores(k, every), "qid long, doc long, dense double")
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("dense"), "doc"))
-        return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+        scored = sent.groupBy(*key).cogroup(dealt.select("cell", "doc", "embedding", block).groupBy(*key)).applyInArrow(_scores(k, every), LISTS)
+        return merged(scored, k)
 
     def _survivors(self, keep: int):
         """Of the rows of a cell that are in lists asked for, those with the best coded score for each question."""
@@ -199,11 +198,10 @@ class VectorIndex:
 
 def _scores(keep: int, every: bool):
     """The best `keep` of a cell for each question, of its survivors (or of all rows)."""
-    schema = pa.schema([("qid", pa.int64()), ("doc", pa.int64()), ("dense", pa.float64())])
 
     def run(sent: pa.Table, rows: pa.Table) -> pa.Table:
         if not sent.num_rows or not rows.num_rows:
-            return schema.empty_table()
+            return in_lists(iter(()))
         doc = rows["doc"].to_numpy()
         among = None
         if not every:
@@ -216,7 +214,6 @@ def _scores(keep: int, every: bool):
                     may[k - start, np.searchsorted(known, lists[k].values.to_numpy())] = True
                 return may[:, place]
 
-        found = best_of(sent["qid"].to_numpy(), matrix(sent["embedding"]), doc, matrix(rows["embedding"]), keep, among)
-        return pa.concat_tables([schema.empty_table(), *(pa.table([pa.array(a), pa.array(b), pa.array(c)], schema=schema) for a, b, c in found)])
+        return in_lists(best_of(sent["qid"].to_numpy(), matrix(sent["embedding"]), doc, matrix(rows["embedding"]), keep, among))
 
     return run

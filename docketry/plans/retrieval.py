@@ -41,8 +41,7 @@ def _questions(t: Tables, rest: int = 0) -> DataFrame:
 
 
 def _pool(t: Tables, rest: int = 0) -> DataFrame:
-    scores = R.dense_scores(_questions(t, rest), t.embeddings.select(F.col("vec_id").alias("doc"), "embedding"), R.POOL)
-    return R.top_k(scores, R.POOL, F.desc("dense"), F.asc("doc"))
+    return R.nearest(_questions(t, rest), t.embeddings.select(F.col("vec_id").alias("doc"), "embedding"), R.POOL)
 
 
 def _texts(t: Tables) -> DataFrame:
@@ -55,9 +54,10 @@ def _question_tokens(t: Tables, rest: int = 0) -> DataFrame:
 
 def _pooled(t: Tables, rest: int = 0) -> tuple[DataFrame, DataFrame]:
     """(qid, doc, dense, rank, dl, packed) of the pools' rows that have a text, each text packed once, however many pools it is in; and (qid,
-    tokens) of the questions. The pools are written once, as their texts are looked up by them."""
+    tokens) of the questions. The pools are written once, as their texts are looked up by them; a task holds the ids that are looked for, and no
+    texts are sorted."""
     pool = R.kept(_pool(t, rest))
-    texts = t.documents.withColumnRenamed("doc_id", "doc").join(pool.select("doc").distinct(), "doc", "left_semi")
+    texts = t.documents.withColumnRenamed("doc_id", "doc").join(pool.select("doc").distinct().hint("shuffle_hash"), "doc", "left_semi")
     return pool.join(R.packed(texts.select("doc", tokens(F.col("text")).alias("tokens"))), "doc"), _question_tokens(t, rest)
 
 
@@ -114,8 +114,8 @@ def probe_sample(t: Tables) -> DataFrame:
     """A sample of the index by probes: the best few of each question, a row only where the first probe saw it, fifty in all (the sample is the
     feature). Each probe brings so many that all of them together fill it."""
     few = max(1, _SAMPLE // max(1, _questions(t).count()) + 1)
-    seen = R.dense_scores(_questions(t), t.embeddings.select(F.col("vec_id").alias("doc"), "embedding"), few)
-    best = R.top_k(seen, few, F.desc("dense"), F.asc("doc")).groupBy("doc").agg(F.min(F.struct("qid", "rank")).alias("first"))
+    seen = R.nearest(_questions(t), t.embeddings.select(F.col("vec_id").alias("doc"), "embedding"), few)
+    best = seen.groupBy("doc").agg(F.min(F.struct("qid", "rank")).alias("first"))
     return best.select("doc", "first.qid", F.col("first.rank").cast("long").alias("rank")).orderBy("qid", "rank").limit(_SAMPLE)
 
 

@@ -16,7 +16,7 @@ from docketry.operators import chunking, dml, parsing, retrieval
 from docketry.operators.tenancy import TenantView, leaked
 from docketry.plans.base import Tables
 from docketry.plans.registry import queries
-from docketry.plans.retrieval import _pooled
+from docketry.plans.retrieval import _pool, _pooled
 from docketry.sources.files import docx_bytes, docx_paragraphs, text_files
 from tests.conftest import SF
 
@@ -204,6 +204,40 @@ def test_texts_of_pools_are_not_written(spark):
     assert rows and written < 100 * pools
 
 
+def test_cells_give_a_row_a_question(spark):
+    """What the cells find goes on as one row for each question and cell: fewer rows are shuffled than a pool has."""
+    t = Tables(spark, SF)
+    rows, shuffled = _shuffled_rows(spark, lambda: _pool(t))
+    assert len(rows) > 500 and shuffled < len(rows)
+
+
+def test_nearest_is_the_best_of_all_scores(spark):
+    """Over several cells, with many equal scores, more rows wanted than there are, and a question asked twice."""
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(d, [float(x) for x in rng.integers(-1, 2, 3)]) for d in range(1100)], "doc long, embedding array<float>")
+    asked = vectors.where("doc % 100 = 0").withColumnRenamed("doc", "qid")
+    scores = retrieval.dense_scores(asked, vectors)
+    for k in (1, 30, 2000):
+        want = retrieval.top_k(scores, k, F.desc("dense"), F.asc("doc"))
+        assert sorted(map(tuple, retrieval.nearest(asked, vectors, k).collect())) == sorted(map(tuple, want.collect()))
+    twice = retrieval.nearest(asked.unionByName(asked.where("qid = 100")), vectors, 4).where("qid = 100").orderBy("rank").collect()
+    once = retrieval.nearest(asked, vectors, 2).where("qid = 100").orderBy("rank").collect()
+    assert [(r.doc, r["rank"]) for r in twice] == [(once[k // 2].doc, k + 1) for k in range(4)]
+    assert retrieval.nearest(asked, vectors.where("doc < 0"), 3).collect() == [] == retrieval.nearest(asked.where("qid < 0"), vectors, 3).collect()
+
+
+def test_texts_are_not_sorted_to_be_looked_up(spark):
+    """Also where nothing is small enough to be broadcast, the pools' ids are held and the texts stream by."""
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _pooled(Tables(spark, SF))[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("ShuffledHashJoin" in line for line in semi)
+
+
 def test_dml(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
