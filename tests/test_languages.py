@@ -1,11 +1,13 @@
 """Languages and charsets of texts."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from docketry.operators import language_model
+from docketry.plans.registry import queries
 from docketry.sources import charsets
 
 
@@ -95,3 +97,30 @@ def test_a_capital_after_a_full_stop(spark):
     for t in ("es re paon. Èonoioi menti", "es re paon éonoioi menti"):
         for charset in charsets.SINGLE[:2]:
             assert detector.decode(t.encode(charset)) == (charset, t)
+
+
+#: Texts that say little, often: what is repeated, or what letters are likely without regard to the language, misleads. By the charset they are written in.
+_REPEATED = {
+    "cp850": "Öung tezu der. Enkeit tepf gekeit, st entz.\n" + "Ensch. " * 17 + "Äen " * 17 + "enungungver " * 17,
+    "windows-1252": "Ouou, " * 40 + "ouen, " * 3 + "ément. " * 38,
+    "mac_roman": "den, " * 20 + "öenen. " * 102,
+}
+
+
+def test_repeats_and_languages(spark):
+    """A word said often is evidence once; a letter of another language than what stands near is unlikely."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    detector = charsets.Detector(charsets.learn(docs))
+    for text in (*_REPEATED.values(), "einver äenie."):
+        for charset in charsets.SINGLE:
+            assert detector.decode(text.encode(charset)) == (charset, text)
+
+
+def test_txt_decode_of_repeats(spark, tmp_path):
+    """The query over a table that has such texts gives them all back."""
+    more = [(charsets.CHARSETS.index(c) + 6 * 10**6, t) for c, t in _REPEATED.items()]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.digest for r in queries()["txt_decode"](spark, str(tmp_path)).collect()}
+    want = {r.doc_id: hashlib.md5(r.text.strip(" \t\n\v\f\r").encode()).hexdigest() for r in docs.collect()}
+    assert got == want
