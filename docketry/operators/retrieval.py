@@ -23,8 +23,8 @@ from docketry.streaming.turns import shared_dir
 # Pool, weight of the dense score, rerank pool, results; BM25 constants.
 POOL, ALPHA, RERANK_POOL, TOP = 200, 0.2, 20, 5
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Questions of a block, vectors of a lot; of both at most, where all scores are given out.
-BLOCK, LOT, SIDE = 4096, 1 << 16, 2048
+#: Questions of a block, vectors of a lot; of both at a time, where all scores are given out, and how many times that are in a cell.
+BLOCK, LOT, SIDE, SIDES = 4096, 1 << 16, 2048, 8
 #: Scores that a task works on at a time: it holds a few arrays of so many.
 SCORES = 1 << 20
 
@@ -41,11 +41,16 @@ def dense_scores(questions: DataFrame, vectors: DataFrame, keep: int | None = No
     """(qid, doc, dense): cosine of questions(qid, embedding) with vectors(doc, embedding), 0 where either is zero.
 
     A grid: questions are dealt to blocks and vectors to lots by a hash of their id, and each cell of a block and a lot is some matrix
-    products in a task. All scores of a cell are at most about SIDE squared rows. With `keep`, a cell gives out only its best `keep` rows a question (by score, then doc): all that can be among the best
-    `keep` overall, so that what is shuffled doesn't grow with the vectors' number times the questions'.
+    products in a task. With `keep`, a cell gives out only its best `keep` rows a question (by score, then doc): all that can be among the best
+    `keep` overall, so that what is shuffled doesn't grow with the vectors' number times the questions'. Without, a cell is a partition and gives out
+    about SIDE squared scores at a time, so that it may be large: vectors go to as many cells as there are blocks.
     """
-    block, lot = (BLOCK, LOT) if keep is not None else (min(BLOCK, SIDE), min(LOT, SIDE))
-    return _grid(questions, vectors, block, lot).applyInArrow(_cell(keep), "qid long, doc long, dense double")
+    if keep is not None:
+        return _grid(questions, vectors, BLOCK, LOT).applyInArrow(_cell(keep), SCORED)
+    asked, rows, blocks, lots = _dealt(questions, vectors, SIDES * SIDE, SIDES * SIDE, 3)
+    cell = (F.col("block") * lots + F.col("lot")).cast("int").alias("cell")
+    sides = asked.select(cell, F.col("qid").alias("id"), F.lit(True).alias("asks"), "embedding").union(rows.select(cell, "doc", F.lit(False), "vector"))
+    return sides.repartitionById(blocks * lots, "cell").mapInArrow(_cells(_cell(None)), SCORED)
 
 
 def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -55,25 +60,36 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 def _grid(questions: DataFrame, vectors: DataFrame, block: int, lot: int) -> PandasCogroupedOps:
     """The cells, of about `block` questions and `lot` vectors."""
+    asked, rows, _, _ = _dealt(questions, vectors, block, lot)
+    return asked.groupBy("block", "lot").cogroup(rows.groupBy("block", "lot"))
+
+
+def _dealt(questions: DataFrame, vectors: DataFrame, block: int, lot: int, least: int = 1) -> tuple[DataFrame, DataFrame, int, int]:
+    """questions(block, lot, qid, embedding) and vectors(block, lot, doc, vector), each row as often as there are cells for it; how many blocks
+    and lots there are: of the latter at least `least` a core, unless they would be small."""
     asked, rows = questions.where("qid IS NOT NULL AND embedding IS NOT NULL").select("qid", "embedding"), vectors.where("doc IS NOT NULL AND embedding IS NOT NULL").select("doc", F.col("embedding").alias("vector"))  # a name of its own, as the questions may be of the same table
     n = rows.count()
-    blocks, lots = max(1, -(-asked.count() // block)), max(1, -(-n // lot), min(questions.sparkSession.sparkContext.defaultParallelism, n // 256))
+    blocks, lots = max(1, -(-asked.count() // block)), max(1, -(-n // lot), min(least * questions.sparkSession.sparkContext.defaultParallelism, n // 256))
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
     spread = rows.withColumn("lot", F.pmod(F.xxhash64("doc"), F.lit(lots)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return dealt.groupBy("block", "lot").cogroup(spread.groupBy("block", "lot"))
+    return dealt, spread, blocks, lots
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _cosines(q: np.ndarray, v: np.ndarray, q_norm: np.ndarray, v_norm: np.ndarray) -> np.ndarray:
+    norm = q_norm[:, None] * v_norm[None, :]
+    return np.round(np.divide(q @ v.T, norm, out=np.zeros_like(norm), where=norm > 0), 6)
+
+
 def best_of(qid: np.ndarray, q: np.ndarray, doc: np.ndarray, v: np.ndarray, keep: int | None, among: Callable[[int, int], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """qid, doc and cosine of the best `keep` (None: all) rows a question, by score, then doc. `among` says which rows questions from..to may have."""
     q_norm, v_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
     step = max(1, min(64, SCORES // max(1, len(doc))))
     for at in range(0, len(qid), step):
-        norm = q_norm[at : at + step, None] * v_norm[None, :]
-        score = np.round(np.divide(q[at : at + step] @ v.T, norm, out=np.zeros_like(norm), where=norm > 0), 6)
+        score = _cosines(q[at : at + step], v, q_norm[at : at + step], v_norm)
         may = np.ones(score.shape, bool) if among is None else among(at, at + len(score))
         if keep is None or keep >= len(doc):
             row, col = np.nonzero(may)
@@ -114,13 +130,20 @@ def merged(lists: DataFrame, k: int) -> DataFrame:
     return lists.groupBy("qid").applyInArrow(run, "qid long, doc long, dense double, rank int")
 
 
+#: What dense_scores gives.
+SCORED = "qid long, doc long, dense double"
+
+
 def _cell(keep: int | None, lists: bool = False):
     schema = pa.schema([("qid", pa.int64()), ("doc", pa.int64()), ("dense", pa.float64())])
 
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         if not asked.num_rows or not rows.num_rows:
             return in_lists(iter(())) if lists else schema.empty_table()
-        found = best_of(asked["qid"].to_numpy(), matrix(asked["embedding"]), rows["doc"].to_numpy(), matrix(rows["vector"]), keep)
+        sides = asked["qid"].to_numpy(), matrix(asked["embedding"]), rows["doc"].to_numpy(), matrix(rows["vector"])
+        if keep is None:
+            return pa.table(_by_score(*sides), schema=schema)
+        found = best_of(*sides, keep)
         if lists:
             return in_lists(found)
         out = []
@@ -131,6 +154,39 @@ def _cell(keep: int | None, lists: bool = False):
     return run
 
 
+def _by_score(qid: np.ndarray, q: np.ndarray, doc: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    """qid, doc and cosine of all pairs. Equal scores stand together: a column of numbers that are all different is most of what a file takes."""
+    q_norm, v_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
+    score = np.empty((len(qid), len(doc)))
+    for at in range(0, len(qid), 64):
+        score[at : at + 64] = _cosines(q[at : at + 64], v, q_norm[at : at + 64], v_norm)
+    key = np.rint(score.ravel() * 1e6)
+    key = np.nan_to_num(key, copy=False).astype(np.int64) << 32 | np.arange(key.size)  # whole numbers, that hold the place, sort faster than places
+    key.sort()
+    order = (key & 0xFFFFFFFF).astype(np.int32)
+    return [qid[order // len(doc)], doc[order % len(doc)], score.ravel()[order]]
+
+
+def _cells(cell: Callable[[pa.Table, pa.Table], pa.Table]):
+    """The cells of a partition (one), SIDE of its questions by SIDE of its vectors at a time."""
+    side = SIDE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        sides = pa.Table.from_batches(held)
+        for number in pc.unique(sides["cell"]).to_pylist():
+            own = sides.filter(pc.equal(sides["cell"], number))
+            asked, rows = own.filter(own["asks"]), own.filter(pc.invert(own["asks"]))
+            asked, rows = asked.select(["id", "embedding"]).rename_columns(["qid", "embedding"]), rows.select(["id", "embedding"]).rename_columns(["doc", "vector"])
+            for first in range(0, rows.num_rows, side):
+                for at in range(0, asked.num_rows, side):
+                    yield from cell(asked.slice(at, side), rows.slice(first, side)).to_batches(max_chunksize=1 << 17)
+
+    return run
+
+
 def top_k(df: DataFrame, k: int, *order: Column, by: str = "qid", rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= k)
 
